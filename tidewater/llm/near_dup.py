@@ -4,8 +4,8 @@ One hash of each shingle fills 128 bins; an empty bin borrows from a bin that a
 names first. Four bins make a band, and texts that share a band are candidates. Texts with the same
 shingles are one class from the start, so copies never make pairs. In each bucket the classes are paired
 with one leader only; links are confirmed on full shingle sets, and components of the links are found.
-Where a bucket still holds several components, its classes meet further leaders, until what is left is
-few enough to compare directly: no pair of a bucket stays undecided.
+Where the star of a leader still holds several components, those outside the largest meet its other
+members in blocks, on full sets: no pair of a bucket that could join two components stays undecided.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tidewater.llm.hashing import U, mix, packed, shingles, slices, span_hashes,
 
 BINS, ROWS = 128, 4
 TRIES = 2048
+CHUNK = 512
 _try: dict[str, np.ndarray] = {}
 
 
@@ -116,6 +117,51 @@ def confirm(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, inter long, total long")
 
 
+def cross_links(rest: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between different components of one star: (leader, node, comp, main, cols, rows).
+
+    Members outside the star's main component meet all its members in blocks of about CHUNK x CHUNK, on
+    full shingle sets; a block's pairs are counted in its task and only links leave it.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = packed(batch["text"])
+            for i, j, d, o in slices(data, off):
+                starts, ends, bounds = words(d, o)
+                own = [s.tobytes() for s in shingles(span_hashes(d, starts, ends), bounds, n)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(own, pa.binary())], ["node", "own"])
+
+    def block(t: pa.Table) -> pa.Table:
+        side, node, comp = (np.asarray(t[c]) for c in ("side", "node", "comp"))
+        own = [np.frombuffer(x.as_py(), U) for x in t["own"]]
+        outer, inner = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u, v = [], []
+        if len(outer) and len(inner):
+            sizes = np.array([len(own[i]) for i in inner])
+            flat, of = np.concatenate([own[i] for i in inner]), np.repeat(np.arange(len(inner)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            for i in outer:
+                lo, hi = np.searchsorted(flat, own[i], "left"), np.searchsorted(flat, own[i], "right")
+                runs = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+                shared = np.bincount(of[at], minlength=len(inner))
+                ok = (100 * shared >= percent * (len(own[i]) + sizes - shared)) & (comp[inner] != comp[i])
+                for j in inner[ok]:
+                    u.append(max(node[i], node[j]))
+                    v.append(min(node[i], node[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    nodes = rest.select(F.col("node").alias("doc_id")).distinct()
+    own = scratch.cut(texts.join(nodes, "doc_id").select("doc_id", "text").mapInArrow(sets, "node long, own binary"))
+    dealt = rest.withColumn("outer", F.col("comp") != F.col("main"))
+    pick = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    one = dealt.where("outer").select("leader", "node", "comp", F.lit(0).alias("side"), pick("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    two = dealt.select("leader", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), pick("cols").alias("j"))
+    return one.unionByName(two).join(own, "node").groupBy("leader", "i", "j").applyInArrow(block, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -134,53 +180,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.cut(classes)
     member = classes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     crowd = member.groupBy("band").agg(F.count("*").alias("n_in"), F.min("node").alias("leader")).where("n_in > 1").select("band", "leader")
-    bucket = member.join(crowd, "band").select("band", "node", "n", "leader")
-    bucket, bucket_path = scratch.put(bucket)
-
+    bucket = scratch.cut(member.join(crowd, "band").select("band", "node", "n", "leader"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    links, done = None, None
-    small, large = F.least("na", "nb") * 100, F.greatest("na", "nb") * percent
-    label = None
-    for step in range(1000):
-        # the leaders of this round: at first the least of a bucket, then the least not yet in one component with a former leader
-        if not step:
-            lead = bucket.where("node = leader").select("band", F.col("node").alias("a"), F.col("n").alias("na"))
-            pairs = bucket.withColumnRenamed("node", "b").withColumnRenamed("n", "nb").join(lead, "band").where("a < b").where(small >= large).select("a", "b").distinct()
-        else:
-            comp = bucket.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("band", "node", "n", "comp", "leader")
-            per = comp.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band")
-            per = per.agg(F.count("*").alias("comps"), F.sum("m").alias("n_in"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max(F.struct("m", "comp")).alias("most"))
-            mixed = per.where("comps > 1").select("band", ((F.col("n_in") * F.col("n_in") - F.col("sq")) / 2).alias("cross"), "n_in", F.col("most.comp").alias("main"))
-            comp, comp_path = scratch.put(comp.join(mixed, "band"))
-            scratch.drop(bucket_path)
-            few = comp.where("cross <= 8 * n_in")  # so few that those outside the largest component meet all others
-            x = few.where("comp <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = few.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            direct = x.join(y, "band").where("ca <> cb").where(small >= large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            many = comp.where("cross > 8 * n_in")
-            nxt = many.where("node > leader").groupBy("band").agg(F.min("node").alias("leader2"))
-            many = many.join(nxt, "band")
-            lead = many.where("node = leader2").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            star = many.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(lead, "band").where("a <> b and ca <> cb").where(small >= large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = direct.union(star).distinct()
-            bucket, bucket_path = scratch.put(many.select("band", "node", "n", F.col("leader2").alias("leader")))
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs)
-        if pairs.isEmpty():
-            new = None
-        else:
-            left = pairs.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "tb"), "b")
-            both = left.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
-            new = scratch.cut(confirm(both, shingle).where(F.col("inter") * 100 >= F.col("total") * percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        done = pairs if done is None else done.union(pairs)
-        if new is not None:
-            links = new if links is None else links.union(new)
-            label = scratch.cut(components(links, scratch))
-        elif label is None:
-            label = spark.createDataFrame([], "node long, label long")
-        if step and bucket.isEmpty():
-            break
+
+    lead = bucket.where("node = leader").select("band", F.col("n").alias("na"))
+    star = bucket.where("node > leader").join(lead, "band").select(F.col("leader").alias("a"), F.col("node").alias("b"), (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).alias("fits"))
+    star = scratch.cut(star.distinct())
+    left = star.where("fits").join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "tb"), "b")
+    both = left.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
+    links = scratch.cut(confirm(both, shingle).where(F.col("inter") * 100 >= F.col("total") * percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    label = scratch.cut(components(links, scratch))
+
+    # a pair of a bucket stands beside one leader: what a leader's star left in several components is compared in blocks
+    star = star.select(F.col("a").alias("leader"), F.col("b").alias("node"))
+    family = star.union(star.select("leader", F.col("leader").alias("node")).distinct()).join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("leader", "node", "comp")
+    per = family.groupBy("leader", "comp").agg(F.count("*").alias("m")).groupBy("leader").agg(F.sum("m").alias("n_all"), F.max(F.struct("m", "comp")).alias("most"))
+    mixed = per.where("n_all > 2 and most.m < n_all").select("leader", F.col("most.comp").alias("main"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("cols"), F.ceil((F.col("n_all") - F.col("most.m")) / CHUNK).cast("int").alias("rows"))
+    rest = scratch.cut(family.join(mixed, "leader").where("node <> leader"))
+    if not rest.isEmpty():
+        more = scratch.cut(cross_links(rest, texts, shingle, percent, scratch))
+        if not more.isEmpty():
+            label = scratch.cut(components(links.union(more), scratch))
     out = sketch.select("doc_id", *key).join(classes.select("node", *key), key, "left").join(label, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
