@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, near_dup, topk, url_filter
+from tidewater.llm import chat, decontaminate, line_dedup, mixing, near_dup, topk, url_filter
 from tidewater.llm.common import table
 
 #: The rules of op3 as (host, path prefix, action).
@@ -76,5 +76,59 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filter, op4_near_dup, op6_topk, op7_chat)}
-ORACLE: dict[str, str] = {"op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of all documents without the boilerplate lines of their source."""
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("source").alias("host"), F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), "text")
+
+
+OP2_SQL = """
+with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, source, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+p as (select host, count(*) as pages from d group by host),
+u as (select distinct r, host, trim(l, ' ') as l from (select r, host, unnest(ls) as l from d) where trim(l, ' ') <> ''),
+b as (select host, list(l) as bad from (select u.host, u.l from u join p on u.host = p.host group by u.host, u.l, pages having count(*) >= 5 and count(*) > pages * 0.2) group by host),
+x as (select d.*, list_filter(ls, lambda l: trim(l, ' ') = '' or not list_contains(coalesce(bad, []), trim(l, ' '))) as kept from d left join b on d.host = b.host)
+select doc_id, source as host, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_dropped, case when text is not null and len(kept) < len(ls) then array_to_string(kept, chr(10)) else text end as text from x
+"""
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked benchmark items of every document that leaks any."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _toks(source: str, table: str) -> str:
+    named = rf"regexp_replace(translate(coalesce(text, ''), chr(2) || chr(3) || chr(4), '   '), '{decontaminate.NAME_RE}', '\1' || chr(2) || '\2', 'g')"
+    glued = rf"regexp_replace(n, '{decontaminate.GLUED_RE}', '\1 \2', 'g')"
+    unit = rf"regexp_replace({glued}, '{decontaminate.UNIT_RE}', '\1' || chr(4) || '\2', 'g')"
+    number = rf"regexp_replace({unit}, '{decontaminate.NUMBER_RE}', chr(3) || '\1', 'g')"
+    return rf"(select id, list_filter(regexp_split_to_array(lower({number}), '{decontaminate.SPLIT_RE}'), lambda t: t <> '') as toks from (select {source}, {named} as n from {table}))"
+
+
+OP5_SQL = f"""
+with i as {_toks("item_id as id", "benchmark")}, d as {_toks("doc_id as id", "documents")},
+it as (select distinct id, toks, least(len(toks), 8) as k from i where len(toks) >= 5),
+iw as (select distinct id, pos, k, toks[pos:pos + k - 1] as w from (select *, unnest(range(1, len(toks) - k + 2)) as pos from it)),
+it2 as (select *, list_transform(w, lambda t: case when t < chr(5) then t[1] else t end) as tpl from iw where 2 * len(list_filter(w, lambda t: t < chr(5))) <= k),
+ks as (select distinct k from it),
+dw as (select distinct id, pos, k, toks[pos:pos + k - 1] as w from (select id, toks, k, unnest(range(1, len(toks) - k + 2)) as pos from d, ks)),
+dw2 as (select *, list_transform(w, lambda t: case when t < chr(5) then t[1] else t end) as tpl from dw),
+j as (select dw2.id as doc_id, it2.id as item_id, it2.pos, dw2.pos - it2.pos as shift, it2.w as want, dw2.w as got from dw2 join it2 on dw2.k = it2.k and dw2.tpl = it2.tpl),
+z as (select doc_id, item_id, shift, unnest(list_zip(want, got)) as z from j),
+s as (select doc_id, item_id, shift, z[1] as v, count(distinct z[2]) as n from z where z[1] < chr(5) group by 1, 2, 3, 4),
+per as (select doc_id, item_id, shift, max(n) as worst, count(*) as n_slots from s group by 1, 2, 3),
+t as (select id as item_id, count(distinct pos) as n_windows from it2 group by 1)
+select j.doc_id, j.item_id, n_windows, count(distinct j.pos) as n_found, max(coalesce(n_slots, 0)) as n_slots from j left join per on j.doc_id = per.doc_id and j.item_id = per.item_id and j.shift = per.shift
+join t on j.item_id = t.item_id where coalesce(worst, 1) = 1 group by 1, 2, 3 having count(distinct j.pos) >= n_windows * 0.5
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of every document: a budget of all tokens, no source more than twice."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repeats=2.0)
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_order").alias("position"), F.col("_alpha").alias("alpha"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
