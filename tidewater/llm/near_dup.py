@@ -204,3 +204,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketch.select("doc_id", *key).join(classes.select("node", *key), key, "left").join(label, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each group of near duplicates; rows with a null id stay.
+
+    A repeated id keeps one of its rows; options are those of near_duplicates.
+    """
+    marks = Scratch(docs.sparkSession).cut(near_duplicates(docs, id_col, **options).where("kept").select(F.col("doc_id").alias(id_col)))
+    out = docs.join(marks.distinct(), id_col, "left_semi")
+    if not marks.groupBy(id_col).count().where("count > 1").isEmpty():  # the least row of a repeated id
+        rest = [c for c in docs.columns if c != id_col]
+        out = out.groupBy(id_col).agg(F.min(F.struct(rest)).alias("_row")).select(id_col, "_row.*").select(docs.columns)
+    return out.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

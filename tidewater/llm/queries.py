@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, line_dedup, mixing, near_dup, topk, url_filter
+from tidewater.llm import chat, decontaminate, line_dedup, lm, mixing, near_dup, quality, topk, toxicity, url_filter
 from tidewater.llm.common import table
 
 #: The rules of op3 as (host, path prefix, action).
@@ -130,5 +130,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_order").alias("position"), F.col("_alpha").alias("alpha"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing)}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its site is the source, its path within the site the language."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
