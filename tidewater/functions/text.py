@@ -28,7 +28,7 @@ def html_to_text(c: Column) -> Column:
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def category(first: Column, rules: dict[str, list[str]]) -> Column:

@@ -42,7 +42,7 @@ def page_head_meta(spark, d):
 @query(r"""with x as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') as h from pages),
 y as (select page_id, regexp_replace(regexp_replace(h, '(?i)<br[^>]*>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer)[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') as h from x),
 z as (select page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as h from y)
-select page_id, trim(regexp_replace(regexp_replace(h, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ') as text from z""")
+select page_id, trim(regexp_replace(regexp_replace(h, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as text from z""")
 def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
