@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -28,3 +29,36 @@ def deliver(candidates: DataFrame, seen: DataFrame, key: str, order: list[Column
     """(delivered, next seen): at most budget unseen rows in order; only delivered ids are remembered."""
     out = unseen(candidates, seen, key).orderBy(*order).limit(budget)
     return out, seen.select(key).union(out.select(key))
+
+
+def interleaved(changes: DataFrame, kind: str, key: str, most: int) -> DataFrame:
+    """changes with ``position``: the first of each kind, then the second of each, up to ``most`` (the preview).
+
+    Every kind is cut to ``most`` rows within its partitions before the rows meet.
+    """
+    n = F.row_number().over(Window.partitionBy(kind).orderBy(key))
+    few = changes.withColumn("_n", n).where(F.col("_n") <= most)
+    return few.withColumn("position", F.row_number().over(Window.orderBy("_n", kind))).where(F.col("position") <= most).drop("_n")
+
+
+def digest(changes: DataFrame, kind: str, key: str, most: int) -> DataFrame:
+    """(body): one row: counts of each kind, up to ``most`` lines, and how many more there are."""
+    counts = changes.groupBy(kind).agg(F.count("*").alias("_c"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col(kind) == k, F.col("_c"))), F.lit(0)).cast("string")
+    more = F.coalesce(F.sum(F.when(F.col(kind) != "unchanged", F.col("_c"))), F.lit(0)) - most
+    head = counts.agg(F.concat(of("new"), F.lit(" new, "), of("changed"), F.lit(" changed, "), of("removed"), F.lit(" removed")).alias("_head"), more.alias("_more"))
+    few = interleaved(changes.where(F.col(kind) != "unchanged"), kind, key, most)
+    line = F.concat(F.lit("- "), F.col(kind), F.lit(": "), F.col(key))
+    lines = few.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", line.alias("t")))), lambda x: x["t"]), "\n").alias("_lines"))
+    tail = F.when(F.col("_more") > 0, F.concat(F.lit("…and "), F.col("_more").cast("string"), F.lit(" more")))
+    return head.join(F.broadcast(lines)).select(F.concat_ws("\n", "_head", F.when(F.col("_lines") != "", F.col("_lines")), tail).alias("body"))  # one row each
+
+
+def truncated(previous: DataFrame, current: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, kind): new, known or carried, when only the first ``most`` current rows were read.
+
+    What was not read cannot be called removed: previous rows beyond the cut are carried over.
+    """
+    read = current.select(key).orderBy(key).limit(most).withColumn("_c", F.lit(True))
+    both = previous.select(key).withColumn("_p", F.lit(True)).join(read, key, "full_outer")
+    return both.select(key, F.when(F.col("_p").isNull(), "new").when(F.col("_c").isNull(), "carried").otherwise("known").alias("kind"))
