@@ -147,35 +147,44 @@ def _pieces(block: str, most: int, table: bool) -> Iterator[str]:
 
 
 def _pack(blocks: list[tuple[str, int, bool, str]], size: int, overlap: int, by_heading: int) -> list[tuple[str, str]]:
-    """(md, path) chunks of the blocks of one document, in order."""
-    room = size - (overlap + 2 if overlap else 0)
-    out, held, path, carried, body = [], [], "", "", False
-
-    def close() -> None:
-        nonlocal held, carried, body
-        if body:
-            text = "\n\n".join(held)
-            out.append((text, path))
-            tail = held[-1][-overlap:] if overlap else ""
-            carried = tail.split(None, 1)[1] if " " in tail.strip() else ""
-            held = [carried] if carried else []
+    """(md, path) chunks of the blocks of one document, in order; held headings go with the text after them."""
+    out, held, path, body = [], [], "", False
+
+    def used() -> int:
+        return sum(len(h) + 2 for h in held)
+
+    def close(table: bool) -> None:
+        nonlocal held, body
+        out.append(("\n\n".join(held), path))
+        last = held[-1]
+        if not overlap or table:
+            held = []
+        elif len(last) <= overlap:
+            held = [last]
         else:
-            held = held if by_heading else []
+            held = last[-overlap - 1 :].split(None, 1)[1:]
         body = False
 
     for md, level, table, where in blocks:
         if level and by_heading and level <= by_heading and body:
-            close()
-            held = []
-        for piece in [md] if len(md) <= room else _pieces(md, room, table):
-            if body and len("\n\n".join([*held, piece])) > size:
-                close()
-            while held and len("\n\n".join([*held, piece])) > size:
-                held.pop(0)
+            close(True)
+        level = 0 if len(md) > size // 2 else level
+        rest = [md]
+        while rest:
+            piece = rest.pop(0)
+            if used() + len(piece) > size and (body or used() > size - 25):
+                body, path = True, path or where
+                close(table)
+            if used() + len(piece) > size:
+                room = size - max(used(), overlap + 2 if overlap else 0)
+                piece, *more = _pieces(piece, max(20, room), table)
+                rest = more + rest
             held.append(piece)
             if not level:
-                body, path = True, where if not body else path
-    close()
+                path = path if body else where
+                body = True
+    if body:
+        close(True)
     return out
 
 
@@ -197,10 +206,8 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("block_no")
         made = _pack(list(zip(rows["md"], rows["level"].fillna(0).astype(int), rows["is_table"].fillna(False), rows["path"])), size, overlap, by_heading)
-        out = pd.DataFrame({"chunk_no": range(1, len(made) + 1), "md": [m for m, _ in made], "path": [p for _, p in made]})
-        for i, k in enumerate(keys):
-            out.insert(i, k, rows[k].iloc[0])
-        return out
+        out = {k: [rows[k].iloc[0]] * len(made) for k in keys} | {"chunk_no": list(range(1, len(made) + 1)), "md": [m for m, _ in made], "path": [p for _, p in made]}
+        return pd.DataFrame({k: pd.Series(c, dtype=object) for k, c in out.items()})
 
     return pathed.select(*keys, "block_no", "md", "level", "is_table", "path").groupBy(*keys).applyInPandas(pack, f"{types}, chunk_no int, md string, path string")
 

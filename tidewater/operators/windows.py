@@ -46,3 +46,18 @@ def line_context(lines: DataFrame, keys: list[str], order: str, text: str, above
     """lines with ``context``: the lines above joined by `` / ``."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-above, -1)
     return lines.withColumn("context", F.array_join(F.collect_list(text).over(w), " / "))
+
+
+def line_changes(before: DataFrame, after: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, order, text, change): lines found on one side only, each counted once a page."""
+    first = lambda df, flag: df.groupBy(*keys, text).agg(F.min(order).alias(order)).withColumn(flag, F.lit(True)).withColumnRenamed(order, f"{order}{flag}")
+    both = first(after, "_a").join(first(before, "_b"), [*keys, text], "full_outer")
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed")
+    return both.select(*keys, F.coalesce(f"{order}_a", f"{order}_b").alias(order), text, change.alias("change")).where("change is not null")
+
+
+def changes_by_page(changes: DataFrame, keys: list[str], order: str, text: str, most: int = 60) -> DataFrame:
+    """(keys, n_added, n_removed, added, removed): all are counted, the first ``most`` of each are listed."""
+    n = F.row_number().over(Window.partitionBy(*keys, "change").orderBy(order, text))
+    listed = lambda kind: F.transform(F.sort_array(F.collect_list(F.when((F.col("change") == kind) & (F.col("_k") <= most), F.struct("_k", text)))), lambda x: x[text]).alias(kind)
+    return changes.withColumn("_k", n).groupBy(*keys).agg(F.count_if(F.col("change") == "added").alias("n_added"), F.count_if(F.col("change") == "removed").alias("n_removed"), listed("added"), listed("removed"))

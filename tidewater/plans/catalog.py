@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import matching, records, snapshots, texts
+from tidewater.plans import documents, matching, records, snapshots, texts
 
-MODULES = (snapshots, records, texts, matching)
+MODULES = (snapshots, records, texts, matching, documents)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE.items()}
