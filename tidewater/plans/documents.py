@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import markdown
 from tidewater.operators import documents as dc
 from tidewater.operators import windows
 from tidewater.plans.records import _t
@@ -100,3 +101,14 @@ def changes_by_page(spark, d):
     changes = windows.line_changes(lines.where("n % 7 <> 0"), lines.where("n % 5 <> 0"), ["doc_id"], "n", "line")
     grouped = windows.changes_by_page(changes.withColumn("line", F.md5("line")), ["doc_id"], "n", "line", 60)
     return grouped.select("doc_id", "n_added", "n_removed", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query(None)
+def html_to_markdown(spark, d):
+    return _t(spark, d, "pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(r"""select page_id, len(list_distinct(list_transform(regexp_extract_all(html, '<li><a[^>]*href="([^"]*)"', 1), lambda x: lower(x))))::int as n_links from pages""")
+def page_links(spark, d):
+    links = F.regexp_extract_all("html", F.lit('<li><a[^>]*href="([^"]*)"'), F.lit(1))
+    return _t(spark, d, "pages").select("page_id", F.size(F.array_distinct(F.transform(links, F.lower))).alias("n_links"))
