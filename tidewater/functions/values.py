@@ -29,8 +29,8 @@ def _body(text: Column) -> Column:
     lone = F.regexp_replace(F.trim(text), "(?i)" + _CURRENCY, "")
     rest = F.trim(F.regexp_replace(F.regexp_replace(lone, r"\s*%\s*(\)?)$", "$1"), r"^\((.*)\)$", "$1"))
     bare = F.trim(F.regexp_replace(rest, rf"^{_SIGN}\s*|\s*-$", ""))
-    fits = (F.length(text) <= 40) & bare.rlike("^(?:" + _GROUPED + ")$") & (F.regexp_count(text, F.lit("(?i)" + _CURRENCY)) <= 1)
-    return F.when(fits, bare)
+    one_currency = F.regexp_count(text, F.lit("(?i)" + _CURRENCY)) <= 1
+    return F.when((F.length(text) <= 40) & one_currency, _bind(bare, lambda b: F.when(b.rlike("^(?:" + _GROUPED + ")$"), b)))
 
 
 def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
@@ -52,10 +52,13 @@ def _number_of(body: Column, comma: Column) -> Column:
     mixed = F.length(F.replace(seps, last, F.lit(""))) > 0
     thousands = body.rlike(r"^[1-9]\d{0,2}[.,]\d{3}$")
     is_decimal = F.when(seps == "", False).when(mixed, True).when(~last.isin(",", ".") | (F.length(seps) > 1), False).when(thousands, (last == ",") == comma).otherwise(True)
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    whole = F.when(is_decimal, F.regexp_replace(body, r"[.,]\d*$", "")).otherwise(body)
-    fraction = F.when(is_decimal, F.regexp_extract(body, r"[.,](\d*)$", 1)).otherwise("")
-    return F.concat(F.when(digits(whole) == "", "0").otherwise(digits(whole)), F.lit("."), F.when(fraction == "", "0").otherwise(fraction)).try_cast("double")
+
+    def value(decimal: Column) -> Column:
+        whole = F.when(decimal, F.regexp_replace(body, r"[.,]\d*$", "")).otherwise(body)
+        fraction = F.when(decimal, F.regexp_extract(body, r"[.,](\d*)$", 1)).otherwise("")
+        return F.concat(F.lit("0"), F.regexp_replace(whole, r"\D", ""), F.lit("."), fraction, F.lit("0")).try_cast("double")
+
+    return F.when(body.isNotNull(), _bind(is_decimal, value))
 
 
 def is_percent(text: Column) -> Column:
@@ -64,11 +67,9 @@ def is_percent(text: Column) -> Column:
 
 def currency_of(text: Column) -> Column:
     """The code of the first currency in the text, else null."""
-    found = F.regexp_extract(text, "(?i)(" + _CURRENCY + ")", 1)
-    out = F.when(F.upper(found).isin(*CODES), F.upper(found))
-    for symbol, code in SYMBOLS.items():
-        out = out.when(F.lower(found) == symbol.lower(), code)
-    return out
+    codes = {c.lower(): c for c in CODES} | {k.lower(): c for k, c in SYMBOLS.items()}
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(text, "(?i)(" + _CURRENCY + ")", 1)))
 
 
 def price_text(text: Column) -> Column:
