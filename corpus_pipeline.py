@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a fifth of a source's pages go; every document stays, n_chars follows its text."""
-    out = line_dedup.drop_lines(docs).withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Lines repeated within a source go, by a ratio that falls with their length; every document stays, n_chars follows its text."""
+    out = line_dedup.drop_repeats(docs).withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 

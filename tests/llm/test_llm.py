@@ -136,6 +136,33 @@ def test_line_dedup(spark, odd):
     assert line_dedup.drop_lines(odd.limit(0)).count() == 0
 
 
+def test_repeated_lines(spark, odd):
+    """A long passage on few pages, a shorter line on a small share, and hosts of 2 and 3 pages; copies do not count."""
+    passage, phrase = " ".join(f"p{i}" for i in range(60)), "this page was printed from the archive of the town"
+    rows = [(i, f"body {i}\nyes" + (f"\n{passage}" if i % 100 == 0 else "") + (f"\n{phrase}" if i % 20 == 0 else ""), "big") for i in range(400)]
+    rows += [(1000 + i, f"menu\nshort {i}", "three") for i in range(3)] + [(2000 + i, f"menu\npair {i}", "two") for i in range(2)] + [(3000 + i, "copied whole and often", "copy") for i in range(9)]
+    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in line_dedup.drop_repeats(docs_of(spark, rows)).collect()}
+    before = {i: t for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for line, n in ((passage, 4), (phrase, 20)):
+        assert sum(line in t for t in before.values()) == n and sum(line in t for t, _ in got.values()) == 1
+    assert all("yes" not in t for i, (t, _) in got.items() if i < 1000)
+    assert {got[1000 + i] for i in range(3)} == {(f"short {i}", 1) for i in range(3)}
+    assert sum("menu" in got[2000 + i][0] for i in range(2)) == 1
+    assert all(got[3000 + i] == ("copied whole and often", 0) for i in range(9))
+    assert Counter(r["text"] for r in line_dedup.drop_repeats(odd).collect()) == Counter(r["text"] for r in odd.collect())
+    assert line_dedup.drop_repeats(odd.limit(0)).count() == 0
+
+
+def test_pipeline_drops_repeated_lines(spark):
+    """At the size where one ratio of 0.2 dropped no line at all."""
+    import corpus_pipeline as p
+
+    docs = docs_of(spark, [(i, f"body {i}" + ("\nthis page was printed from the archive of the town" if i % 20 == 0 else ""), "big") for i in range(400)])
+    got = p.drop_boilerplate(spark, docs, SF)
+    assert got.where("text like '%archive%'").count() == 1 and got.where("n_chars <> length(text)").count() == 0 and got.count() == 400
+
+
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, "A train leaves at 5 km from the old Boston station and Boston waits 5 km more for it"), (2, "short one"), (3, None), (4, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
     rows = [(1, "x y z. A train leaves at 7 km from the old Paris station and Paris waits 7 km more for it, end", "s"), (2, "A train leaves at 7 km from the old Paris station and London waits 9 km more for it", "s"), (3, "clean words only and nothing else to see in this text", "s"), (4, "9 8 7 6 5 4 3 2 1", "s"), (5, None, "s"), (None, "A train leaves at 5 km from the old Boston station and Boston waits 5 km more for it", "s")]

@@ -3,6 +3,9 @@
 For each host the pages that hold a line are divided by all pages of the host; lines over a boilerplate
 ratio go from every page of that host. A host has at most (mean lines a page / ratio) such lines, so its
 list is small however many pages it has.
+
+``drop_repeats`` adds what one ratio cannot catch at every size: the ratio falls with the words of the line,
+a long passage counts after a few pages, and small hosts count too. What goes only by that stays on one page.
 """
 
 from __future__ import annotations
@@ -41,6 +44,49 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     known = scratch.cut(boilerplate(docs, host, text, ratio, least_pages).groupBy("host").agg(F.collect_set("h").alias("_known")).withColumnRenamed("host", "_host"))
     n = known.agg(F.sum(F.size("_known"))).first()[0] or 0
     out = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(broadcast_if(known, n), "_host", "left").drop("_host")
+    return _without_known(out, text)
+
+
+def _without_known(out: DataFrame, text: str) -> DataFrame:
+    """``text`` without the lines whose hashes are in _known; adds _lines and _dropped."""
     out = out.withColumn("_all", _lines(text)).withColumn("_left", F.when(F.col("_known").isNotNull(), F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains("_known", _hash(x)))))
     out = out.withColumn("_lines", F.size("_all")).withColumn("_dropped", F.coalesce(F.size("_all") - F.size("_left"), F.lit(0)))
     return out.withColumn(text, F.when((F.col("_dropped") > 0) & F.col(text).isNotNull(), F.array_join("_left", "\n")).otherwise(F.col(text))).drop("_known", "_all", "_left")
+
+
+def _text_key(text: str) -> Column:
+    """60 bits of a text's md5: rows of equal text are one page."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def repeats(lines: DataFrame, pages: DataFrame, ratio: float = 0.2, passage: int = 50) -> DataFrame:
+    """(host, h, keep): hashes of the lines to cut, from lines (host, t, h, w) and pages (host, pages).
+
+    Pages of a host are its different texts. A line of w words counts when 3 of them or more hold it and they are
+    over ``ratio`` / w of the host's pages, or when it has ``passage`` words; or when 2 or more hold it that are
+    over ``ratio`` of the pages. The text ``keep`` keeps it; that is null, so that the line goes from every page,
+    where at least 3 pages and over ``ratio`` of them hold it.
+    """
+    n, share = F.col("n_pages"), F.col("pages") * ratio
+    held = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n_pages"), F.max("w").alias("w"), F.min("t").alias("keep")).where("n_pages >= 2")
+    held = held.join(pages, "host").where((n > share) | ((n >= 3) & ((n * F.col("w") > share) | (F.col("w") >= passage))))
+    return held.select("host", "h", F.when(~((n >= 3) & (n > share)), F.col("keep")).alias("keep"))
+
+
+def drop_repeats(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.2, passage: int = 50) -> DataFrame:
+    """As drop_lines, by the rule of ``repeats``: no line is lost from a host but those on over ``ratio`` of its pages.
+
+    Repeated rows are one page here, so copies of a document do not make its lines boilerplate.
+    """
+    scratch = Scratch(docs.sparkSession)
+    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    pages = docs.select(site.alias("host"), _text_key(text).alias("t")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    words = lambda x: F.size(F.split(F.trim(x), "[ \\t\\r\\f]+"))
+    own = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.struct(_hash(x).alias("h"), words(x).alias("w"))))
+    lines = docs.select(site.alias("host"), _text_key(text).alias("t"), F.explode(own).alias("l")).select("host", "t", "l.h", "l.w")
+    bad = scratch.cut(repeats(lines, pages, ratio, passage))
+    cut = lines.join(broadcast_if(bad, bad.count()), ["host", "h"]).where("keep is null or keep <> t")
+    known = scratch.cut(cut.groupBy(F.col("host").alias("_host"), F.col("t").alias("_t")).agg(F.collect_set("h").alias("_known")))
+    n = known.agg(F.sum(F.size("_known"))).first()[0] or 0
+    out = docs.withColumn("_host", site).withColumn("_t", _text_key(text)).join(broadcast_if(known, n), ["_host", "_t"], "left").drop("_host", "_t")
+    return _without_known(out, text)

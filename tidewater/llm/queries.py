@@ -93,6 +93,24 @@ select doc_id, source as host, len(ls)::bigint as n_lines, (len(ls) - len(kept))
 """
 
 
+def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_line_dedup, by the ratio that falls with a line's length (the rule of the pipeline)."""
+    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("source").alias("host"), F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), "text")
+
+
+OP2_REPEATS_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, source, text, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+p as (select host, count(distinct t) as pages from d group by host),
+u as (select distinct host, t, trim(l, ' ') as l from (select host, t, unnest(ls) as l from d) where trim(l, ' ') <> ''),
+n as (select host, l, count(*) as n, len(regexp_split_to_array(l, '[ \t\r\f]+')) as w, arg_min(t, substr(md5(t), 1, 15)) as keep from u group by host, l),
+b as (select n.*, n >= 3 and n > pages * 0.2 as everywhere from n join p on n.host = p.host where n >= 2 and (n > pages * 0.2 or (n >= 3 and (n * w > pages * 0.2 or w >= 50)))),
+g as (select u.host, u.t, list(u.l) as bad from u join b on u.host = b.host and u.l = b.l where everywhere or keep <> u.t group by u.host, u.t),
+x as (select d.*, list_filter(ls, lambda l: trim(l, ' ') = '' or not list_contains(coalesce(bad, []), trim(l, ' '))) as kept from d left join g on d.host = g.host and d.t = g.t)
+select doc_id, source as host, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_dropped, case when text is not null and len(kept) < len(ls) then array_to_string(kept, chr(10)) else text end as text from x
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked benchmark items of every document that leaks any."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -143,5 +161,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
