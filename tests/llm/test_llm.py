@@ -274,6 +274,31 @@ def test_lm(spark, odd):
     assert lm.lm_scores(odd.limit(0)).count() == 0
 
 
+def test_lm_learns_from_all_texts(spark):
+    """Subword counts are of all training texts, the model of the sample is moved by texts outside it, ids of the tail go by their counts."""
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 50} grain" for k in range(12)), "s") for i in range(60)]
+    own = docs_of(spark, rows).select("doc_id", "text").repartition(3)
+    raw = lm.tokenizer_bytes()
+    sub = lm.Subwords(raw)
+    want = np.zeros(sub.end + 1, np.int64)
+    for _, t, _ in rows:
+        want[sub.end] += 1
+        for x in sub.model.encode(t.split()):
+            np.add.at(want, x, 1)
+    got = np.zeros_like(want)
+    for r in lm.word_counts(own, raw).where("piece").collect():
+        got[r["h"]] = r["c"]
+    assert got.tolist() == want.tolist()
+    learn = own.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    kept = learn.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(4)
+    few, all_of = lm.fit(kept, raw, want, sample=4), lm.fit(learn, raw, want, sample=4)
+    assert set(few.compact.nonzero()[0]) == set(all_of.compact.nonzero()[0])
+    assert not np.allclose(few.flat(), all_of.flat())
+    m = lm.Attention(np.arange(10), 40, counts=np.arange(40.0))
+    assert abs(np.exp(m.tail[10:]).sum() / 30 - 1) < 1e-9 and m.tail[39] > m.tail[10] and not m.tail[:10].any()
+    assert np.allclose(m.score(np.array([39, 11]), np.array([0, 1, 2])) @ [1, -1], (m.tail[39] - m.tail[11]) / math.log(10), atol=1e-5)
+
+
 def test_attention_is_a_distribution():
     m = lm.Attention(np.arange(500), 900)
     m.tables()
