@@ -173,6 +173,15 @@ def test_decontamination(spark, odd):
     assert decontaminate.leaks(odd, bench).count() == decontaminate.leaks(d, bench.limit(0)).count() == decontaminate.leaks(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_in_any_case(spark):
+    item = "In spring, Anna Berg and Carl walk to Old Town, Boston, then Paris, where Maria, Otto, and Lena wait 5 km away for them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = docs_of(spark, [(1, "x. " + item.upper() + " y", "s"), (2, item.lower(), "s"), (3, item, "s"), (4, "NOTHING, OF, ALL THIS IS, IN, THE ITEM, AT ALL, YOU SEE, IS IT", "s")])
+    got = {r["doc_id"]: (r["n_found"], r["n_windows"]) for r in decontaminate.leaks(d, bench, any_case=True).collect()}
+    assert sorted(got) == [1, 2, 3] and all(a == b for a, b in got.values())
+    assert [r["doc_id"] for r in decontaminate.drop_leaking(d, bench).collect()] == [4]
+
+
 def test_mixing(spark, odd):
     rows = [(i, "w " * (1 + i % 5), "a") for i in range(900)] + [(1000 + i, "w " * 3, "b") for i in range(60)]
     got = mixing.mix(docs_of(spark, rows), repeats=2.0).collect()

@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, everything else lower-case w
 template tokens of the benchmark are hash-joined with those of the documents. Windows with the same shift
 between item and document form an alignment; an alignment in which one slot value of the item stands for
 two values of the document is not a re-parameterised question and is dropped. A document leaks an item
-when the remaining alignments cover enough of the item's windows.
+when the remaining alignments cover enough of the item's windows. Names are told by their capitals, so a
+copy in other case has other templates: with ``any_case`` windows of plain lower-case tokens are joined too.
 """
 
 from __future__ import annotations
@@ -39,13 +40,27 @@ def template(t: Column) -> Column:
     return F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)
 
 
-def windows(df: DataFrame, lengths: list[int], own: str) -> DataFrame:
-    """(own, t, pos, h): hashes of all template windows of the given lengths; t counts the tokens."""
-    base = df.select(own, F.transform("toks", lambda t: F.xxhash64(template(t))).alias("x")).select(own, "x", F.size("x").alias("t"))
+def plain(t: Column) -> Column:
+    return F.translate(t, NAME + NUMBER + UNIT, "")
+
+
+def plain_hash(x: Column) -> Column:
+    """Of a window of hashes of plain tokens; never meant to meet that of a template window."""
+    return F.xxhash64(x, F.lit(1))
+
+
+def windows(df: DataFrame, lengths: list[int], own: str, any_case: bool = False) -> DataFrame:
+    """(own, t, pos, h, len): hashes of all template windows of the given lengths, with any_case of the plain ones too; t counts the tokens."""
+    both = [F.transform("toks", lambda t: F.xxhash64(f(t))).alias(c) for f, c in ((template, "x"), (plain, "y"))]
+    base = df.select(own, *both[: 1 + any_case]).select("*", F.size("x").alias("t"))
 
     def of(n: int) -> DataFrame:
         starts = F.when(F.col("t") >= n, F.sequence(F.lit(1), F.col("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return base.select(own, "t", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("x", i, n)))).alias("pos", "h")).withColumn("len", F.lit(n))
+        found = F.transform(starts, lambda i: F.xxhash64(F.slice("x", i, n)))
+        if any_case:  # the plain windows follow the others
+            found = F.concat(found, F.transform(starts, lambda i: plain_hash(F.slice("y", i, n))))
+        out = base.select(own, "t", F.posexplode(found).alias("pos", "h")).withColumn("len", F.lit(n))
+        return out.withColumn("pos", F.col("pos") % (F.col("t") - (n - 1))) if any_case else out
 
     parts = [of(n) for n in lengths]
     out = parts[0]
@@ -54,14 +69,15 @@ def windows(df: DataFrame, lengths: list[int], own: str) -> DataFrame:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, coverage: float = 0.5, least: int = 5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, coverage: float = 0.5, least: int = 5, any_case: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots): one row for each leaked item of a document.
 
     n_windows of the item, n_found of them in consistent alignments, n_found >= coverage * n_windows;
     n_slots distinct slot values of the item that the document fills. An item shorter than ``window`` is one window; of fewer
     than ``least`` tokens, or windows of which over half are slots, take no part. Null or empty texts and
     an empty table on either side leak nothing; repeated rows of a doc_id or item_id count as one text set
-    (a window is found if any has it); null ids take no part. Other columns are not read.
+    (a window is found if any has it); null ids take no part. Other columns are not read. With ``any_case``
+    a window is found as well where its words stand in the document in whatever case.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -72,28 +88,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     slots = items.select("item_id", F.transform("toks", lambda t: is_slot(t).cast("int")).alias("s"), "toks")
     wanted = wanted.join(slots, "item_id").where("size(s) = t").where(F.aggregate(F.slice("s", F.col("pos") + 1, F.col("len")), F.lit(0), lambda a, x: a + x) * 2 <= F.col("len"))
     wanted = scratch.cut(wanted.select("item_id", "pos", "h", "len", F.slice("toks", F.col("pos") + 1, F.col("len")).alias("want")).distinct())
-    n_wanted = wanted.count()
-
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    hashes = wanted.select("h", "len").distinct()
-    found = windows(own, lengths, "doc_id").join(broadcast_if(hashes, n_wanted, 1_000_000), ["h", "len"]).select("doc_id", F.col("pos").alias("at"), "h", "len")
-    found = scratch.cut(found.join(broadcast_if(wanted.select("h", "len", "item_id", "pos"), n_wanted, 1_000_000), ["h", "len"]).select("doc_id", "item_id", "pos", "at", "len").distinct())
+    forms = wanted.select("h", "len", "item_id", "pos", F.lit(False).alias("exact"))
+    if any_case:
+        forms = forms.union(wanted.select(plain_hash(F.transform("want", lambda t: F.xxhash64(plain(t)))).alias("h"), "len", "item_id", "pos", F.lit(True)))
+    forms = scratch.cut(forms.distinct())
+    n_wanted = forms.count()
+
+    raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    cut = lambda df: df.select("doc_id", tokens(F.col("_text")).alias("toks"))
+    hashes = forms.select("h", "len").distinct()
+    found = windows(cut(raw), lengths, "doc_id", any_case).join(broadcast_if(hashes, n_wanted, 1_000_000), ["h", "len"]).select("doc_id", F.col("pos").alias("at"), "h", "len")
+    found = scratch.cut(found.join(broadcast_if(forms, n_wanted, 1_000_000), ["h", "len"]).select("doc_id", "item_id", "pos", "at", "len", "exact").distinct())
 
     total = wanted.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
     enough = F.col("n_found") >= F.col("n_windows") * coverage
     likely = scratch.cut(found.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n_found")).join(total, "item_id").where(enough).select("doc_id", "item_id"))
-    pairs = found.join(likely, ["doc_id", "item_id"])
-    texts = own.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = found.where("not exact").drop("exact").join(likely, ["doc_id", "item_id"])
+    texts = cut(raw.join(likely.select("doc_id").distinct(), "doc_id", "left_semi"))
     seen = pairs.join(texts, "doc_id").withColumn("got", F.slice("toks", F.col("at") + 1, F.col("len"))).where(F.size("got") == F.col("len")).drop("toks")
     seen = scratch.cut(seen.join(broadcast_if(wanted.select("item_id", "pos", "len", "want"), n_wanted), ["item_id", "pos", "len"]).withColumn("shift", F.col("at") - F.col("pos")))
     slot = seen.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("want", "got")).alias("z")).where(is_slot(F.col("z.want"))).groupBy("doc_id", "item_id", "shift", F.col("z.want").alias("value")).agg(F.countDistinct("z.got").alias("n"))
     per = slot.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("worst"), F.count("*").alias("n_slots"))
     whole = seen.join(per, ["doc_id", "item_id", "shift"], "left").where("worst is null or worst = 1")
+    whole = whole.select("doc_id", "item_id", "pos", "n_slots")
+    if any_case:
+        whole = whole.unionByName(found.where("exact").join(likely, ["doc_id", "item_id"]).select("doc_id", "item_id", "pos", F.lit(None).cast("long").alias("n_slots")))
     out = whole.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n_found"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     return out.join(total, "item_id").where(enough).select("doc_id", "item_id", "n_windows", "n_found", F.col("n_slots").cast("long").alias("n_slots"))
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak a benchmark item; rows with a null id stay."""
-    bad = Scratch(docs.sparkSession).cut(leaks(docs, benchmark).select("doc_id").distinct())
+    bad = Scratch(docs.sparkSession).cut(leaks(docs, benchmark, any_case=True).select("doc_id").distinct())
     return docs.join(broadcast_if(bad, bad.count()), "doc_id", "left_anti")

@@ -116,6 +116,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_decontaminate_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_decontaminate, with copies in other case (the rule of the pipeline)."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
+
+
 def _toks(source: str, table: str) -> str:
     named = rf"regexp_replace(translate(coalesce(text, ''), chr(2) || chr(3) || chr(4), '   '), '{decontaminate.NAME_RE}', '\1' || chr(2) || '\2', 'g')"
     glued = rf"regexp_replace(n, '{decontaminate.GLUED_RE}', '\1 \2', 'g')"
@@ -161,5 +166,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
