@@ -38,3 +38,15 @@ def test_text_and_ranges(spark):
     assert (row["h"], row["s"], row["f"]) == ("A&B\nc", "Head", "elan n")
     df = spark.createDataFrame([("a", n) for n in (3, 1, 2, 7, 7, None)], "k string, n long")
     assert windows.compact_ranges(df, ["k"], "n").first()["ranges"] == "1-3, 7"
+
+
+def test_whole_listing_has_every_part(spark):
+    got = catalog.QUERIES["whole_listing"](spark, SF)
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert n > 0 and sorted(r["position"] for r in got.collect()) == list(range(1, n + 1))
+
+
+def test_numbered_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(2.5, 1), (None, 2), (2.1, 3), (0.5, 4), (2.5, 0)], "p double, k int").withColumn("b", F.floor("p"))
+    got = windows.numbered(df, "b", [F.asc_nulls_last("p"), "k"]).collect()
+    assert [r["k"] for r in sorted(got, key=lambda r: r["position"])] == [4, 3, 0, 1, 2]

@@ -64,6 +64,13 @@ def sorted_listing(spark, d):
     return windows.ranked(p.withColumn("_one", F.lit(1)), ["_one"], ["p_retailprice", "p_partkey"], "position").select("p_partkey", "p_name", "position")
 
 
+@query("select p_partkey, p_name, row_number() over (order by p_retailprice, p_partkey)::int as position from part")
+def whole_listing(spark, d):
+    """Every part in its order, numbered by cents of the price: no window over the whole table."""
+    p = _t(spark, d, "part").withColumn("_cents", F.floor(F.col("p_retailprice") * 100))
+    return windows.numbered(p, "_cents", ["p_retailprice", "p_partkey"], "position").select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
+
+
 @query("select event_id, user_id from events where event_id not in (select event_id from events where event_id % 3 = 0)")
 def unseen_only(spark, d):
     e = _t(spark, d, "events")
