@@ -300,12 +300,78 @@ def test_lm_learns_from_all_texts(spark):
     assert got.tolist() == want.tolist()
     learn = own.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     kept = learn.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(4)
-    few, all_of = lm.fit(kept, raw, want, sample=4), lm.fit(learn, raw, want, sample=4)
+    few, all_of = lm.fit(kept, raw, want, 100, sample=4, part=1), lm.fit(learn, raw, want, 1440, sample=4, part=1)
     assert set(few.compact.nonzero()[0]) == set(all_of.compact.nonzero()[0])
     assert not np.allclose(few.flat(), all_of.flat())
+    dealt = [lm.fit(learn.repartition(n), raw, want, 1440, sample=4, part=2).flat() for n in (1, 7)]
+    assert np.allclose(*dealt, atol=1e-6)  # the layout does not matter
     m = lm.Attention(np.arange(10), 40, counts=np.arange(40.0))
     assert abs(np.exp(m.tail[10:]).sum() / 30 - 1) < 1e-9 and m.tail[39] > m.tail[10] and not m.tail[:10].any()
-    assert np.allclose(m.score(np.array([39, 11]), np.array([0, 1, 2])) @ [1, -1], (m.tail[39] - m.tail[11]) / math.log(10), atol=1e-5)
+    assert np.allclose(m.token_scores(np.array([39, 11]), np.array([0, 1, 2])) @ [1, -1] / math.log(10), (m.tail[39] - m.tail[11]) / math.log(10), atol=1e-5)
+
+
+def test_lm_segments():
+    """One run of words in ``part``; all runs together are the text; windows follow each other and each token is a target once."""
+    import pyarrow as pa
+
+    data, off = hashing.packed(pa.array(["", " ".join(f"a{i}" for i in range(300)), "x y"]))
+    got = [lm.segments(data, off, np.array([0, 5, 2]), 4)] + [lm.segments(data, off, np.array([0, 5 + k, 2 + k]), 4) for k in (1, 2, 3)]
+    runs = sorted((int(t), int(k), bytes(d[a:b]).decode(), bool(z)) for d, o, text, ks, last in got for t, k, a, b, z in zip(text, ks, o[:-1], o[1:], last))
+    assert [r[0] for r in runs] == [1] * 5 + [2] and [r[3] for r in runs] == [False] * 4 + [True, True]
+    assert " ".join(r[2] for r in runs[:5]).split() == [f"a{i}" for i in range(300)] and runs[5][2] == "x y"
+    ids, bounds = np.arange(60), np.array([0, 20, 40, 60])
+    w = lm.spans(ids, bounds, np.array([True, False, False]), np.array([False, False, True]))
+    assert sorted(x for x in w[:, 1:].ravel() if x >= 0) == [*range(19), *range(21, 39), *range(41, 60)] and (w == -2).sum() == 1 and w[0, 0] == -2
+
+
+def test_lm_score_against_brute_force(spark):
+    """The attention, written out token by token, mixed with the counted base."""
+    rows = [(i, " ".join(f"w{(i * 5 + k * k) % 23}" for k in range(3 + i)), "s") for i in range(30)] + [(90, None, "s"), (91, "unseen words stand here", "s")]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, share=0.3).collect()}
+    raw = lm.tokenizer_bytes()
+    sub = lm.Subwords(raw)
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows}
+    words_of = {i: WORD.findall((t or "").lower()) for i, t, _ in rows}
+    c, counts = Counter(), np.zeros(sub.end + 1, np.int64)
+    for i, w in words_of.items():
+        if not held[i]:
+            c.update([*w, None])
+            for x in [*sub.model.encode(w), [sub.end]]:
+                np.add.at(counts, x, 1)
+    n, v = sum(c.values()), len(c)
+    own = docs.where(~F.col("doc_id").isin([i for i in held if held[i]])).select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    m = lm.fit(own, raw, counts, n)
+    p, d = {k: x.astype(np.float64) for k, x in m.p.items()}, lm.DIM
+
+    def softmax_at(z, k):
+        z = np.exp(z - z.max())
+        return z[k] / z.sum()
+
+    def next_probability(before, y):
+        """P(y | before), before: compact ids with the start id."""
+        h = p["e"][before] + p["pos"][: len(before)]
+        a = (h[-1] @ p["q"]) @ (h @ p["k"]).T / math.sqrt(d)
+        a = np.exp(a - a.max())
+        o = np.maximum(h[-1] @ p["r"] + (a / a.sum()) @ (h @ p["v"]) + p["b"], 0)
+        k = m.compact[y]
+        if k == lm.HEAD:
+            return softmax_at(o @ p["c"] + p["cb"], lm.CLASSES) / m.rare * math.exp(m.tail[y])
+        return softmax_at(o @ p["c"] + p["cb"], k % lm.CLASSES) * softmax_at(p["u"][k % lm.CLASSES] @ o + p["ub"][k % lm.CLASSES], k // lm.CLASSES)
+
+    for i, w in words_of.items():
+        cut = [*sub.model.encode(w), [sub.end]] if w else [[sub.end]]
+        ids = [lm.HEAD + 1, *[m.compact[x] for piece in cut for x in piece]]
+        total, at = 0.0, 0
+        for word, piece in zip([*w, None], cut):
+            att = 1.0
+            for x in piece:
+                k = max(0, -(-(at + 1 - lm.WINDOW) // lm.STEP))  # the first window that scores the token
+                att *= next_probability(np.array(ids[k * lm.STEP : at + 1]), x)
+                at += 1
+            total += math.log10(0.3 * att + 0.7 * (c[word] + 0.1) / (n + 0.1 * (v + 1)))
+        assert abs(got[i]["score"] - total) < 1e-3 * max(1, abs(total)), i
+        assert got[i]["score"] >= got[i]["base_score"] + len(cut) * math.log10(0.7) - 1e-6
 
 
 def test_attention_is_a_distribution():
