@@ -163,22 +163,54 @@ def test_pipeline_drops_repeated_lines(spark):
     assert got.where("text like '%archive%'").count() == 1 and got.where("n_chars <> length(text)").count() == 0 and got.count() == 400
 
 
+def leaked(docs, bench):
+    return sorted((r["doc_id"], r["item_id"], r["n_found"], r["n_windows"]) for r in decontaminate.leaks(docs, bench).collect())
+
+
 def test_decontamination(spark, odd):
-    bench = spark.createDataFrame([(1, "A train leaves at 5 km from the old Boston station and Boston waits 5 km more for it"), (2, "short one"), (3, None), (4, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
-    rows = [(1, "x y z. A train leaves at 7 km from the old Paris station and Paris waits 7 km more for it, end", "s"), (2, "A train leaves at 7 km from the old Paris station and London waits 9 km more for it", "s"), (3, "clean words only and nothing else to see in this text", "s"), (4, "9 8 7 6 5 4 3 2 1", "s"), (5, None, "s"), (None, "A train leaves at 5 km from the old Boston station and Boston waits 5 km more for it", "s")]
-    d = docs_of(spark, rows)
-    got = decontaminate.leaks(d, bench).collect()
-    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)] and got[0]["n_found"] == got[0]["n_windows"]
-    assert sorted(r["doc_id"] or 0 for r in decontaminate.drop_leaking(d, bench).collect()) == [0, 2, 3, 4, 5]
-    assert decontaminate.leaks(odd, bench).count() == decontaminate.leaks(d, bench.limit(0)).count() == decontaminate.leaks(d.limit(0), bench).count() == 0
+    item = "A train leaves at 5 km from the old Boston station and Boston waits 5 km more for it"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "short one"), (3, None), (4, "1 2 3 4 5 6 7 8 9"), (None, item), (6, "")], "item_id long, text string")
+    rows = [(1, "x y z. A train leaves at 7 km from the old Paris station and Paris waits 7 km more for it, end", "s"), (2, "A train leaves at 7 km from the old Paris station and London waits 9 km more for it", "s"), (3, "clean words only and nothing else to see in this text", "s"), (4, "9 8 7 6 5 4 3 2 1", "s"), (5, None, "s"), (None, item, "s"), (6, "", "s"), (7, "see 1 2 3 4 5 6 7 8 9 there", "s"), (8, "short one", "s")]
+    d = docs_of(spark, rows + rows[:1]).withColumn("toks", F.lit(1)).withColumn("_text", F.lit(2)).withColumn("item_id", F.lit(1))
+    got = leaked(d, bench)
+    assert [x[:2] for x in got] == [(1, 1), (7, 4)] and all(x[2] == x[3] for x in got)  # slots only: word for word; two words: in any prose
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.drop_leaking(d, bench).collect()) == [0, 2, 3, 4, 5, 6, 8]
+    assert decontaminate.drop_leaking(d, bench).columns == d.columns
+    assert leaked(odd, bench) == leaked(d, bench.limit(0)) == leaked(d.limit(0), bench) == []
+    long = odd.where("doc_id = 7").select(F.lit(9).cast("long").alias("item_id"), "text")
+    assert [x[:2] for x in leaked(odd, long)] == [(7, 9), (8, 9)]
+
+
+def test_decontamination_slots(spark):
+    """Whole numbers, runs of names, signs, spelled numbers and line ends are one placeholder each."""
+    item = "Yesterday at the market Anna bought 12 apples for $5 and kept 20% of them while Tom walked 3 km to the old mill"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def swap(*pairs):
+        t = item
+        for a, b in pairs:
+            assert a in t
+            t = t.replace(a, b)
+        return t
+
+    rows = [swap(("12", "12.5"), ("Anna", "Anna Lee")), swap(("12", "1,250.75"), ("$5", "€ 7.20")), swap(("12", "twelve"), ("3 km", "nine miles")), swap(("Tom", "Mary Ann van")), swap(("market Anna", "market\nAnna"), ("20%", "35 %")), swap(("3 km", "3 Stunden".lower())), swap(("market", "harbour"), ("apples", "pears"), ("old", "new"), ("kept", "lost"))]
+    got = leaked(docs_of(spark, [(i, f"Before it. {t} after it", "s") for i, t in enumerate(rows)]), bench)
+    assert [x[0] for x in got if x[2] == x[3]] == [0, 1, 4, 5] and {x[0] for x in got} >= {0, 1, 2, 4, 5} and 6 not in {x[0] for x in got}
+
+
+def test_decontamination_tie_and_exact_hits(spark):
+    """Half of the windows is enough, less is not; three or four tokens are found word for word."""
+    words_ = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)][:17]  # ten windows of eight
+    bench = spark.createDataFrame([(1, " ".join(words_)), (2, "blue moon rising")], "item_id long, text string")
+    rows = [(1, " ".join(words_[:12]), "s"), (2, " ".join(words_[:11]), "s"), (3, "The BLUE, moon rising over", "s"), (4, "blue moon, not rising", "s")]
+    assert leaked(docs_of(spark, rows), bench) == [(1, 1, 5, 10), (3, 2, 1, 1)]
 
 
 def test_decontamination_in_any_case(spark):
     item = "In spring, Anna Berg and Carl walk to Old Town, Boston, then Paris, where Maria, Otto, and Lena wait 5 km away for them"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     d = docs_of(spark, [(1, "x. " + item.upper() + " y", "s"), (2, item.lower(), "s"), (3, item, "s"), (4, "NOTHING, OF, ALL THIS IS, IN, THE ITEM, AT ALL, YOU SEE, IS IT", "s")])
-    got = {r["doc_id"]: (r["n_found"], r["n_windows"]) for r in decontaminate.leaks(d, bench, any_case=True).collect()}
-    assert sorted(got) == [1, 2, 3] and all(a == b for a, b in got.values())
+    assert [x[0] for x in leaked(d, bench)] == [1, 2, 3]
     assert [r["doc_id"] for r in decontaminate.drop_leaking(d, bench).collect()] == [4]
 
 

@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names and units become typed placeholders, everything else lower-case words. Windows of eight
-template tokens of the benchmark are hash-joined with those of the documents. Windows with the same shift
-between item and document form an alignment; an alignment in which one slot value of the item stands for
-two values of the document is not a re-parameterised question and is dropped. A document leaks an item
-when the remaining alignments cover enough of the item's windows. Names are told by their capitals, so a
-copy in other case has other templates: with ``any_case`` windows of plain lower-case tokens are joined too.
+Numbers, names and units become typed placeholders, everything else lower-case words: a whole number (digits,
+groups, decimals, or a spelled one), a run of capitalised words inside a sentence, a unit or sign beside a number
+are one placeholder each. Windows of eight template tokens of the benchmark are hash-joined with those of the
+documents. Windows with the same shift between item and document form an alignment; an alignment in which one
+slot value of the item stands for two values of the document is not a re-parameterised question and is dropped.
+A document leaks an item when the remaining windows cover enough of the item. Names are told by their capitals,
+so a copy in other case has other templates: windows of plain lower-case tokens are joined too, and they alone
+stand for items too short, or windows too full of slots, to be told by a template.
 """
 
 from __future__ import annotations
@@ -15,109 +17,112 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch, broadcast_if
 
-#: Unit words that become a placeholder after a number.
-UNITS = "kg g mg lb oz km m cm mm mile miles l ml percent dollar dollars euro euros cent cents hour hours minute minutes second seconds day days week weeks month months year years degrees".split()
-NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"  # first characters of slot tokens
-NAME_RE, GLUED_RE = r"([\p{Ll}\p{Nd},;:] )(\p{Lu})", r"(\p{Nd})(\p{L})"
-NUMBER_RE, UNIT_RE = r"(\p{Nd}+)", rf"(\p{{Nd}} )({'|'.join(UNITS)})\b"
-SPLIT_RE = r"[^\p{L}\p{M}\p{Nd}\x02\x03\x04]+"
-
-
-def tokens(text: Column) -> Column:
-    """Raw tokens; slots begin with a marker: a capitalised word inside a sentence, a number, a unit after one."""
-    clean = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
-    named = F.regexp_replace(clean, NAME_RE, "$1" + NAME + "$2")
-    numbered = F.regexp_replace(F.regexp_replace(F.regexp_replace(named, GLUED_RE, "$1 $2"), UNIT_RE, "$1" + UNIT + "$2"), NUMBER_RE, NUMBER + "$1")
-    marked = F.when(named.rlike(r"\p{Nd}"), numbered).otherwise(named)
-    return F.filter(F.split(F.lower(marked), SPLIT_RE), lambda t: t != "")
+#: Unit words that become a placeholder after a number, and spelled numbers.
+UNITS = """kg g mg lb oz km m cm mm mile miles l ml percent dollar dollars euro euros cent cents hour hours minute minutes second seconds
+day days week weeks month months year years degrees stunde stunden minuten sekunden tage woche wochen monate jahr jahre heure heures jour
+jours semaine semaines mois ans hora horas minutos segundos dias semana semanas meses""".split()
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+NAME, NUMBER, UNIT, JOIN = "\u0002", "\u0003", "\u0004", "\u0005"  # the first three begin slot tokens, the last joins the parts of a number
+_GAP = r"[ \t\n\r]"
+
+
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """df with ``toks``, its raw tokens, slots beginning with a marker, and ``words``, all lower-case words, instead of ``text``."""
+    clean = F.coalesce(F.col(text), F.lit(""))
+    clean = F.when(clean.rlike("[\u0002-\u0005]"), F.translate(clean, NAME + NUMBER + UNIT + JOIN, "    ")).otherwise(clean)
+    sub = F.regexp_replace
+    joined = lambda c: sub(c, r"(\p{Nd})[.,](?=\p{Nd})", "$1" + JOIN)
+    signs = lambda c: sub(sub(c, rf"[$€£]{_GAP}*(\p{{Nd}}[\p{{Nd}}{JOIN}]*)", f"$1 {UNIT}sign "), rf"(\p{{Nd}}){_GAP}*[$€£%]", f"$1 {UNIT}sign ")
+    df = df.withColumn("_a", clean).withColumn("_d", F.col("_a").rlike(r"\p{Nd}"))
+    df = df.withColumn("_b", F.when(F.col("_d"), joined(F.col("_a"))).otherwise(F.col("_a")))
+    df = df.withColumn("_b", F.when(F.col("_d") & F.col("_b").rlike("[$€£%]"), signs(F.col("_b"))).otherwise(F.col("_b")))
+    df = df.withColumn("_c", sub("_b", rf"([\p{{Ll}}\p{{Nd}},;:]{_GAP})(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]*{_GAP}+)*(\p{{Lu}})", f"$1{NAME}$2"))
+    counted = lambda c: sub(sub(sub(c, r"(\p{Nd})(\p{L})", "$1 $2"), rf"(\p{{Nd}} )({'|'.join(UNITS)})([^\p{{L}}\p{{Nd}}]|$)", f"$1{UNIT}$2$3"), rf"(\p{{Nd}}[\p{{Nd}}{JOIN}]*)", f"{NUMBER}$1")
+    df = df.withColumn("_e", F.when(F.col("_d"), counted(F.col("_c"))).otherwise(F.col("_c")))
+    cut = lambda c, marks: F.array_remove(F.split(F.lower(c), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{marks}]+"), "")
+    return df.withColumn("toks", cut("_e", f"{NAME}-{JOIN}")).withColumn("words", cut("_a", "")).drop(text, "_a", "_b", "_c", "_d", "_e")
 
 
 def is_slot(t: Column) -> Column:
-    return t < "\u0005"
+    return (t < JOIN) | t.isin(*NUMBER_WORDS)
 
 
 def template(t: Column) -> Column:
-    return F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)
-
-
-def plain(t: Column) -> Column:
-    return F.translate(t, NAME + NUMBER + UNIT, "")
-
+    return F.when(t < JOIN, F.substring(t, 1, 1)).when(t.isin(*NUMBER_WORDS), NUMBER).otherwise(t)
 
-def plain_hash(x: Column) -> Column:
-    """Of a window of hashes of plain tokens; never meant to meet that of a template window."""
-    return F.xxhash64(x, F.lit(1))
 
+def windows(df: DataFrame, lengths: list[int], own: str) -> DataFrame:
+    """(own, t, len, exact, pos, h): hashes of all windows of the given lengths, of templates and (exact) of plain words; t counts the tokens.
 
-def windows(df: DataFrame, lengths: list[int], own: str, any_case: bool = False) -> DataFrame:
-    """(own, t, pos, h, len): hashes of all template windows of the given lengths, with any_case of the plain ones too; t counts the tokens."""
-    both = [F.transform("toks", lambda t: F.xxhash64(f(t))).alias(c) for f, c in ((template, "x"), (plain, "y"))]
-    base = df.select(own, *both[: 1 + any_case]).select("*", F.size("x").alias("t"))
-
-    def of(n: int) -> DataFrame:
-        starts = F.when(F.col("t") >= n, F.sequence(F.lit(1), F.col("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found = F.transform(starts, lambda i: F.xxhash64(F.slice("x", i, n)))
-        if any_case:  # the plain windows follow the others
-            found = F.concat(found, F.transform(starts, lambda i: plain_hash(F.slice("y", i, n))))
-        out = base.select(own, "t", F.posexplode(found).alias("pos", "h")).withColumn("len", F.lit(n))
-        return out.withColumn("pos", F.col("pos") % (F.col("t") - (n - 1))) if any_case else out
-
-    parts = [of(n) for n in lengths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, coverage: float = 0.5, least: int = 5, any_case: bool = False) -> DataFrame:
+    Runs of 2, 4, 8, ... tokens are hashed from their halves, and a window from such runs, each in a column of its
+    own, so that none is computed twice.
+    """
+    z = df.select(own, F.transform("toks", lambda t: F.xxhash64(template(t))).alias("x1"), F.transform("words", lambda t: F.xxhash64(t)).alias("y1"))
+    size = lambda c: F.size(f"{c}1")
+    pair = lambda c, a, b, k: F.zip_with(a, F.slice(b, F.lit(k + 1), F.greatest(size(c), F.lit(1))), lambda p, q: F.xxhash64(p, q))
+    k = 1
+    while 2 * k <= max(lengths):
+        z, k = z.withColumns({f"{c}{2 * k}": pair(c, f"{c}{k}", f"{c}{k}", k) for c in "xy"}), 2 * k
+    forms = []
+    for n in lengths:
+        bits = [1 << i for i in reversed(range(n.bit_length())) if n >> i & 1]
+        for c in "xy":
+            h, have = F.col(f"{c}{bits[0]}"), bits[0]
+            for bit in bits[1:]:
+                h, have = pair(c, h, f"{c}{bit}", have), have + bit
+            forms.append(F.struct(size(c).alias("t"), F.lit(n).alias("len"), F.lit(c == "y").alias("exact"), F.slice(h, F.lit(1), F.greatest(size(c) - (n - 1), F.lit(0))).alias("hs")))
+    return z.select(own, F.inline(F.array(*forms))).select(own, "t", "len", "exact", F.posexplode("hs").alias("pos", "h"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, coverage: float = 0.5, least: int = 5, shortest: int = 3) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_slots): one row for each leaked item of a document.
 
-    n_windows of the item, n_found of them in consistent alignments, n_found >= coverage * n_windows;
-    n_slots distinct slot values of the item that the document fills. An item shorter than ``window`` is one window; of fewer
-    than ``least`` tokens, or windows of which over half are slots, take no part. Null or empty texts and
-    an empty table on either side leak nothing; repeated rows of a doc_id or item_id count as one text set
-    (a window is found if any has it); null ids take no part. Other columns are not read. With ``any_case``
-    a window is found as well where its words stand in the document in whatever case.
+    n_windows of the item, n_found of them in the document: template windows in consistent alignments, or windows of
+    words, case aside, whichever cover more; n_found >= coverage * n_windows. n_slots: distinct slot values of the item
+    that the document fills (0 where words decide). An item shorter than ``window`` is one window. Templates of which
+    over half are slots, and of items of fewer than ``least`` tokens, take no part; words do from ``shortest`` on, since
+    fewer stand in any prose. Null or empty texts and an empty table on either side leak nothing; repeated rows of a
+    doc_id or item_id count as one text set (a window is found if any has it); null ids take no part. Other columns are
+    not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    items = scratch.cut(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where(F.size("toks") >= least).distinct())
-    short = [r["n"] for r in items.where(F.size("toks") < window).select(F.size("toks").alias("n")).distinct().collect()]  # below ``window``
-    lengths = sorted({window, *short})
-    wanted = windows(items, lengths, "item_id").where(F.least("t", F.lit(window)) == F.col("len"))
-    slots = items.select("item_id", F.transform("toks", lambda t: is_slot(t).cast("int")).alias("s"), "toks")
-    wanted = wanted.join(slots, "item_id").where("size(s) = t").where(F.aggregate(F.slice("s", F.col("pos") + 1, F.col("len")), F.lit(0), lambda a, x: a + x) * 2 <= F.col("len"))
-    wanted = scratch.cut(wanted.select("item_id", "pos", "h", "len", F.slice("toks", F.col("pos") + 1, F.col("len")).alias("want")).distinct())
-    forms = wanted.select("h", "len", "item_id", "pos", F.lit(False).alias("exact"))
-    if any_case:
-        forms = forms.union(wanted.select(plain_hash(F.transform("want", lambda t: F.xxhash64(plain(t)))).alias("h"), "len", "item_id", "pos", F.lit(True)))
-    forms = scratch.cut(forms.distinct())
-    n_wanted = forms.count()
+    items = with_tokens(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")), "_text")
+    items = scratch.cut(items.where(F.size("words") >= shortest).distinct())
+    short = [r["n"] for r in items.select(F.explode(F.array(F.size("toks"), F.size("words"))).alias("n")).where(F.col("n").between(1, window)).distinct().collect()]  # at most ``window``
+    wanted = windows(items, sorted({window, *short}), "item_id").where(F.least("t", F.lit(window)) == F.col("len"))
+    own = F.when(F.col("exact"), F.col("words")).otherwise(F.col("toks"))
+    wanted = wanted.join(items, "item_id").where(F.size(own) == F.col("t")).select("item_id", "t", "pos", "len", "exact", "h", F.slice(own, F.col("pos") + 1, F.col("len")).alias("want"))
+    few = F.aggregate("want", F.lit(0), lambda a, t: a + is_slot(t).cast("int")) * 2 <= F.col("len")
+    wanted = scratch.cut(wanted.where(F.col("exact") | (few & (F.col("t") >= least))).drop("t").distinct())
+    n_wanted = wanted.count()
 
     raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    cut = lambda df: df.select("doc_id", tokens(F.col("_text")).alias("toks"))
-    hashes = forms.select("h", "len").distinct()
-    found = windows(cut(raw), lengths, "doc_id", any_case).join(broadcast_if(hashes, n_wanted, 1_000_000), ["h", "len"]).select("doc_id", F.col("pos").alias("at"), "h", "len")
-    found = scratch.cut(found.join(broadcast_if(forms, n_wanted, 1_000_000), ["h", "len"]).select("doc_id", "item_id", "pos", "at", "len", "exact").distinct())
+    lengths = [r["len"] for r in wanted.select("len").distinct().collect()] or [window]  # at most ``window``
+    forms = wanted.select("h", "len", "exact", "item_id", "pos").distinct()
+    found = windows(with_tokens(raw, "_text"), lengths, "doc_id").withColumnRenamed("pos", "at").join(broadcast_if(forms, n_wanted, 1_000_000), ["h", "len", "exact"])
+    found = scratch.cut(found.select("doc_id", "item_id", "exact", "pos", "at", "len").distinct())
 
-    total = wanted.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
+    form = ["doc_id", "item_id", "exact"]
+    total = wanted.groupBy("item_id", "exact").agg(F.countDistinct("pos").alias("n_windows"))
     enough = F.col("n_found") >= F.col("n_windows") * coverage
-    likely = scratch.cut(found.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n_found")).join(total, "item_id").where(enough).select("doc_id", "item_id"))
-    pairs = found.where("not exact").drop("exact").join(likely, ["doc_id", "item_id"])
-    texts = cut(raw.join(likely.select("doc_id").distinct(), "doc_id", "left_semi"))
-    seen = pairs.join(texts, "doc_id").withColumn("got", F.slice("toks", F.col("at") + 1, F.col("len"))).where(F.size("got") == F.col("len")).drop("toks")
-    seen = scratch.cut(seen.join(broadcast_if(wanted.select("item_id", "pos", "len", "want"), n_wanted), ["item_id", "pos", "len"]).withColumn("shift", F.col("at") - F.col("pos")))
-    slot = seen.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("want", "got")).alias("z")).where(is_slot(F.col("z.want"))).groupBy("doc_id", "item_id", "shift", F.col("z.want").alias("value")).agg(F.countDistinct("z.got").alias("n"))
-    per = slot.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("worst"), F.count("*").alias("n_slots"))
-    whole = seen.join(per, ["doc_id", "item_id", "shift"], "left").where("worst is null or worst = 1")
-    whole = whole.select("doc_id", "item_id", "pos", "n_slots")
-    if any_case:
-        whole = whole.unionByName(found.where("exact").join(likely, ["doc_id", "item_id"]).select("doc_id", "item_id", "pos", F.lit(None).cast("long").alias("n_slots")))
-    out = whole.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n_found"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
-    return out.join(total, "item_id").where(enough).select("doc_id", "item_id", "n_windows", "n_found", F.col("n_slots").cast("long").alias("n_slots"))
+    likely = scratch.cut(found.groupBy(*form).agg(F.countDistinct("pos").alias("n_found")).join(total, ["item_id", "exact"]).where(enough).select(*form))
+    near = scratch.cut(likely.select("doc_id").distinct())
+    texts = with_tokens(raw.join(broadcast_if(near, near.count(), 2_000_000), "doc_id", "left_semi"), "_text")
+    seen = found.join(likely, form).join(texts, "doc_id").withColumn("got", F.slice(own, F.col("at") + 1, F.col("len"))).where(F.size("got") == F.col("len")).drop("toks", "words")
+    seen = seen.join(broadcast_if(wanted.drop("h"), n_wanted), ["item_id", "exact", "pos", "len"]).withColumn("shift", F.col("at") - F.col("pos"))
+    same = F.when(F.col("exact"), F.col("got") == F.col("want")).otherwise(F.transform("got", template) == F.transform("want", template))
+    seen = scratch.cut(seen.where(same))  # the words decide, not their hashes
+    slot = seen.where("not exact").select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("want", "got")).alias("z")).where(is_slot(F.col("z.want"))).groupBy("doc_id", "item_id", "shift", F.col("z.want").alias("value")).agg(F.countDistinct("z.got").alias("n"))
+    per = slot.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("worst"), F.count("*").alias("n_slots")).withColumn("exact", F.lit(False))
+    whole = seen.join(per, [*form, "shift"], "left").where("worst is null or worst = 1")
+    whole = whole.groupBy(*form).agg(F.countDistinct("pos").alias("n_found"), F.max(F.coalesce("n_slots", F.lit(0))).cast("long").alias("n_slots")).join(total, ["item_id", "exact"]).where(enough)
+    best = F.max_by(F.struct("n_windows", "n_found", "n_slots"), F.struct(F.col("n_found") / F.col("n_windows"), ~F.col("exact"))).alias("b")
+    scratch.free(seen, wanted)
+    return whole.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak a benchmark item; rows with a null id stay."""
-    bad = Scratch(docs.sparkSession).cut(leaks(docs, benchmark, any_case=True).select("doc_id").distinct())
-    return docs.join(broadcast_if(bad, bad.count()), "doc_id", "left_anti")
+    bad = Scratch(docs.sparkSession).cut(leaks(docs, benchmark).select("doc_id").distinct())
+    return docs.join(broadcast_if(bad, bad.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)

@@ -117,34 +117,35 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_decontaminate, with copies in other case (the rule of the pipeline)."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
-
-
-def _toks(source: str, table: str) -> str:
-    named = rf"regexp_replace(translate(coalesce(text, ''), chr(2) || chr(3) || chr(4), '   '), '{decontaminate.NAME_RE}', '\1' || chr(2) || '\2', 'g')"
-    glued = rf"regexp_replace(n, '{decontaminate.GLUED_RE}', '\1 \2', 'g')"
-    unit = rf"regexp_replace({glued}, '{decontaminate.UNIT_RE}', '\1' || chr(4) || '\2', 'g')"
-    number = rf"regexp_replace({unit}, '{decontaminate.NUMBER_RE}', chr(3) || '\1', 'g')"
-    return rf"(select id, list_filter(regexp_split_to_array(lower({number}), '{decontaminate.SPLIT_RE}'), lambda t: t <> '') as toks from (select {source}, {named} as n from {table}))"
-
-
-OP5_SQL = f"""
-with i as {_toks("item_id as id", "benchmark")}, d as {_toks("doc_id as id", "documents")},
-it as (select distinct id, toks, least(len(toks), 8) as k from i where len(toks) >= 5),
-iw as (select distinct id, pos, k, toks[pos:pos + k - 1] as w from (select *, unnest(range(1, len(toks) - k + 2)) as pos from it)),
-it2 as (select *, list_transform(w, lambda t: case when t < chr(5) then t[1] else t end) as tpl from iw where 2 * len(list_filter(w, lambda t: t < chr(5))) <= k),
-ks as (select distinct k from it),
-dw as (select distinct id, pos, k, toks[pos:pos + k - 1] as w from (select id, toks, k, unnest(range(1, len(toks) - k + 2)) as pos from d, ks)),
-dw2 as (select *, list_transform(w, lambda t: case when t < chr(5) then t[1] else t end) as tpl from dw),
-j as (select dw2.id as doc_id, it2.id as item_id, it2.pos, dw2.pos - it2.pos as shift, it2.w as want, dw2.w as got from dw2 join it2 on dw2.k = it2.k and dw2.tpl = it2.tpl),
-z as (select doc_id, item_id, shift, unnest(list_zip(want, got)) as z from j),
-s as (select doc_id, item_id, shift, z[1] as v, count(distinct z[2]) as n from z where z[1] < chr(5) group by 1, 2, 3, 4),
+    """The share of each leaked item's windows that stands in a document, by the rule of the pipeline's stage."""
+    return op5_decontaminate(spark, sf_dir).select("doc_id", "item_id", (F.col("n_found") / F.col("n_windows")).alias("share"))
+
+
+OP5_SQL = r"""
+with raw as (select row_number() over () as r, * from (select 'i' as side, item_id as id, text from benchmark where item_id is not null union all select 'd', doc_id, text from documents where doc_id is not null)),
+c1 as (select r, side, id, regexp_replace(coalesce(text, ''), '[\x02-\x05]', ' ', 'g') as s from raw),
+c2 as (select r, side, id, regexp_replace(regexp_replace(s, '([0-9\p{Nd}])[,.]([0-9\p{Nd}])', '\1' || chr(5) || '\2', 'g'), '([0-9\p{Nd}])[,.]([0-9\p{Nd}])', '\1' || chr(5) || '\2', 'g') as s from c1),
+c3 as (select r, side, id, regexp_replace(regexp_replace(s, '(?:\$|€|£)[\t\n\r ]*(\p{Nd}(?:\p{Nd}|\x05)*)', '\1 ' || chr(4) || 'sign ', 'g'), '(\p{Nd})[\t\n\r ]*(?:%|\$|€|£)', '\1 ' || chr(4) || 'sign ', 'g') as s from c2),
+c4 as (select r, side, id, regexp_replace(s, '((?:\p{Ll}|\p{Nd}|[,;:])[\t\n\r ])(?:\p{Lu}(?:\p{L}|\p{M}|[''’-])*[\t\n\r ]+)*(\p{Lu})', '\1' || chr(2) || '\2', 'g') as s from c3),
+c5 as (select r, side, id, regexp_replace(regexp_replace(s, '(\p{Nd})(\p{L})', '\1 \2', 'g'), '(\p{Nd} )(kg|g|mg|lb|oz|km|m|cm|mm|mile|miles|l|ml|percent|dollar|dollars|euro|euros|cent|cents|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|degrees|stunde|stunden|minuten|sekunden|tage|woche|wochen|monate|jahr|jahre|heure|heures|jour|jours|semaine|semaines|mois|ans|hora|horas|minutos|segundos|dias|semana|semanas|meses)([^\p{L}\p{Nd}]|$)', '\1' || chr(4) || '\2\3', 'g') as s from c4),
+tk as (select c1.side, c1.id, list_filter(regexp_split_to_array(lower(regexp_replace(c5.s, '(\p{Nd}(?:\p{Nd}|\x05)*)', chr(3) || '\1', 'g')), '[^\p{L}\p{M}\p{Nd}\x02\x03\x04\x05]+'), lambda t: t <> '') as toks, list_filter(regexp_split_to_array(lower(c1.s), '[^\p{L}\p{M}\p{Nd}]+'), lambda t: t <> '') as words from c1 join c5 on c1.r = c5.r),
+spelled as (select ['two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety','hundred','thousand','million'] as ws),
+src as (select side, id, false as exact, toks as a, len(words) as n from tk union all select side, id, true, words, len(words) from tk),
+it as (select distinct id, exact, a, least(len(a), 8) as k from src where side = 'i' and n >= 3 and len(a) > 0),
+iw as (select distinct id, exact, pos, k, len(a) as t, a[pos:pos + k - 1] as w from (select *, unnest(range(1, len(a) - k + 2)) as pos from it)),
+dw as (select distinct id, exact, pos, k, a[pos:pos + k - 1] as w from (select src.id, src.exact, a, ks.k, unnest(range(1, len(a) - ks.k + 2)) as pos from src join (select distinct k, exact from it) ks on src.exact = ks.exact where side = 'd')),
+ww as (select * from (select *, case when exact then w else list_transform(w, lambda x: case when x < chr(5) then x[1] when list_contains(ws, x) then chr(3) else x end) end as tpl, exact or (2 * len(list_filter(w, lambda x: x < chr(5) or list_contains(ws, x))) <= k and t >= 5) as few from iw, spelled) where few),
+dd as (select *, case when exact then w else list_transform(w, lambda x: case when x < chr(5) then x[1] when list_contains(ws, x) then chr(3) else x end) end as tpl from dw, spelled),
+j as (select dd.id as doc_id, ww.id as item_id, ww.exact, ww.pos, dd.pos - ww.pos as shift, ww.w as want, dd.w as got from dd join ww on dd.k = ww.k and dd.exact = ww.exact and dd.tpl = ww.tpl),
+z as (select doc_id, item_id, shift, unnest(list_zip(want, got)) as z from j where not exact),
+s as (select doc_id, item_id, shift, z[1] as v, count(distinct z[2]) as n from z, spelled where z[1] < chr(5) or list_contains(ws, z[1]) group by 1, 2, 3, 4),
 per as (select doc_id, item_id, shift, max(n) as worst, count(*) as n_slots from s group by 1, 2, 3),
-t as (select id as item_id, count(distinct pos) as n_windows from it2 group by 1)
-select j.doc_id, j.item_id, n_windows, count(distinct j.pos) as n_found, max(coalesce(n_slots, 0)) as n_slots from j left join per on j.doc_id = per.doc_id and j.item_id = per.item_id and j.shift = per.shift
-join t on j.item_id = t.item_id where coalesce(worst, 1) = 1 group by 1, 2, 3 having count(distinct j.pos) >= n_windows * 0.5
+total as (select id as item_id, exact, count(distinct pos) as n_windows from ww group by 1, 2),
+f as (select j.doc_id, j.item_id, j.exact, count(distinct j.pos) as n_found, max(coalesce(n_slots, 0)) as n_slots from j left join per on not j.exact and j.doc_id = per.doc_id and j.item_id = per.item_id and j.shift = per.shift where coalesce(worst, 1) = 1 group by 1, 2, 3),
+o as (select doc_id, f.item_id, n_windows, n_found, n_slots from f join total on f.item_id = total.item_id and f.exact = total.exact where n_found >= n_windows * 0.5 qualify row_number() over (partition by doc_id, f.item_id order by n_found / n_windows desc, f.exact) = 1)
 """
+OP5_SHARE_SQL = OP5_SQL + "select doc_id, item_id, n_found / n_windows as share from o"
+OP5_SQL += "select doc_id, item_id, n_windows, n_found, n_slots from o"
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +168,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
