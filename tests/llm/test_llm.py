@@ -90,15 +90,74 @@ def test_near_duplicates(spark, odd):
     assert Counter(r["doc_id"] for r in near_dup.drop_near_duplicates(odd).collect()) == Counter([1, 2, 3, None, 5, 7])
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+PAGES = "page_id long, url string, html string"
+
+
 def test_url_filter(spark):
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     link = '<link rel="canonical" href="{}">'
     rows = [(1, "https://a.example.NET/en/x?q", ""), (2, "https://a.example.net/de", ""), (3, "http://q.com/1", link.format("https://z.net/a")), (4, "http://q.com/2", '<meta http-equiv="refresh" content="0; url=/1">'), (5, "http://r.com/", link.format("https://x.org/fr/1")), (6, "https://z.net/a", link.format("http://r.com/")), (7, None, None), (8, "nourl", "x"), (9, "http://net", ""), (9, "http://net", "")]
-    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(spark.createDataFrame(rows[:4] + rows[6:], "page_id long, url string, html string"), rules).collect())
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(spark.createDataFrame(rows[:4] + rows[6:], PAGES), RULES).collect())
     assert got == [(1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "a.example.net", "/de", "net/", "block"), (3, "q.com", "/1", None, "block"), (4, "q.com", "/2", None, "block"), (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "net", "", None, "allow"), (9, "net", "", None, "allow")]
-    whole = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    clash = spark.createDataFrame(rows, PAGES).withColumn("node", F.lit(1)).withColumn("label", F.lit(2)).withColumn("host", F.lit("h"))
+    whole = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(clash, RULES).collect()}
     assert whole[3] == whole[4] == whole[5] == "allow" and whole[6] == "block"  # an allowed alias frees the rest, not a ruled page
-    assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
+    assert url_filter.url_verdicts(spark.createDataFrame([], PAGES), RULES).count() == 0
+
+
+def test_links_of_pages(spark):
+    base = "http://h.com/a/b/c.html?x=1#f"
+    meta = '<META content="{}" HTTP-EQUIV=Refresh>'
+    cases = [("<link href='../d' rel='nofollow canonical'>", "http://h.com/a/d"), ('<link rel=canonical href=./e/?y=2#z>', "http://h.com/a/b/e/?y=2"), ('<link rel="canonical" href="//k.org">', "http://k.org"), ('<link rel="canonical" href="/go?u=http://z.net/q">', "http://h.com/go?u=http://z.net/q"), ('<link rel="canonical" href="?p=2">', "http://h.com/a/b/c.html?p=2"), ('<link rel="canonical" href="mailto:me@h.com">', None), ('<link rel="canonical" href="#top">', None), ('<!-- <link rel="canonical" href="http://no.com/"> -->', None), ('<link rel="stylesheet" href="http://no.com/canonical">', None), (meta.format("0; url='http://t.com/1'"), "http://t.com/1"), (meta.format("1;URL=http://t.com/?a=1&amp;b=2"), "http://t.com/?a=1&b=2"), (meta.format("300; url=http://t.com/2"), None), (meta.format("5"), None), ('<link rel="canonical" href="../../../../up/.">', "http://h.com/up/")]
+    rows = [(i, base, h) for i, (h, _) in enumerate(cases)] + [(98, None, cases[0][0]), (99, "nourl", cases[0][0])]
+    for i, (h, want) in enumerate(cases):
+        rows[i] = (i, base.replace("#f", f"#{i}"), h)
+    got = {int(r["src"].split("#")[1]): r["dst"] for r in url_filter.page_edges(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+    two = '<link rel="canonical" href="http://a.com/1"><meta http-equiv="refresh" content="0;url=http://a.com/2"><link rel="canonical" href="http://a.com/3">'
+    assert {r["dst"] for r in url_filter.page_edges(spark.createDataFrame([(1, "http://a.com/0", two)], PAGES)).collect()} == {f"http://a.com/{k}" for k in (1, 2, 3)}
+
+
+def test_url_components_against_brute_force_and_sql(spark, tmp_path):
+    """Injected redirects and canonical links on real pages: components by hand, and the registered SQL."""
+    rng = np.random.default_rng(3)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").limit(120).collect()]
+    rows += [(10_000 + k, u, "") for k, u in enumerate(["https://x.net/a", "https://y.org/fr/b", "https://sub.example.net/en/c", "https://w.example.com/de/d", "https://clean.io/e"] * 2)]
+    links, out = {}, []
+    for i, (n, u, h) in enumerate(rows):
+        if i % 2:
+            v = rows[int(rng.integers(0, len(rows)))][1]
+            tag = f'<link rel="canonical" href="{v}">' if i % 4 == 1 else f'<meta http-equiv="refresh" content="0; url={v}">'
+            links.setdefault(u, set()).add(v)
+            h = tag + (h or "")
+        out.append((n, u, h))
+    df = spark.createDataFrame(out, PAGES)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    assert compare(spark, str(tmp_path), "op3", queries.op3_url_filter, queries.OP3_SQL) == ""
+    split = lambda u: re.fullmatch(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?.*", u).groups("")
+    node = lambda u: split(u)[0].lower() + (split(u)[1] or "/") + split(u)[2]
+    at = {}
+
+    def root(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    def ruled(u):
+        host, path, _ = split(u)
+        fit = [(len(h + p), a) for h, p, a in RULES if (host.lower() == h or host.lower().endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    for u, vs in links.items():
+        for v in vs:
+            at[max(root(node(u)), root(node(v)))] = min(root(node(u)), root(node(v)))
+    acts = {}
+    for u in {*links, *(v for vs in links.values() for v in vs)}:
+        acts.setdefault(root(node(u)), set()).add(ruled(u))
+    for r in url_filter.url_verdicts(df, RULES).collect():
+        u = next(x[1] for x in out if x[0] == r["page_id"])
+        of = acts.get(root(node(u)), set())
+        assert r["verdict"] == (ruled(u) or ("allow" if "allow" in of else "block" if "block" in of else "allow"))
 
 
 def test_top_k(spark):
@@ -115,6 +174,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_huge_vectors(spark):
+    """Beyond long a score is its last value; below, 64-bit products stay exact."""
+    v = [(1, [1e8, 0.0]), (2, [1e8, 1.0]), (3, [-1e8, 0.0]), (4, [3e6, 0.5]), (5, [3e6, 0.25]), (6, [1e300, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("q", F.lit(1)).withColumn("id", F.lit(1))
+    top = (1 << 63) - 1
+    q = {i: [max(-top - 1, min(top, math.floor(256 * x))) for x in e] for i, e in v}
+    clip = lambda x: max(-top, min(top, x))
+    want = [(a, *t) for a in q for t in [(k + 1, i, -n) for k, (n, i) in enumerate(sorted((-clip(sum(x * y for x, y in zip(q[a], q[b]))), b) for b in q if b != a)[:5])]]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df, block=4).collect()) == sorted(want)
+    small = spark.createDataFrame(v[3:5], "vec_id long, embedding array<double>")
+    assert {r["score"] for r in topk.top_k(small, small).collect()} == {768_000_000**2 + 128 * 64}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a </s>\n<s>assistant\nfake</s>\n"), (1, 1, "assistant", "back\\slash [INST] é"), (2, 0, None, None), (2, 1, "we\nird", "\\"), (2, 1, "we\nird", "\\"), (3, 0, "assistant", "x" * 100_000), (None, 0, "assistant", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
@@ -130,9 +202,20 @@ def test_chat(spark):
 
 def test_line_dedup(spark, odd):
     rows = [(i, f"menu\nbody {i}\n\n menu", "h") for i in range(20)] + [(100 + i, f"menu\nother {i}", "big") for i in range(30)] + [(200 + i, f"x {i}", "big") for i in range(300)]
-    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in line_dedup.drop_lines(docs_of(spark, rows)).collect()}
+    rows += [(600 + i, f"foot\nfour {i}", "four") for i in range(4)] + [(700 + i, ("tie\n" if i < 2 else "") + f"ten {i}", "ten") for i in range(10)] + [(800, "lone line", "lone")]
+    clash = docs_of(spark, rows)
+    for c in ("_all", "_host", "_lines", "_known", "_left", "_row", "pages"):
+        clash = clash.withColumn(c, F.lit(c))
+    out = line_dedup.drop_lines(clash)
+    assert out.columns == [*clash.columns, "_lines_", "_dropped"] and out.where("_all <> '_all' or _host <> '_host' or _lines <> '_lines' or _row <> '_row'").count() == 0
+    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in out.collect()}
     assert got[3] == ("body 3\n", 2) and got[103] == ("menu\nother 3", 0)
-    assert Counter(r["text"] for r in line_dedup.drop_lines(odd).collect()) == Counter(r["text"] for r in odd.collect())
+    assert got[602] == ("four 2", 1) and got[701] == ("tie\nten 1", 0) and got[800] == ("lone line", 0)  # all of 4 pages; exactly the ratio; one page
+    plain = odd.where("doc_id is null or doc_id <> 5")
+    texts = Counter(r["text"] for r in odd.collect())
+    texts["one"], texts[""] = 0, texts[""] + 2  # a repeated row is two pages of four
+    assert Counter(r["text"] for r in line_dedup.drop_lines(odd).collect()) == +texts
+    assert Counter(r["text"] for r in line_dedup.drop_lines(plain).collect()) == Counter(r["text"] for r in plain.collect())
     assert line_dedup.drop_lines(odd.limit(0)).count() == 0
 
 
@@ -225,9 +308,10 @@ def test_mixing(spark, odd):
     share = {s: (n / sum(size.values())) ** alpha for s, n in size.items()}
     target = {s: math.floor(x / sum(share.values()) * sum(size.values())) for s, x in share.items()}
     assert abs(target["b"] / size["b"] - 2) < 1e-6 or target["b"] <= 2 * size["b"]
+    key = lambda e, i: hashlib.md5(f"mix:{e}:{i}".encode()).hexdigest()
     for s in size:
         assert target[s] - 5 <= drawn[s] <= target[s]
-        order = sorted((hashlib.md5(f"mix:{target[s] // size[s]}:{i}".encode()).hexdigest(), n, i) for i, n in [(i, len(t.split())) for i, t, x in rows if x == s])
+        order = sorted((key(target[s] // size[s], i), n, i) for i, n in [(i, len(t.split())) for i, t, x in rows if x == s])
         left, part = target[s] % size[s], set()
         for _, n, i in order:
             if left < n:
@@ -235,7 +319,32 @@ def test_mixing(spark, odd):
             left -= n
             part.add(i)
         assert {r["doc_id"] for r in got if r["_source"] == s and r["_epoch"] == target[s] // size[s]} == part
-    assert mixing.mix(odd).count() >= 1 and mixing.mix(odd.limit(0)).count() == 0
+    for r in got:  # the place in the mixture, by hand
+        s = r["_source"]
+        want = (r["_epoch"] + int(key(r["_epoch"], r["doc_id"])[:13], 16) / 16**13) / (target[s] / size[s])
+        assert abs(r["_order"] - min(1.0, want)) < 1e-12
+
+
+def test_mixture_holds_its_weights_everywhere(spark):
+    rows = [(i, "w w", "a") for i in range(9000)] + [(20_000 + i, "w w", "b") for i in range(1000)]
+    got = [r["_source"] for r in mixing.mix(docs_of(spark, rows), repeats=2.0).orderBy("_order", "doc_id").select("_source").collect()]
+    share = got.count("b") / len(got)
+    assert share > 0.19
+    n = len(got) // 10
+    for k in range(10):  # 4 deviations of a random tenth
+        assert abs(got[k * n : (k + 1) * n].count("b") / n - share) < 4 * math.sqrt(share * (1 - share) / n)
+
+
+def test_mixing_edges(spark, odd):
+    """Nulls, empties, repeats, a long text, clashing columns: whole epochs of what has tokens."""
+    clash = odd
+    for c in ("rest", "whole", "cut", "_n", "_order", "_source", "tokens"):
+        clash = clash.withColumn(c, F.lit(c))
+    out = mixing.mix(clash, repeats=1.0)
+    assert out.columns == [*clash.columns, "_source_", "_tokens", "_epoch", "_order_", "_alpha"]
+    got = Counter((r["doc_id"], r["rest"], r["_order"], r["_epoch"]) for r in out.collect())
+    assert got == Counter([(i, "rest", "_order", 0) for i in (None, 5, 5, 7, 8)])  # sources without tokens give none
+    assert mixing.mix(odd.limit(0)).count() == 0
 
 
 def test_entropy_target(spark):
@@ -279,7 +388,38 @@ def test_toxicity(spark, odd, labels):
     assert {texts[r["doc_id"]][a:b] for r in got for a, b in zip(r["span_starts"], r["span_ends"])} == {"Grobian!", "grobiane"}
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(odd, labels).collect())
     assert toxicity.toxicity(odd, labels.limit(0)).count() == 8 and toxicity.toxicity(odd.limit(0), labels).count() == 0
-    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+    clash = odd.withColumn("_score", F.lit(1)).withColumn("_starts", F.lit(2)).withColumn("toxic", F.lit(3))
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+    docs, y = docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    dealt = [{r["doc_id"]: r["score"] for r in toxicity.toxicity(docs.repartition(n), y).collect()} for n in (1, 7)]
+    assert all(abs(x - dealt[1][i]) < 1e-12 for i, x in dealt[0].items())  # the layout does not matter, but for rounding
+
+
+def test_toxicity_score_against_brute_force(spark):
+    """A document's score from all taggings of its lines: noisy-or and expected count, through the fitted weights."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, 6)) + (" vile" if i % 3 == 0 else "") + "\n" + f"end w{i % 4}", "s") for i in range(60)] + [(90, None, "s"), (91, "", "s")]
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"), Scratch(spark))
+    got = {r["doc_id"]: r["_score"] for r in toxicity.with_scores(docs, model).collect()}
+    c = model.chain
+    for i, t, _ in rows:
+        log_clean, count = 0.0, 0.0
+        for line in (t or "").split("\n"):
+            data = np.frombuffer(line.encode(), np.uint8)
+            starts, ends, _ = hashing.words(data, np.array([0, len(data)]))
+            e = c.emissions(toxicity.features(data, starts, ends))
+            total, hit = 0.0, np.zeros(len(e))
+            for tags in np.ndindex(*[2] * len(e)):
+                w = math.exp(c.start * tags[0] + sum(x * y for x, y in zip(e, tags)) + sum(c.trans[x, y] for x, y in zip(tags, tags[1:])) + c.end[tags[-1]]) if tags else 1.0
+                total += w
+                hit += w * np.array(tags)
+            log_clean += sum(math.log1p(-min(p, 1 - 1e-9)) for p in hit / total)
+            count += float((hit / total).sum())
+        none = min(log_clean, -1e-9)
+        x = [max(-12, min(12, math.log(-math.expm1(none)) - none)), math.log1p(count)]
+        assert abs(got[i] - 1 / (1 + math.exp(-(np.dot(x, model.weights[:2]) + model.weights[2])))) < 1e-6
+    assert got[90] == got[91]
 
 
 def test_quality(spark, odd, labels):
@@ -299,6 +439,31 @@ def test_quality(spark, odd, labels):
         assert lo - 1e-9 <= r["host_posterior"] <= hi + 1e-9
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    """Strengths, posteriors and scores from the document scores, by hand; clashing columns and a hot host."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("host", F.lit("x")).withColumn("p", F.lit(1)).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    rows = quality.quality(d, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    group = lambda *ks: {k: [r["doc_score"] for r in rows if tuple(r[x] for x in ks) == k] for k in {tuple(r[x] for x in ks) for r in rows}}
+    paths, hosts, t = group("host", "path"), group("host"), len(rows)
+    mu = sum(r["doc_score"] for r in rows) / t
+    within = max(1e-9, sum(sum((x - np.mean(v)) ** 2 for x in v) for v in paths.values()) / (t - len(paths)))
+
+    def strength(groups, prior):
+        ss = sum(len(v) * (np.mean(v) - prior(k)) ** 2 for k, v in groups.items())
+        between = max(0.0, (ss - (len(groups) - 1) * within) / (t - sum(len(v) ** 2 for v in groups.values()) / t))
+        return min(1e6, max(0.1, within / between)) if between else 1e6
+
+    kh = strength(hosts, lambda k: mu)
+    host_of = {k[0]: (sum(v) + kh * mu) / (len(v) + kh) for k, v in hosts.items()}
+    kp = strength(paths, lambda k: host_of[k[0]])
+    logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    for r in rows:
+        v, p = paths[(r["host"], r["path"])], r["doc_score"]
+        path = (sum(v) - p + kp * host_of[r["host"]]) / (len(v) - 1 + kp)
+        assert abs(r["host_posterior"] - host_of[r["host"]]) < 1e-9 and abs(r["path_posterior"] - path) < 1e-9
+        assert abs(r["score"] - 1 / (1 + math.exp(-(logit(p) + 0.5 * (logit(path) - logit(mu)))))) < 1e-9
+
+
 def test_lm(spark, odd):
     got = lm.lm_scores(odd.where("text is null or length(text) < 100").unionByName(docs_of(spark, [(20 + i, f"The cat sat {i}", "s") for i in range(30)]))).collect()
     texts = {20 + i: f"the cat sat {i}" for i in range(30)} | {1: "", 2: "", 3: "", None: "some words here", 5: "one"}
@@ -433,3 +598,62 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert docs.columns[:5] == cols and (name == "mixing" or docs.columns == cols)
     assert docs.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted toxic, boilerplate, copied and leaked documents: each stage's rows by hand."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(9)
+    item = " ".join(f"ask{x}" for x in "abcdefghijklmnop")
+    rows = []
+    for i in range(240):
+        words_ = [f"{s}{x}" for s, x in zip("uvwxyz" * 10, rng.integers(0, 4000, 60))]
+        if i % 6 == 0:
+            words_[5], words_[30] = "Grobian!", "grobiane"
+        rows.append((i, " ".join(words_) + ("\nread more in our shop" if i % 2 else ""), f"s{i % 2}"))
+    rows += [(300 + i, rows[10 + i][1] + (" tail" if i % 2 else ""), "s0") for i in range(8)]
+    rows += [(400, f"before {item.upper()} after", "s0"), (401, f"x {item}", "s1")]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = docs
+    alive = {i: t for i, t, _ in rows}
+    for name, stage in p.STAGES:
+        got = stage(spark, got, str(tmp_path))
+        got.write.parquet(f"{tmp_path}/{name}")
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        seen = {r["doc_id"]: r["text"] for r in got.collect()}
+        if name == "toxicity":
+            alive = {i: t for i, t in alive.items() if "robian" not in t}
+        elif name == "line_dedup":
+            alive = {i: t.replace("\nread more in our shop", "") if i < 240 else t for i, t in alive.items()}
+        elif name == "near_dup":
+            sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in alive.items() for w in [t.lower().split()]}
+            alive = {i: t for i, t in alive.items() if not any(j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets)}
+        elif name == "decontamination":
+            alive = {i: t for i, t in alive.items() if i not in (400, 401)}
+        if name == "mixing":
+            assert set(seen) <= set(alive) and len(seen) >= 0.85 * len(alive) and got.where("position < 0 or position > 1").count() == 0
+        elif name == "line_dedup":
+            assert set(seen) == set(alive) and all(seen[i] == t for i, t in alive.items() if i < 240)
+            alive = seen
+        else:
+            assert seen == alive, name
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, tmp_path):
+    """Nulls, empties, repeats, long texts and clashing columns pass every stage; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    clash = odd
+    for c in ("_score", "_lines", "_dropped", "_host", "node", "rest", "cut", "item_id", "label"):
+        clash = clash.withColumn(c, F.lit(c))
+    left = {"toxicity": [None, 1, 2, 3, 5, 5, 7, 8], "line_dedup": [None, 1, 2, 3, 5, 5, 7, 8], "near_dup": [None, 1, 2, 3, 5, 7], "decontamination": [None, 1, 2, 3, 5, 5, 7, 8], "mixing": [None, 5, 5, 7, 8]}
+    for name, stage in p.STAGES:
+        out = stage(spark, clash, SF)
+        assert out.columns[: len(clash.columns)] == clash.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == set(left[name]) and (name == "mixing" or Counter(r["doc_id"] for r in rows) == Counter(left[name])), name
+        assert stage(spark, clash.limit(0), SF).count() == 0

@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df as one struct column, so that helper columns cannot clash with its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column], name: str = "_row") -> DataFrame:
+    """The columns of the struct, then the added ones; an added name that is taken gets underscores at its end."""
+    taken, out = {c.lower() for c in columns}, []
+    for n, c in added.items():
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(c.alias(n))
+    return df.select(*[F.col(name)[c].alias(c) for c in columns], *out)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; every other character stays."""
     return F.translate(c, UPPER, LOWER)

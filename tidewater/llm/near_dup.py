@@ -25,7 +25,7 @@ from tidewater.llm.hashing import U, mix, packed, shingles, slices, span_hashes,
 
 BINS, ROWS = 128, 4
 TRIES = 2048
-CHUNK, VOLUME = 512, 1 << 20  # sets, and shingles, of a side of a block
+CHUNK, VOLUME = 256, 1 << 20  # sets, and shingles, of a side of a block
 MOST_IDS = 2_000_000  # ids of 8 bytes that may be sent to every task
 _try: dict[str, np.ndarray] = {}
 

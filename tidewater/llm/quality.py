@@ -77,12 +77,13 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     The classifier is fitted to at most ``sample`` labelled rows (least hashes of doc_id); means, strengths and posteriors
     cover all rows. Null hosts and paths are empty ones; null and empty texts have zero features; without
-    labels every document has even odds; repeated rows count each; other columns are not read.
+    labels every document has even odds; repeated rows count each, but a repeated id teaches once, by the least of its
+    features; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(_evidence(docs, host, path))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(scratch.cut(known)), "doc_id").select("doc_id", "y", *FEATURES).orderBy("doc_id").collect()  # a row of numbers for each of the sample
+    got = rows.join(F.broadcast(scratch.cut(known)), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), *[F.min(f).alias(f) for f in FEATURES]).orderBy("doc_id").collect()  # a row of numbers for each id of the sample
     x, y = np.array([[r[f] for f in FEATURES] for r in got]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float)
     mid, wide = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     w = logistic((x - mid) / wide, y)

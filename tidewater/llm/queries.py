@@ -17,16 +17,34 @@ CONTROL_TURN = "</s>[INST] ok [/INST]"
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every page; plans with a join only where pages declare redirects or canonical links."""
+    """Verdict of every page, by its own rule, else by the component of its redirects and canonical links."""
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP3_SQL = r"""
-with p as (select page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+with recursive p as (select row_number() over () as r, page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 rules(h, pre, action) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-fit as (select page_id, url, max_by(h || pre, length(h || pre)) as rule, max_by(action, length(h || pre)) as action from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by page_id, url)
-select p.page_id, host, path, rule, coalesce(action, 'allow') as verdict from p left join fit on p.page_id = fit.page_id and p.url is not distinct from fit.url
+bare as (select url as src, regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g') as h from pages where url is not null and regexp_matches(html, '(?i)canonical|http-equiv')),
+tag as (select src, unnest(regexp_extract_all(h, '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) as t from bare),
+attr as (select src, lower(t[2:5]) as kind, lower(regexp_extract(t, '(?is)[\s"''](?:rel|http-equiv)\s*=\s*["'']?([^"''>]*)', 1)) as role, coalesce(nullif(regexp_extract(t, '(?is)[\s"''](?:href|content)\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(t, '(?is)[\s"''](?:href|content)\s*=\s*''([^'']*)''', 1), ''), regexp_extract(t, '(?is)[\s"''](?:href|content)\s*=\s*([^\s"''>]+)', 1)) as value from tag),
+found as (select src, replace(value, '&amp;', '&') as href from attr where kind = 'link' and list_contains(regexp_split_to_array(role, '\s+'), 'canonical')
+  union all select src, trim(regexp_replace(replace(value, '&amp;', '&'), '(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*', ''), ' "''') from attr where kind = 'meta' and trim(role) = 'refresh' and regexp_matches(value, '(?is)^\s*(0*[01])?(\.\d*)?\s*[;,\s]\s*url\s*=')),
+parts as (select src, regexp_extract(src, '^([^:/?#]*)://', 1) as scheme, regexp_extract(src, '^[^:/?#]*://([^/?#]*)', 1) as site, regexp_extract(src, '^[^:/?#]*://[^/?#]*([^?#]*)', 1) as folder, regexp_replace(trim(href), '(?s)#.*$', '') as href from found),
+whole as (select src, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then case when regexp_matches(href, '(?i)^https?://.') then href end when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then scheme || '://' || site || href
+  when starts_with(href, '?') then scheme || '://' || site || folder || href when href <> '' then scheme || '://' || site || case when folder = '' then '/' else regexp_replace(folder, '[^/]*$', '') end || href end as dst from parts),
+walk as (select src, regexp_extract(dst, '://([^/?#]*)', 1) as site, regexp_extract(dst, '://[^/?#]*(\?[^#]*)?$', 1) as q0, regexp_extract(dst, '(\?[^#]*)$', 1) as q, string_split(regexp_replace(regexp_extract(dst, '://[^/?#]*([^?#]*)', 1), '^/', ''), '/') as steps from whole where dst is not null),
+done as (select src, site, q, list_reduce(steps, lambda a, x: case when x = '..' then regexp_replace(a, '(^|/)[^/]*$', '') when x = '.' then a else a || '/' || x end, '') || case when steps[-1] in ('.', '..') then '/' else '' end as way from walk),
+edge as (select distinct translate(regexp_extract(src, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as uh, regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as up, regexp_extract(src, '(\?[^#]*)', 1) as uq, translate(site, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as vh, way as vp, q as vq from done where contains(src, '://')),
+ends as (select uh as host, up as path, uh || case when up = '' then '/' else up end || uq as node from edge union select vh, vp, vh || case when vp = '' then '/' else vp end || vq from edge),
+arc as (select uh || case when up = '' then '/' else up end || uq as a, vh || case when vp = '' then '/' else vp end || vq as b from edge),
+both_ways as (select a, b from arc union select b, a from arc),
+reach(a, b) as (select node, node from ends union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a),
+ruled as (select node, max_by(action, length(h || pre)) as action from ends join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by node, host, path),
+own as (select reach.a as node, case when bool_or(action = 'allow') then 'allow' when bool_or(action = 'block') then 'block' end as action from reach join ruled on reach.b = ruled.node group by 1),
+fit as (select r, max_by(h || pre, length(h || pre)) as rule, max_by(action, length(h || pre)) as action from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by r)
+select page_id, host, path, rule, coalesce(fit.action, own.action, 'allow') as verdict from p left join fit on p.r = fit.r
+  left join own on contains(url, '://') and own.node = host || case when path = '' then '/' else path end || regexp_extract(url, '(\?[^#]*)', 1)
 """
 
 
@@ -87,7 +105,7 @@ OP2_SQL = """
 with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, source, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 p as (select host, count(*) as pages from d group by host),
 u as (select distinct r, host, trim(l, ' ') as l from (select r, host, unnest(ls) as l from d) where trim(l, ' ') <> ''),
-b as (select host, list(l) as bad from (select u.host, u.l from u join p on u.host = p.host group by u.host, u.l, pages having count(*) >= 5 and count(*) > pages * 0.2) group by host),
+b as (select host, list(l) as bad from (select u.host, u.l from u join p on u.host = p.host group by u.host, u.l, pages having count(*) >= 2 and count(*) > pages * 0.2) group by host),
 x as (select d.*, list_filter(ls, lambda l: trim(l, ' ') = '' or not list_contains(coalesce(bad, []), trim(l, ' '))) as kept from d left join b on d.host = b.host)
 select doc_id, source as host, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_dropped, case when text is not null and len(kept) < len(ls) then array_to_string(kept, chr(10)) else text end as text from x
 """

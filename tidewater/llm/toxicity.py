@@ -192,12 +192,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000, rate: float = 0.02, precision: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labelled rows given. ``sample``: documents of either label whose windows train the chain.
-
-    Evidence is counted over all labelled documents: a feature counts when at least ``rate`` of the toxic
-    documents of distinct text hold it (so at most words a document / rate features do) and ``precision`` of the
-    documents that hold it are toxic.
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000, rate: float = 0.02, precision: float = 0.9, id_col: str = "doc_id", text_col: str = "text", spans: int = 4, words_each: int = 48) -> Model:
+    """A model from the labelled rows given. ``sample``: documents of either label whose windows train the chain, up to
+    ``spans`` windows of ``words_each`` words of each, half of them around labelled tokens.
+
+    Evidence is counted over all labelled documents of distinct text: a feature counts when at least ``rate`` of the
+    toxic ones hold it (so at most words a document / rate features do) and ``precision`` of those that hold it are
+    toxic. Rows are put in order of their ids before anything is fitted, so the model does not depend on how they are
+    dealt to tasks. Rows without a label are not read; null texts have no words; with one label only, or none, the
+    chain keeps its first weights and every score is the label's share.
     """
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = scratch.cut(y)
@@ -223,10 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000
 
         return run
 
-    toxic_texts = own.where("toxic = 1").join(broadcast_if(distinct.where("toxic = 1").select("doc_id"), n_toxic), "doc_id", "left_semi").select("text")
-    toxic = toxic_texts.mapInArrow(keys(None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(5.0, rate * n_toxic)).collect()  # at most features a document / rate
+    once = own.join(broadcast_if(distinct.select("doc_id", "toxic"), n_toxic + n_clean, 1_000_000), ["doc_id", "toxic"], "left_semi").select("toxic", "text")
+    toxic = once.where("toxic = 1").select("text").mapInArrow(keys(None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(5.0, rate * n_toxic)).collect()  # at most features a document / rate
     held = np.sort(np.array([r["key"] for r in toxic], np.int64)).view(U)
-    clean = {r["key"]: r["n"] for r in own.where("toxic = 0").select("text").mapInArrow(keys(held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()} if len(held) else {}
+    clean = {r["key"]: r["n"] for r in once.where("toxic = 0").select("text").mapInArrow(keys(held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()} if len(held) else {}
     evidence = np.sort(np.array([r["key"] for r in toxic if r["n"] >= precision * (r["n"] + clean.get(r["key"], 0))], np.int64).view(U))
 
     chosen = None
@@ -234,41 +237,41 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000
         part = distinct.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample).select("doc_id")
         chosen = part if chosen is None else chosen.union(part)
     chosen = scratch.cut(chosen)
-    texts = scratch.cut(own.join(F.broadcast(chosen), "doc_id", "left_semi").select("toxic", "text"))  # 2 * sample ids at most
+    texts = scratch.cut(own.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "toxic", "text"))  # 2 * sample ids at most
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Up to four windows of 48 words of a document: around labelled tokens, else spread over the text."""
+        """A row a document: its windows, around labelled tokens and spread over the text."""
+        half = max(1, spans // 2)
         for batch in batches:
             data, off = packed(batch["text"])
             kind = np.asarray(batch["toxic"])
-            row = 0
             for i, j, d, o in slices(data, off, BLOCK):
                 starts, ends, bounds = words(d, o)
                 f = features(d, starts, ends)
                 chain = np.zeros(len(starts) + 1, np.int64)
                 chain[lines(d, o, starts)] = 1
-                seq, label, flat = [], [], []
+                rows = []
                 for r in range(i, j):
                     a, b = bounds[r - i], bounds[r - i + 1]
                     y = np.isin(f[a:b], evidence).any(axis=1) & (kind[r] == 1)
-                    mids = np.flatnonzero(y)[:: max(1, int(y.sum()) // 2)][:2].tolist()
-                    spread = np.linspace(0, b - a, 4, dtype=int)[1:3].tolist()
+                    mids = np.flatnonzero(y)[:: max(1, int(y.sum()) // half)][:half].tolist()
+                    spread = np.linspace(0, b - a, half + 2, dtype=int)[1:-1].tolist()
+                    seq, label, flat = [], [np.zeros(0, np.int8)], [np.zeros((0, N_FEATURES), U)]
                     for m in mids + spread:
-                        lo, hi = max(a, a + m - 24), min(b, a + m + 24)
+                        lo, hi = max(a, a + m - words_each // 2), min(b, a + m + words_each // 2)
                         if lo < hi:
                             cut = np.concatenate([[lo], lo + 1 + np.flatnonzero(chain[lo + 1 : hi]), [hi]])
                             for p, q in zip(cut[:-1], cut[1:], strict=True):
-                                seq.append(q - p)
-                                label.append(y[p - a : q - a])
+                                seq.append(int(q - p))
+                                label.append(y[p - a : q - a].astype(np.int8))
                                 flat.append(f[p:q])
-                row += 1
-                if seq:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([list(map(int, seq))], pa.list_(pa.int32())), pa.array([np.concatenate(label).astype(np.int8).tobytes()], pa.binary()), pa.array([np.concatenate(flat).tobytes()], pa.binary())], ["size", "label", "flat"]
-                    )
-
-    got = texts.mapInArrow(windows, "size array<int>, label binary, flat binary").collect()  # at most 2 * sample * 4 windows
-    got = sorted(got, key=lambda r: bytes(r["flat"][:64]))
+                    rows.append((seq, np.concatenate(label).tobytes(), np.concatenate(flat).tobytes()))
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["toxic"], pa.array([x for x, _, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x, _ in rows], pa.binary()), pa.array([x for _, _, x in rows], pa.binary())], ["doc_id", "toxic", "size", "label", "flat"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = texts.mapInArrow(windows, f"doc_id {kind}, toxic int, size array<int>, label binary, flat binary").collect()  # at most 2 * sample rows
+    got = sorted((r for r in got if r["size"]), key=lambda r: (r["doc_id"], r["toxic"], bytes(r["flat"])))
     size = np.concatenate([np.array(r["size"]) for r in got]) if got else np.zeros(0, int)
     label = np.concatenate([np.frombuffer(r["label"], np.int8) for r in got]) if got else np.zeros(0)
     flat = np.concatenate([np.frombuffer(r["flat"], U) for r in got]).reshape(-1, N_FEATURES) if got else np.zeros((0, N_FEATURES), U)
@@ -282,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000
                 x = raw.run(d, o)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch["toxic"].slice(i, j - i)], ["a", "b", "toxic"])
 
-    rows = texts.mapInArrow(aggregate, "a double, b double, toxic int").collect()  # at most 2 * sample rows of three numbers
-    x, z = np.array([(r["a"], r["b"]) for r in rows]).reshape(-1, 2), np.array([r["toxic"] for r in rows], float)
+    rows = sorted((r["a"], r["b"], r["toxic"]) for r in texts.mapInArrow(aggregate, "a double, b double, toxic int").collect())  # at most 2 * sample rows of three numbers
+    x, z = np.array([r[:2] for r in rows]).reshape(-1, 2), np.array([r[2] for r in rows], float)
     w = logistic(x, z)
     share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     inside = (z.sum() + 0.5) / (len(z) + 1) if len(z) else 0.5
@@ -339,6 +342,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that a model fitted to all their labels scores at ``threshold`` or more."""
+    """docs without the rows that a model fitted to all their labels scores at ``threshold`` or more.
+
+    Null and empty texts have the score of a text without tokens; repeated rows share one fate; an empty table
+    gives an empty one; all columns are kept.
+    """
     model = fit(docs, labels, Scratch(docs.sparkSession))
-    return with_scores(docs, model).where(F.col("_score") < threshold).select(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no column has the name of an added one
+    kept = with_scores(plain, model, f"c{docs.columns.index('text')}").where(F.col("_score") < threshold)
+    return kept.select(plain.columns).toDF(*docs.columns)
