@@ -22,7 +22,9 @@ def connect(sf_dir: str):
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or type(x).__name__ in ("NAType", "NaTType"):
+        return "null"
+    if isinstance(x, float) and x != x:
         return "null"
     if hasattr(x, "tolist"):
         x = x.tolist()

@@ -14,7 +14,7 @@ def test_auction(spark):
     rows = [("complete", 100.0, [("unsuccessful", 200.0), ("active", 130.0)], [("pending", 131.0), ("signed", 135.5)], [(150.0,), (120.0,)], {"uk": "-", "en": "Lot"}), ("cancelled", 861.84, None, None, None, {"uk": "** *"}), ("active", None, [], [], [], None)]
     df = spark.createDataFrame(rows, schema)
     got = df.select(r.auction_result(F.col("status"), F.col("start"), F.col("awards"), F.col("contracts"), F.col("bids")).alias("x"), r.pick_lang(F.col("name"), "uk", "en").alias("n")).collect()
-    assert [(*g["x"], g["n"]) for g in got] == [("sold", 135.5, 150.0, 35.5, "Lot"), ("cancelled", None, None, None, "[redacted]"), (None, None, None, None, None)]
+    assert [(*g["x"], g["n"]) for g in got] == [("sold", 135.5, 150.0, 35.5, "Lot"), ("cancelled", None, None, None, "[redacted]"), ("in_progress", None, None, None, None)]
     x = one(spark, m=r.method_parts(F.lit("land-lease-english")), p=r.unless_masked(F.lit("a@**")), o=r.organisation(a=F.lit(None).cast("string")))
     assert tuple(x["m"]) == ("land", "lease-english") and x["p"] is None and x["o"] is None
     docs = spark.createDataFrame([([("1", "t", "u")], None)], "a array<struct<id string, title string, url string>>, b array<struct<id string, title string, url string>>")

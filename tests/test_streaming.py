@@ -1,5 +1,7 @@
 """Streams under availableNow give what the batch forms give."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tidewater.sources.store import SnapshotStore
@@ -57,3 +59,16 @@ def test_sources_apart(spark):
     got = []
     status = feeds.run_sources({"bad": lambda: 1 / 0, "good": lambda: spark.range(2)}, lambda n, df: got.append((n, df.count())))
     assert got == [("good", 2)] and status["good"] == "ok" and status["bad"].startswith("failed: ZeroDivisionError")
+
+
+def test_rows_over_the_budget_wait(spark, tmp_path):
+    """What a batch could not deliver comes with the next one, though the source does not write it again."""
+    schema = "id long, ts timestamp, n int"
+    for k, ids in enumerate(([1, 2, 3, 4, 5], [6], [7, 5])):
+        spark.createDataFrame([(i, datetime.datetime(2024, 1, 1 + k), i) for i in ids], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    got = []
+    for k in range(3):
+        rows = feeds.read_rows(spark, f"{tmp_path}/in/{{{','.join(str(i) for i in range(k + 1))}}}", schema, "ts")
+        feeds.monitor_stream(rows, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/check", "id", report_all=True, budget=3, order="n").trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == [[1, 2, 3], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6, 7]]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidewater.functions.values import round_half_up
 
 #: The order in which awards and contracts are looked at, and what a lot's status comes to.
-AWARD_ORDER = ("active", "pending", "pending_waiting", "unsuccessful", "cancelled")
+AWARD_ORDER = ("active", "signed", "pending", "pending_waiting", "pending_admission")
 CONTRACT_ORDER = ("active", "signed", "pending")
-OUTCOMES = {"complete": "sold", "unsuccessful": "unsuccessful", "cancelled": "cancelled"}
+OUTCOMES = {"complete": "sold", "unsuccessful": "no_winner", "cancelled": "cancelled", "active_qualification": "winner_pending", "qualification": "winner_pending", "active_awarded": "winner_confirmed", "pending_payment": "winner_confirmed"}
 
 
 def pick_lang(c: Column, first: str, second: str) -> Column:
@@ -49,11 +49,9 @@ def by_status(rows: Column, order: tuple[str, ...]) -> Column:
 
 def auction_result(status: Column, start: Column, awards: Column, contracts: Column, bids: Column) -> Column:
     """struct<outcome, final_price, top_bid, increase_pct>: the contract's value counts before the award's."""
-    final = F.coalesce(by_status(contracts, CONTRACT_ORDER)["amount"], by_status(awards, AWARD_ORDER[:3])["amount"])
-    outcome = F.lit(None).cast("string")
-    for s, o in OUTCOMES.items():
-        outcome = F.when(status == s, o).otherwise(outcome)
-    pct = F.when(start > 0, round_half_up((final / start - 1) * 100))
+    final = F.coalesce(by_status(contracts, CONTRACT_ORDER)["amount"], by_status(awards, AWARD_ORDER)["amount"])
+    outcome = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair]), status), F.lit("in_progress"))
+    pct = F.when(start != 0, round_half_up((final - start) / start * 100))
     return F.struct(outcome.alias("outcome"), final.alias("final_price"), F.array_max(F.transform(bids, lambda b: b["amount"])).alias("top_bid"), pct.alias("increase_pct"))
 
 
@@ -199,6 +197,12 @@ def head_meta(html: Column) -> Column:
     return F.struct(meta("description", "og:description", "twitter:description").alias("description"), meta("og:image", "twitter:image").alias("image"), F.when(~author.rlike("(?i)^https?://"), author).alias("author"), canonical.alias("canonical"), F.nullif(F.regexp_extract(html, r'(?i)<html[^>]*lang=["\']([^"\']*)', 1), F.lit("")).alias("lang"))
 
 
+def page_title(html: Column) -> Column:
+    """struct<title, charset> of a page's head; null where they are missing or empty."""
+    one = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))
+    return F.struct(one("(?is)<title>(.*?)</title>").alias("title"), one('(?i)charset=["\']?([a-z0-9-]+)').alias("charset"))
+
+
 def objects_with(tree: Column, key: str, depth: int = 60) -> Column:
     """The JSON objects that hold ``key``, anywhere in a JSON text, in document order; a hit is not searched further."""
     def walk(node, left):

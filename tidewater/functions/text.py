@@ -1,22 +1,40 @@
-"""Text columns: folding, slugs, html, padding, categories and typed values, all as expressions."""
+"""Text columns: folding, slugs, html, padding, categories, templates and typed values, all as expressions."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTS = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿйї"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyиі"
+
+def _base_letters() -> tuple[str, str]:
+    """Lower-case letters with marks and, in the same order, the letters that are left without them."""
+    pairs = {}
+    for code in range(0xC0, 0x2000):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and len(base) == 1 and base != c and base.isalpha():
+            pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTS, PLAIN = _base_letters()
+
+
+def without_accents(c: Column) -> Column:
+    """Lower-case letters without their marks, whether the marks are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(c, ACCENTS, PLAIN), r"\p{M}+", "")
 
 
 def fold(c: Column) -> Column:
     """Lower case, accents off, apostrophes unified, spaces collapsed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTS + "’ʼ`", PLAIN + "'''"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(without_accents(F.lower(c)), "’ʼ`", "'''"), r"\s+", " "))
 
 
 def slug(c: Column) -> Column:
-    text = F.translate(F.regexp_replace(F.lower(c), "&", " and "), ACCENTS, PLAIN)
+    text = without_accents(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")))
     return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
@@ -31,13 +49,35 @@ def html_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def category(first: Column, rules: dict[str, list[str]]) -> Column:
-    """The first rule one of whose keywords starts a word of the text (after the start, a space, - or /); else other."""
-    out = None
-    for name, keywords in rules.items():
-        hit = F.lower(first).rlike(r"(^|[ /-])(" + "|".join(keywords) + ")")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("other")
+def starts_word(text: Column, keywords: list[str]) -> Column:
+    """A keyword begins the text or follows a character that is neither letter nor digit."""
+    return F.coalesce(F.lower(text).rlike(r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(re.escape(k.lower()) for k in keywords) + ")"), F.lit(False))
+
+
+def category(first: Column, rules: dict[str, list[str]], *rest: Column) -> Column:
+    """The first rule one of whose keywords starts a word of the first text, else of the texts after it in order; else other."""
+    out = F.lit(None).cast("string")
+    for text in reversed((first, *rest)):
+        for name, keywords in reversed(rules.items()):
+            out = F.when(starts_word(text, keywords), name).otherwise(out)
+    return F.coalesce(out, F.lit("other"))
+
+
+def fill_template(template: str, fields: dict[str, Column]) -> Column:
+    """The template with each {{field}} as the field's text; unknown fields and nulls are empty."""
+    known = {k.lower(): c for k, c in fields.items()}
+    parts, at = [], 0
+    for m in re.finditer(r"\{\{\s*([^{}]+?)\s*\}\}", template):
+        parts.append(F.lit(template[at : m.start()]))
+        if m.group(1).lower() in known:
+            parts.append(F.coalesce(known[m.group(1).lower()].cast("string"), F.lit("")))
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def dehyphenate(c: Column) -> Column:
+    """Words that a hyphen parts at the end of a line, joined."""
+    return F.regexp_replace(c, r"(\p{Ll})-\n(\p{Ll})", "$1$2")
 
 
 def pad_id(c: Column, n: int) -> Column:

@@ -14,9 +14,9 @@ CODES = "USD EUR GBP CHF CAD AUD NZD JPY CNY INR RON MDL PLN CZK HUF SEK NOK DKK
 MONTHS = {1: "jan ian janv", 2: "feb févr", 3: "mar mär mrz", 4: "apr avr", 5: "may mai", 6: "jun iun juin", 7: "jul iul juil", 8: "aug août", 9: "sep sept", 10: "oct okt", 11: "nov noi", 12: "dec dez déc"}
 
 _CURRENCY = "(?:[$€£¥₹₽₴₺]|zł|lei|kr|Kč|\\b(?:" + "|".join(CODES) + ")\\b)"
-#: The signs and the digit groupings of a printed number.
+#: The signs of a printed number and the marks that may stand between its digits.
 _SIGN = "[-−–]"
-_GROUPED = r"\d{1,3}(?:[ ,.'  ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?|[.,]\d+"
+_MARKS = " ,.'\u2019\u00a0\u202f"
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -24,45 +24,47 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _body(text: Column) -> Column:
-    """The digits and separators of a printed number; empty if the text is anything else."""
-    lone = F.regexp_replace(F.trim(text), "(?i)" + _CURRENCY, "")
-    rest = F.trim(F.regexp_replace(F.regexp_replace(lone, r"\s*%\s*(\)?)$", "$1"), r"^\((.*)\)$", "$1"))
-    bare = F.trim(F.regexp_replace(rest, rf"^{_SIGN}\s*|\s*-$", ""))
-    one_currency = F.regexp_count(text, F.lit("(?i)" + _CURRENCY)) <= 1
-    return F.when((F.length(text) <= 40) & one_currency, _bind(bare, lambda b: F.when(b.rlike("^(?:" + _GROUPED + ")$"), b)))
+def _numeral(text: Column) -> Column:
+    """What is left of a text without signs, brackets, percent and currency around it."""
+    return F.regexp_replace(text, rf"(?i)^(?:[\s(]|{_SIGN})*(?:{_CURRENCY})?(?:\s|{_SIGN})*|\s*(?:%\s*)?(?:{_CURRENCY})?(?:[\s%)]|{_SIGN})*$", "")
 
 
-def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
-    """A printed number as double: sign or parentheses, a currency on either side, percent, grouped digits.
+def _is_numeral(n: Column) -> Column:
+    """Digits in threes after a head of up to three, or a plain run, each perhaps with decimals."""
+    three = rf"[{_MARKS}][0-9]{{3}}"
+    return n.rlike(rf"^(?:[0-9]{{1,3}}(?:{three})+|[0-9]*)(?:[.,][0-9]+)?$") & n.rlike("[0-9]")
 
-    With two kinds of separators the last is the decimal one; a single one before three digits follows
-    ``decimal_comma``; a repeated one, a space or an apostrophe groups. Anything else is null.
-    """
-    comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    t = F.trim(text)
-    negative = t.rlike(r"^\(.*\)$") | t.rlike(rf"^{_SIGN}|-$") | t.rlike("(?i)^" + _CURRENCY + rf"\s*{_SIGN}")
-    value = _bind(_body(text), lambda body: _number_of(body, comma))
-    return F.when(negative, -value).otherwise(value)
 
+def _one_currency(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("(?i)" + _CURRENCY)) <= 1
 
-def _number_of(body: Column, comma: Column) -> Column:
-    seps = F.regexp_replace(body, r"\d", "")
-    last = F.right(seps, F.lit(1))
-    mixed = F.length(F.replace(seps, last, F.lit(""))) > 0
-    thousands = body.rlike(r"^[1-9]\d{0,2}[.,]\d{3}$")
-    is_decimal = F.when(seps == "", False).when(mixed, True).when(~last.isin(",", ".") | (F.length(seps) > 1), False).when(thousands, (last == ",") == comma).otherwise(True)
 
-    def value(decimal: Column) -> Column:
-        whole = F.when(decimal, F.regexp_replace(body, r"[.,]\d*$", "")).otherwise(body)
-        fraction = F.when(decimal, F.regexp_extract(body, r"[.,](\d*)$", 1)).otherwise("")
-        return F.concat(F.lit("0"), F.regexp_replace(whole, r"\D", ""), F.lit("."), fraction, F.lit("0")).try_cast("double")
+def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
+    """A printed number as double: sign or parentheses, a currency on either side, percent, grouped digits.
 
-    return F.when(body.isNotNull(), _bind(is_decimal, value))
+    With two kinds of marks the last is the decimal one; a single one before three digits follows
+    ``decimal_comma``; a repeated one, a space or an apostrophe groups. Anything else, and texts of over 40
+    characters, are null. All steps stay in generated code, so what is used twice is evaluated once.
+    """
+    comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
+    n = _numeral(text)
+    marks = F.translate(n, "0123456789", "")
+    last = F.right(marks, F.lit(1))
+    tail = F.call_function("substring_index", n, last, F.lit(-1))  # the digits after the last mark
+    head = F.left(n, F.length(n) - F.length(tail) - 1)
+    kinds = F.length(F.replace(marks, last, F.lit("")))
+    threes = (F.length(tail) == 3) & F.length(head).between(1, 3) & ~F.startswith(head, F.lit("0"))
+    decimal = F.when(marks == "", False).when(kinds > 0, last.isin(".", ",")).when(~last.isin(".", ",") | (F.length(marks) > 1), False).when(threes, (last == ",") == comma).otherwise(True)
+    plain = lambda c: F.translate(c, _MARKS, "")
+    digits = F.when(decimal, F.concat(F.lit("0"), plain(head), F.lit("."), tail)).otherwise(plain(n))
+    negative = text.rlike(rf"(?i)^\s*(?:\(.*\)\s*$|{_SIGN}|(?:{_CURRENCY})\s*{_SIGN})|-\s*$")
+    value = digits.try_cast("double")
+    whole = F.contains(text, F.lit("(")) == F.contains(text, F.lit(")"))
+    return F.when((F.length(F.trim(text)) <= 40) & whole & _is_numeral(n) & _one_currency(text), F.when(negative, -value).otherwise(value))
 
 
 def is_percent(text: Column) -> Column:
-    return _body(text).isNotNull() & F.contains(text, F.lit("%"))
+    return _is_numeral(_numeral(text)) & _one_currency(text) & F.contains(text, F.lit("%"))
 
 
 def currency_of(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: What a bare page number looks like, and where a sentence ends.
-PAGE_NUMBER = r"(?i)^(page\s*)?[-–]?\s*\d{1,4}\s*[-–]?(\s*(of|/)\s*\d{1,4})?$"
-SENTENCE_END = r"(?<=[.!?…])\s+(?=[\p{Lu}\p{N}\"'“(])"
+#: Marks that end a sentence, signs that may open the next one, and words around a page number.
+STOPS, OPENERS = ".!?…", "\"'“("
+PAGE_WORDS = ("page", "of")
+_CUT = "\u0001"
+
+
+def _sentence_marks(c: Column) -> Column:
+    """The text with a mark instead of the white space between a stop and a capital, a digit or an opening sign."""
+    return F.regexp_replace(c, rf"([{STOPS}])\s+([\p{{Lu}}\p{{N}}{OPENERS}])", f"$1{_CUT}$2")
+
+
+def is_page_number(line: Column) -> Column:
+    """A line of one or two numbers of up to four digits, apart from page words, dashes and slashes."""
+    rest = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), rf"\b(?:{'|'.join(PAGE_WORDS)})\b", " "), r"[-–/\s]+", " "))
+    parts = F.split(rest, " ")
+    return (rest != "") & (F.size(parts) <= 2) & F.forall(parts, lambda x: F.length(x).between(1, 4) & (F.translate(x, "0123456789", "") == ""))
 
 
 def lines_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -61,7 +75,7 @@ def edge_lines(lines: DataFrame, document: str, page: str, order: str = "n", tex
     pages = sizes.groupBy(document).agg(F.count("*").alias("_pages"))
     at_edge = lines.join(sizes, [document, page]).where((F.col(order) <= edge) | (F.col(order) > F.col("_last") - edge))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), r"\s+", " "))
-    seen = at_edge.select(document, page, plain.alias("edge_text"), F.trim(text).rlike(PAGE_NUMBER).alias("_number"), (F.length(text) <= longest).alias("_short"))
+    seen = at_edge.select(document, page, plain.alias("edge_text"), is_page_number(F.col(text)).alias("_number"), (F.length(text) <= longest).alias("_short"))
     seen = seen.groupBy(document, page, "edge_text").agg(F.bool_or("_number").alias("_number"), F.bool_or("_short").alias("_short"))
     found = seen.groupBy(document, "edge_text").agg(F.count("*").alias("n_pages"), F.bool_or("_number").alias("page_number"), F.bool_or("_short").alias("_short")).join(pages, document)
     running = F.col("_short") & (F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(F.col("_pages") / 2)))
@@ -79,7 +93,7 @@ def drop_running_lines(lines: DataFrame, document: str, page: str, order: str =
 
 
 def sentences(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return docs.select(*keys, F.posexplode(F.split(text, SENTENCE_END)).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
+    return docs.select(*keys, F.posexplode(F.split(_sentence_marks(F.col(text)), _CUT)).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
 
 
 def md_blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -98,43 +112,60 @@ def md_blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     line = line.withColumn("_new", F.col("_blank") | (F.col("_level") > 0) | after)
     line = runs(line, keys, "n", F.col("_new")).where(~F.col("_blank"))
     block = line.groupBy(*keys, "block_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("md"), F.max("_level").alias("level"))
-    return block.withColumn("is_table", F.col("md").rlike(r"^\s*\|.*\|\s*\n\s*\|[\s:|-]+\|"))
+    row = F.split("md", "\n")
+    return block.withColumn("is_table", F.coalesce(_is_row(row[0]) & _is_rule(F.try_element_at(row, F.lit(2))), F.lit(False)))
+
+
+def _is_row(line: Column) -> Column:
+    """A line between two bars."""
+    t = F.trim(line)
+    return (F.length(t) > 1) & F.startswith(t, F.lit("|")) & F.endswith(t, F.lit("|"))
+
+
+def _is_rule(line: Column) -> Column:
+    """The line under a table's header: bars and dashes, perhaps colons and blanks."""
+    return F.contains(line, F.lit("|")) & F.contains(line, F.lit("-")) & (F.translate(line, "|:- \t", "") == "")
+
+
+def _block_text(line: Column) -> Column:
+    """A line by its kind: null for fences and table rules, cells as "a | b", else without the marks that begin it."""
+    t = F.trim(line)
+    cells = F.array_join(F.transform(F.split(F.substring(t, F.lit(2), F.length(t) - 2), r"(?<!\\)\|"), lambda x: F.trim(x)), " | ")
+    bare = F.regexp_replace(line, r"^\s*(?:>\s?)+", "")
+    plain = F.regexp_replace(bare, r"^#{1,6}\s+", "")
+    indent = F.regexp_extract(plain, r"^([ \t]*)[*+-][ \t]", 1)
+    listed = F.when(plain.rlike(r"^[ \t]*[*+-][ \t]"), F.concat(indent, F.lit("- "), F.ltrim(F.substring(plain, F.length(indent) + 2, F.lit(1 << 30))))).otherwise(plain)
+    return F.when(F.startswith(t, F.lit("```")) | F.startswith(t, F.lit("~~~")) | _is_rule(line), None).when(_is_row(line), cells).otherwise(F.rtrim(listed))
 
 
 def markdown_to_text(c: Column) -> Column:
-    """Readable text: comments, fences, heading marks, emphasis and link targets go; cells stay as "a | b"."""
-    steps = [
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?m)^```.*$", ""),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"(?m)^[ \t]*\|?[ \t:|-]+\|[ \t:|-]*$", ""),
-        (r"(?m)^[ \t]*\|[ \t]?(.*?)[ \t]?\|[ \t]*$", "$1"),
-        (r"\*\*(.+?)\*\*", "$1"),
-        (r"__(.+?)__", "$1"),
-        (r"`([^`]+)`", "$1"),
-        (r"(?m)^[ \t]*>[ \t]?", ""),
-        (r"(?m)^([ \t]*)[*+][ \t]+", "$1- "),
-        (r"[ \t]+\n", "\n"),
-        (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c, F.lit(" \n"))
+    """Readable text of Markdown, line by line, then the marks inside lines.
+
+    Comments, fences, table rules, heading and quote marks, emphasis, code ticks, backslashes of escapes and link
+    targets go; bullets become "- ", cells stay as "a | b", several blank lines become one.
+    """
+    lines = F.array_compact(F.transform(F.split(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), "\n"), _block_text))
+    out = F.regexp_replace(F.array_join(lines, "\n"), r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    for mark in (r"\*\*", "__", r"\*", "`"):
+        out = F.regexp_replace(out, rf"(?<!\\){mark}(\S|\S[^\n]*?[^\s\\]){mark}", "$1")
+    out = F.regexp_replace(out, r"\\([!-/:-@\[-`{-~])", "$1")
+    return F.trim(F.regexp_replace(out, r"\n(?:[ \t]*\n){2,}", "\n\n"), F.lit(" \n"))
 
 
 def _pieces(block: str, most: int, table: bool) -> Iterator[str]:
     """A block in pieces of at most ``most`` characters: table rows under their header, else sentences, else words."""
-    import re
-
     head, glue, units = "", " ", []
     if table:
         rows = block.split("\n")
         head, glue, units = "\n".join(rows[:2]) + "\n", "\n", rows[2:] or rows[:1]
     else:
-        for sentence in re.split(r"(?<=[.!?…])\s+(?=[A-ZÀ-Þ0-9\"'“(])", block):
-            units += [sentence] if len(sentence) <= most else sentence.split()
+        start = 0
+        words = [(m.start(), m.group()) for m in re.finditer(r"\S+", block)]
+        for (at, word), (then, after) in zip(words, [*words[1:], (len(block), "A")]):
+            if then == len(block) or (word[-1] in STOPS and (after[0].isupper() or after[0].isdigit() or after[0] in OPENERS)):
+                sentence = block[start : at + len(word)]
+                units += [sentence] if len(sentence) <= most else sentence.split()
+                start = then
     room, held = max(1, most - len(head)), ""
     for unit in (u[i : i + room] for u in units for i in range(0, max(1, len(u)), room)):
         if held and len(held) + len(glue) + len(unit) > room:
@@ -203,13 +234,30 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size:
     by_heading = heading_level if mode == "heading" else 0
     types = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("block_no")
-        made = _pack(list(zip(rows["md"], rows["level"].fillna(0).astype(int), rows["is_table"].fillna(False), rows["path"])), size, overlap, by_heading)
-        out = {k: [rows[k].iloc[0]] * len(made) for k in keys} | {"chunk_no": list(range(1, len(made) + 1)), "md": [m for m, _ in made], "path": [p for _, p in made]}
-        return pd.DataFrame({k: pd.Series(c, dtype=object) for k, c in out.items()})
-
-    return pathed.select(*keys, "block_no", "md", "level", "is_table", "path").groupBy(*keys).applyInPandas(pack, f"{types}, chunk_no int, md string, path string")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted, so a document ends where its key changes; only its own blocks are held."""
+        names, now, blocks = [*keys, "chunk_no", "md", "path"], None, []
+
+        def rows_of(made: list) -> pd.DataFrame:
+            return pd.DataFrame({n: pd.Series([r[i] for r in made], dtype=object) for i, n in enumerate(names)})
+
+        def close() -> list:
+            return [(*now, i + 1, md, path) for i, (md, path) in enumerate(_pack(blocks, size, overlap, by_heading))] if blocks else []
+
+        for pdf in batches:
+            made = []
+            for *key, md, level, table, path in zip(*[pdf[c] for c in [*keys, "md", "level", "is_table", "path"]]):
+                if key != now:
+                    made += close()
+                    now, blocks = key, []
+                blocks.append((md, int(level or 0), bool(table), path))
+            if made:
+                yield rows_of(made)
+        if made := close():
+            yield rows_of(made)
+
+    ordered = pathed.select(*keys, "block_no", "md", F.coalesce("level", F.lit(0)).alias("level"), "is_table", "path").repartition(*keys).sortWithinPartitions(*keys, "block_no")
+    return ordered.mapInPandas(pack, f"{types}, chunk_no int, md string, path string")
 
 
 def body_size(words: DataFrame, keys: list[str], size: str = "size", text: str = "text") -> DataFrame:

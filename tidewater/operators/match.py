@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import ACCENTS, PLAIN
+from tidewater.functions.text import starts_word, without_accents
 
 #: Words that say nothing about a name.
 STOP_WORDS = ("hotel", "the", "and", "by")
@@ -13,7 +13,7 @@ STOP_WORDS = ("hotel", "the", "and", "by")
 
 def normal_name(c: Column) -> Column:
     """Lower case, accents off, everything but letters and digits to single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTS, PLAIN), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(without_accents(F.lower(c)), "[^a-z0-9]+", " "))
 
 
 def _tokens(normal: Column) -> Column:
@@ -73,8 +73,21 @@ def family_expand(wanted: DataFrame, name: str, known: DataFrame, listed: str) -
     return met.join(exact, "_w").where(~F.col("_exact") | F.col("_same")).select(F.col("_w").alias(name), F.coalesce("_v", "_w").alias("value"))
 
 
-def matched_keywords(text: Column, wanted: dict[str, list[str]], exclude: list[str]) -> Column:
-    """The wanted names one of whose words starts a word of the text; empty if an excluded word does."""
-    hit = lambda words: F.lower(text).rlike("(^|[ /-])(" + "|".join(words) + ")")
-    found = F.array_compact(F.array(*[F.when(hit(words), F.lit(n)) for n, words in wanted.items()]))
-    return F.when(hit(exclude), F.array().cast("array<string>")).otherwise(found) if exclude else found
+def matched_keywords(text: Column, wanted: dict[str, list[str]], exclude: list[str], category: Column | None = None, generic: tuple[str, ...] = ("other",), status: Column | None = None, statuses: tuple[str, ...] = ()) -> Column:
+    """The wanted names that fit; empty if an excluded word starts a word of the text or no status word is in the status.
+
+    A name that is a category fits its category, or a text of a ``generic`` category one of whose words it starts;
+    without a category, names go by the text alone.
+    """
+    def fits(name: str, words: list[str]) -> Column:
+        said = starts_word(text, words)
+        return said if category is None else (category == name) | (category.isin(*generic) & said)
+
+    found = F.array_compact(F.array(*[F.when(fits(n, words), F.lit(n)) for n, words in wanted.items()]))
+    barred = starts_word(text, exclude) if exclude else F.lit(False)
+    if statuses:
+        inside = F.lit(False)
+        for word in statuses:
+            inside = inside | F.contains(F.lower(status), F.lit(word.lower()))
+        barred = barred | ~F.coalesce(inside, F.lit(False))
+    return F.when(barred, F.array().cast("array<string>")).otherwise(found)

@@ -16,17 +16,20 @@ def ranked(df: DataFrame, keys: list[str], order: Order, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def numbered(df: DataFrame, bucket: str, order: Order, name: str = "position") -> DataFrame:
-    """df with the position of each row in one order over all; ``bucket`` must rise with the order, nulls last.
+def numbered(df: DataFrame, bucket: str, order: Order, name: str = "position", keys: Sequence[str] = ()) -> DataFrame:
+    """df with the position of each row in one order over all, or over each key; ``bucket`` must rise with the order, nulls last.
 
-    Only the table of bucket sizes is summed in one task; rows are sorted within their bucket.
+    Only the table of bucket sizes is summed in one task a key; rows are sorted within their bucket.
     """
     low = F.col(bucket).isNull()
-    before = Window.orderBy(low, bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(bucket).agg(F.count("*").alias("_n"))
-    starts = sizes.select(F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    out = df.join(starts, F.col(bucket).eqNullSafe(F.col("_b")))
-    return out.withColumn(name, F.col("_start") + F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).drop("_b", "_start")
+    before = Window.partitionBy(*keys).orderBy(low, bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col(bucket).eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = df.join(starts, same)
+    return out.withColumn(name, F.col("_start") + F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))).drop("_b", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
 def top_n(df: DataFrame, keys: list[str], order: Order, n: int, name: str = "rank") -> DataFrame:

@@ -54,20 +54,25 @@ def join_broken_lines(spark, d):
     return dc.join_broken_lines(_lines(spark, d), ["doc_id"])
 
 
-@query(r"""select doc_id, generate_subscripts(a, 1)::int as n, unnest(a) as sentence from (select doc_id, string_split(regexp_replace(text, '([.!?…])\s+([\p{Lu}\p{N}"''“(])', '\1' || chr(1) || '\2', 'g'), chr(1)) as a from documents)""")
+@query(r"""with w as (select doc_id, regexp_replace(text, '([.!?…])[\s]+(\p{Lu}|\p{N}|["''“(])', '\1' || chr(1) || '\2', 'g') as t from documents)
+select doc_id, generate_subscripts(string_split(t, chr(1)), 1)::int as n, unnest(string_split(t, chr(1))) as sentence from w""")
 def sentence_split(spark, d):
     return dc.sentences(_t(spark, d, "documents"), ["doc_id"])
 
 
-def _md_sql(c: str) -> str:
-    for pattern, to in ((r"(?s)<!--.*?-->", ""), (r"(?m)^```.*$", ""), (r"(?m)^#{1,6}\s+", ""), (r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"(?m)^[ \t]*\|?[ \t:|-]+\|[ \t:|-]*$", ""), (r"(?m)^[ \t]*\|[ \t]?(.*?)[ \t]?\|[ \t]*$", r"\1"), (r"\*\*(.+?)\*\*", r"\1"), (r"__(.+?)__", r"\1"), (r"`([^`]+)`", r"\1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^([ \t]*)[*+][ \t]+", r"\1- "), (r"[ \t]+\n", r"\n"), (r"\n{3,}", r"\n\n")):
-        c = f"regexp_replace({c}, '{pattern}', " + ("chr(10)" if to == r"\n" else "chr(10) || chr(10)" if to == r"\n\n" else f"'{to}'") + ", 'g')"
-    return f"trim({c}, ' ' || chr(10))"
-
-
-@query("select doc_id, " + _md_sql("text") + " as plain from documents")
+@query(r"""with d as (select doc_id, source, regexp_replace(replace(replace(text, '*', ''), '`', ''), '(?s)<!--.*?-->', '', 'g') as t from documents),
+l as (select doc_id, source, list_transform(string_split(t, chr(10)), lambda x: rtrim(regexp_replace(regexp_replace(regexp_replace(x, '^\s*(?:>\s?)+', ''), '^#{1,6}\s+', ''), '^([ \t]*)[+-][ \t]+', '\1- '), ' ')) as ls from d),
+k as (select doc_id, source, array_to_string(list_filter(ls, lambda x: not (trim(x) like '~~~%' or (contains(x, '|') and contains(x, '-') and translate(x, '|:- ' || chr(9), '') = ''))), chr(10)) as body from l),
+m as (select doc_id, 'Title of ' || doc_id || chr(10) || 'quoted words' || chr(10) || 'a | b' || chr(10) || source || ' | x' || chr(10) || '- link alt' || chr(10) || body || chr(10) || chr(10) || chr(10) || 'end #1' as t from k),
+i as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '__([^\s]|[^\s][^\n]*?[^\s\\])__', '\1', 'g'), '\\([!-/:-@\[-`{-~])', '\1', 'g') as t from m)
+select doc_id, trim(regexp_replace(t, '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as plain from i""")
 def markdown_to_text(spark, d):
-    return _t(spark, d, "documents").select("doc_id", dc.markdown_to_text(F.col("text")).alias("plain"))
+    """Documents under a head of Markdown of every kind, read as text."""
+    c = F.concat
+    body = F.replace(F.replace("text", F.lit("*"), F.lit("")), F.lit("`"), F.lit(""))
+    head = c(F.lit("# Title of "), F.col("doc_id").cast("string"), F.lit("\n> *quoted* **words**\n| a | b |\n|---|:-:|\n| "), "source", F.lit(" | x |\n* [link](http://x.y/z) ![alt](i.png) <!-- gone -->\n```\n"))
+    marked = c(head, body, F.lit("\n~~~\n\n\nend \\#1"))
+    return _t(spark, d, "documents").select("doc_id", dc.markdown_to_text(marked).alias("plain"))
 
 
 def _blocks(spark, d):

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidewater.functions import records as rc
 from tidewater.functions import text as tx
 from tidewater.functions import values as v
-from tidewater.operators import match, monitor
+from tidewater.operators import match, monitor, windows
 from tidewater.plans.records import _money, _t
 from tidewater.plans.snapshots import _SQL as _DIFF_SQL
 from tidewater.plans.snapshots import _changes
@@ -111,9 +111,9 @@ def title_suffix_strip(spark, d):
 
 @query("select l_orderkey, arg_min(l_linenumber, (case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end, l_linenumber)) as picked, arg_min(l_returnflag, (case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end, l_linenumber)) as status from lineitem group by 1")
 def status_priority_pick(spark, d):
-    priority = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    rank = F.struct(priority.alias("p"), "l_linenumber")
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", rank).alias("picked"), F.min_by("l_returnflag", rank).alias("status"))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("status"))))
+    picked = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(rc.by_status(rows, ("A", "N", "R")).alias("p"))
+    return picked.select("l_orderkey", F.col("p.l_linenumber").alias("picked"), "p.status")
 
 
 @query("select l_orderkey, l_linenumber, l_extendedprice / l_quantity as per_night, round(round(l_extendedprice, 2)::decimal(18,2) * (1 + l_tax::decimal(4,2)), 2)::double as total from lineitem")
@@ -149,8 +149,9 @@ def truncated_diff(spark, d):
 
 @query("with t as (select term, row_number() over (order by term) - 2 as n from (select distinct p_name as term from part)) select (n // 4)::int as grp, term from t where n >= 0 union all select distinct (n // 4)::int, (select min(p_name) from part) from t where n >= 0")
 def anchor_groups(spark, d):
-    terms = _t(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
-    rest = terms.withColumn("n", F.row_number().over(Window.orderBy("term")) - 2)
+    """Terms numbered by their first letters, the first of all as the anchor of each group."""
+    terms = _t(spark, d, "part").select(F.col("p_name").alias("term")).distinct().withColumn("_first", F.left("term", F.lit(3)))
+    rest = windows.numbered(terms, "_first", ["term"], "n").withColumn("n", F.col("n") - 2)
     groups = rest.where("n >= 0").select(F.floor(F.col("n") / 4).cast("int").alias("grp"), "term")
-    anchor = rest.where("n = -1").select("term")  # one row
+    anchor = terms.agg(F.min("term").alias("term"))  # one row
     return groups.union(groups.select("grp").distinct().join(F.broadcast(anchor)).select("grp", "term"))

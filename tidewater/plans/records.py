@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import criteria
 from tidewater.functions import text as tx
-from tidewater.operators import merge, monitor, series, windows
+from tidewater.operators import keys, merge, monitor, series, windows
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -28,9 +29,9 @@ def _money(c: str):
     return F.round(c, 2).cast("decimal(18,2)")
 
 
-@query("select o_orderkey, o_custkey, md5(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) as fingerprint from orders")
+@query("""select o_orderkey, o_custkey, substr(translate(base64(unhex(sha1('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'))), '+/', '-_'), 1, 16) as fingerprint from orders""")
 def row_fingerprint(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", "o_custkey", F.md5(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("fingerprint"))
+    return _t(spark, d, "orders").select("o_orderkey", "o_custkey", keys.fingerprint(["o_orderkey", "o_orderstatus", "o_orderpriority"]).alias("fingerprint"))
 
 
 @query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1")
@@ -45,7 +46,9 @@ def latest_revision_filter(spark, d):
 
 @query("select event_type, event_id, row_number() over (partition by event_type order by ts desc, event_id)::int as rank from events")
 def feed_rank(spark, d):
-    return windows.ranked(_t(spark, d, "events"), ["event_type"], [F.desc("ts"), "event_id"]).select("event_type", "event_id", "rank")
+    """By hours of a feed, newest first, so that a hot feed is no single task."""
+    e = _t(spark, d, "events").withColumn("_hours", -F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
+    return windows.numbered(e, "_hours", [F.desc("ts"), "event_id"], "rank", ["event_type"]).select("event_type", "event_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber)::int as rank from lineitem qualify rank <= 3")
@@ -58,13 +61,17 @@ def newest_capped(spark, d):
     return _t(spark, d, "orders").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
 
 
-@query("select p_partkey, p_name, row_number() over (order by p_retailprice, p_partkey)::int as position from part where p_size <= 10 qualify position <= 200")
+_BY_PRICE = "select p_partkey, p_name, row_number() over (order by p_retailprice, p_partkey)::int as position from part"
+
+
+@query("select p_partkey, p_name, row_number() over (order by p_name desc, p_partkey)::int as position from part")
 def sorted_listing(spark, d):
-    p = _t(spark, d, "part").where("p_size <= 10").orderBy("p_retailprice", "p_partkey").limit(200)
-    return windows.ranked(p.withColumn("_one", F.lit(1)), ["_one"], ["p_retailprice", "p_partkey"], "position").select("p_partkey", "p_name", "position")
+    """Every part in an order that the caller chose: names downwards, numbered by their first letters."""
+    p = _t(spark, d, "part").withColumn("_first", -F.ascii("p_name") * 256 - F.ascii(F.substring("p_name", 2, 1)))
+    return windows.numbered(p, "_first", [F.desc("p_name"), "p_partkey"], "position").select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
 
 
-@query("select p_partkey, p_name, row_number() over (order by p_retailprice, p_partkey)::int as position from part")
+@query(_BY_PRICE)
 def whole_listing(spark, d):
     """Every part in its order, numbered by cents of the price: no window over the whole table."""
     p = _t(spark, d, "part").withColumn("_cents", F.floor(F.col("p_retailprice") * 100))
@@ -165,9 +172,9 @@ def capped_groups(spark, d):
 
 @query("select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus in ('O', 'F') and starts_with(o_orderpriority, '1') and o_totalprice between 50000 and 200000 and o_orderdate >= timestamp '1995-01-01'")
 def multi_criteria_search(spark, d):
-    o = _t(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "F") & F.startswith("o_orderpriority", F.lit("1")) & F.col("o_totalprice").between(50000, 200000) & (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")))
+    chosen = criteria.every(criteria.one_of(F.col("o_orderstatus"), ["O", "F"]), criteria.exact_or_prefix(F.col("o_orderpriority"), ["1"]), criteria.bounds(F.col("o_totalprice"), 50000, 200000), criteria.in_window(F.col("o_orderdate"), "1995-01-01"), criteria.holds_all(F.col("o_orderpriority"), []))
     c = _t(spark, d, "customer").join(F.broadcast(_t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation is a fixed dimension
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name")
+    return _t(spark, d, "orders").where(chosen).join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name")
 
 
 @query("select p_partkey, case when regexp_matches(lower(p_type), '(^|[ /-])(promo|econ)') then 'cheap' when regexp_matches(lower(p_type), '(^|[ /-])(brass|steel|copper)') then 'metal' else 'other' end as category from part")
@@ -177,8 +184,7 @@ def keyword_category(spark, d):
 
 @query("select event_id from events where ts is null or (ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12')")
 def time_window_filter(spark, d):
-    t = lambda x: F.lit(x).cast("timestamp_ntz")
-    return _t(spark, d, "events").where(F.col("ts").isNull() | ((F.col("ts") >= t("2024-01-10")) & (F.col("ts") < t("2024-01-12")))).select("event_id")
+    return _t(spark, d, "events").where(criteria.in_window(F.col("ts"), "2024-01-10", "2024-01-12")).select("event_id")
 
 
 @query("with c as (select ts from events order by ts desc, event_id limit 1 offset 500) select event_id from events, c where events.ts >= c.ts and not (events.ts = c.ts and event_id % 2 = 0)")
@@ -231,11 +237,7 @@ def pad_ids(spark, d):
 def sequence_ids(spark, d):
     """Numbers from counts of key ranges before each row: no window over the whole table."""
     c = _t(spark, d, "customer").select("c_custkey").withColumn("b", F.floor(F.col("c_custkey") / 1024))
-    sizes = c.groupBy("b").agg(F.count("*").alias("n"))
-    before = windows.Window.orderBy("b").rowsBetween(windows.Window.unboundedPreceding, -1)
-    starts = sizes.select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for 1,024 keys
-    n = F.col("start") + F.row_number().over(windows.Window.partitionBy("b").orderBy("c_custkey"))
-    return c.join(starts, "b").select("c_custkey", F.concat(F.lit("CERT-"), F.lpad(n.cast("string"), 6, "0")).alias("serial"))
+    return windows.numbered(c, "b", ["c_custkey"]).select("c_custkey", F.concat(F.lit("CERT-"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("serial"))
 
 
 @query("select p_partkey, p_type || case when n > 1 then '_' || n else '' end as unique_name from (select p_partkey, p_type, row_number() over (partition by p_type order by p_partkey) as n from part)")
@@ -245,7 +247,8 @@ def unique_names(spark, d):
 
 @query("select c_custkey, 'Dear ' || c_name || ' of ' || c_mktsegment as body from customer")
 def text_merge(spark, d):
-    return _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("Dear "), "c_name", F.lit(" of "), "c_mktsegment").alias("body"))
+    body = tx.fill_template("Dear {{name}} of {{ segment }}", {"name": F.col("c_name"), "segment": F.col("c_mktsegment")})
+    return _t(spark, d, "customer").select("c_custkey", body.alias("body"))
 
 
 @query("select o_orderkey, case when o_totalprice >= 1000000 then floor(o_totalprice / 1000000)::bigint || 'M+' when o_totalprice >= 1000 then floor(o_totalprice / 1000)::bigint || 'K+' else floor(o_totalprice)::bigint || '+' end as label from orders")

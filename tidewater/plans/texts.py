@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import pages, records
 from tidewater.functions import text as tx
 from tidewater.operators import monitor, windows
 from tidewater.plans.records import _money, _t
+from tidewater.sources import links
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -20,23 +22,24 @@ def query(sql: str):
     return add
 
 
-@query("select min(page_id) as page_id, url from pages where regexp_matches(url, '^https?://[^/]+[.][^/]+') group by url")
+@query("select min(page_id) as page_id, url from (select page_id, case when page_id % 2 = 0 then 'https://' || regexp_extract(url, '://(.*)', 1) else url end as url from pages where page_id % 5 <> 0) group by url")
 def url_frontier(spark, d):
-    """Valid urls, the first page of each."""
-    return _t(spark, d, "pages").where(F.col("url").rlike("^https?://[^/]+[.][^/]+")).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    """Valid urls, the first page of each; every second one lacks its scheme, every fifth is a bare word."""
+    given = F.when(F.col("page_id") % 5 == 0, "word").when(F.col("page_id") % 2 == 0, F.regexp_extract("url", "://(.*)", 1)).otherwise(F.col("url"))
+    return links.frontier(_t(spark, d, "pages").select("page_id", given.alias("given")), F.col("given"), "page_id")[0].select("page_id", "url")
 
 
-@query("select page_id, case when html like '%captcha%' then 'captcha' when html like '%consent%' then 'consent' when html like '%access denied%' then 'blocked' else 'ok' end as kind from (select page_id, lower(substr(html, 1, 2000)) as html from pages)")
+@query("select page_id, case when page_id % 4 = 1 then 'captcha' when page_id % 4 = 2 then 'consent' when page_id % 4 = 3 then 'rate-limited' else 'ok' end as kind from pages")
 def page_block_markers(spark, d):
-    h = F.lower(F.substring("html", 1, 2000))
-    kind = F.when(F.contains(h, F.lit("captcha")), "captcha").when(F.contains(h, F.lit("consent")), "consent").when(F.contains(h, F.lit("access denied")), "blocked").otherwise("ok")
-    return _t(spark, d, "pages").select("page_id", kind.alias("kind"))
+    """Whole pages, marks of three kinds at their end; a page that only speaks of consent is none."""
+    k = F.col("page_id") % 4
+    tail = F.when(k == 1, '<div id="captcha-form">').when(k == 2, '<form action="https://consent.x.com/save">').when(k == 3, "error 429 - too many requests").otherwise("captcha, consent and access denied")
+    return _t(spark, d, "pages").select("page_id", pages.block_kind(F.col("url"), F.lit(200), F.concat("html", tail)).alias("kind"))
 
 
-@query(r"select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1) as lang, regexp_extract(html, '(?i)charset=\"?([a-z0-9-]+)', 1) as charset from pages")
+@query(r"select page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') as title, nullif(regexp_extract(html, '(?i)<html[^>]*lang=\"([^\"]*)\"', 1), '') as lang, nullif(regexp_extract(html, '(?i)charset=\"?([a-z0-9-]+)', 1), '') as charset from pages")
 def page_head_meta(spark, d):
-    e = lambda p: F.regexp_extract("html", p, 1)
-    return _t(spark, d, "pages").select("page_id", e("(?is)<title>(.*?)</title>").alias("title"), e('(?i)<html[^>]*lang="([^"]*)"').alias("lang"), e('(?i)charset="?([a-z0-9-]+)').alias("charset"))
+    return _t(spark, d, "pages").select("page_id", records.head_meta(F.col("html")).alias("m"), records.page_title(F.col("html")).alias("t")).select("page_id", "t.title", "m.lang", "t.charset")
 
 
 @query(r"""with x as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') as h from pages),
@@ -66,10 +69,12 @@ def page_lines(spark, d):
     return windows.top_n(first.join(enough, "doc_id"), ["doc_id"], ["n"], 1500).select("doc_id", "n", "line")
 
 
-@query("select doc_id, regexp_replace(text, '(\\p{Ll})-\\n(\\p{Ll})', '\\1\\2', 'g') = text as unchanged, len(regexp_extract_all(text, '[.!?]')) as ends from documents")
+@query(r"select doc_id, regexp_replace(regexp_replace(text, '([a-z]{3})([a-z]{3})', '\1-' || chr(10) || '\2'), '(\p{Ll})-\n(\p{Ll})', '\1\2', 'g') as joined from documents")
 def dehyphenate(spark, d):
-    joined = F.regexp_replace("text", r"(\p{Ll})-\n(\p{Ll})", "$1$2")
-    return _t(spark, d, "documents").select("doc_id", (joined == F.col("text")).alias("unchanged"), F.regexp_count("text", F.lit("[.!?]")).cast("long").alias("ends"))
+    """Texts with one word cut at a line end, joined again."""
+    cut = F.concat(F.regexp_extract("text", r"(?s)^(.*?[a-z]{3})[a-z]{3}.*$", 1), F.lit("-\n"), F.regexp_extract("text", r"(?s)^.*?[a-z]{3}([a-z]{3}.*)$", 1))
+    broken = F.when(F.col("text").rlike("[a-z]{6}"), cut).otherwise(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", tx.dehyphenate(broken).alias("joined"))
 
 
 @query("select page_id, regexp_extract(url, '/([0-9]+)([.?#/]|$)', 1) as entity, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) as section from pages")

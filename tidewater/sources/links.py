@@ -7,24 +7,37 @@ from pyspark.sql import functions as F
 
 #: Share links (pattern) and the direct link they stand for; the first that fits wins.
 DIRECT = (
-    (r"^https?://drive\.google\.com/file/d/([\w-]+).*$", "https://drive.google.com/uc?export=download&id=$1"),
-    (r"^https?://drive\.google\.com/open\?id=([\w-]+).*$", "https://drive.google.com/uc?export=download&id=$1"),
-    (r"^https?://docs\.google\.com/document/d/([\w-]+).*$", "https://docs.google.com/document/d/$1/export?format=docx"),
-    (r"^https?://docs\.google\.com/spreadsheets/d/([\w-]+).*$", "https://docs.google.com/spreadsheets/d/$1/export?format=csv"),
-    (r"^https?://docs\.google\.com/presentation/d/([\w-]+).*$", "https://docs.google.com/presentation/d/$1/export/pptx"),
-    (r"^(https?://(?:www\.)?dropbox\.com/[^?]*)(?:\?.*)?$", "$1?dl=1"),
-    (r"^https?://github\.com/([^/]+)/([^/]+)/blob/(.*)$", "https://raw.githubusercontent.com/$1/$2/$3"),
-    (r"^(https?://[^/]*\.box\.com)/s/([\w-]+).*$", "$1/shared/static/$2"),
-    (r"^(https?://(?:[^/]*\.sharepoint\.com|1drv\.ms)/[^?]*)(?:\?.*)?$", "$1?download=1"),
+    (r"^https?://drive\.google\.com/file/d/([\w-]+).*$", "https://drive.usercontent.google.com/download?id=$1&export=download&confirm=t"),
+    (r"^https?://drive\.google\.com/[^?]*\?(?:[^#]*&)?id=([\w-]+).*$", "https://drive.usercontent.google.com/download?id=$1&export=download&confirm=t"),
+    (r"^https?://docs\.google\.com/document/d/([\w-]+)(?!.*/export).*$", "https://docs.google.com/document/d/$1/export?format=docx"),
+    (r"^https?://docs\.google\.com/spreadsheets/d/([\w-]+)(?!.*/export).*$", "https://docs.google.com/spreadsheets/d/$1/export?format={sheet}"),
+    (r"^https?://docs\.google\.com/presentation/d/([\w-]+)(?!.*/export).*$", "https://docs.google.com/presentation/d/$1/export/pptx"),
+    (r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+)/blob/([^?#]+).*$", "https://raw.githubusercontent.com/$1/$2/$3"),
+    (r"^https?://app\.box\.com/s/([\w-]+).*$", "https://app.box.com/shared/static/$1"),
 )
-
-
-def direct_link(url: Column) -> Column:
-    """The direct download of a share link; other urls as they are."""
-    out = None
+#: Hosts whose links become direct by a parameter that is set beside all others.
+BY_PARAMETER = ((r"^https?://(?:www\.)?dropbox\.com/", "dl"), (r"^https?://[^/?#]*\.sharepoint\.com/", "download"))
+ONEDRIVE = r"^https?://(?:1drv\.ms|onedrive\.live\.com)/"
+
+
+def with_parameter(url: Column, name: str, value: str) -> Column:
+    """The url with the query parameter set once, where it stood or at the end; all other parameters and the fragment stay."""
+    front, fragment = F.regexp_extract(url, r"^([^#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
+    bare = F.regexp_replace(front, rf"(?<=[?&]){name}(?:=[^&]*)?(?:&|$)", "")
+    bare = F.regexp_replace(bare, r"[?&]+$", "")
+    put = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit(f"{name}={value}"))
+    return F.concat(put, fragment)
+
+
+def direct_link(url: Column, sheet: str = "xlsx") -> Column:
+    """The direct download of a share link, its access keys kept; other urls as they are. Sheets come as ``sheet``."""
+    url = F.trim(url)
+    encoded = F.regexp_replace(F.translate(F.base64(F.encode(url, "UTF-8")), "/+\r\n", "_-"), "=+$", "")
+    out = F.when(url.rlike(ONEDRIVE), F.concat(F.lit("https://api.onedrive.com/v1.0/shares/u!"), encoded, F.lit("/root/content")))
+    for pattern, name in BY_PARAMETER:
+        out = out.when(url.rlike(pattern), with_parameter(url, name, "1"))
     for pattern, to in DIRECT:
-        then = F.regexp_replace(url, pattern, to)
-        out = F.when(url.rlike(pattern), then) if out is None else out.when(url.rlike(pattern), then)
+        out = out.when(url.rlike(pattern), F.regexp_replace(url, pattern, to.replace("{sheet}", sheet)))
     return out.otherwise(url)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewater.operators import monitor
+from tidewater.operators import monitor, windows
 from tidewater.sources.store import SnapshotStore
 
 
@@ -39,15 +39,29 @@ def day_windows(stream: DataFrame, ts: str, days: int, late: str = "5 minutes")
     return counts.select("w.start", F.col("w.end").alias("until"), "n")
 
 
+def _waiting(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows that the last batch before this one left undelivered."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path).where(F.col("batch") < batch_id)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    last = rows.agg(F.max("batch").alias("b")).first()["b"]
+    return None if last is None else rows.where(F.col("batch") == last).drop("batch")
+
+
 def _delivery(results: str, store_path: str, key: str, settings: str | None, report_all: bool, budget: int | None, order: str | None) -> Callable[[DataFrame, int], None]:
     def deliver(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = SnapshotStore(spark, store_path)
-        target = f"{results}/batch={batch_id}"
-        if batch.isEmpty():
+        target, left = f"{results}/batch={batch_id}", f"{store_path}/waiting"
+        waiting = _waiting(spark, left, batch_id) if budget is not None else None
+        if batch.isEmpty() and waiting is None:
             return  # an empty source never means that all rows are gone
-        rows = batch.dropDuplicates([key])
-        generation, known = store.current()
+        rows = windows.top_n(batch if waiting is None else batch.unionByName(waiting.select(batch.columns)), [key], [order or key], 1, "_n").drop("_n")
         seen = store.load(settings)
         if seen is None and not report_all:
             store.save(rows.select(key, F.lit(batch_id).cast("long").alias("batch")), settings)
@@ -55,11 +69,12 @@ def _delivery(results: str, store_path: str, key: str, settings: str | None, rep
         if seen is None:
             seen = spark.createDataFrame([], rows.select(key, F.lit(0).cast("long").alias("batch")).schema)
         before = seen.where(F.col("batch") != batch_id)  # a batch that is run again delivers the same rows again
-        out = monitor.unseen(rows, before, key)
-        if budget is not None:
-            out = out.orderBy(order or key, key).limit(budget)
+        new = monitor.unseen(rows, before, key)
+        out = new if budget is None else new.orderBy(order or key, key).limit(budget)
         out.write.mode("overwrite").parquet(target)
         done = spark.read.parquet(target).select(key, F.lit(batch_id).cast("long").alias("batch"))
+        if budget is not None:  # what is over the budget waits for the next batch
+            monitor.unseen(new, done, key).write.mode("overwrite").parquet(f"{left}/batch={batch_id}")
         store.save(before.unionByName(done), settings)
 
     return deliver
@@ -71,7 +86,8 @@ def monitor_stream(stream: DataFrame, results: str, store_path: str, checkpoint:
     The first batch is a silent baseline unless ``report_all``; other settings make a new one. Results are
     written first (overwriting the folder of the batch), then the seen keys as a new generation; after a
     failure the batch runs again and gives the same rows. With a ``budget`` only that many rows of a batch
-    are delivered, and only those are remembered: the rest is new again when it is next read.
+    are delivered, and only those are remembered: the rest is kept beside the store and comes with the next batch.
+    Of rows with one key the first in ``order`` counts.
     """
     return stream.writeStream.foreachBatch(_delivery(results, store_path, key, settings, report_all, budget, order)).option("checkpointLocation", checkpoint)
 
