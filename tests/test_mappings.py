@@ -1,11 +1,13 @@
 """Goldens of records, links, listings and texts that the given tables cannot show."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tidewater.functions import pages, products, trends
 from tidewater.functions import text as tx
 from tidewater.operators import documents as dc
-from tidewater.operators import listing, match
+from tidewater.operators import diff, listing, match, monitor
 from tidewater.sources import links
 
 
@@ -62,3 +64,35 @@ def test_sponsored_rows_take_no_key(spark):
     df = spark.createDataFrame([("a", 1, True, True), ("a", 2, False, False), ("a", 3, False, True), ("b", 4, None, True)], "k string, o int, ad boolean, special boolean")
     pick = lambda **o: sorted((r["k"], r["o"]) for r in listing.fresh_products(df, "k", "o", "ad", "special", **o).collect())
     assert pick() == [("a", 2), ("b", 4)] and pick(only_specials=True) == [("b", 4)] and pick(with_sponsored=True) == [("a", 1), ("b", 4)]
+
+
+def test_nested_changes_and_long_values(spark):
+    schema = "id int, a struct<b: struct<c: struct<d: struct<e: int>>>, f: array<int>>, t string"
+    long = "x" * 1500
+    before, after = (spark.createDataFrame([(1, ((((e,),),), f), t)], schema) for e, f, t in ((1, [1], long), (2, [1, 2], long + "y")))
+    changes = diff.snapshot_diff(before, after, ["id"], ["id"])
+    got = {r["field"]: (r["before"], r["after"], r["total"]) for r in diff.field_changes(changes, ["a", "t"]).collect()}
+    assert got["a.b.c.d"] == ('{"e":1}', '{"e":2}', 3) and got["a.f"][:2] == ("[1]", "[1,2]") and got["t"][0] != got["t"][1] and len(got["t"][0]) < 300
+    assert diff.field_changes(changes, ["a"], most=1).first()["total"] == 2
+
+
+def test_lines_start_from_their_first_word(spark):
+    """A slow drift of the baseline ends the line where it is too far from the first word, not from the neighbour."""
+    words = spark.createDataFrame([(1, float(10 * i), 10.0 * i + 8, 100 + 1.2 * i, 10.0, f"w{i}") for i in range(6)], "p int, x0 double, x1 double, y double, size double, text string")
+    assert [r["line_no"] for r in dc.word_lines(words, ["p"]).orderBy("x0").collect()] == [1, 1, 1, 2, 2, 2]
+
+
+def test_cursor_steps_over_a_full_page(spark):
+    page = spark.createDataFrame([(datetime.datetime(2024, 1, 1),)] * 3, "ts timestamp_ntz")
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    step = lambda full: spark.range(1).select(monitor.next_cursor(page, "ts", at, full)).first()[0]
+    assert step(3) == datetime.datetime(2024, 1, 1, 0, 0, 0, 1000) and step(4) == datetime.datetime(2024, 1, 1)
+
+
+def test_token_counts(spark):
+    import pytest
+
+    public = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([("one two",), ("",), (None,)], "t string")
+    got = [r["n"] for r in df.select(dc.token_count(F.col("t"), str(public.path("piece_bpe_32k.model"))).alias("n")).collect()]
+    assert got[0] >= 2 and got[1:] == [0, 0]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewater.operators.keys import with_key_and_hash
+from tidewater.operators.keys import abridged, with_key_and_hash
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -34,12 +35,29 @@ def summarize_changes(changes: DataFrame) -> DataFrame:
     return changes.agg(n("new").alias("n_new"), n("changed").alias("n_changed"), n("removed").alias("n_removed"), n("unchanged").alias("n_unchanged"), F.count_if(F.col("change_type") != "new").alias("previous_items"), F.count_if(F.col("change_type") != "removed").alias("current_items"))
 
 
-def field_changes(changes: DataFrame, fields: list[str], most: int = 20) -> DataFrame:
+def _leaves(kind: T.DataType, path: tuple[str, ...], depth: int) -> list[tuple[str, ...]]:
+    """Paths of a column's fields down to ``depth`` levels; arrays and what lies deeper stay whole."""
+    if isinstance(kind, T.StructType) and len(path) < depth:
+        return [p for f in kind.fields for p in _leaves(f.dataType, (*path, f.name), depth)]
+    return [path]
+
+
+def field_changes(changes: DataFrame, fields: list[str], most: int = 20, depth: int = 4) -> DataFrame:
     """(key, field, before, after, total): one row a changed field, by name, at most ``most`` a key.
 
-    Values are compared as text, null equal to null; ``total`` counts all changed fields.
+    Structs are compared field by field (``a.b``) down to ``depth`` levels, arrays and deeper structs as one JSON
+    text. Values are compared as text, null equal to null; long ones are shown by hash and beginning; ``total`` counts
+    all changed fields.
     """
-    entries = [F.struct(F.lit(f).alias("field"), F.col(f"before_{f}").cast("string").alias("before"), F.col(f"after_{f}").cast("string").alias("after")) for f in sorted(fields)]
+    def text(side: str, path: tuple[str, ...]) -> Column:
+        c, kind = F.col(f"{side}_{path[0]}"), changes.schema[f"{side}_{path[0]}"].dataType
+        for name in path[1:]:
+            c, kind = c[name], kind[name].dataType
+        return F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else c.cast("string")
+
+    paths = sorted(p for f in fields for p in _leaves(changes.schema[f"before_{f}"].dataType, (f,), depth))
+    entries = [F.struct(F.lit(".".join(p)).alias("field"), text("before", p).alias("before"), text("after", p).alias("after")) for p in paths]
     differs = F.filter(F.array(*entries), lambda e: ~e["before"].eqNullSafe(e["after"]))
     rows = changes.where("change_type = 'changed'").select("key", differs.alias("c"))
-    return rows.select("key", F.explode(F.slice("c", 1, most)).alias("e"), F.size("c").alias("total")).select("key", "e.field", "e.before", "e.after", "total")
+    out = rows.select("key", F.explode(F.slice("c", 1, most)).alias("e"), F.size("c").alias("total"))
+    return out.select("key", "e.field", abridged(F.col("e.before")).alias("before"), abridged(F.col("e.after")).alias("after"), "total")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Marks that end a sentence, signs that may open the next one, and words around a page number.
@@ -270,12 +271,26 @@ def body_size(words: DataFrame, keys: list[str], size: str = "size", text: str =
 def word_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, x0, x1, y, size, text) with ``line_no`` and ``segment_no``.
 
-    A line ends where the baseline moves by over max(1.5, 0.35 of the size) from the word before in order
-    of y; within a line a gap of over 0.9 of the size starts a segment.
+    In order of y, a word begins a line where it stands over max(1.5, 0.35 of the size) from the first word of the
+    line; within a line a gap of over 0.9 of the size starts a segment. Words come sorted by page, so a task keeps
+    only the first word of the line at hand.
     """
-    by_y, by_x = Window.partitionBy(*keys).orderBy("y", "x0"), Window.partitionBy(*keys, "line_no").orderBy("x0", "x1")
-    jump = F.abs(F.col("y") - F.lag("y").over(by_y)) > F.greatest(F.lit(1.5), F.col("size") * 0.35)
-    lined = words.withColumn("_j", F.coalesce(jump, F.lit(True))).withColumn("line_no", F.sum(F.col("_j").cast("int")).over(by_y)).drop("_j")
+    schema = T.StructType([*words.schema.fields, T.StructField("line_no", T.LongType())])
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, line = None, 0.0, 0
+        for pdf in batches:
+            numbers = []
+            for *key, y, size in zip(*[pdf[c] for c in (*keys, "y", "size")]):
+                if key != now:
+                    now, first, line = key, y, 1
+                elif abs(y - first) > max(1.5, 0.35 * size):
+                    first, line = y, line + 1
+                numbers.append(line)
+            yield pdf.assign(line_no=numbers)
+
+    lined = words.repartition(*keys).sortWithinPartitions(*keys, "y", "x0").mapInPandas(number, schema)
+    by_x = Window.partitionBy(*keys, "line_no").orderBy("x0", "x1")
     gap = F.coalesce(F.col("x0") - F.lag("x1").over(by_x) > F.col("size") * 0.9, F.lit(True))
     return lined.withColumn("_g", gap).withColumn("segment_no", F.sum(F.col("_g").cast("int")).over(by_x)).drop("_g")
 
@@ -310,3 +325,17 @@ def join_descriptions(rows: DataFrame, keys: list[str], order: str, has_numbers:
     """(keys, item_no, text): a row without numbers continues the description of the item above it."""
     marked = runs(rows.withColumn("_has", has_numbers), keys, order, F.col("_has"), "item_no")
     return marked.groupBy(*keys, "item_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias(text))
+
+
+def token_count(text: Column, model: str) -> Column:
+    """Tokens of a text by the sentencepiece model at the path ``model``, which every worker must be able to read; null has none."""
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=model)
+        for texts in batches:
+            yield pd.Series([len(x) for x in pieces.encode(texts.fillna("").tolist(), num_threads=1)])
+
+    return counted(text)

@@ -9,6 +9,9 @@ from tidewater.functions import values as v
 
 #: What columns, fields, totals and documents are called. The first that fits wins.
 ROLES = {
+    "line_number": r"#|no\.?|nr\.?|pos\.?|line|crt",
+    "sku": r"sku|code|art\.? ?n[or]\.?|item code|cod",
+    "unit": r"unit|uom|einheit|u\.?m\.?|unité|unidad",
     "description": r"description|item|product|article|bezeichnung|beschreibung|descriere|denumire|désignation|descripción",
     "quantity": r"qty|quantity|menge|anzahl|cantitate|quantité|cantidad|pcs|units",
     "unit_price": r"unit price|price|rate|einzelpreis|preis|pre[tț] unitar|pre[tț]|prix unitaire|prix|precio",
@@ -40,7 +43,8 @@ def header_roles(headers: DataFrame, keys: list[str], position: str, text: str)
     """(keys, role, position): one column a role: the first that fits, for line totals the right-most."""
     low, role = F.lower(F.trim(text)), None
     for name, words in ROLES.items():
-        hit = low.rlike(rf"(?:^|\b)(?:{words})(?:\b|$)")
+        whole = name in ("line_number", "sku", "unit")  # short words that also stand inside other headers
+        hit = low.rlike(rf"^(?:{words})$" if whole else rf"(?:^|\b)(?:{words})(?:\b|$)")
         role = F.when(hit, name) if role is None else role.when(hit, name)
     found = headers.withColumn("role", role).where("role is not null").groupBy(*keys, "role").agg(F.min(position).alias("_a"), F.max(position).alias("_b"))
     return found.select(*keys, "role", F.when(F.col("role") == "line_total", F.col("_b")).otherwise(F.col("_a")).alias(position))
@@ -77,3 +81,26 @@ def document_currency(lines: DataFrame, keys: list[str], order: str, text: str)
     each = lines.select(*keys, order, F.explode(named).alias("_s")).select(*keys, order, v.currency_of(F.col("_s")).alias("currency"))
     counted = each.groupBy(*keys, "currency").agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counted.groupBy(*keys).agg(F.min_by("currency", F.struct((-F.col("n")).alias("n"), "first", "currency")).alias("currency"))
+
+
+def line_check(quantity: Column, price: Column, amount: Column, discount: Column | None = None) -> Column:
+    """struct<status, amount>: ok if quantity x price is the amount, or is so less the discount or less that many percent; else differs.
+
+    Half a percent of the amount, and at least 0.011, may be missing. Without an amount it is computed; without a
+    quantity or price the status is null.
+    """
+    full = quantity * price
+    near = lambda x: F.coalesce(F.abs(x - amount) <= F.greatest(F.lit(0.011), F.abs(amount) * 0.005), F.lit(False))
+    less = F.lit(False) if discount is None else near(full - discount) | near(full * (1 - discount / 100))
+    status = F.when(full.isNull(), None).when(amount.isNull(), "computed").when(near(full) | less, "ok").otherwise("differs")
+    return F.struct(status.alias("status"), F.coalesce(amount, F.round(full, 2)).alias("amount"))
+
+
+def totals_check(line_sum: Column, subtotal: Column, tax: Column, total: Column) -> Column:
+    """struct<lines_ok, total_ok, total>: whether the lines make up the subtotal (else the total), and subtotal and tax the total.
+
+    The first allows a tenth of a percent, and at least 0.02, the second 0.02; checks without both sides are null. A
+    missing total is computed.
+    """
+    base = F.coalesce(subtotal, total)
+    return F.struct((F.abs(line_sum - base) <= F.greatest(F.lit(0.02), F.abs(base) * 0.001)).alias("lines_ok"), (F.abs(subtotal + tax - total) <= 0.02).alias("total_ok"), F.coalesce(total, F.round(subtotal + F.coalesce(tax, F.lit(0.0)), 2)).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text_of(c: Column | str) -> Column:
@@ -12,10 +13,22 @@ def text_of(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(c.cast("string"), r"^(-?\d+)\.0$", "$1"))
 
 
-def fingerprint(columns: list[str]) -> Column:
-    """16 characters of the base64url sha1 of the canonical JSON (sorted keys, nulls kept)."""
-    record = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
-    return F.substring(F.translate(F.base64(F.unhex(F.sha1(record))), "+/", "-_"), 1, 16)
+LONG = 1000  # characters of a text from which only its hash is compared
+
+
+def short_hash(c: Column) -> Column:
+    """16 characters of the base64url sha1 of a text."""
+    return F.substring(F.translate(F.base64(F.unhex(F.sha1(c))), "+/", "-_"), 1, 16)
+
+
+def abridged(c: Column) -> Column:
+    """A text of over LONG characters as its hash and first 200 characters; others as they are."""
+    return F.when(F.length(c) > LONG, F.to_json(F.struct(short_hash(c).alias("hash"), F.left(c, F.lit(200)).alias("preview")))).otherwise(c)
+
+
+def fingerprint(columns: list[str], texts: tuple[str, ...] = ()) -> Column:
+    """16 characters of the base64url sha1 of the canonical JSON (sorted keys, nulls kept); long values of the ``texts`` count by their hash."""
+    return short_hash(F.to_json(F.struct(*[(abridged(F.col(c)) if c in texts else F.col(c)).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}))
 
 
 def key_of(id_fields: list[str], fallback: Column | None = None) -> Column:
@@ -33,5 +46,5 @@ def key_of(id_fields: list[str], fallback: Column | None = None) -> Column:
 def with_key_and_hash(df: DataFrame, id_fields: list[str], compare: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
     """df with ``_key`` and ``_hash``; compared fields win, else all but the ignored and the key."""
     used = compare or [c for c in df.columns if c not in (ignore or [])]
-    h = fingerprint(used)
+    h = fingerprint(used, tuple(c for c in used if df.schema[c].dataType == T.StringType()))
     return df.withColumn("_hash", h).withColumn("_key", key_of(id_fields, h))

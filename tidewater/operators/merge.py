@@ -22,10 +22,11 @@ def merge_by_lowest(df: DataFrame, keys: list[str], price: str, order: str, fill
     return df.groupBy(*keys).agg(F.min(price).alias(price), *[first(c) for c in fill], *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags])
 
 
-def offers_summary(df: DataFrame, keys: list[str], provider: str, price: str, official: str) -> DataFrame:
-    """(keys, n_offers, cheapest, lowest, official_price)."""
+def offers_summary(df: DataFrame, keys: list[str], provider: str, price: str, official: str, headline: str | None = None) -> DataFrame:
+    """(keys, n_offers, cheapest, lowest, official_price); the lowest price is that of the offers or of the ``headline``."""
     rank = F.when(F.col(price).isNotNull(), F.struct(price, provider))
-    return df.groupBy(*keys).agg(F.count("*").alias("n_offers"), F.min_by(provider, rank).alias("cheapest"), F.min(price).alias("lowest"), F.min(F.when(F.col(official), F.col(price))).alias("official_price"))
+    lowest = F.min(price) if headline is None else F.least(F.min(price), F.min(headline))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_offers"), F.min_by(provider, rank).alias("cheapest"), lowest.alias("lowest"), F.min(F.when(F.col(official), F.col(price))).alias("official_price"))
 
 
 def requested_vs_found(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:

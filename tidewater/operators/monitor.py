@@ -11,6 +11,40 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
+def alerts(df: DataFrame, seen: DataFrame, key: str, published: str, baseline_from: Column, mode: str = "newly_published") -> DataFrame:
+    """Unseen rows; with newly_published only those published since the baseline, with newly_matching all of them."""
+    if mode not in ("newly_published", "newly_matching"):
+        raise ValueError(f"unknown alert mode {mode}")
+    new = unseen(df, seen, key)
+    return new.where(F.col(published) >= baseline_from) if mode == "newly_published" else new
+
+
+def quality_counters(df: DataFrame, key: str, valid: Column) -> DataFrame:
+    """One row (compared, duplicates, without_key, invalid): invalid rows are not compared, nor are those without a key."""
+    ok = F.coalesce(valid, F.lit(False))
+    per = df.groupBy(key, ok.alias("_ok")).agg(F.count("*").alias("_n"))
+    keyed = F.col("_ok") & F.col(key).isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    return per.agg(total(keyed).alias("compared"), (total(keyed) - F.count_if(keyed)).alias("duplicates"), total(F.col("_ok") & F.col(key).isNull()).alias("without_key"), total(~F.col("_ok")).alias("invalid"))
+
+
+def run_report(df: DataFrame, source: str, matched: Column, output: Column, failed: Column) -> DataFrame:
+    """(source, n_read, n_matched, n_output, n_failed, status): failed if nothing but failures came, partial with some, else ok."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    out = df.groupBy(source).agg(F.count("*").alias("n_read"), n(matched).alias("n_matched"), n(output).alias("n_output"), n(failed).alias("n_failed"))
+    return out.withColumn("status", F.when(F.col("n_failed") == F.col("n_read"), "failed").when(F.col("n_failed") > 0, "partial").otherwise("ok"))
+
+
+def next_cursor(page: DataFrame, ts: str, cursor: Column, full: int) -> Column:
+    """Where the next read of a change feed starts: the last time of the page, 1 ms later if a full page holds only the cursor's own time.
+
+    Evaluated on the driver from one row; the literal it returns is null for an empty page.
+    """
+    row = page.agg(F.max(ts).alias("last"), F.count("*").alias("n"), F.count_if(F.col(ts) > cursor).alias("later")).first()
+    last = F.lit(row["last"]).cast("timestamp_ntz")
+    return last + F.expr("interval 1 millisecond") if row["n"] >= full and not row["later"] else last
+
+
 def increment(df: DataFrame, ts: str, key: str, cursor: Column, at_cursor: DataFrame) -> DataFrame:
     """Rows from the cursor on, without the ids already delivered at the cursor itself."""
     return df.where(F.col(ts) >= cursor).join(at_cursor.select(key), key, "left_anti")

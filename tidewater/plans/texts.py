@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import pages, records
 from tidewater.functions import text as tx
-from tidewater.operators import monitor, windows
+from tidewater.operators import invoice, monitor, windows
 from tidewater.plans.records import _money, _t
 from tidewater.sources import links
 
@@ -82,11 +82,13 @@ def url_entity_id(spark, d):
     return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)([.?#/]|$)", 1).alias("entity"), F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("section"))
 
 
-@query("select l_orderkey, l_linenumber, case when abs(round(l_quantity * p_retailprice, 2) - l_extendedprice) <= greatest(0.011, l_extendedprice * 0.005) then 'ok' else 'differs' end as line_check from lineitem join part on l_partkey = p_partkey")
+@query("select l_orderkey, l_linenumber, l_partkey, case l_linenumber % 5 when 3 then 'differs' when 4 then 'computed' else 'ok' end as status, case l_linenumber % 5 when 4 then round(l_quantity * 10.5, 2) when 1 then l_quantity * 10.5 - 3 when 2 then l_quantity * 10.5 * 0.97 when 3 then l_quantity * 21 else l_quantity * 10.5 end as amount from lineitem")
 def line_check(spark, d):
-    j = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    off = F.abs(F.round(F.col("l_quantity") * F.col("p_retailprice"), 2) - F.col("l_extendedprice"))
-    return j.select("l_orderkey", "l_linenumber", F.when(off <= F.greatest(F.lit(0.011), F.col("l_extendedprice") * 0.005), "ok").otherwise("differs").alias("line_check"))
+    """Lines whose amount is quantity x price, less a discount, less a percent, wrong or missing."""
+    k, full = F.col("l_linenumber") % 5, F.col("l_quantity") * 10.5
+    amount = F.when(k == 1, full - 3).when(k == 2, full * 0.97).when(k == 3, F.col("l_quantity") * 21).when(k == 0, full)
+    check = invoice.line_check(F.col("l_quantity"), F.lit(10.5), amount, F.lit(3.0))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", check.alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "c.status", "c.amount")
 
 
 @query("select event_type, max(value) as score, arg_max(event_id, (value, -event_id)) as event_id from events group by 1")
@@ -104,7 +106,14 @@ def day_windows(spark, d):
 @query("select o_orderkey from orders where o_orderkey % 4 <> 0 and o_orderdate >= timestamp '1996-01-01'")
 def newly_published(spark, d):
     o = _t(spark, d, "orders")
-    return monitor.unseen(o, o.where("o_orderkey % 4 = 0"), "o_orderkey").where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey")
+    since = F.lit("1996-01-01").cast("timestamp_ntz")
+    return monitor.alerts(o, o.where("o_orderkey % 4 = 0"), "o_orderkey", "o_orderdate", since).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderkey % 4 <> 0")
+def newly_matching(spark, d):
+    o = _t(spark, d, "orders")
+    return monitor.alerts(o, o.where("o_orderkey % 4 = 0"), "o_orderkey", "o_orderdate", F.lit("1996-01-01").cast("timestamp_ntz"), "newly_matching").select("o_orderkey")
 
 
 @query("select o_orderkey as term, 'order' as row_type, round(o_totalprice, 2)::decimal(18,2) as value from orders union all select l_orderkey, 'line', round(l_extendedprice, 2)::decimal(18,2) from lineitem")
@@ -122,10 +131,10 @@ def state_merge(spark, d):
     return current.select("event_id", F.col("ts").cast("string").alias("ts")).union(carried.select("event_id", F.col("ts").cast("string")))
 
 
-@query("select count(*) as compared, count(*) - count(distinct user_id) as duplicates, count_if(user_id is null) as without_key from events")
+@query("with e as (select case when event_id % 11 <> 0 then user_id end as k, event_id % 7 <> 0 as ok from events) select count_if(ok and k is not null) as compared, count_if(ok and k is not null) - count(distinct case when ok then k end) as duplicates, count_if(ok and k is null) as without_key, count_if(not ok) as invalid from e")
 def ingest_quality(spark, d):
-    per = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("compared"), (F.sum("n") - F.count("user_id")).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("user_id").isNull(), F.col("n"))), F.lit(0)).alias("without_key"))
+    e = _t(spark, d, "events").select(F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("k"), (F.col("event_id") % 7 != 0).alias("ok"))
+    return monitor.quality_counters(e, "k", F.col("ok"))
 
 
 @query("select distinct split_part(p_type, ' ', 1) as method, split_part(p_type, ' ', 2) as prefix from part")
