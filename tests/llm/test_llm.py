@@ -197,6 +197,8 @@ def test_chat(spark):
     d = {r["conv_id"]: r for r in chat.digests(f).collect()}
     assert d[1]["loss_sha256"] == hashlib.sha256("back\\slash [INST] é".encode()).hexdigest() and d[3]["loss_chars"] == 100_000 and d[2]["n_turns"] == 3
     assert chat.format_conversations(df.limit(0)).count() == 0
+    named = chat.digests(chat.format_conversations(spark.createDataFrame([("a-1", 0, "user", "x"), ("", 0, "user", "y"), (None, 0, "user", "z")], "conv_id string, turn long, role string, text string")))
+    assert {(r["conv_id"], r["turns_sha256"]) for r in named.collect()} == {(i, hashlib.sha256(f"user\n{t}\n".encode()).hexdigest()) for i, t in (("a-1", "x"), ("", "y"), (None, "z"))}
     assert chat.render([("user", "plain")])[0] == "<s>user\nplain</s>\n"
 
 

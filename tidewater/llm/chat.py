@@ -70,7 +70,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 
     Null texts and roles are empty; rows with a null conversation id make one conversation of their own
     with a null id; null turns come first; ties of turn are ordered by role, then text, and repeated rows
-    are repeated turns. An empty table gives an empty result; other columns are not read. Rows arrive
+    are repeated turns. Ids may be of any type that is printed and read back, such as text. An empty table gives an empty result; other columns are not read. Rows arrive
     sorted and stream through the task, so that only the conversation at hand is held.
     """
 
@@ -90,14 +90,15 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
                 key = c
                 turns.append((r, t))
             if out:
-                yield pd.DataFrame(out, columns=names).assign(conv_id=lambda x: x["conv_id"].where(x["conv_id"] != "", None).astype("Int64"))
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if turns:
-            yield pd.DataFrame([done(key, turns)], columns=names).assign(conv_id=lambda x: x["conv_id"].where(x["conv_id"] != "", None).astype("Int64"))
+            yield pd.DataFrame([done(key, turns)], columns=names)
 
-    own = rows.select(F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("k"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("t"))
+    own = rows.select(F.coalesce(F.concat(F.lit(":"), F.col(conv).cast("string")), F.lit("")).alias("k"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("t"))
     dealt = own.repartition("k").sortWithinPartitions("k", "n", "r", "t")
-    return dealt.select("k", "r", "t").mapInPandas(run, "conv_id long, n_turns long, formatted string, loss_starts array<int>, loss_ends array<int>")
+    out = dealt.select("k", "r", "t").mapInPandas(run, "conv_id string, n_turns long, formatted string, loss_starts array<int>, loss_ends array<int>")
+    return out.withColumn("conv_id", F.when(F.col("conv_id") != "", F.substring("conv_id", 2, 1 << 30)).cast(rows.schema[conv].dataType))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -111,6 +112,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 loss = "".join(_ESCAPED.sub(r"\1", text[a:b]) for a, b in zip(starts, ends, strict=True))
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((c, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    own = formatted.withColumn("conv_id", F.col("conv_id").cast("string"))
+    return own.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast(formatted.schema["conv_id"].dataType))

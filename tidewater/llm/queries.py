@@ -49,6 +49,7 @@ select page_id, host, path, rule, coalesce(fit.action, own.action, 'allow') as v
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by 3-word shingles at 0.85."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
@@ -65,6 +66,7 @@ select n.doc_id, n_shingles, min(b) as component_id, n.doc_id = min(b) as kept f
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth one."""
     e = table(spark, sf_dir, "embeddings")
     return topk.top_k(e, e.where("vec_id % 50 = 0"), k=5)
 
@@ -79,6 +81,7 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and conversation -7, read back from their formatted texts."""
     own = spark.createDataFrame([(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.format_conversations(rows))
@@ -178,10 +181,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and spans of every document, learnt from the rows that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learnt from the rows that are not held out."""
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
