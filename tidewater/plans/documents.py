@@ -8,19 +8,9 @@ from tidewater.functions import markdown
 from tidewater.operators import documents as dc
 from tidewater.operators import windows
 from tidewater.plans.records import _t
+from tidewater.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 _LINES = "with l as (select doc_id, source, generate_subscripts(a, 1)::int as n, unnest(a) as line from (select doc_id, source, string_split(text, chr(10)) as a from documents))"

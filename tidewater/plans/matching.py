@@ -9,19 +9,11 @@ from tidewater.functions import text as tx
 from tidewater.functions import values as v
 from tidewater.operators import match, monitor, windows
 from tidewater.plans.records import _money, _t
+from tidewater.plans.registry import registry
 from tidewater.plans.snapshots import _SQL as _DIFF_SQL
 from tidewater.plans.snapshots import _changes
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 @query("""with l as (select p_name as name, min(p_partkey) as pos, list_distinct(string_split(p_name, ' ')) as u from part group by 1),

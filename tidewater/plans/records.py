@@ -8,17 +8,9 @@ from pyspark.sql import functions as F
 from tidewater.functions import criteria
 from tidewater.functions import text as tx
 from tidewater.operators import invoice, keys, merge, monitor, series, windows
+from tidewater.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -11,19 +11,11 @@ from tidewater.functions import values as v
 from tidewater.operators import documents as dc
 from tidewater.operators import invoice, listing, windows
 from tidewater.plans.records import _money, _t
+from tidewater.plans.registry import registry
 from tidewater.sources import bodies, items, links
 from tidewater.streaming import feeds
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def _list(order: str, *fields, name: str = "rows"):

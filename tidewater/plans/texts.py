@@ -8,18 +8,10 @@ from tidewater.functions import pages, records
 from tidewater.functions import text as tx
 from tidewater.operators import invoice, monitor, windows
 from tidewater.plans.records import _money, _t
+from tidewater.plans.registry import registry
 from tidewater.sources import links
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 @query("select min(page_id) as page_id, url from (select page_id, case when page_id % 2 = 0 then 'https://' || regexp_extract(url, '://(.*)', 1) else url end as url from pages where page_id % 5 <> 0) group by url")
