@@ -88,6 +88,8 @@ def test_near_duplicates(spark, odd):
     assert {r["component_id"] for r in edge if (r["doc_id"] or 0) >= 7} == {7}
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
     assert Counter(r["doc_id"] for r in near_dup.drop_near_duplicates(odd).collect()) == Counter([1, 2, 3, None, 5, 7])
+    twice = docs_of(spark, [(1, "one text of some words here", "s"), (2, "one text of some words here", "s"), (2, "another text of other words there", "s"), (3, "a third of its own and no other", "s")])
+    assert Counter(r["doc_id"] for r in near_dup.drop_near_duplicates(twice).collect()) == Counter([1, 2, 3])
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

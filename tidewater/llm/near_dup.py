@@ -238,9 +238,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     rows while they are few enough to broadcast, so that the texts that stay are not shuffled.
     """
     scratch = Scratch(docs.sparkSession)
-    marks = scratch.cut(near_duplicates(docs, id_col, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("times")).where("not kept or times > 1"))
+    marks = scratch.cut(near_duplicates(docs, id_col, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1"))
     gone = marks.where("not kept").select(id_col)
-    twice = marks.where("kept").select(id_col)  # ids with several rows kept
+    twice = marks.where("kept").select(id_col)  # ids that stay with several rows
     out = docs.join(broadcast_if(gone, gone.count(), MOST_IDS), id_col, "left_anti").select(docs.columns)
     n = twice.count()
     if n:
