@@ -47,6 +47,35 @@ def test_whole_listing_has_every_part(spark):
 
 
 def test_numbered_with_ties_and_nulls(spark):
-    df = spark.createDataFrame([(2.5, 1), (None, 2), (2.1, 3), (0.5, 4), (2.5, 0)], "p double, k int").withColumn("b", F.floor("p"))
-    got = windows.numbered(df, "b", [F.asc_nulls_last("p"), "k"]).collect()
+    df = spark.createDataFrame([(2.5, 1), (None, 2), (2.1, 3), (0.5, 4), (2.5, 0)], "p double, k int")
+    got = windows.numbered(df, [F.asc_nulls_last("p"), "k"]).collect()
     assert [r["k"] for r in sorted(got, key=lambda r: r["position"])] == [4, 3, 0, 1, 2]
+    assert windows.numbered(df.limit(0), ["p"]).count() == 0
+
+
+def test_numbered_beyond_latin_letters(spark):
+    names = ["až", "b", "ba", "aa", "žx", "z", "", "я", "a\U0001F600"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, _at int")
+    got = windows.numbered(df, [F.desc("name")]).collect()
+    assert [r["name"] for r in sorted(got, key=lambda r: r["position"])] == sorted(names, key=lambda n: n.encode(), reverse=True)
+    assert set(got[0].asDict()) == {"name", "_at", "position"}
+
+
+def test_numbered_within_keys_and_hot_values(spark):
+    rows = [("hot", 1.0, i) for i in range(3000)] + [(None, float(i), i) for i in range(50)] + [(f"k{i % 40}", float(-i), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = windows.numbered(df, ["v"], "n", ["k"], size="of")
+        got = out.collect()
+        dealt = [f["n"] for f in spark.read.parquet(*{x.rpartition("/")[0] for x in out.inputFiles()}).groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append((r["n"], r["v"], r["of"]))
+    assert len(got) == len(rows) and len(by) == 42
+    for x in by.values():
+        x.sort()
+        assert [n for n, _, _ in x] == list(range(1, len(x) + 1)) and [v for _, v, _ in x] == sorted(v for _, v, _ in x) and {of for _, _, of in x} == {len(x)}
+    assert len(dealt) > 1 and max(dealt) <= 2 * sum(dealt) / len(dealt)  # one value in most rows is spread

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.scratch import Scratch
+
 Order = Sequence[Column | str]
 
 
@@ -16,20 +18,49 @@ def ranked(df: DataFrame, keys: list[str], order: Order, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def numbered(df: DataFrame, bucket: str, order: Order, name: str = "position", keys: Sequence[str] = ()) -> DataFrame:
-    """df with the position of each row in one order over all, or over each key; ``bucket`` must rise with the order, nulls last.
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores at their ends where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
 
-    Only the table of bucket sizes is summed in one task a key; rows are sorted within their bucket.
+def numbered(df: DataFrame, order: Order, name: str = "position", keys: Sequence[str] = (), size: str | None = None) -> DataFrame:
+    """df with the position of each row, from 1, in one order over all or over each key; ``size``: a column for the rows of the key.
+
+    Rows are dealt by ranges that Spark samples, sorted there and written with their place; the counts of the ranges
+    (a row for each range and key in it) then say where each range starts. Rows equal in keys and order keep the order
+    of the input, so that even one value in a third of all rows is spread over ranges. Null keys are one key; nulls
+    stand where ``order`` puts them; an empty table stays empty.
     """
-    low = F.col(bucket).isNull()
-    before = Window.partitionBy(*keys).orderBy(low, bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = F.col(bucket).eqNullSafe(F.col("_b"))
+    tie, at, part, start, total = _free(df, "_tie", "_at", "_part", "_start", "_total")
+    by = [*[F.asc(k) for k in keys], *order, F.asc(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
+    placed = Scratch(df.sparkSession).cut(dealt.select(*df.columns, F.shiftright(at, 33).alias(part), (F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(at)))
+    sizes = placed.groupBy(*keys, part).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    over = Window.partitionBy(*keys)
+    before = F.sum("n").over(over.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(part).alias("_p"), (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias(start), F.sum("n").over(over).alias(total))
+    same = placed[part] == starts["_p"]
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = df.join(starts, same)
-    return out.withColumn(name, F.col("_start") + F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))).drop("_b", "_start", *[f"_k{i}" for i in range(len(keys))])
+        same = same & placed[k].eqNullSafe(starts[f"_k{i}"])
+    added = [(placed[at] + starts[start]).alias(name), *([starts[total].alias(size)] if size else [])]
+    return placed.join(starts, same).select(*[placed[c] for c in df.columns if c not in (name, size)], *added)
+
+
+def anchor_groups(terms: DataFrame, term: str, most: int) -> DataFrame:
+    """(grp, term): the terms after the first, in their order, in groups of ``most``, each group with the first term too.
+
+    The first term is the anchor that all groups share; null terms are no terms; a single term makes no group.
+    """
+    n = numbered(terms.where(F.col(term).isNotNull()).select(F.col(term).alias("term")), ["term"], "n")
+    rest = n.where("n > 1").select(F.floor((F.col("n") - 2) / most).alias("grp"), "term")
+    anchor = n.where("n = 1").select("term")  # one row
+    return rest.union(rest.where((F.col("grp") >= 0)).select("grp").distinct().join(F.broadcast(anchor)).select("grp", "term"))
 
 
 def top_n(df: DataFrame, keys: list[str], order: Order, n: int, name: str = "rank") -> DataFrame:

@@ -141,9 +141,5 @@ def truncated_diff(spark, d):
 
 @query("with t as (select term, row_number() over (order by term) - 2 as n from (select distinct p_name as term from part)) select (n // 4)::int as grp, term from t where n >= 0 union all select distinct (n // 4)::int, (select min(p_name) from part) from t where n >= 0")
 def anchor_groups(spark, d):
-    """Terms numbered by their first letters, the first of all as the anchor of each group."""
-    terms = _t(spark, d, "part").select(F.col("p_name").alias("term")).distinct().withColumn("_first", F.left("term", F.lit(3)))
-    rest = windows.numbered(terms, "_first", ["term"], "n").withColumn("n", F.col("n") - 2)
-    groups = rest.where("n >= 0").select(F.floor(F.col("n") / 4).cast("int").alias("grp"), "term")
-    anchor = terms.agg(F.min("term").alias("term"))  # one row
-    return groups.union(groups.select("grp").distinct().join(F.broadcast(anchor)).select("grp", "term"))
+    """Terms in their order, the first of all as the anchor of each group of four."""
+    return windows.anchor_groups(_t(spark, d, "part").select(F.col("p_name").alias("term")).distinct(), "term", 4).select(F.col("grp").cast("int").alias("grp"), "term")

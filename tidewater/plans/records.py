@@ -38,9 +38,9 @@ def latest_revision_filter(spark, d):
 
 @query("select event_type, event_id, row_number() over (partition by event_type order by ts desc, event_id)::int as rank from events")
 def feed_rank(spark, d):
-    """By hours of a feed, newest first, so that a hot feed is no single task."""
-    e = _t(spark, d, "events").withColumn("_hours", -F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
-    return windows.numbered(e, "_hours", [F.desc("ts"), "event_id"], "rank", ["event_type"]).select("event_type", "event_id", F.col("rank").cast("int").alias("rank"))
+    """Each feed's events, newest first, dealt by ranges, so that a hot feed is no single task."""
+    e = _t(spark, d, "events").select("event_type", "event_id", "ts")
+    return windows.numbered(e, [F.desc("ts"), "event_id"], "rank", ["event_type"]).select("event_type", "event_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber)::int as rank from lineitem qualify rank <= 3")
@@ -58,16 +58,16 @@ _BY_PRICE = "select p_partkey, p_name, row_number() over (order by p_retailprice
 
 @query("select p_partkey, p_name, row_number() over (order by p_name desc, p_partkey)::int as position from part")
 def sorted_listing(spark, d):
-    """Every part in an order that the caller chose: names downwards, numbered by their first letters."""
-    p = _t(spark, d, "part").withColumn("_first", -F.ascii("p_name") * 256 - F.ascii(F.substring("p_name", 2, 1)))
-    return windows.numbered(p, "_first", [F.desc("p_name"), "p_partkey"], "position").select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
+    """Every part in an order that the caller chose: names downwards."""
+    p = _t(spark, d, "part").select("p_partkey", "p_name")
+    return windows.numbered(p, [F.desc("p_name"), "p_partkey"]).select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
 
 
 @query(_BY_PRICE)
 def whole_listing(spark, d):
-    """Every part in its order, numbered by cents of the price: no window over the whole table."""
-    p = _t(spark, d, "part").withColumn("_cents", F.floor(F.col("p_retailprice") * 100))
-    return windows.numbered(p, "_cents", ["p_retailprice", "p_partkey"], "position").select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
+    """Every part in its order by price."""
+    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    return windows.numbered(p, ["p_retailprice", "p_partkey"]).select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
 
 
 @query("select event_id, user_id from events where event_id not in (select event_id from events where event_id % 3 = 0)")
@@ -237,9 +237,9 @@ def pad_ids(spark, d):
 
 @query("select c_custkey, 'CERT-' || lpad(row_number() over (order by c_custkey)::varchar, 6, '0') as serial from customer")
 def sequence_ids(spark, d):
-    """Numbers from counts of key ranges before each row: no window over the whole table."""
-    c = _t(spark, d, "customer").select("c_custkey").withColumn("b", F.floor(F.col("c_custkey") / 1024))
-    return windows.numbered(c, "b", ["c_custkey"]).select("c_custkey", F.concat(F.lit("CERT-"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("serial"))
+    """Numbers by the order of keys."""
+    c = _t(spark, d, "customer").select("c_custkey")
+    return windows.numbered(c, ["c_custkey"]).select("c_custkey", F.concat(F.lit("CERT-"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("serial"))
 
 
 @query("select p_partkey, p_type || case when n > 1 then '_' || n else '' end as unique_name from (select p_partkey, p_type, row_number() over (partition by p_type order by p_partkey) as n from part)")
