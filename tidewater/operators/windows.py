@@ -29,18 +29,18 @@ def _free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, order: Order, name: str = "position", keys: Sequence[str] = (), size: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: Order, name: str = "position", keys: Sequence[str] = (), size: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """df with the position of each row, from 1, in one order over all or over each key; ``size``: a column for the rows of the key.
 
     Rows are dealt by ranges that Spark samples, sorted there and written with their place; the counts of the ranges
     (a row for each range and key in it) then say where each range starts. Rows equal in keys and order keep the order
     of the input, so that even one value in a third of all rows is spread over ranges. Null keys are one key; nulls
-    stand where ``order`` puts them; an empty table stays empty.
+    stand where ``order`` puts them; an empty table stays empty. The result reads a table of ``scratch``.
     """
     tie, at, part, start, total = _free(df, "_tie", "_at", "_part", "_start", "_total")
     by = [*[F.asc(k) for k in keys], *order, F.asc(tie)]
     dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
-    placed = Scratch(df.sparkSession).cut(dealt.select(*df.columns, F.shiftright(at, 33).alias(part), (F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(at)))
+    placed = (scratch or Scratch(df.sparkSession)).cut(dealt.select(*df.columns, F.shiftright(at, 33).alias(part), (F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(at)))
     sizes = placed.groupBy(*keys, part).agg(F.count("*").alias("n"), F.min(at).alias("first"))
     over = Window.partitionBy(*keys)
     before = F.sum("n").over(over.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
