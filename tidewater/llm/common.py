@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.scratch import Scratch, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,46 +35,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in a local session that sets none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables written to the shared folder, so that later stages neither recompute nor lose them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n, self.held = spark, f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}", 0, []
-
-    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        out = self.put(df)
-        self.held.append(out)
-        return out[0]
-
-    def free(self, *keep: DataFrame) -> None:
-        """Deletes the tables of ``cut`` but those that a result still reads."""
-        for df, path in self.held:
-            if not any(df is k for k in keep):
-                self.drop(path)
-        self.held = [x for x in self.held if any(x[0] is k for k in keep)]
-
-    def drop(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def broadcast_if(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """A hint only below a counted number of narrow rows; beyond it Spark shuffles (and splits skew)."""
     return F.broadcast(df) if rows <= most else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, line_dedup, lm, mixing, near_dup, quality, topk, toxicity, url_filter
+from tidewater.llm import chat, decontaminate, line_dedup, lm, merkle, mixing, near_dup, quality, topk, toxicity, url_filter
 from tidewater.llm.common import table
 
 #: The rules of op3 as (host, path prefix, action).
@@ -190,5 +190,37 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and tamper check of every document in the manifest by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.manifest(docs, "doc_id", "source", docs.columns, *merkle.lower_case_tampered(docs))
+
+
+OP12_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, source, lang, n_chars, text, case when c % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as other from (select *,
+  xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) as c from documents)),
+part as (select r, source, doc_id, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head, text, other from d),
+leaf as (select r, source, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as h, sha256(head || coalesce(strlen(other) || ':' || other, '-')) as o from part),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as pos from leaf),
+tree(source, lvl, pos, h) as (select source, 0, pos, h from placed
+  union all select source, lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by source) as n from tree) where n > 1 group by source, lvl, pos // 16),
+sub as (select *, row_number() over (order by source nulls first) - 1 as pos from (select source, h as subroot from tree qualify row_number() over (partition by source order by lvl desc) = 1)),
+crown(lvl, pos, h) as (select 0, pos, subroot from sub
+  union all select lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over () as n from crown) where n > 1 group by lvl, pos // 16),
+runs as (select source, lvl, pos // 16 as run, list(h order by pos) as hs, count(*) as k from tree group by all),
+top_runs as (select lvl, pos // 16 as run, list(h order by pos) as hs from crown group by all),
+height as (select source, max(lvl) as top from tree group by source),
+crown_height as (select max(lvl) as top from crown),
+step(r, source, lvl, pos, proof, folded) as (select r, source, 0, pos, '', o from placed
+  union all select s.r, s.source, s.lvl + 1, s.pos // 16, s.proof || array_to_string(hs[:s.pos % 16], '') || array_to_string(hs[s.pos % 16 + 2:], ''), sha256(array_to_string(hs[:s.pos % 16], '') || s.folded || array_to_string(hs[s.pos % 16 + 2:], ''))
+  from step s join height g on s.source is not distinct from g.source and s.lvl < g.top join runs x on x.source is not distinct from s.source and x.lvl = s.lvl and x.run = s.pos // 16),
+way(r, lvl, pos, proof, folded) as (select s.r, 0, sub.pos, s.proof, s.folded from step s join height g on s.source is not distinct from g.source and s.lvl = g.top join sub on sub.source is not distinct from s.source
+  union all select w.r, w.lvl + 1, w.pos // 16, w.proof || array_to_string(hs[:w.pos % 16], '') || array_to_string(hs[w.pos % 16 + 2:], ''), sha256(array_to_string(hs[:w.pos % 16], '') || w.folded || array_to_string(hs[w.pos % 16 + 2:], ''))
+  from way w join crown_height on w.lvl < top join top_runs x on x.lvl = w.lvl and x.run = w.pos // 16)
+select p.doc_id, p.h as leaf, sub.subroot, c.h as root, sha256(w.proof) as proof_sha256, w.folded as folded_root, w.folded = c.h as verified
+from placed p join sub on sub.source is not distinct from p.source join way w on w.r = p.r join crown_height on w.lvl = top join crown c on c.lvl = top
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm, op12_merkle)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op12_merkle": OP12_SQL}
