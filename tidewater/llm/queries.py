@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, line_dedup, lm, merkle, mixing, near_dup, quality, topk, toxicity, url_filter
+from tidewater.llm import chat, decontaminate, hard_negatives, line_dedup, lm, merkle, mixing, near_dup, quality, simhash, topk, toxicity, url_filter
 from tidewater.llm.common import table
 
 #: The rules of op3 as (host, path prefix, action).
@@ -190,6 +190,23 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector, with a seventh of the labels moved."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(e, e.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+p as (select anchor_id, vec_id as positive_id, score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score qualify rank <= 3
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and tamper check of every document in the manifest by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -222,5 +239,10 @@ from placed p join sub on sub.source is not distinct from p.source join way w on
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm, op12_merkle)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op12_merkle": OP12_SQL}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document by 3-word shingles at 3 bits."""
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm, op11_hard_negatives, op12_merkle, op13_simhash)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL}
