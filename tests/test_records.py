@@ -50,4 +50,4 @@ def test_trends_and_pages(spark):
     html = '<html lang="en"><meta property="og:description" content="D"><meta name="author" content="http://a"><link rel="canonical" href="C"><li><a href="1">one</a></li><li><a href="2">two</a></li>'
     x = one(spark, m=r.head_meta(F.lit(html)), c=r.related_coverage(F.lit(html)), s=r.term_status(a=F.lit(1), b=F.lit(None)), n=r.count_range(F.lit(100), F.lit(None).cast("int")), o=r.objects_with(F.lit('{"a": [{"h": 1, "b": {"h": 2}}, [{"h": 3}]]}'), "h"), v=r.video_id(F.struct(F.lit("https://youtu.be/abcdefghijk").alias("u"))))
     assert tuple(x["m"]) == ("D", None, None, "C", "en") and [tuple(y) for y in x["c"]] == [("2", "two")] and x["s"] == "partial" and x["n"] == "100+"
-    assert x["o"] == ['{"b": {"h": 2}, "h": 1}', '{"h": 3}'] and x["v"] == "abcdefghijk"
+    assert x["o"] == ['{"b":{"h":2},"h":1}', '{"h":3}'] and x["v"] == "abcdefghijk"

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tidewater.sources.store import SnapshotStore
+from tidewater.sources.seen import SeenStore
 from tidewater.streaming import feeds
 
 SCHEMA = "id long, ts timestamp, link string"
@@ -41,7 +41,7 @@ def test_monitor(spark, tmp_path):
 
     _put(spark, src, [(i, "2024-01-01 00:00:00", "x") for i in range(5)])
     run()
-    assert SnapshotStore(spark, seen).load().count() == 5 and not (tmp_path / "out").exists()  # silent baseline
+    assert SeenStore(spark, seen).load("id", "long").count() == 5 and not (tmp_path / "out").exists()  # silent baseline
     _put(spark, src, [(i, "2024-01-02 00:00:00", "x") for i in (3, 4, 5, 6, 7)])
     run(budget=2)
     assert _ids(spark, out) == [5, 6]

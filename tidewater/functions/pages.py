@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.variants import has_field, tree_nodes
+
 #: What only such pages say.
 CAPTCHA_PHRASES = ("our systems have detected unusual traffic", 'id="captcha-form"')
 RATE_PHRASES = ("error 429", "too many requests")
@@ -17,15 +16,19 @@ CONSENT_TITLE = "before you continue"
 def block_kind(url: Column, status: Column, html: Column, head: int | None = None) -> Column:
     """captcha, consent, rate-limited, blocked, unauthorized, http-error or ok: the first that fits.
 
-    ``head`` bounds the characters looked at; by default the whole page is. A consent page is told by its host, or by a
-    form that saves the choice beside its path, its title or its host.
+    ``head`` bounds the characters looked at; by default the whole page is. A consent page stands on a host for consent,
+    or has a form that saves a choice there, or one that saves it anywhere under a title or path that asks for it.
     """
     low = F.lower(F.coalesce(html if head is None else F.substring(html, 1, head), F.lit("")))
     u = F.lower(F.coalesce(url, F.lit("")))
     says = lambda words: [F.contains(low, F.lit(w)) for w in words]
     captcha = u.rlike("/sorry/") | says(CAPTCHA_PHRASES)[0] | says(CAPTCHA_PHRASES)[1]
-    saves = low.rlike(r'<form\b[^>]*\baction="[^"]*/save"')
-    consent = u.rlike(r"^[a-z]+://consent\.") | (saves & (u.rlike(r"^[a-z]+://[^/]+/consent\b") | low.rlike(rf"<title>\s*{CONSENT_TITLE}") | low.rlike(r'action="https://consent\.[^"]*/save"')))
+    forms = F.transform(F.regexp_extract_all(low, F.lit(r"<form\b[^>]*>"), F.lit(0)), lambda f: F.regexp_extract(f, r'\saction\s*=\s*["\']?([^"\'\s>]*)', 1))
+    savers = F.filter(forms, lambda a: F.endswith(F.regexp_replace(a, "[?#].*$", ""), F.lit("/save")))  # where a choice is sent to
+    own = lambda address: F.startswith(F.coalesce(F.try_parse_url(address, F.lit("HOST")), F.lit("")), F.lit("consent."))
+    titles = F.regexp_extract_all(low, F.lit(r"<title>\s*([^<]*)"), F.lit(1))
+    asks = F.exists(titles, lambda t: F.startswith(t, F.lit(CONSENT_TITLE))) | F.startswith(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit("/consent"))
+    consent = own(u) | (F.exists(savers, own)) | ((F.size(savers) > 0) & asks)
     rate = (status == 429) | (says(RATE_PHRASES)[0] & says(RATE_PHRASES)[1])
     code = F.coalesce(status, F.lit(200))
     return F.when(captcha, "captcha").when(consent, "consent").when(F.coalesce(rate, F.lit(False)), "rate-limited").when(code == 403, "blocked").when(code == 401, "unauthorized").when(code >= 400, "http-error").otherwise("ok")
@@ -36,35 +39,17 @@ def page_info(tree: Column, page_key: str, total_key: str, depth: int = 60) -> C
 
     Under ``page_key`` stands an array of token and, third, total; under ``total_key`` one of total and, third, place.
     """
-    def walk(node, left):
-        if isinstance(node, dict):
-            yield node
-        if left and isinstance(node, (dict, list)):
-            for child in node.values() if isinstance(node, dict) else node:
-                yield from walk(child, left - 1)
-
-    def info(text):
-        token = total = place = None
-        try:
-            nodes = list(walk(json.loads(text), depth)) if text else []
-        except (ValueError, RecursionError):
-            nodes = []
-        whole = lambda row, i: row[i] if isinstance(row, list) and len(row) > i and isinstance(row[i], int) and not isinstance(row[i], bool) else None
-        word = lambda row, i: row[i] if isinstance(row, list) and len(row) > i and isinstance(row[i], str) and row[i] else None
-        for n in nodes:
-            page, sums = n.get(page_key), n.get(total_key)
-            token = word(page, 0) if token is None else token
-            for found in (whole(page, 2), whole(sums, 0)):
-                total = found if total is None else total
-            place = word(sums, 2) if place is None else place
-        return token, total, place
-
-    @F.pandas_udf("token string, total long, place string")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [info(t) for t in texts]
-        return pd.DataFrame({"token": pd.Series([r[0] for r in rows], dtype=object), "total": pd.array([r[1] for r in rows], dtype="Int64"), "place": pd.Series([r[2] for r in rows], dtype=object)})
-
-    return found(tree)
+    of = lambda node, key, i, kind: F.try_variant_get(node, f"$.{key}[{i}]", kind)
+    nodes = F.transform(tree_nodes(tree, lambda v: has_field(page_key)(v) | has_field(total_key)(v), depth, into_hits=True), lambda t: F.parse_json(t))
+    first = lambda values: F.get(F.array_compact(values), F.lit(0))
+    whole = lambda node, key, i: F.when(of(node, key, i, "variant").cast("string").rlike("^-?[0-9]+$") & ~F.startswith(F.to_json(of(node, key, i, "variant")), F.lit('"')), of(node, key, i, "long"))
+    word = lambda node, key, i: F.when(F.startswith(F.to_json(of(node, key, i, "variant")), F.lit('"')), F.nullif(of(node, key, i, "string"), F.lit("")))
+
+    def read(ns: Column) -> Column:
+        total = first(F.flatten(F.transform(ns, lambda n: F.array(whole(n, page_key, 2), whole(n, total_key, 0)))))
+        return F.struct(first(F.transform(ns, lambda n: word(n, page_key, 0))).alias("token"), total.alias("total"), first(F.transform(ns, lambda n: word(n, total_key, 2))).alias("place"))
+
+    return F.transform(F.array(nodes), read)[0]
 
 
 def article_rows(items: DataFrame, details: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.values import round_half_up
+from tidewater.functions.variants import has_field, tree_nodes
 
 #: The order in which awards and contracts are looked at, and what a lot's status comes to.
 AWARD_ORDER = ("active", "signed", "pending", "pending_waiting", "pending_admission")
@@ -184,17 +182,26 @@ def related_coverage(html: Column) -> Column:
 
 
 def head_meta(html: Column) -> Column:
-    """struct<description, image, author, canonical, lang>: the first key that is filled; an author that is a url is none."""
-    def meta(*keys: str) -> Column:
-        found = []
-        for k in keys:
-            name = rf'(?:name|property)=["\']{k}["\']'
-            found += [F.regexp_extract(html, rf'(?is)<meta[^>]*{name}[^>]*content=["\']([^"\']*)["\']', 1), F.regexp_extract(html, rf'(?is)<meta[^>]*content=["\']([^"\']*)["\'][^>]*{name}', 1)]
-        return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in found])
+    """struct<description, image, author, canonical, lang>: the first key that is filled; an author that is a url is none.
+
+    The page is read once for its meta, link and html tags; the fields are looked up in these.
+    """
+    attribute = lambda tag, names: F.regexp_extract(tag, rf'(?is)\s(?:{names})\s*=\s*["\']([^"\']*)', 1)
+
+    def fields(tags: Column) -> Column:
+        first = lambda found: F.nullif(F.trim(F.get(found, F.lit(0))), F.lit(""))
+        of = lambda key: first(F.transform(F.filter(tags, lambda t: (t["name"] == key) & (F.trim(t["content"]) != "")), lambda t: t["content"]))
+        meta = lambda *keys: F.coalesce(*[of(k) for k in keys])
+        author = F.transform(F.array(meta("author", "article:author")), lambda x: F.when(~x.rlike("(?i)^https?://"), x))[0]
+        return F.struct(meta("description", "og:description", "twitter:description").alias("description"), meta("og:image", "twitter:image").alias("image"), author.alias("author"), of("<link canonical").alias("canonical"), first(F.transform(F.filter(tags, lambda t: t["name"] == "<html"), lambda t: t["content"])).alias("lang"))
+
+    def read(tag: Column) -> Column:
+        kind = F.lower(F.substring(tag, 1, 5))
+        name = F.when(kind == "<meta", F.lower(attribute(tag, "name|property"))).when(kind == "<link", F.concat(F.lit("<link "), F.lower(attribute(tag, "rel")))).otherwise(kind)
+        return F.struct(name.alias("name"), F.when(kind == "<meta", attribute(tag, "content")).when(kind == "<link", attribute(tag, "href")).otherwise(attribute(tag, "lang")).alias("content"))
 
-    author = meta("author", "article:author")
-    canonical = F.nullif(F.regexp_extract(html, r'(?is)<link[^>]*rel=["\']canonical["\'][^>]*href=["\']([^"\']*)["\']', 1), F.lit(""))
-    return F.struct(meta("description", "og:description", "twitter:description").alias("description"), meta("og:image", "twitter:image").alias("image"), F.when(~author.rlike("(?i)^https?://"), author).alias("author"), canonical.alias("canonical"), F.nullif(F.regexp_extract(html, r'(?i)<html[^>]*lang=["\']([^"\']*)', 1), F.lit("")).alias("lang"))
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<(?:meta|link|html)\b[^>]*>"), F.lit(0)), read)
+    return F.transform(F.array(tags), fields)[0]
 
 
 def page_title(html: Column) -> Column:
@@ -205,21 +212,4 @@ def page_title(html: Column) -> Column:
 
 def objects_with(tree: Column, key: str, depth: int = 60) -> Column:
     """The JSON objects that hold ``key``, anywhere in a JSON text, in document order; a hit is not searched further."""
-    def walk(node, left):
-        if isinstance(node, dict) and key in node:
-            yield json.dumps(node, sort_keys=True, ensure_ascii=False)
-        elif left and isinstance(node, (dict, list)):
-            for child in node.values() if isinstance(node, dict) else node:
-                yield from walk(child, left - 1)
-
-    def hits(text):
-        try:
-            return list(walk(json.loads(text), depth)) if text else []
-        except (ValueError, RecursionError):
-            return []
-
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([hits(t) for t in texts], dtype=object)
-
-    return found(tree)
+    return tree_nodes(tree, has_field(key), depth)

@@ -14,29 +14,50 @@ CODES = "USD EUR GBP CHF CAD AUD NZD JPY CNY INR RON MDL PLN CZK HUF SEK NOK DKK
 MONTHS = {1: "jan ian janv", 2: "feb févr", 3: "mar mär mrz", 4: "apr avr", 5: "may mai", 6: "jun iun juin", 7: "jul iul juil", 8: "aug août", 9: "sep sept", 10: "oct okt", 11: "nov noi", 12: "dec dez déc"}
 
 _CURRENCY = "(?:[$€£¥₹₽₴₺]|zł|lei|kr|Kč|\\b(?:" + "|".join(CODES) + ")\\b)"
-#: The signs of a printed number and the marks that may stand between its digits.
-_SIGN = "[-−–]"
-_MARKS = " ,.'\u2019\u00a0\u202f"
+#: The signs of a printed number, the marks that may stand between its digits, and white space.
+SIGNS, MARKS, SPACE = "-−–", " ,.'\u2019\u00a0\u202f", " \t\n\r\f\x0b"
+LONGEST = 40  # characters of a printed number
+_HERE = "\x01"  # stands for the digits
+_CURRENCIES = [*(k.lower() for k in SYMBOLS), *(c.lower() for c in CODES)]
+#: What may be around the digits, signs and white space aside: brackets, a currency on either side, a mark before the first digit.
+_AROUND = [x for m in ("", ".", ",") for c in ["", *_CURRENCIES] for x in {f"{c}{m}{_HERE}", f"{m}{_HERE}{c}", f"({c}{m}{_HERE})", f"({m}{_HERE}{c})", f"{c}({m}{_HERE})", f"({m}{_HERE}){c}"}]
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value evaluated once, however often it is used."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often it is used, also after plans are merged."""
     return F.transform(F.array(value), use)[0]
 
 
-def _numeral(text: Column) -> Column:
-    """What is left of a text without signs, brackets, percent and currency around it."""
-    return F.regexp_replace(text, rf"(?i)^(?:[\s(]|{_SIGN})*(?:{_CURRENCY})?(?:\s|{_SIGN})*|\s*(?:%\s*)?(?:{_CURRENCY})?(?:[\s%)]|{_SIGN})*$", "")
+def _scanned(text: Column, comma: Column) -> Column:
+    """The value of a printed number by what stands before, between and after its digits."""
+    ends = F.struct(text.alias("t"), F.regexp_extract(text, "^[^0-9]*", 0).alias("before"), F.regexp_extract(text, "[^0-9]*$", 0).alias("after"))
 
+    def middle(x: Column) -> Column:
+        core = F.substring(x["t"], F.length(x["before"]) + 1, F.length(x["t"]) - F.length(x["before"]) - F.length(x["after"]))
+        around = F.translate(F.lower(F.concat(x["before"], F.lit(_HERE), x["after"])), SPACE + SIGNS + "%", "")
+        minus = (F.translate(x["before"], SIGNS + "(", "") != x["before"]) | F.endswith(x["after"], F.lit("-"))
+        return F.struct(F.when((F.length(x["t"]) <= LONGEST) & around.isin(_AROUND), core).alias("core"), F.translate(core, "0123456789", "").alias("marks"), F.endswith(x["before"], F.lit(".")) | F.endswith(x["before"], F.lit(",")), minus).cast("struct<core:string,marks:string,point:boolean,minus:boolean>")
 
-def _is_numeral(n: Column) -> Column:
-    """Digits in threes after a head of up to three, or a plain run, each perhaps with decimals."""
-    three = rf"[{_MARKS}][0-9]{{3}}"
-    return n.rlike(rf"^(?:[0-9]{{1,3}}(?:{three})+|[0-9]*)(?:[.,][0-9]+)?$") & n.rlike("[0-9]")
+    def grouped(x: Column) -> Column:
+        return F.struct(x["core"].alias("core"), x["marks"].alias("marks"), x["point"].alias("point"), x["minus"].alias("minus"), F.right(x["marks"], F.lit(1)).alias("last"), F.split(F.translate(x["core"], MARKS, "," * len(MARKS)), ",").alias("g"))
 
+    def decided(x: Column) -> Column:
+        last, tail = x["last"], F.element_at(x["g"], -1)
+        several, alone = F.replace(x["marks"], last, F.lit("")) != "", F.length(x["marks"]) == 1
+        unclear = (F.length(tail) == 3) & F.length(x["g"][0]).between(1, 3) & ~F.startswith(x["g"][0], F.lit("0"))
+        decimal = last.isin(".", ",") & (several | (alone & (~unclear | ((last == ",") == comma))))
+        return F.struct(x.alias("x"), F.coalesce(decimal, F.lit(False)).alias("decimal"))
 
-def _one_currency(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("(?i)" + _CURRENCY)) <= 1
+    def valued(y: Column) -> Column:
+        x, decimal = y["x"], y["decimal"]
+        whole = F.when(decimal, F.slice(x["g"], F.lit(1), F.size(x["g"]) - 1)).otherwise(x["g"])
+        threes = (F.size(x["g"]) == 1 + decimal.cast("int")) | (F.length(x["g"][0]).between(1, 3) & F.forall(F.slice(whole, 2, LONGEST), lambda g: F.length(g) == 3))
+        known = (F.translate(x["marks"], MARKS, "") == "") & (~x["point"] | (x["marks"] == ""))
+        digits = F.concat(F.when(x["minus"], "-").otherwise(""), F.when(x["point"], "0.").otherwise(""), F.array_join(whole, ""), F.when(decimal, F.concat(F.lit("."), F.element_at(x["g"], -1))).otherwise(""))
+        return F.when(threes & known & (x["core"] != ""), digits.try_cast("double"))
+
+    found = lambda x: F.when(x["core"].isNotNull(), _once(grouped(x), lambda g: _once(decided(g), valued)))
+    return _once(ends, lambda e: _once(middle(e), found))
 
 
 def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
@@ -44,34 +65,23 @@ def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
 
     With two kinds of marks the last is the decimal one; a single one before three digits follows
     ``decimal_comma``; a repeated one, a space or an apostrophe groups. Anything else, and texts of over 40
-    characters, are null. All steps stay in generated code, so what is used twice is evaluated once.
+    characters, are null. The text is scanned once and every part of it is evaluated once.
     """
     comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    n = _numeral(text)
-    marks = F.translate(n, "0123456789", "")
-    last = F.right(marks, F.lit(1))
-    tail = F.call_function("substring_index", n, last, F.lit(-1))  # the digits after the last mark
-    head = F.left(n, F.length(n) - F.length(tail) - 1)
-    kinds = F.length(F.replace(marks, last, F.lit("")))
-    threes = (F.length(tail) == 3) & F.length(head).between(1, 3) & ~F.startswith(head, F.lit("0"))
-    decimal = F.when(marks == "", False).when(kinds > 0, last.isin(".", ",")).when(~last.isin(".", ",") | (F.length(marks) > 1), False).when(threes, (last == ",") == comma).otherwise(True)
-    plain = lambda c: F.translate(c, _MARKS, "")
-    digits = F.when(decimal, F.concat(F.lit("0"), plain(head), F.lit("."), tail)).otherwise(plain(n))
-    negative = text.rlike(rf"(?i)^\s*(?:\(.*\)\s*$|{_SIGN}|(?:{_CURRENCY})\s*{_SIGN})|-\s*$")
-    value = digits.try_cast("double")
-    whole = F.contains(text, F.lit("(")) == F.contains(text, F.lit(")"))
-    return F.when((F.length(F.trim(text)) <= 40) & whole & _is_numeral(n) & _one_currency(text), F.when(negative, -value).otherwise(value))
+    return _scanned(F.trim(text), comma)
 
 
 def is_percent(text: Column) -> Column:
-    return _is_numeral(_numeral(text)) & _one_currency(text) & F.contains(text, F.lit("%"))
+    return parse_number(text).isNotNull() & F.contains(text, F.lit("%"))
 
 
 def currency_of(text: Column) -> Column:
     """The code of the first currency in the text, else null."""
     codes = {c.lower(): c for c in CODES} | {k.lower(): c for k, c in SYMBOLS.items()}
     known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    return F.try_element_at(known, F.lower(F.regexp_extract(text, "(?i)(" + _CURRENCY + ")", 1)))
+    named = lambda c: F.try_element_at(known, F.lower(c))
+    # most texts name nothing but a currency beside a number; only others are searched
+    return F.coalesce(named(F.regexp_extract(text, r"[^\s0-9.,'()%+-]+", 0)), named(F.regexp_extract(text, "(?i)(" + _CURRENCY + ")", 1)))
 
 
 def price_text(text: Column) -> Column:
@@ -99,16 +109,41 @@ def decimal_comma_votes(text: Column) -> tuple[Column, Column]:
     return comma, dot
 
 
+#: Signs of kinds in a date: numbers of 1, 2 and 4 digits, other numbers, months, endings of ordinals, words, white space.
+_ONE, _TWO, _YEAR, _LONG, _MONTH, _ORDINAL, _WORD, _GAP = "124#moW_"
+
+
+def _kind(token: Column) -> Column:
+    """The kind of a token as one sign; marks stand for themselves."""
+    digits = F.translate(token, "0123456789", "") == ""
+    size = F.length(token)
+    number = F.when(size == 1, _ONE).when(size == 2, _TWO).when(size == 4, _YEAR).otherwise(_LONG)
+    month = token.rlike("^(?:" + "|".join(" ".join(MONTHS.values()).split()) + ")")
+    word = F.when(month, _MONTH).when(token.isin("st", "nd", "rd", "th"), _ORDINAL).otherwise(_WORD)
+    return F.when(digits, number).when(F.trim(F.translate(token, "\t\n\r\f\x0b", " ")) == "", _GAP).when(token.rlike(r"^\p{L}"), word).when(token.isin("-", "/", "."), token).otherwise(",")
+
+
 def parse_date(text: Column, prefer: str = "auto", decimal_comma: Column | bool = False) -> Column:
     """The first of an ISO date, a numeric date, "15 September 2026" or "September 15, 2026" in the text.
 
-    A numeric date with a part over 12 is clear; else ``prefer`` (DMY or MDY) decides, and with auto
-    slashes mean month first unless decimals are commas. Impossible dates are null.
+    The text is cut into numbers, words and marks; the kinds of these tell where a date stands. A numeric date with a
+    part over 12 is clear; else ``prefer`` (DMY or MDY) decides, and with auto slashes mean month first unless decimals
+    are commas. Impossible dates are null.
     """
     comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    word = "(?:" + "|".join(sorted(" ".join(MONTHS.values()).split(), key=len, reverse=True)) + r")\p{L}*\.?"
-    forms = {"iso": r"\b\d{4}[-./]\d{1,2}[-./]\d{1,2}\b", "num": r"\b\d{1,2}[-./]\d{1,2}[-./](?:\d{4}|\d{2})\b", "dmy": rf"\b\d{{1,2}}(?:st|nd|rd|th)?\.?\s+{word}\s*,?\s*\d{{4}}\b", "mdy": rf"\b{word}\s+\d{{1,2}}(?:st|nd|rd|th)?\s*,?\s*\d{{4}}\b"}
-    return _bind(F.regexp_extract(text, "(?iu)(" + "|".join(forms.values()) + ")", 1), lambda hit: _date_of(hit, prefer, comma))
+    day, part, gap = f"[{_ONE}{_TWO}]", "[-./]", f"{_GAP}?,?{_GAP}?"
+    orders = [f"{_YEAR}{part}{day}{part}{day}", f"{day}{part}{day}{part}[{_TWO}{_YEAR}]", f"{day}{_ORDINAL}?[.]?{_GAP}{_MONTH}[.]?{gap}{_YEAR}", f"{_MONTH}[.]?{_GAP}{day}{_ORDINAL}?{gap}{_YEAR}"]
+    letters = f"[{_MONTH}{_ORDINAL}{_WORD}]"
+    pattern = f"(?<!{letters})(?:{'|'.join(orders)})(?!{letters})"
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)[0-9]+|\p{L}+|\s+|."), F.lit(0))
+
+    def hit(x: Column) -> Column:
+        kinds = x["kinds"]
+        shape = F.regexp_extract(kinds, pattern, 0)
+        return F.struct(shape.alias("shape"), F.slice(x["tokens"], F.greatest(F.regexp_instr(kinds, F.lit(pattern)), F.lit(1)), F.length(shape)).alias("tokens"))
+
+    kinds = lambda t: F.struct(t.alias("tokens"), F.array_join(F.transform(t, _kind), "").alias("kinds"))
+    return _once(tokens, lambda t: _once(kinds(t), lambda x: _once(hit(x), lambda h: _date_of(h["shape"], h["tokens"], prefer, comma))))
 
 
 def _month_of(name: Column) -> Column:
@@ -118,19 +153,24 @@ def _month_of(name: Column) -> Column:
     return month
 
 
-def _date_of(hit: Column, prefer: str, comma: Column) -> Column:
-    part = lambda p, i: F.regexp_extract(hit, p, i).try_cast("int")
-    trio = r"^(\d+)[-./](\d+)[-./](\d+)$"
-    a, b, y = part(trio, 1), part(trio, 2), part(trio, 3)
-    year = F.when(F.length(F.regexp_extract(hit, trio, 3)) == 2, y + 2000).otherwise(y)
-    day_first = F.lit(prefer == "DMY") if prefer in ("DMY", "MDY") else comma | ~F.contains(hit, F.lit("/"))
-    day_first = F.when(a > 12, True).when(b > 12, False).otherwise(day_first)
-    word = F.regexp_extract(F.lower(hit), r"(?u)(\p{L}{3,})", 1)
-    make = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", F.lpad(yy.cast("string"), 4, "0"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
-    out = F.when(hit.rlike(r"^\d{4}[-./]"), make(a, b, y))
-    out = out.when(hit.rlike(trio) & day_first, make(year, b, a)).when(hit.rlike(trio), make(year, a, b))
-    named = _bind(_month_of(word), lambda month: make(part(r"(\d{4})$", 1), month, part(r"(\d{1,2})(?!\d)", 1)))
-    return out.when(word != "", named)
+def _date_of(shape: Column, tokens: Column, prefer: str, comma: Column) -> Column:
+    """The date of tokens of a known shape; null for the empty shape."""
+    numbers = F.filter(tokens, lambda t: F.translate(t, "0123456789", "") == "")
+    named = F.filter(tokens, lambda t: t.rlike(r"^\p{L}{3}"))
+
+    def made(n: Column, month: Column) -> Column:
+        number = lambda i: F.try_element_at(n, F.lit(i)).try_cast("int")
+        a, b, y = number(1), number(2), number(3)
+        year = F.when(F.endswith(shape, F.lit(_TWO)), y + 2000).otherwise(y)
+        first = F.lit(prefer == "DMY") if prefer in ("DMY", "MDY") else comma | ~F.contains(shape, F.lit("/"))
+        first = F.when(a > 12, True).when(b > 12, False).otherwise(first)
+        date = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", F.lpad(yy.cast("string"), 4, "0"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
+        parts = F.when(month.isNotNull(), F.struct(b.alias("y"), month.alias("m"), a.alias("d"))).when(F.startswith(shape, F.lit(_YEAR)), F.struct(a.alias("y"), b.alias("m"), y.alias("d")))
+        parts = parts.when(first, F.struct(year.alias("y"), b.alias("m"), a.alias("d"))).otherwise(F.struct(year.alias("y"), a.alias("m"), b.alias("d")))
+        return _once(parts, lambda p: date(p["y"], p["m"], p["d"]))
+
+    month = F.when(F.contains(shape, F.lit(_MONTH)), _month_of(F.try_element_at(named, F.lit(1))))
+    return F.when(shape != "", _once(F.struct(numbers.alias("n"), month.alias("m")), lambda x: made(x["n"], x["m"])))
 
 
 def typed_cell(text: Column, first_column: Column | bool = False, code_column: Column | bool = False, decimal_comma: Column | bool = False) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidewater.functions.variants import item_fingerprint, item_key
 from tidewater.operators.keys import abridged, with_key_and_hash
 
 
@@ -61,3 +64,18 @@ def field_changes(changes: DataFrame, fields: list[str], most: int = 20, depth:
     rows = changes.where("change_type = 'changed'").select("key", differs.alias("c"))
     out = rows.select("key", F.explode(F.slice("c", 1, most)).alias("e"), F.size("c").alias("total"))
     return out.select("key", "e.field", abridged(F.col("e.before")).alias("before"), abridged(F.col("e.after")).alias("after"), "total")
+
+
+def item_diff(previous: DataFrame, current: DataFrame, item: str, id_fields: Sequence[str], order: list[Column | str], compare: Sequence[str] = (), ignore: Sequence[str] = ()) -> DataFrame:
+    """(key, change_type, before, after): items (a VARIANT column) matched by key, compared by their projection.
+
+    Items without a key take no part; of items with one key the first in ``order`` counts. One full outer equi-join.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        h = item_fingerprint(F.col(item), compare, ignore)
+        keyed = df.withColumn("_hash", h).withColumn("_key", item_key(F.col(item), id_fields, F.col("_hash"))).where("_key is not null")
+        return first_per_key(keyed, ["_key"], order).select(F.col("_key").alias("key"), F.col("_hash").alias(f"_{name}"), F.col(item).alias(name))
+
+    kind = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "removed").when(F.col("_before") != F.col("_after"), "changed").otherwise("unchanged")
+    return side(previous, "before").join(side(current, "after"), "key", "full_outer").select("key", kind.alias("change_type"), "before", "after")

@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Marks that end a sentence, signs that may open the next one, and words around a page number.
-STOPS, OPENERS = ".!?…", "\"'“("
+#: Words around a page number.
 PAGE_WORDS = ("page", "of")
 _CUT = "\u0001"
+#: What a word looks like that may end a sentence, one that only seems to (an initial, an ordinal), and one that goes on.
+_ENDS = r"[.!?…]['\"”’)\]»]*$"
+_SEEMS = r"^['\"“‘(\[«]*(?:\p{L}|[0-9]+)\.['\"”’)\]»]*$"
+_GOES_ON = r"^['\"“‘(\[«]*\p{Ll}"
 
 
 def _sentence_marks(c: Column) -> Column:
-    """The text with a mark instead of the white space between a stop and a capital, a digit or an opening sign."""
-    return F.regexp_replace(c, rf"([{STOPS}])\s+([\p{{Lu}}\p{{N}}{OPENERS}])", f"$1{_CUT}$2")
+    """The words of a text between single blanks, with a mark instead of a blank after each word that ends a sentence."""
+    words = F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    ends = lambda w, after: F.coalesce(w.rlike(_ENDS) & ~w.rlike(_SEEMS) & ~after.rlike(_GOES_ON), F.lit(False))
+    glue = lambda ws, w, i: F.when(i + 1 == F.size(ws), "").when(ends(w, F.try_element_at(ws, i + 2)), _CUT).otherwise(" ")
+    return F.transform(F.array(words), lambda ws: F.array_join(F.transform(ws, lambda w, i: F.concat(w, glue(ws, w, i))), ""))[0]
+
+
+def _ends_sentence(word: str, after: str) -> bool:
+    """The rule of ``sentences`` for two words."""
+    begins = after.lstrip("'\"“‘([«")[:1]
+    bare = word.rstrip("'\"”’)]»")
+    seems = bare.endswith(".") and (len(core := bare[:-1].lstrip("'\"“‘([«")) == 1 and core.isalpha() or core.isdecimal() and core.isascii())
+    return bare[-1:] in tuple(".!?…") and not seems and not begins.islower()
 
 
 def is_page_number(line: Column) -> Column:
@@ -94,6 +108,11 @@ def drop_running_lines(lines: DataFrame, document: str, page: str, order: str =
 
 
 def sentences(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, n, sentence): a word with a stop at its end, closing quotes aside, ends a sentence before one in no small letter.
+
+    Initials ("J.") and numbers with a stop ("3.") end none. Words stand between single blanks; a text without words is
+    one empty sentence, a null text has none.
+    """
     return docs.select(*keys, F.posexplode(F.split(_sentence_marks(F.col(text)), _CUT)).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
 
 
@@ -163,7 +182,7 @@ def _pieces(block: str, most: int, table: bool) -> Iterator[str]:
         start = 0
         words = [(m.start(), m.group()) for m in re.finditer(r"\S+", block)]
         for (at, word), (then, after) in zip(words, [*words[1:], (len(block), "A")]):
-            if then == len(block) or (word[-1] in STOPS and (after[0].isupper() or after[0].isdigit() or after[0] in OPENERS)):
+            if then == len(block) or _ends_sentence(word, after):
                 sentence = block[start : at + len(word)]
                 units += [sentence] if len(sentence) <= most else sentence.split()
                 start = then

@@ -64,12 +64,17 @@ def totals(lines: DataFrame, keys: list[str], order: str, text: str, decimal_com
     counts where no strong one is. A missing total is subtotal plus tax.
     """
     label = F.lower(F.regexp_extract(text, r"^\s*(\D+?)[\s:]*[-(]?[$€£]?\s*\d", 1))
-    kind = None
-    for name, words in TOTALS.items():
-        hit = label.rlike(rf"\b(?:{words})\b")
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+
+    def kind(x: Column) -> Column:
+        out = F.when((x == "") | x.rlike(r"\b(?:id|no|nr|reg|number)\b"), F.lit(None).cast("string"))
+        for name, words in TOTALS.items():
+            out = out.when(x.rlike(rf"\b(?:{words})\b"), name)
+        return out
+
+    # a line without a kind, then one without an amount, ends in its explode: numbers are read on few lines, once
+    some = lambda c: F.explode(F.array_compact(c))
     amount = v.parse_number(F.regexp_extract(text, r"((?:[A-Z]{3}\s*|[$€£]\s*)?[-(]?[$€£]?\d[\d.,' ]*\)?(?:\s*(?:[$€£]|[A-Z]{3}))?)\s*$", 1), decimal_comma)
-    rows = lines.where(~label.rlike(r"\b(?:id|no|nr|reg|number)\b")).select(*keys, order, kind.alias("_k"), amount.alias("_v")).where("_k is not null and _v is not null")
+    rows = lines.select(*keys, order, text, some(F.transform(F.array(label), kind)).alias("_k")).select(*keys, order, "_k", some(F.array(amount)).alias("_v"))
     last = lambda k: F.max_by("_v", F.when(F.col("_k") == k, F.col(order)))
     out = rows.groupBy(*keys).agg(last("subtotal").alias("subtotal"), F.sum(F.when(F.col("_k") == "tax", F.col("_v"))).alias("tax"), F.coalesce(last("total"), last("plain_total")).alias("total"))
     return out.withColumn("total", F.coalesce("total", F.round(F.col("subtotal") + F.coalesce("tax", F.lit(0)), 2)))

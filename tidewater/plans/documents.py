@@ -44,8 +44,9 @@ def join_broken_lines(spark, d):
     return dc.join_broken_lines(_lines(spark, d), ["doc_id"])
 
 
-@query(r"""with w as (select doc_id, regexp_replace(text, '([.!?…])[\s]+(\p{Lu}|\p{N}|["''“(])', '\1' || chr(1) || '\2', 'g') as t from documents)
-select doc_id, generate_subscripts(string_split(t, chr(1)), 1)::int as n, unnest(string_split(t, chr(1))) as sentence from w""")
+@query(r"""with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as ws from documents where text is not null),
+s as (select doc_id, array_to_string(list_transform(ws, lambda w, i: w || case when i = len(ws) then '' when regexp_matches(w, '[.!?…][''"”’)\]»]*$') and not regexp_matches(w, '^[''"“‘(\[«]*(\p{L}|[0-9]+)\.[''"”’)\]»]*$') and not regexp_matches(ws[i + 1], '^[''"“‘(\[«]*\p{Ll}') then chr(1) else ' ' end), '') as t from w)
+select doc_id, generate_subscripts(string_split(t, chr(1)), 1)::int as n, unnest(string_split(t, chr(1))) as sentence from s""")
 def sentence_split(spark, d):
     return dc.sentences(_t(spark, d, "documents"), ["doc_id"])
 

@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """The file or folder goes, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder, so that later stages neither recompute nor lose them.
 
@@ -29,17 +35,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n, self.held = spark, f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}", 0, []
 
-    def _at(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         if self.n == 1:
-            fs, p = self._at(self.base)
-            fs.deleteOnExit(p)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -55,5 +57,4 @@ class Scratch:
         self.held = [x for x in self.held if any(x[0] is k for k in keep)]
 
     def drop(self, path: str) -> None:
-        fs, p = self._at(path)
-        fs.delete(p, True)
+        delete(self.spark, path)

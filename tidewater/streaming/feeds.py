@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewater.operators import monitor, windows
-from tidewater.sources.store import SnapshotStore
+from tidewater.scratch import delete
+from tidewater.sources.seen import SeenStore
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, ts: str, files_a_batch: int | None = None) -> DataFrame:
@@ -56,26 +57,24 @@ def _waiting(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 def _delivery(results: str, store_path: str, key: str, settings: str | None, report_all: bool, budget: int | None, order: str | None) -> Callable[[DataFrame, int], None]:
     def deliver(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store = SnapshotStore(spark, store_path)
+        store = SeenStore(spark, store_path)
         target, left = f"{results}/batch={batch_id}", f"{store_path}/waiting"
         waiting = _waiting(spark, left, batch_id) if budget is not None else None
         if batch.isEmpty() and waiting is None:
             return  # an empty source never means that all rows are gone
         rows = windows.top_n(batch if waiting is None else batch.unionByName(waiting.select(batch.columns)), [key], [order or key], 1, "_n").drop("_n")
-        seen = store.load(settings)
-        if seen is None and not report_all:
-            store.save(rows.select(key, F.lit(batch_id).cast("long").alias("batch")), settings)
+        if not store.known(settings) and not report_all:
+            store.add(rows, key, batch_id, settings=settings)
             return
-        if seen is None:
-            seen = spark.createDataFrame([], rows.select(key, F.lit(0).cast("long").alias("batch")).schema)
-        before = seen.where(F.col("batch") != batch_id)  # a batch that is run again delivers the same rows again
-        new = monitor.unseen(rows, before, key)
+        new = store.unseen(rows, key, batch_id, settings)  # a batch that is run again delivers the same rows again
         out = new if budget is None else new.orderBy(order or key, key).limit(budget)
         out.write.mode("overwrite").parquet(target)
-        done = spark.read.parquet(target).select(key, F.lit(batch_id).cast("long").alias("batch"))
+        done = spark.read.schema(out.schema).parquet(target)
         if budget is not None:  # what is over the budget waits for the next batch
             monitor.unseen(new, done, key).write.mode("overwrite").parquet(f"{left}/batch={batch_id}")
-        store.save(before.unionByName(done), settings)
+        store.add(done, key, batch_id, settings=settings)
+        if budget is not None:
+            delete(spark, f"{left}/batch={batch_id - 2}")
 
     return deliver
 
@@ -84,8 +83,9 @@ def monitor_stream(stream: DataFrame, results: str, store_path: str, checkpoint:
     """A writer that delivers keys never seen before to ``results``, a folder a batch.
 
     The first batch is a silent baseline unless ``report_all``; other settings make a new one. Results are
-    written first (overwriting the folder of the batch), then the seen keys as a new generation; after a
-    failure the batch runs again and gives the same rows. With a ``budget`` only that many rows of a batch
+    written first (overwriting the folder of the batch), then the batch's keys are added to the seen ones; after a
+    failure the batch runs again and gives the same rows. A batch writes as much as it delivers, and reads the parts
+    of the seen set that its keys fall in. With a ``budget`` only that many rows of a batch
     are delivered, and only those are remembered: the rest is kept beside the store and comes with the next batch.
     Of rows with one key the first in ``order`` counts.
     """
