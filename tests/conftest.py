@@ -6,7 +6,7 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path[:0] = [ROOT, str(Path(ROOT, "tests"))]
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")  # the workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, str(Path(ROOT, "tests"))]) + os.pathsep + os.environ.get("PYTHONPATH", "")  # the workers import the package too
 
 
 @pytest.fixture(scope="session")

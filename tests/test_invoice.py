@@ -40,6 +40,6 @@ def test_markdown(spark):
     html = "<html><body><nav>menu</nav><h1>Top &amp; more</h1><p>See <a href='http://x.y'>this</a> and <a href='/z'>that</a><img alt='pic'></p><ul><li>one</li></ul><table><tr><th>a</th><th>b|c</th></tr><tr><td>1</td><td>2</td></tr></table><script>x</script></body></html>"
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "k int, h string")
     got = [r["m"] for r in df.select(md.html_to_markdown(F.col("h")).alias("m")).collect()]
-    assert got[1:] == [None, ""] and got[0] == "# Top & more\n\nSee [this](http://x.y) and thatpic\n\n- one\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |"
+    assert got[1:] == [None, ""] and got[0] == "# Top & more\n\nSee [this](http://x.y) and that[Image: pic]\n\n- one\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |"
     assert [(r["row_no"], r["cells"]) for r in md.html_tables(df, "h", ["k"]).collect()] == [(1, ["a", "b|c"]), (2, ["1", "2"])]
     assert spark.range(1).select(md.table_row(F.array(F.lit("a|b"), F.lit(None).cast("string")))).first()[0] == "| a\\|b |  |"

@@ -94,3 +94,32 @@ def test_other_settings_begin_anew(spark, tmp_path):
     assert store.known("a") and not store.known("b") and _ids(store.unseen(_rows(spark, [1, 9]), "id", 1, "b")) == [1, 9]
     store.add(_rows(spark, [9]), "id", 1, settings="b")
     assert _ids(store.load("id", "long")) == [9] and _folders(tmp_path) == ["gen=batch-000000000001"]
+
+
+def test_snapshot_in_buckets(spark, tmp_path):
+    """The stored side of a comparison is read without an exchange or sort; generations go; settings begin anew."""
+    from tidewater.operators import diff
+    from tidewater.sources.store import SnapshotTable
+
+    store = SnapshotTable(spark, str(tmp_path), "tidewater_test_snap", buckets=8)
+    crawl = lambda shift: spark.range(5000).select((F.col("id") + shift).alias("id"), (F.col("id") % (7 + shift)).alias("v"))
+    assert store.load() is None
+    first, second = (diff.prepared(crawl(s), ["id"], ["id"], keep=["v"]) for s in (0, 3))
+    store.save(first, "a")
+    assert store.load("b") is None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = diff.diff_prepared(store.load("a"), second)
+        got = {r["change_type"]: r["count"] for r in joined.groupBy("change_type").count().collect()}
+        want = {r["change_type"]: r["count"] for r in diff.diff_prepared(first, second).groupBy("change_type").count().collect()}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and got["new"] == got["removed"] == 3
+    stored = next(part for part in plan.split("SortMergeJoin")[1].split("Sort [") if "Bucketed: true" in part)
+    assert "Exchange" not in plan[: plan.index("Bucketed: true")].split("SortMergeJoin")[1] and stored
+    for _ in range(3):
+        store.save(diff.prepared(crawl(3), ["id"], ["id"], keep=["v"]), "a")
+    assert sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("tidewater_test_snap")) == ["tidewater_test_snap_3", "tidewater_test_snap_4"]
+    for t in ("tidewater_test_snap_3", "tidewater_test_snap_4"):
+        spark.sql(f"drop table {t}")

@@ -1,6 +1,7 @@
 """Streams under availableNow give what the batch forms give."""
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,10 +58,23 @@ def test_monitor(spark, tmp_path):
 
 def test_sources_apart(spark):
     got = []
-    status = feeds.run_sources({"bad": lambda: 1 / 0, "good": lambda: spark.range(2)}, lambda n, df: got.append((n, df.count())))
+    status = feeds.run_sources(spark, {"bad": lambda: 1 / 0, "good": lambda: spark.range(2)}, lambda n, df: got.append((n, df.count())))
     assert got == [("good", 2)] and status["good"] == "ok" and status["bad"].startswith("failed: ZeroDivisionError")
 
 
+def test_hanging_source_delays_none(spark, tmp_path):
+    """One source that never ends is cancelled; the others, more than there are places, are done long before."""
+    def slow():
+        return spark.range(0, 4, 1, 1).select(F.expr("reflect('java.lang.Thread', 'sleep', 600000L)").alias("x"))
+
+    done = {}
+    began = time.monotonic()
+    sources = {"hangs": slow} | {f"s{i}": (lambda i=i: spark.range(i + 1)) for i in range(5)}
+    status = feeds.run_sources(spark, sources, lambda n, df: done.__setitem__(n, (len(df.collect()), time.monotonic() - began)), together=2, limit=8)
+    assert status.pop("hangs").startswith("failed: TimeoutError") and set(status.values()) == {"ok"} and {n: c for n, (c, _) in done.items()} == {f"s{i}": i + 1 for i in range(5)}
+    assert all(at < 8 for _, at in done.values()) and time.monotonic() - began < 60
+
+
 def test_rows_over_the_budget_wait(spark, tmp_path):
     """What a batch could not deliver comes with the next one, though the source does not write it again."""
     schema = "id long, ts timestamp, n int"

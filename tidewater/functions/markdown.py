@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,108 +10,205 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that are no content, and those that stand on lines of their own.
-CHROME = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "template"}
-BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "blockquote", "pre", "figure", "table", "body"}
+#: Elements and roles that are no content, and texts of images that say nothing.
+CHROME = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "form", "button", "nav", "footer", "header", "aside"}
+CHROME_ROLES = {"navigation", "banner", "contentinfo"}
+DULL_IMAGE = re.compile(r"(?:image|img|picture|photo)\d*", re.IGNORECASE)
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HEADINGS = {f"h{i}": "#" * i + " " for i in range(1, 7)}
+BLOCKS = {"p", "div", "section", "article", "main", "figure", "figcaption", "body", "html", "dl", "dd", "dt", "address", "details", "summary"}
+MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~"}
+#: What an element ends by beginning, up to the container it stands in.
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+LEAST_MAIN = 200  # characters of text from which main or article stands for the page
+
+
+class _Node:
+    """An open element: what has been written in it, its items or rows, and the characters of its text."""
+
+    __slots__ = ("attrs", "chars", "parts", "rows", "start", "tag")
+
+    def __init__(self, tag: str, attrs: dict, start: int):
+        self.tag, self.attrs, self.start, self.parts, self.rows, self.chars = tag, attrs, start, [], [], 0
+
+
+def _tidy(text: str) -> str:
+    """Lines without blanks at their ends, at most one empty line in a row, none at either end; fenced code as it is."""
+    out, fenced = [], False
+    for line in text.split("\n"):
+        fence = line.lstrip("> \t").startswith("```")
+        if not fenced:
+            line = line.rstrip()
+            if not line and (not out or not out[-1]):
+                continue
+        out.append(line)
+        fenced ^= fence
+    while out and not out[-1].strip():
+        out.pop()
+    return "\n".join(out)
+
+
+def _indented(marker: str, text: str) -> str:
+    """An item: its first line behind the marker, the others as far in; empty lines go outside fenced code."""
+    lines, fenced = [], False
+    for line in _tidy(text).strip("\n").split("\n"):
+        if line or fenced:
+            lines.append(line)
+        fenced ^= line.lstrip("> \t").startswith("```")
+    pad = " " * len(marker)
+    return "\n".join((marker if i == 0 else pad if line else "") + (line.lstrip() if i == 0 else line) for i, line in enumerate(lines))
 
 
 class _Writer(HTMLParser):
-    """Markdown of one page; text inside main or article is also kept apart."""
+    """Markdown of one page, built from the innermost element outwards over a stack of open ones."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.main, self.skip, self.inside, self.href, self.row = [], [], 0, 0, [], None
+        self.stack, self.seen, self.skipped, self.main, self.titles, self.h1 = [_Node("", {}, 0)], 0, [], None, [], ""
 
     def put(self, text: str) -> None:
-        if self.row is not None and self.row:
-            self.row[-1] += text.replace("\n", " ").replace("|", "\\|")
-        else:
-            self.out.append(text)
-            if self.inside:
-                self.main.append(text)
+        self.stack[-1].parts.append(text)
+
+    def within(self, *tags: str) -> bool:
+        return any(n.tag in tags for n in self.stack)
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in CHROME:
-            self.skip += 1
-        elif self.skip:
+        a = {k: v or "" for k, v in attrs}
+        if self.skipped or tag in CHROME or a.get("role") in CHROME_ROLES or a.get("aria-hidden") == "true":
+            if tag not in VOID:
+                self.skipped.append(tag)
             return
-        elif tag in ("main", "article"):
-            self.inside += 1
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.put("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.put("\n- ")
-        elif tag == "br":
+        if tag == "br":
             self.put("\n")
-        elif tag == "img" and (a.get("alt") or "").strip():
-            self.put(a["alt"].strip())
-        elif tag == "a":
-            self.href.append(a.get("href") or "")
-            self.put("[" if self.href[-1].startswith(("http://", "https://")) else "")
-        elif tag == "table":
-            self.put("\n\n")
-            self.rows = 0
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.row.append("")
-        elif tag in BLOCKS:
-            self.put("\n\n")
+        elif tag == "hr":
+            self.put("\n\n* * *\n\n")
+        elif tag == "img":
+            alt = a.get("alt", "").strip()
+            self.put(f"[Image: {alt}]" if alt and not DULL_IMAGE.fullmatch(alt) else "")
+        if tag in VOID:
+            return
+        ended, until = ENDS.get(tag, ((), ()))
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in until:
+                break
+            if self.stack[i].tag in ended:
+                self.ended(i)
+        if tag in BLOCKS | {"ul", "ol", "pre", "blockquote", "table"} | HEADINGS.keys() and self.stack[-1].tag == "p":
+            self.ended(len(self.stack) - 1)
+        self.seen += 1
+        self.stack.append(_Node(tag, a, self.seen))
 
     def handle_endtag(self, tag):
-        if tag in CHROME:
-            self.skip = max(0, self.skip - 1)
-        elif self.skip:
+        if self.skipped:
+            if tag in self.skipped:
+                while self.skipped.pop() != tag:
+                    pass
             return
-        elif tag in ("main", "article"):
-            self.inside = max(0, self.inside - 1)
-            self.put("\n\n")
-        elif tag == "a" and self.href:
-            href = self.href.pop()
-            self.put(f"]({href})" if href.startswith(("http://", "https://")) else "")
-        elif tag == "tr" and self.row is not None:
-            cells, self.row = [" ".join(c.split()) for c in self.row], None
-            if cells:
-                self.put("| " + " | ".join(cells) + " |\n")
-                self.rows = getattr(self, "rows", 0) + 1
-                if self.rows == 1:
-                    self.put("|" + " --- |" * len(cells) + "\n")
-        elif tag in BLOCKS or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
-            self.put("\n\n")
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                self.ended(i)
+                return
+
+    def ended(self, at: int) -> None:
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            text = self.written(node)
+            if node.tag in ("main", "article") or node.attrs.get("role") == "main":
+                if node.chars > LEAST_MAIN and (self.main is None or node.start < self.main[0]):
+                    self.main = (node.start, text)
+            self.stack[-1].parts.append(text)
+            self.stack[-1].chars += node.chars
+
+    def written(self, node: _Node) -> str:
+        text, tag = "".join(node.parts), node.tag
+        if tag == "title":
+            self.titles.append(" ".join(text.split()))
+            return ""
+        if tag == "head":
+            return ""
+        if tag in HEADINGS:
+            line = " ".join(text.split())
+            self.h1 = self.h1 or (line if tag == "h1" else "")
+            return f"\n\n{HEADINGS[tag]}{line}\n\n" if line else ""
+        if tag in MARKS and not self.within("pre"):
+            core = text.strip()
+            mark = MARKS[tag]
+            return f"{text[: len(text) - len(text.lstrip())]}{mark}{core}{mark}{text[len(text.rstrip()) :]}" if core else text
+        if tag == "a":
+            href = node.attrs.get("href", "").strip()
+            label = text.strip()
+            return text.replace(label, f"[{label}]({href})", 1) if label and re.match(r"(?i)https?:|mailto:", href) else text
+        if tag == "pre":
+            return "\n\n```\n" + text.strip("\n") + "\n```\n\n"
+        if tag == "blockquote":
+            lines = _tidy(text).strip("\n").split("\n")
+            return "\n\n" + "\n".join(f"> {x}".rstrip() for x in lines) + "\n\n" if any(lines) else ""
+        if tag == "li":
+            parent = self.stack[-1]
+            ordered = parent.tag == "ol"
+            first = parent.attrs.get("start", "1")
+            marker = f"{int(first) + len(parent.rows) if first.isdigit() else len(parent.rows) + 1}. " if ordered else "- "
+            parent.rows.append(_indented(marker, text))
+            return ""
+        if tag in ("ul", "ol"):
+            items = [r for r in node.rows if r.strip()]
+            return "\n\n" + "\n".join(items) + "\n\n" + text.strip() if items else text
+        if tag in ("td", "th"):
+            cell = " ".join(_tidy(text).split()).replace("|", "\\|")
+            span = node.attrs.get("colspan", "")
+            self.stack[-1].rows += [cell] + [""] * (min(int(span), 20) - 1 if span.isdigit() and span != "0" else 0)
+            return ""
+        if tag == "tr":
+            table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
+            if table is not None and node.rows:
+                table.rows.append(node.rows)
+            return ""
+        if tag == "table":
+            width = max(map(len, node.rows), default=0)
+            rows = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in node.rows]
+            return "\n\n" + "\n".join([*rows[:1], "|" + " --- |" * width, *rows[1:]]) + "\n\n" if rows else text
+        return f"\n\n{text.strip(' ')}\n\n" if tag in BLOCKS else text
 
     def handle_data(self, data):
-        if not self.skip:
-            self.put(" ".join(data.split()) if not data.strip() else (" " if data[0].isspace() else "") + " ".join(data.split()) + (" " if data[-1].isspace() else ""))
+        if self.skipped:
+            return
+        self.stack[-1].chars += len(" ".join(data.split()))
+        self.put(data if self.within("pre") else re.sub(r"\s+", " ", data))
 
 
-def _markdown(html: str | None) -> str | None:
+def _page(html: str | None) -> tuple[str | None, str | None]:
     if html is None:
-        return None
+        return None, None
     w = _Writer()
     w.feed(html)
     w.close()
-    text = "".join(w.main) if len("".join(w.main).strip()) > 200 else "".join(w.out)
-    lines = [line.strip() for line in text.split("\n")]
-    kept = [line for i, line in enumerate(lines) if line or (i and lines[i - 1])]
-    return "\n".join(kept).strip()
+    w.ended(1)
+    text = w.main[1] if w.main else "".join(w.stack[0].parts)
+    return (next((t for t in w.titles if t), "") or w.h1), _tidy(text).strip("\n")
 
 
-def html_to_markdown(html: Column) -> Column:
-    """Markdown of a page: main or article if it holds over 200 characters, else the body.
+def page_markdown(html: Column) -> Column:
+    """struct<title, markdown> of a page: main or article if it holds over 200 characters of text, else the body.
 
-    Navigation, headers, footers, forms and scripts go; images become their alt text; only http links stay
-    links; tables keep their rows. Runs in Arrow batches; null stays null.
+    Lists, quotes and code keep their nesting; navigation, headers, footers, forms, hidden parts and scripts go; images
+    become ``[Image: alt]``; only http and mailto links stay links; tables keep their rows, the first as their header.
+    The title is that of the head, else of the first h1. Runs in Arrow batches; null stays null.
     """
 
-    @F.pandas_udf("string")
-    def written(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in pages:
-            yield pd.Series([_markdown(x) for x in p], dtype=object)
+    @F.pandas_udf("title string, markdown string")
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for pages in batches:
+            made = [_page(x) for x in pages]
+            yield pd.DataFrame({n: pd.Series([m[i] for m in made], dtype=object) for i, n in enumerate(("title", "markdown"))})
 
     return written(html)
 
 
+def html_to_markdown(html: Column) -> Column:
+    """The Markdown of ``page_markdown``."""
+    return page_markdown(html)["markdown"]
+
+
 def html_tables(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """(keys, table_no, row_no, cells): the rows of the tables of a page as arrays of text."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))

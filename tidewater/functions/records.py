@@ -64,20 +64,28 @@ def without_persons(details: Column, labels: str = r"(?i)\b(applicant|owner|cont
     return F.when(F.size(kept) > 0, kept)
 
 
+#: What the last word of a street may be.
+STREET_ENDS = """st street ave avenue rd road dr drive blvd boulevard ln lane ct court way pl place cir circle hwy highway pkwy parkway ter terrace trl trail loop sq pt point
+run pass path row xing aly cv cove pike walk""".split()
+
+
 def address_parts(address: Column, states: tuple[str, ...]) -> Column:
-    """struct<street, city, state, zip>: "street, city ST zip"; without a comma the city follows the last street suffix or unit.
+    """struct<street, city, state, zip>: "street, city ST zip", with commas anywhere between; without one the city follows the street's last word, its direction or unit.
 
-    The state must be one of ``states``; else all but the street are null.
+    The state must be one of ``states``; else the street is all and only a zip at the end is told. A zip has five digits.
     """
-    a = F.trim(F.regexp_replace(F.regexp_replace(address, r"\*", " "), r"\s+", " "))
-    tail = r"\s+(" + "|".join(states) + r")(?:\s+(\d{5}(?:-\d{4})?))?$"
-    suffix = r"(?:ST|AVE|RD|DR|LN|CT|BLVD|WAY|PL|CIR|TER|PKWY|HWY|TRL|LOOP|SQ)"
-    head = F.regexp_replace(a, tail, "")
-    forms = (r"^(.*?)\s*,\s*([^,]+)$", rf"(?i)^(.*\b{suffix}\b\.?(?:\s+[NSEW]{{1,2}})?(?:\s+(?:UNIT|APT|STE|#)\s*\S+)?)\s+([A-Za-z .'-]+)$")
-    street = F.when(head.rlike(forms[0]), F.regexp_extract(head, forms[0], 1)).when(head.rlike(forms[1]), F.regexp_extract(head, forms[1], 1))
-    city = F.when(head.rlike(forms[0]), F.regexp_extract(head, forms[0], 2)).when(head.rlike(forms[1]), F.regexp_extract(head, forms[1], 2))
-    found = a.rlike(tail) & city.isNotNull()
-    return F.struct(F.when(found, street).otherwise(a).alias("street"), F.when(found, F.initcap(F.lower(city))).alias("city"), F.when(a.rlike(tail), F.regexp_extract(a, tail, 1)).alias("state"), F.when(a.rlike(tail), F.nullif(F.regexp_extract(a, tail, 2), F.lit(""))).alias("zip"))
+    a = F.trim(F.regexp_replace(F.regexp_replace(address, r"\s*\*\s*$", ""), r"\s+", " "))
+    zip_ = F.nullif(F.regexp_extract(a, r"(?:^|[,\s])(\d{5})(?:-\d{4})?$", 1), F.lit(""))
+    bare = F.regexp_replace(a, r"[,\s]+\d{5}(?:-\d{4})?$", "")
+    state = F.upper(F.regexp_extract(bare, r"[,\s]([A-Za-z]{2})$", 1))
+    head = F.regexp_replace(bare, r"[,\s]+[A-Za-z]{2}$", "")
+    comma = F.contains(head, F.lit(","))
+    parts = F.filter(F.transform(F.split(head, ","), lambda x: F.trim(x)), lambda x: x != "")
+    end = rf"(?i)^(.*\b(?:{'|'.join(STREET_ENDS)})\b\.?(?:\s+(?:[NSEW]{{1,2}}|north|south|east|west|#\S*|(?:unit|apt|ste|suite|bldg|lot)\s+\S+|\d+[a-z]?))*)\s+([A-Za-z][A-Za-z .'-]*)$"
+    street = F.when(comma, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ", ")).when(head.rlike(end), F.regexp_extract(head, end, 1)).otherwise(head)
+    city = F.when(comma, F.element_at(parts, -1)).when(head.rlike(end), F.regexp_extract(head, end, 2))
+    found = state.isin(*states)
+    return F.struct(F.when(found, street).otherwise(a).alias("street"), F.when(found, F.initcap(F.lower(city))).alias("city"), F.when(found, state).alias("state"), zip_.alias("zip"))
 
 
 def contact(lines: Column) -> Column:

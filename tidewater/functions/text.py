@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,13 +39,28 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def unescaped(c: Column) -> Column:
+    """A text with its HTML entities decoded, each once: decimal, hexadecimal and the named ones of HTML 4; others stay."""
+    names = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))])
+    point = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def decoded(part: Column) -> Column:
+        body = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(F.lower(F.left(body, F.lit(2))) == "#x", F.conv(F.substring(body, 3, 8), 16, 10)).when(F.startswith(body, F.lit("#")), F.substring(body, 2, 8)).try_cast("long")
+        sign = F.when(body == "", None).when(F.startswith(body, F.lit("#")), point(number)).otherwise(F.try_element_at(names, body))
+        return F.coalesce(F.concat(sign, F.substring(part, F.length(body) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    whole = F.concat(F.array(F.get(parts, F.lit(0))), F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(whole, "")).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Scripts, styles and comments dropped, blocks on lines of their own, tags stripped, entities decoded."""
     x = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<br[^>]*>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer)[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.replace(unescaped(x), F.lit("\u00a0"), F.lit(" "))
     x = F.regexp_replace(x, r"[ \t\r]+", " ")
     return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 

@@ -19,6 +19,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def prepared(df: DataFrame, id_fields: list[str], order: list[str], compare: list[str] | None = None, ignore: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(_key, _hash, kept columns): one row a key, the first in ``order``; rows without a key go."""
+    keep = df.columns if keep is None else keep
+    return first_per_key(with_key_and_hash(df, id_fields, compare, ignore).where("_key is not null"), ["_key"], order).select("_key", "_hash", *[F.col(f"`{c}`") for c in keep])
+
+
+def diff_prepared(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(key, change_type, before_<c>, after_<c>) of two ``prepared`` sides: one full outer equi-join on the key.
+
+    A side that is stored by buckets of the key, as ``SnapshotTable`` does, is neither sorted nor shuffled again.
+    """
+    side = lambda df, p: df.select("_key", *[F.col(f"`{c}`").alias(f"{p}{c}" if c == "_hash" else f"{p}_{c}") for c in df.columns if c != "_key"])
+    joined = side(previous, "before").join(side(current, "after"), "_key", "full_outer")
+    kind = F.when(F.col("before_hash").isNull(), "new").when(F.col("after_hash").isNull(), "removed").when(F.col("before_hash") != F.col("after_hash"), "changed").otherwise("unchanged")
+    return joined.withColumn("change_type", kind).withColumnRenamed("_key", "key").drop("before_hash", "after_hash")
+
+
 def snapshot_diff(previous: DataFrame, current: DataFrame, id_fields: list[str], order: list[str], compare: list[str] | None = None, ignore: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(key, change_type, before_<c>, after_<c>): one full outer equi-join on the key.
 
@@ -26,10 +43,7 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, id_fields: list[str],
     carried only for the columns in ``keep`` (all by default).
     """
     keep = current.columns if keep is None else keep
-    side = lambda df, p: first_per_key(with_key_and_hash(df, id_fields, compare, ignore).where("_key is not null"), ["_key"], order).select("_key", F.col("_hash").alias(f"{p}_hash"), *[F.col(c).alias(f"{p}_{c}") for c in keep])
-    joined = side(previous, "before").join(side(current, "after"), "_key", "full_outer")
-    kind = F.when(F.col("before_hash").isNull(), "new").when(F.col("after_hash").isNull(), "removed").when(F.col("before_hash") != F.col("after_hash"), "changed").otherwise("unchanged")
-    return joined.withColumn("change_type", kind).withColumnRenamed("_key", "key").drop("before_hash", "after_hash")
+    return diff_prepared(*(prepared(df, id_fields, order, compare, ignore, keep) for df in (previous, current)))
 
 
 def summarize_changes(changes: DataFrame) -> DataFrame:

@@ -239,6 +239,21 @@ def _pack(blocks: list[tuple[str, int, bool, str]], size: int, overlap: int, by_
     return out
 
 
+def chunk_rows(blocks: list[tuple[str, int, bool, str]], mode: str = "fixed", size: int = 800, overlap: int = 0, heading_level: int = 3) -> list[tuple[str, str]]:
+    """(md, path) chunks of one document's blocks (md, level, is_table, path), in order."""
+    size = max(50, size)
+    if mode == "none":
+        first = next((path for _, level, _, path in blocks if not level), None)
+        return [("\n\n".join(b[0] for b in blocks), first)] if blocks else []
+    return _pack(blocks, size, max(0, min(overlap, size // 2)), heading_level if mode == "heading" else 0)
+
+
+def pathed_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block_no, md, level, is_table, path): the blocks of ``md_blocks`` with the headings above them."""
+    titled = blocks.withColumn("_title", F.regexp_replace("md", r"^#{1,6}\s+", ""))
+    return heading_path(titled, keys, "block_no", "level", "_title").select(*keys, "block_no", "md", F.coalesce("level", F.lit(0)).alias("level"), "is_table", "path")
+
+
 def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size: int = 800, overlap: int = 0, heading_level: int = 3) -> DataFrame:
     """(keys, chunk_no, md, path): chunks of the blocks of ``md_blocks``; mode none, heading or fixed.
 
@@ -246,12 +261,9 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size:
     longer block is cut by sentences and words, a table by rows under its header. Chunks of headings alone
     are not made. A document's blocks meet in one task, so bound the length of texts before.
     """
-    size = max(50, size)
-    overlap = max(0, min(overlap, size // 2))
-    pathed = heading_path(blocks.withColumn("_title", F.regexp_replace("md", r"^#{1,6}\s+", "")), keys, "block_no", "level", "_title").drop("_title")
+    pathed = pathed_blocks(blocks, keys)
     if mode == "none":
         return pathed.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "md"))), lambda x: x["md"]), "\n\n").alias("md"), F.min_by("path", F.when(F.col("level") == 0, F.col("block_no"))).alias("path")).withColumn("chunk_no", F.lit(1)).select(*keys, "chunk_no", "md", "path")
-    by_heading = heading_level if mode == "heading" else 0
     types = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +274,7 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size:
             return pd.DataFrame({n: pd.Series([r[i] for r in made], dtype=object) for i, n in enumerate(names)})
 
         def close() -> list:
-            return [(*now, i + 1, md, path) for i, (md, path) in enumerate(_pack(blocks, size, overlap, by_heading))] if blocks else []
+            return [(*now, i + 1, md, path) for i, (md, path) in enumerate(chunk_rows(blocks, mode, size, overlap, heading_level))] if blocks else []
 
         for pdf in batches:
             made = []
@@ -276,7 +288,7 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], mode: str = "fixed", size:
         if made := close():
             yield rows_of(made)
 
-    ordered = pathed.select(*keys, "block_no", "md", F.coalesce("level", F.lit(0)).alias("level"), "is_table", "path").repartition(*keys).sortWithinPartitions(*keys, "block_no")
+    ordered = pathed.repartition(*keys).sortWithinPartitions(*keys, "block_no")
     return ordered.mapInPandas(pack, f"{types}, chunk_no int, md string, path string")
 
 
@@ -314,13 +326,19 @@ def word_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     return lined.withColumn("_g", gap).withColumn("segment_no", F.sum(F.col("_g").cast("int")).over(by_x)).drop("_g")
 
 
+def segments(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, segment_no, x0, x1, y, size, text): the words of ``word_lines`` that stand together."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    return word_lines(words, keys).groupBy(*keys, "line_no", "segment_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"), text.alias("text"))
+
+
 def line_tables(words: DataFrame, keys: list[str], least_rows: int = 3) -> DataFrame:
     """(keys, table_no, line_no, column_no, text): cells of borderless tables.
 
     A table is a run of at least ``least_rows`` lines of two or more segments. Its columns are the
     islands left when the x-ranges of all its segments are merged, so gutters free on every row part them.
     """
-    seg = word_lines(words, keys).groupBy(*keys, "line_no", "segment_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
+    seg = segments(words, keys)
     lines = seg.groupBy(*keys, "line_no").agg(F.count("*").alias("_n")).where("_n >= 2")
     at = Window.partitionBy(*keys).orderBy("line_no")
     lines = lines.withColumn("_g", F.col("line_no") - F.row_number().over(at))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import values as v
+from tidewater.operators.documents import segments
 
 #: What columns, fields, totals and documents are called. The first that fits wins.
 ROLES = {
@@ -27,6 +30,12 @@ FIELDS = {
     "tax_id": r"(?i)\b(?:vat|tax|ust|tva)[ .-]*(?:id|no|nr|reg)\w*\.?\s*:?\s*([A-Z]{0,2}\d[\d ]{6,14})",
     "iban": r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b",
 }
+#: What the parties of an invoice are called, and other labels that end a value.
+PARTIES = {
+    "customer": "bill to, billed to, invoice to, sold to, customer, client, buyer, kunde, cumpărător, beneficiar, facturé à, klant, cliente, destinatario",
+    "supplier": "from, seller, supplier, vendor, sold by, issued by, bill from, lieferant, verkäufer, furnizor, vânzător, fournisseur, vendeur, leverancier, proveedor, fornitore",
+}
+OTHER_LABELS = "invoice, invoice no, invoice number, invoice date, date, due date, payment due, order number, purchase order, vat no, vat id, tax id, iban, total, subtotal, rechnung, rechnungsnummer, datum"
 TOTALS = {"subtotal": r"sub-?\s?total|net amount|zwischensumme|nettobetrag", "total": r"grand total|amount due|total due|balance due|gesamtbetrag|total de plat[aă]", "tax": r"vat|tax|mwst|ust|tva|iva|gst", "plain_total": r"total|summe|gesamt"}
 TYPES = {"credit_note": r"credit note|gutschrift", "receipt": r"receipt|quittung|bon fiscal", "quote": r"quotation|quote|angebot|ofert[aă]", "purchase_order": r"purchase order|bestellung", "invoice": r"invoice|rechnung|factur[aăe]"}
 
@@ -57,6 +66,32 @@ def labelled_fields(lines: DataFrame, keys: list[str], order: str, text: str) ->
     return rows.groupBy(*keys).agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in FIELDS])
 
 
+def party_names(words: DataFrame, keys: list[str], below: int = 2) -> DataFrame:
+    """(keys, party, name): the supplier and the customer named on a page of words (keys, x0, x1, y, size, text).
+
+    A label is a segment that says nothing else, or stands before a colon. Its value is the rest of the segment, else
+    the next segment of the line unless that is a label, else the first segment under it within ``below`` lines and
+    three sizes; a label there ends the search. The first label of a party that has a value counts.
+    """
+    seg = segments(words, keys)
+    part = F.split("text", ":", 2)
+    head, rest = F.lower(F.trim(F.regexp_replace(part[0], r"[\s.#]+$", ""))), F.trim(F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")))
+    known = {name: [w.strip() for w in names.split(",")] for name, names in PARTIES.items()}
+    party = reduce(lambda c, x: c.when(head.isin(x[1]), x[0]), list(known.items())[1:], F.when(head.isin(known["customer"]), "customer"))
+    labels = [w for ws in known.values() for w in ws] + [w.strip() for w in OTHER_LABELS.split(",")]
+    seg = seg.withColumn("_party", party).withColumn("_rest", rest).withColumn("_label", head.isin(labels))
+    asked = seg.where("_party is not null").select(*keys, F.col("line_no").alias("_line"), F.col("segment_no").alias("_seg"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y").alias("_y"), F.col("size").alias("_size"), F.col("_party").alias("party"), F.col("_rest").alias("_own"))
+    label = [*keys, "party", "_line", "_seg"]
+    own = asked.where("_own <> ''").select(*label, F.lit(0).alias("_far"), F.lit(0.0).alias("_at"), F.col("_own").alias("name"))
+    other = seg.select(*keys, "line_no", "segment_no", "x0", "x1", "y", F.col("text").alias("name"), "_label")
+    right = asked.withColumn("line_no", F.col("_line")).withColumn("segment_no", F.col("_seg") + 1).join(other, [*keys, "line_no", "segment_no"]).where("not _label").select(*label, F.lit(1).alias("_far"), F.lit(0.0).alias("_at"), "name")
+    under = asked.select("*", F.explode(F.sequence(F.col("_line") + 1, F.col("_line") + below)).alias("line_no")).join(other, [*keys, "line_no"])
+    under = under.where((F.col("x0") < F.col("_x1") + 20) & (F.col("x1") > F.col("_x0") - 5) & (F.col("y") - F.col("_y") <= 3 * F.col("_size") * (F.col("line_no") - F.col("_line"))))
+    under = under.select(*label, (F.lit(1) + F.col("line_no") - F.col("_line")).cast("int").alias("_far"), F.col("x0").cast("double").alias("_at"), F.when(~F.col("_label"), F.col("name")).alias("name"))
+    found = own.unionByName(right).unionByName(under).groupBy(*label).agg(F.min_by(F.struct("name"), F.struct("_far", "_at")).alias("v"))
+    return found.where("v.name is not null").groupBy(*keys, "party").agg(F.min_by("v.name", F.struct("_line", "_seg")).alias("name"))
+
+
 def totals(lines: DataFrame, keys: list[str], order: str, text: str, decimal_comma: Column | bool = False) -> DataFrame:
     """(keys, subtotal, tax, total): of label and amount lines; the last of each counts, taxes add up.
 

@@ -38,6 +38,14 @@ def by_rank(value: str, order: list[str], *then: str) -> list[Column]:
     return [F.when(place > 0, place).asc_nulls_last(), *[F.col(c) for c in then]]
 
 
+def chosen_order(choice: str, name: str, price: str, seq: str) -> list[Column]:
+    """The order that a caller chose: relevance (as given), name_asc, name_desc, price_asc or price_desc; missing values last, ties as given."""
+    orders = {"relevance": [], "name_asc": [F.asc_nulls_last(name)], "name_desc": [F.desc_nulls_last(name)], "price_asc": [F.asc_nulls_last(price)], "price_desc": [F.desc_nulls_last(price)]}
+    if choice not in orders:
+        raise ValueError(f"unknown order {choice}: one of {', '.join(orders)}")
+    return [*orders[choice], F.asc(seq)]
+
+
 def enrich_by_title(rows: DataFrame, extra: DataFrame, title: str, order: str, fields: list[str]) -> DataFrame:
     """rows with the fields of the extra row of the same title, case aside; of several the last in ``order`` counts."""
     last = extra.where(F.col(title).isNotNull()).groupBy(F.lower(title).alias("_t")).agg(*[F.max_by(F.struct(F.col(f).alias("v")), order).alias(f"_x_{f}") for f in fields])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import markdown
+from tidewater.functions import markdown, tables
 from tidewater.operators import documents as dc
 from tidewater.operators import windows
 from tidewater.plans.records import _t
@@ -108,3 +108,22 @@ def html_to_markdown(spark, d):
 def page_links(spark, d):
     links = F.regexp_extract_all("html", F.lit('<li><a[^>]*href="([^"]*)"'), F.lit(1))
     return _t(spark, d, "pages").select("page_id", F.size(F.array_distinct(F.transform(links, F.lower))).alias("n_links"))
+
+
+@query("""select p_partkey, p_name as title, '# ' || p_name || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '  3. ' || p_type || chr(10) || '     - size ' || p_size || chr(10) || '     - [mail](mailto:a@b.c)' || chr(10) || '  4. **last**' || chr(10) || '- code' || chr(10) || '  ```' || chr(10) || '  ' || p_type || '  x' || chr(10) || chr(10) || '  y' || chr(10) || '  ```' || chr(10) || chr(10)
+ || '> said' || chr(10) || '>' || chr(10) || '> > ' || p_brand || chr(10) || chr(10) || '| h |  |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b | ' || p_size || ' |' as markdown from part""")
+def nested_markdown(spark, d):
+    """Pages with lists three deep, numbered from three, code in an item, quotes in quotes and a wide header cell."""
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    col, size = F.col, F.col("p_size").cast("string")
+    items = c("<ul><li>", col("p_brand"), "<ol start='3'><li>", col("p_type"), "<ul><li>size ", size, "<li><a href='mailto:a@b.c'>mail</a></ul><li><b>last</b></ol></li><li>code<pre><code>", col("p_type"), "  x\n\ny</code></pre></ul>")
+    html = c("<html><head><title> ", col("p_name"), " </title></head><body><nav>menu</nav><h1>", col("p_name"), "</h1>", items, "<blockquote>said<blockquote>", col("p_brand"), "</blockquote></blockquote><table><tr><th colspan=2>h</th></tr><tr><td>a|b</td><td>", size, "</td></tr></table><div aria-hidden='true'>no</div></body></html>")
+    return _t(spark, d, "part").select("p_partkey", markdown.page_markdown(html).alias("m")).select("p_partkey", "m.title", "m.markdown")
+
+
+@query(None)
+def chunk_document_sql(spark, d):
+    """The chunks of ``chunk_blocks`` by the SQL table function."""
+    tables.register(spark)
+    dc.pathed_blocks(_blocks(spark, d), ["doc_id"]).createOrReplaceTempView("tidewater_blocks")
+    return spark.sql("select * from chunk_document(table(tidewater_blocks), 'fixed', 400, 40)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import criteria
 from tidewater.functions import text as tx
-from tidewater.operators import invoice, keys, merge, monitor, series, windows
+from tidewater.operators import invoice, keys, listing, merge, monitor, series, windows
 from tidewater.plans.registry import registry
 
 QUERIES, ORACLE, query = registry()
@@ -59,8 +59,8 @@ _BY_PRICE = "select p_partkey, p_name, row_number() over (order by p_retailprice
 @query("select p_partkey, p_name, row_number() over (order by p_name desc, p_partkey)::int as position from part")
 def sorted_listing(spark, d):
     """Every part in an order that the caller chose: names downwards."""
-    p = _t(spark, d, "part").select("p_partkey", "p_name")
-    return windows.numbered(p, [F.desc("p_name"), "p_partkey"]).select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
+    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    return windows.numbered(p, listing.chosen_order("name_desc", "p_name", "p_retailprice", "p_partkey")).select("p_partkey", "p_name", F.col("position").cast("int").alias("position"))
 
 
 @query(_BY_PRICE)

@@ -222,10 +222,10 @@ def trending_rows(spark, d):
     return out.select("l_orderkey", "rank", "title", "label", "active", F.array_join("categories", ",").alias("categories"))
 
 
-@query(_LINES + " select l_orderkey, 'T' || (l_linenumber % 2) as term, strftime(l_shipdate, '%Y-%m-%d') as at, case when l_returnflag <> 'R' then l_quantity end as value, l_linestatus = 'O' as partial from x where l_linenumber % 2 = 1 union all select l_orderkey, 'T0', strftime(l_shipdate, '%Y-%m-%d'), l_discount, l_linestatus = 'O' from x where l_linenumber % 2 = 1")
+@query(_LINES + " select l_orderkey, 'T1' as term, strftime(l_shipdate, '%Y-%m-%d') as at, case when l_returnflag <> 'R' then l_quantity end as value, l_linestatus = 'O' as partial from x union all select l_orderkey, 'T0', strftime(l_shipdate, '%Y-%m-%d'), l_discount, l_linestatus = 'O' from x")
 def timeline_points(spark, d):
     """Points of two terms as rows, values without data null."""
-    li = _lined(spark, d).where("l_linenumber % 2 = 1")
+    li = _lined(spark, d)
     point = F.struct(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string").alias("time"), F.array("l_quantity", "l_discount").alias("values"), F.array(F.col("l_returnflag") != "R").alias("has_data"), (F.col("l_linestatus") == "O").alias("partial"))
     g = li.groupBy("l_orderkey").agg(F.collect_list(point).alias("points"))
     return rc.timeline_rows(g, ["l_orderkey"], "points", F.array(F.lit("T1"), F.lit("T0")), F.lit("DAY")).select("l_orderkey", "term", "at", "value", "partial")
@@ -409,14 +409,10 @@ def body_sizes(spark, d):
     return sizes.join(li.groupBy("l_orderkey").agg(F.min("l_quantity").alias("small")), "l_orderkey").select("l_orderkey", "small", "body_size")
 
 
-@query("select event_type, min(ts) as scanned_from, max(ts) as scanned_to, count(*) as n from events group by 1")
+@query("select event_type, min(ts) as scanned_from, max(ts) as scanned_to, count(*) as n, min(ts) <= timestamp '2024-01-02' as reached, case when min(ts) > timestamp '2024-01-02' then case when max(event_id % 1000) = 7 then 'truncated' else 'end of feed' end end as reason from events group by 1")
 def feed_coverage(spark, d):
-    """What each feed covered."""
-    e, out = _t(spark, d, "events"), None
-    for kind in [r["event_type"] for r in e.select("event_type").distinct().collect()]:  # the few feeds of a run
-        rows = feeds.coverage(e.where(F.col("event_type") == kind), "ts").select(F.lit(kind).alias("event_type"), "scanned_from", "scanned_to", "n")
-        out = rows if out is None else out.union(rows)
-    return out
+    """What each feed covered, in one pass."""
+    return feeds.coverage(_t(spark, d, "events"), "ts", "2024-01-02", ["event_type"], F.col("event_id") % 1000 == 7)
 
 
 @query("select doc_id as text_id, source as heading, text from documents where doc_id % 3 <> 0 and text <> ''")
@@ -442,9 +438,9 @@ def trending_items(spark, d):
     return trends.trending_item(rows, "https://t.example", F.lit(24)).select("l_orderkey", F.col("n_news").cast("int").alias("n_news"), "news_title", "explore_url")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, case when l_quantity = l_linenumber then l_quantity::bigint::varchar when l_returnflag = 'R' then l_linenumber || '+' else l_linenumber || '-' || l_quantity::bigint end as shown, case when l_linenumber % 3 = 0 then 'failed' when l_linenumber % 3 = 1 then 'partial' else 'ok' end as status from lineitem where l_quantity <> l_linenumber or l_returnflag <> 'R'")
+@query("select l_orderkey, l_linenumber, l_partkey, case when l_quantity = l_linenumber then l_quantity::bigint::varchar when l_returnflag = 'R' then l_linenumber || '+' else l_linenumber || '-' || l_quantity::bigint end as shown, case when l_linenumber % 3 = 0 then 'failed' when l_linenumber % 3 = 1 then 'partial' else 'ok' end as status from lineitem")
 def ranges_and_status(spark, d):
-    li, k = _t(spark, d, "lineitem").where("l_quantity <> l_linenumber or l_returnflag <> 'R'"), F.col("l_linenumber") % 3
+    li, k = _t(spark, d, "lineitem"), F.col("l_linenumber") % 3
     most = F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int"))
     most = F.when(F.col("l_quantity") == F.col("l_linenumber"), F.col("l_linenumber")).otherwise(most)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", rc.count_range(F.col("l_linenumber"), most).alias("shown"), rc.term_status(a=F.when(k > 0, 1), b=F.when(k > 1, 1)).alias("status"))
@@ -456,3 +452,19 @@ def description_lines(spark, d):
     n = F.row_number().over(windows.Window.partitionBy("l_orderkey").orderBy("o"))
     rows = _lined(spark, d).withColumn("n", n).withColumn("text", F.concat(F.lit("d"), F.col("l_partkey").cast("string")))
     return dc.join_descriptions(rows, ["l_orderkey"], "n", (F.col("l_linenumber") % 3 != 2) | (F.col("n") == 1), "text")
+
+
+@query("""select c_custkey, 'customer' as party, c_name as name from customer union all select c_custkey, 'supplier', 'Seller & Co ' || c_nationkey from customer where c_custkey % 4 <> 3""")
+def party_names(spark, d):
+    """Pages of words that name both parties: behind the label, right of it, under it, or not at all."""
+    k, n = F.col("c_custkey") % 4, F.col("c_nationkey").cast("string")
+    word = lambda x0, x1, y, text: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), F.lit(float(y)).alias("y"), F.lit(10.0).alias("size"), text.alias("text"))
+    say = F.lit
+    seller = lambda x, y: [word(x, x + 40, y, say("Seller")), word(x + 43, x + 50, y, say("&")), word(x + 53, x + 65, y, say("Co")), word(x + 68, x + 80, y, n)]
+    total = [word(0, 30, 100, say("Total")), word(200, 240, 100, say("5.00"))]
+    behind = F.array(word(0, 60, 10, say("Customer:")), word(63, 160, 10, F.col("c_name")), word(0, 40, 30, say("From:")), *seller(43, 30), *total)
+    right = F.array(word(0, 30, 10, say("Bill")), word(33, 45, 10, say("to:")), word(100, 190, 10, F.col("c_name")), word(0, 50, 30, say("SUPPLIER")), *seller(100, 30), *total)
+    under = F.array(word(0, 40, 10, say("Vendor")), word(200, 240, 10, say("Client:")), *seller(0, 24), word(200, 290, 24, F.col("c_name")), *total)
+    ended = F.array(word(0, 40, 10, say("Vendor:")), word(200, 240, 10, say("Buyer")), word(0, 40, 24, say("Date:")), word(200, 290, 24, F.col("c_name")), word(0, 60, 38, say("Nobody")), *total)
+    pages_ = _t(spark, d, "customer").select("c_custkey", F.explode(F.when(k == 0, behind).when(k == 1, right).when(k == 2, under).otherwise(ended)).alias("w"))
+    return invoice.party_names(pages_.select("c_custkey", "w.*"), ["c_custkey"])

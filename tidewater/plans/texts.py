@@ -36,7 +36,7 @@ def page_head_meta(spark, d):
 
 @query(r"""with x as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') as h from pages),
 y as (select page_id, regexp_replace(regexp_replace(h, '(?i)<br[^>]*>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer)[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') as h from x),
-z as (select page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as h from y)
+z as (select page_id, replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as h from y)
 select page_id, trim(regexp_replace(regexp_replace(h, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as text from z""")
 def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
@@ -137,3 +137,18 @@ def type_listing(spark, d):
 @query("select n_nationkey, lower(r_name) || '/' || lower(n_name) as path from nation join region on n_regionkey = r_regionkey")
 def tree_path(spark, d):
     return _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", F.lower("r_name"), F.lower("n_name")).alias("path"))
+
+
+@query("select page_id, 'café ’' || page_id || 'A &lt; &nosuch; € \U0001f600 &#0; x&y' as text from pages")
+def html_entities(spark, d):
+    """Entities of every kind, each decoded once; what is no entity stays."""
+    html = F.concat(F.lit("<p>caf&eacute; &#8217;"), F.col("page_id").cast("string"), F.lit("&#x41; &amp;lt; &nosuch; &euro; &#128512; &#0; x&y</p>"))
+    return _t(spark, d, "pages").select("page_id", tx.html_to_text(html).alias("text"))
+
+
+@query("select page_id, generate_subscripts(u, 1)::int as n, unnest(u) as url from (select page_id, [url, 'https://localhost:80/' || page_id, 'https://a.example/x', 'http://[::1]/', 'https://b.example:8080'] as u from pages)")
+def nested_urls(spark, d):
+    """Urls in nested fields and arrays of records; other schemes and bare words are none."""
+    item = F.parse_json(F.concat(F.lit('{"a":[{"u":'), F.to_json(F.col("url").cast("variant")), F.lit('},{"u":["https://localhost:80/'), F.col("page_id").cast("string"), F.lit('","//a.example/x",["mailto:a@b.com"]]},{"v":1},{"u":["http://[::1]/","word","ftp://c.example/","b.example:8080"]}]}')))
+    found = F.array_compact(F.transform(links.urls_in(item, "a.u"), links.absolute))
+    return _t(spark, d, "pages").select("page_id", F.posexplode(found).alias("n", "url")).withColumn("n", F.col("n") + 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import tables
 from tidewater.functions import variants as va
 from tidewater.operators import diff
 from tidewater.plans.records import _t
@@ -78,6 +79,15 @@ def nested_changes(spark, d):
     return c.select("key", "c.total", F.explode("c.changes").alias("f")).select("key", "f.field", "f.before", "f.after", "total")
 
 
+@query(_TWO + "select k::varchar as key, field, before, after, count(*) over (partition by k)::int as total from c qualify row_number() over (partition by k order by field) <= 3")
+def lateral_changes(spark, d):
+    """The same through the SQL table function, called laterally."""
+    tables.register(spark)
+    changed = diff.item_diff(*_two(spark, d), "item", ["id"], ["o_orderkey"]).where("change_type = 'changed'")
+    changed.select("key", F.to_json("before").alias("b"), F.to_json("after").alias("a")).createOrReplaceTempView("tidewater_changed")
+    return spark.sql("select c.key, f.field, f.before, f.after, f.total from tidewater_changed c, lateral flatten_changes(c.b, c.a, 3) f")
+
+
 @query(_TWO + """select k::varchar as key, case when k % 10 = 0 then 'new' when k % 7 = 0 then 'removed' when k % 9 = 0 or k % 5 = 0 then 'changed' else 'unchanged' end as change_type from o where not (k % 10 = 0 and k % 7 = 0)""")
 def projected_diff(spark, d):
     """Items compared by two of their fields only, one a dotted path."""

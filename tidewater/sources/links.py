@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.variants import elements, members
+
 #: Share links (pattern) and the direct link they stand for; the first that fits wins.
 DIRECT = (
     (r"^https?://drive\.google\.com/file/d/([\w-]+).*$", "https://drive.usercontent.google.com/download?id=$1&export=download&confirm=t"),
@@ -41,14 +45,33 @@ def direct_link(url: Column, sheet: str = "xlsx") -> Column:
     return out.otherwise(url)
 
 
+def absolute(url: Column) -> Column:
+    """An http(s) url with its scheme; null where another scheme is named or the host is a bare word.
+
+    ``//host`` and ``host:port`` get https; hosts are names with a dot, localhost or addresses in brackets.
+    """
+    raw = F.trim(url)
+    has_port = raw.rlike(r"^[^:/?#@\s]+:\d+(?:[/?#]|$)")
+    named = raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~has_port
+    full = F.when(F.startswith(raw, F.lit("//")), F.concat(F.lit("https:"), raw)).when(named, raw).otherwise(F.concat(F.lit("https://"), raw))
+    host = F.lower(F.regexp_replace(F.regexp_extract(full, r"(?i)^https?://(?:[^/?#@\s]*@)?(\[[^\]\s]*\]|[^/?#\s]*)", 1), r":\d*$", ""))
+    known = host.isin("localhost") | F.startswith(host, F.lit("[")) | host.rlike(r"^[^.:]+(?:\.[^.:]+)+$")
+    return F.when((raw != "") & known & ~full.rlike(r"\s"), full)
+
+
+def urls_in(item: Column, path: str) -> Column:
+    """The urls of a VARIANT record at a dotted path, arrays on the way and at its end flattened, in order."""
+    flat = lambda vs: F.flatten(F.transform(vs, lambda v: F.coalesce(elements(v), F.array(v))))
+    below = lambda vs, name: F.array_compact(F.transform(flat(vs), lambda v: F.try_element_at(members(v), F.lit(name))))
+    found = flat(reduce(below, path.split("."), F.array(item)))
+    return F.filter(F.transform(found, lambda v: F.when(F.startswith(F.to_json(v), F.lit('"')), F.trim(F.try_variant_get(v, "$", "string")))), lambda x: x != "")
+
+
 def frontier(df: DataFrame, url: str, order: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): http(s) urls with a scheme, exact repeats once (the first in order), at most ``most``; and the rest.
 
-    Bare words are invalid; a null or empty url is in neither.
+    Other schemes and bare words are invalid; a null or empty url is in neither.
     """
-    raw = F.trim(url)
-    full = F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    fit = full.rlike(r"(?i)^https?://([^/?#@\s]+@)?[^/?#:\s.]+(\.[^/?#:\s.]+)+(:\d+)?([/?#]\S*)?$")
-    rows = df.withColumn("_url", full).withColumn("_fit", fit).where(raw != "")
-    valid = rows.where("_fit").groupBy(F.col("_url").alias("url")).agg(F.min(order).alias(order)).orderBy(order, "url").limit(most)
-    return valid, rows.where("not _fit").select(df.columns)
+    rows = df.withColumn("_url", absolute(F.col(url) if isinstance(url, str) else url)).where(F.trim(url) != "")
+    valid = rows.where("_url is not null").groupBy(F.col("_url").alias("url")).agg(F.min(order).alias(order)).orderBy(order, "url").limit(most)
+    return valid, rows.where("_url is null").select(df.columns)

@@ -2,7 +2,7 @@
 
 Keys lie in folders by part (a hash of the key), in generations: a batch appends one generation of its own keys, and
 looks its keys up in the parts that they fall in. From time to time small generations are merged into one, and all into
-one once the small ones together weigh as much as the large one: a key is rewritten a number of times that grows with
+one once the small ones together weigh half as much as the large one: a key is rewritten a number of times that grows with
 the logarithm of the store. A generation counts from the moment a manifest names it; manifests are small tables, one a
 commit, of which the newest counts.
 """
@@ -94,7 +94,7 @@ class SeenStore:
             self.merge(key, rows.schema[key].dataType.simpleString())
 
     def merge(self, key: str, kind: str, since: Column | None = None) -> None:
-        """Small generations as one; all, without keys seen before ``since``, once the small ones weigh as much as the largest.
+        """Small generations as one; all, without keys seen before ``since``, once the small ones weigh half as much as the largest.
 
         With ``since`` all are merged. The generations that were merged go after the commit; a merge that fails before
         it leaves a folder that nothing names and that the next merge overwrites.
@@ -103,8 +103,10 @@ class SeenStore:
         live = sorted(((r["folder"], r["n_rows"]) for r in rows if r["folder"] and r["n_rows"]), key=lambda x: -x[1])
         if not live:
             return
-        whole = since is not None or sum(n for _, n in live[1:]) >= live[0][1]
+        whole = since is not None or 2 * sum(n for _, n in live[1:]) >= live[0][1]
         stay, merged = ([], live) if whole else (live[:1], live[1:])
+        if since is None and len(merged) < 2:
+            return
         folder = f"gen=merged-{version + 1:012d}"
         out = self._rows([f for f, _ in merged], key, kind)
         out = (out if since is None else out.where(F.col("seen") >= since)).groupBy(key, "part").agg(F.min("batch").alias("batch"), F.min("seen").alias("seen"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -92,22 +95,51 @@ def monitor_stream(stream: DataFrame, results: str, store_path: str, checkpoint:
     return stream.writeStream.foreachBatch(_delivery(results, store_path, key, settings, report_all, budget, order)).option("checkpointLocation", checkpoint)
 
 
-def run_sources(sources: dict[str, Callable[[], DataFrame]], each: Callable[[str, DataFrame], None]) -> dict[str, str]:
-    """Each source on its own: what failed is reported by name and does not keep the others from running.
+def run_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], each: Callable[[str, DataFrame], None], together: int = 8, limit: float | None = None) -> dict[str, str]:
+    """Sources side by side, each in its own scheduler pool: what failed is reported by name, and none delays another.
 
-    A source that fails keeps no state, so its baseline is still to be made at the next run.
+    ``together`` sources run at once; one that takes more than ``limit`` seconds has its jobs cancelled, counts as failed
+    and gives its place to the next. A source that fails keeps no state, so its baseline is still to be made at the next
+    run. Pools share the cluster where spark.scheduler.mode is FAIR.
     """
-    status = {}
-    for name, read in sources.items():
+    sc, status, run = spark.sparkContext, {}, uuid.uuid4().hex
+    waiting, running = list(sources), {}
+
+    def work(name: str) -> None:
+        sc.setLocalProperty("spark.scheduler.pool", f"source-{name}")
+        sc.addJobTag(f"{run}-{list(sources).index(name)}")
         try:
-            each(name, read())
-            status[name] = "ok"
+            each(name, sources[name]())
+            status.setdefault(name, "ok")
         except Exception as e:  # noqa: BLE001 - the status of a source is the result here
-            status[name] = f"failed: {type(e).__name__}: {str(e)[:300]}"
-    return status
-
-
-def coverage(rows: DataFrame, ts: str, since: str | None = None) -> DataFrame:
-    """(scanned_from, scanned_to, n, reached): what a run covered, and whether it got back to ``since``."""
+            status.setdefault(name, f"failed: {type(e).__name__}: {str(e)[:300]}")
+
+    while waiting or running:
+        while waiting and len(running) < together:
+            name = waiting.pop(0)
+            thread = InheritableThread(target=work, args=(name,), session=spark)
+            thread.daemon = True
+            thread.start()
+            running[name] = (thread, time.monotonic())
+        for name, (thread, began) in list(running.items()):
+            if not thread.is_alive():
+                thread.join()
+                del running[name]
+            elif limit is not None and time.monotonic() - began > limit:
+                status[name] = f"failed: TimeoutError: over {limit:g} seconds"
+                sc.cancelJobsWithTag(f"{run}-{list(sources).index(name)}")
+                del running[name]
+        time.sleep(0.02)
+    return {name: status[name] for name in sources}
+
+
+def coverage(rows: DataFrame, ts: str, since: str | None = None, keys: list[str] | None = None, truncated: Column | None = None) -> DataFrame:
+    """(keys, scanned_from, scanned_to, n, reached, reason): what a run covered, and whether it got back to ``since``.
+
+    One grouped pass over the rows, whatever the number of keys. ``truncated`` marks rows of a page that was cut; where
+    ``since`` was not reached the reason is ``truncated`` if there are any, else ``end of feed``.
+    """
     reached = F.lit(True) if since is None else F.coalesce(F.min(ts) <= F.lit(since).cast("timestamp_ntz"), F.lit(False))
-    return rows.agg(F.min(ts).alias("scanned_from"), F.max(ts).alias("scanned_to"), F.count("*").alias("n"), reached.alias("reached"))
+    cut = F.lit(False) if truncated is None else F.coalesce(F.max(truncated), F.lit(False))
+    reason = F.when(~reached, F.when(cut, "truncated").otherwise("end of feed"))
+    return rows.groupBy(*(keys or [])).agg(F.min(ts).alias("scanned_from"), F.max(ts).alias("scanned_to"), F.count("*").alias("n"), reached.alias("reached"), reason.alias("reason"))
