@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, everything else lower-case words: a whole number (digits,
-groups, decimals, or a spelled one), a run of capitalised words inside a sentence, a unit or sign beside a number
-are one placeholder each. Windows of eight template tokens of the benchmark are hash-joined with those of the
+groups, decimals, or a spelled one in one of four languages), a run of capitalised words inside a sentence, a sign
+beside a number and the word behind it, be it a unit or what is counted, are one placeholder each. Windows of eight template tokens of the benchmark are hash-joined with those of the
 documents. Windows with the same shift between item and document form an alignment; an alignment in which one
 slot value of the item stands for two values of the document is not a re-parameterised question and is dropped.
 A document leaks an item when the remaining windows cover enough of the item. Names are told by their capitals,
@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch, broadcast_if
 
-#: Unit words that become a placeholder after a number, and spelled numbers.
-UNITS = """kg g mg lb oz km m cm mm mile miles l ml percent dollar dollars euro euros cent cents hour hours minute minutes second seconds
-day days week weeks month months year years degrees stunde stunden minuten sekunden tage woche wochen monate jahr jahre heure heures jour
-jours semaine semaines mois ans hora horas minutos segundos dias semana semanas meses""".split()
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+#: Spelled numbers in English, German, French and Spanish, but for those that are common words of another kind.
+NUMBER_WORDS = """two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty
+sixty seventy eighty ninety hundred thousand million
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig
+siebzig achtzig neunzig hundert tausend millionen
+deux trois quatre cinq huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille
+dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta
+ochenta noventa cien ciento mil""".split()
 NAME, NUMBER, UNIT, JOIN = "\u0002", "\u0003", "\u0004", "\u0005"  # the first three begin slot tokens, the last joins the parts of a number
 _GAP = r"[ \t\n\r]"
 
@@ -37,10 +40,12 @@ def with_tokens(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_b", F.when(F.col("_d"), joined(F.col("_a"))).otherwise(F.col("_a")))
     df = df.withColumn("_b", F.when(F.col("_d") & F.col("_b").rlike("[$€£%]"), signs(F.col("_b"))).otherwise(F.col("_b")))
     df = df.withColumn("_c", sub("_b", rf"([\p{{Ll}}\p{{Nd}},;:]{_GAP})(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]*{_GAP}+)*(\p{{Lu}})", f"$1{NAME}$2"))
-    counted = lambda c: sub(sub(sub(c, r"(\p{Nd})(\p{L})", "$1 $2"), rf"(\p{{Nd}} )({'|'.join(UNITS)})([^\p{{L}}\p{{Nd}}]|$)", f"$1{UNIT}$2$3"), rf"(\p{{Nd}}[\p{{Nd}}{JOIN}]*)", f"{NUMBER}$1")
+    counted = lambda c: sub(sub(c, rf"(\p{{Nd}}){_GAP}?(\p{{L}})", f"$1 {UNIT}$2"), rf"(\p{{Nd}}[\p{{Nd}}{JOIN}]*)", f"{NUMBER}$1")
     df = df.withColumn("_e", F.when(F.col("_d"), counted(F.col("_c"))).otherwise(F.col("_c")))
     cut = lambda c, marks: F.array_remove(F.split(F.lower(c), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{marks}]+"), "")
-    return df.withColumn("toks", cut("_e", f"{NAME}-{JOIN}")).withColumn("words", cut("_a", "")).drop(text, "_a", "_b", "_c", "_d", "_e")
+    behind = lambda ts: F.transform(ts, lambda t, i: F.when((i > 0) & (t > JOIN) & ~t.isin(*NUMBER_WORDS) & F.get(ts, i - 1).isin(*NUMBER_WORDS), F.concat(F.lit(UNIT), t)).otherwise(t))
+    df = df.withColumn("_f", cut("_e", f"{NAME}-{JOIN}")).withColumn("toks", F.when(F.arrays_overlap("_f", F.lit(NUMBER_WORDS)), behind(F.col("_f"))).otherwise(F.col("_f")))
+    return df.withColumn("words", cut("_a", "")).drop(text, "_a", "_b", "_c", "_d", "_e", "_f")
 
 
 def is_slot(t: Column) -> Column:

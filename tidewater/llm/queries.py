@@ -148,9 +148,10 @@ c1 as (select r, side, id, regexp_replace(coalesce(text, ''), '[\x02-\x05]', ' '
 c2 as (select r, side, id, regexp_replace(regexp_replace(s, '([0-9\p{Nd}])[,.]([0-9\p{Nd}])', '\1' || chr(5) || '\2', 'g'), '([0-9\p{Nd}])[,.]([0-9\p{Nd}])', '\1' || chr(5) || '\2', 'g') as s from c1),
 c3 as (select r, side, id, regexp_replace(regexp_replace(s, '(?:\$|€|£)[\t\n\r ]*(\p{Nd}(?:\p{Nd}|\x05)*)', '\1 ' || chr(4) || 'sign ', 'g'), '(\p{Nd})[\t\n\r ]*(?:%|\$|€|£)', '\1 ' || chr(4) || 'sign ', 'g') as s from c2),
 c4 as (select r, side, id, regexp_replace(s, '((?:\p{Ll}|\p{Nd}|[,;:])[\t\n\r ])(?:\p{Lu}(?:\p{L}|\p{M}|[''’-])*[\t\n\r ]+)*(\p{Lu})', '\1' || chr(2) || '\2', 'g') as s from c3),
-c5 as (select r, side, id, regexp_replace(regexp_replace(s, '(\p{Nd})(\p{L})', '\1 \2', 'g'), '(\p{Nd} )(kg|g|mg|lb|oz|km|m|cm|mm|mile|miles|l|ml|percent|dollar|dollars|euro|euros|cent|cents|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|degrees|stunde|stunden|minuten|sekunden|tage|woche|wochen|monate|jahr|jahre|heure|heures|jour|jours|semaine|semaines|mois|ans|hora|horas|minutos|segundos|dias|semana|semanas|meses)([^\p{L}\p{Nd}]|$)', '\1' || chr(4) || '\2\3', 'g') as s from c4),
-tk as (select c1.side, c1.id, list_filter(regexp_split_to_array(lower(regexp_replace(c5.s, '(\p{Nd}(?:\p{Nd}|\x05)*)', chr(3) || '\1', 'g')), '[^\p{L}\p{M}\p{Nd}\x02\x03\x04\x05]+'), lambda t: t <> '') as toks, list_filter(regexp_split_to_array(lower(c1.s), '[^\p{L}\p{M}\p{Nd}]+'), lambda t: t <> '') as words from c1 join c5 on c1.r = c5.r),
-spelled as (select ['two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety','hundred','thousand','million'] as ws),
+c5 as (select r, side, id, regexp_replace(s, '(\p{Nd})[\t\n\r ]?(\p{L})', '\1 ' || chr(4) || '\2', 'g') as s from c4),
+spelled as (select ['two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety','hundred','thousand','million','zwei','drei','vier','fünf','sechs','sieben','acht','neun','zehn','elf','zwölf','dreizehn','vierzehn','fünfzehn','sechzehn','siebzehn','achtzehn','neunzehn','zwanzig','dreißig','vierzig','fünfzig','sechzig','siebzig','achtzig','neunzig','hundert','tausend','millionen','deux','trois','quatre','cinq','huit','neuf','dix','onze','douze','treize','quatorze','quinze','seize','vingt','trente','quarante','cinquante','soixante','mille','dos','tres','cuatro','cinco','seis','siete','ocho','nueve','diez','doce','trece','catorce','quince','dieciséis','diecisiete','dieciocho','diecinueve','veinte','treinta','cuarenta','cincuenta','sesenta','setenta','ochenta','noventa','cien','ciento','mil'] as ws),
+tn as (select c1.side, c1.id, list_filter(regexp_split_to_array(lower(regexp_replace(c5.s, '(\p{Nd}(?:\p{Nd}|\x05)*)', chr(3) || '\1', 'g')), '[^\p{L}\p{M}\p{Nd}\x02\x03\x04\x05]+'), lambda t: t <> '') as toks, list_filter(regexp_split_to_array(lower(c1.s), '[^\p{L}\p{M}\p{Nd}]+'), lambda t: t <> '') as words from c1 join c5 on c1.r = c5.r),
+tk as (select side, id, list_transform(toks, lambda t, i: case when i > 1 and t > chr(5) and not list_contains(ws, t) and list_contains(ws, toks[i - 1]) then chr(4) || t else t end) as toks, words from tn, spelled),
 src as (select side, id, false as exact, toks as a, len(words) as n from tk union all select side, id, true, words, len(words) from tk),
 it as (select distinct id, exact, a, least(len(a), 8) as k from src where side = 'i' and n >= 3 and len(a) > 0),
 iw as (select distinct id, exact, pos, k, len(a) as t, a[pos:pos + k - 1] as w from (select *, unnest(range(1, len(a) - k + 2)) as pos from it)),
@@ -169,6 +170,31 @@ OP5_SHARE_SQL = OP5_SQL + "select doc_id, item_id, n_found / n_windows as share
 OP5_SQL += "select doc_id, item_id, n_windows, n_found, n_slots from o"
 
 
+def _reparameterised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, items) out of the benchmark: every sixth word a number with a unit, in documents other ones.
+
+    Items of even id have another number each time, and so have their documents: one value of the item is one value of
+    the document. In items of odd id that 5 divides one number comes all the time, but not in the documents.
+    """
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    ws, other = F.split("text", " "), (F.col("item_id") % 2 == 1) & (F.col("item_id") % 5 == 0)
+    said = lambda n, unit: F.array_join(F.transform(ws, lambda w, i: F.when(i % 6 == 3, F.concat(n(i).cast("string"), F.lit(unit))).otherwise(w)), " ")
+    items = b.select("item_id", said(lambda i: F.when(other, 4).otherwise(100 + i), " km").alias("text"))
+    return b.select((F.col("item_id") * 10).alias("doc_id"), said(lambda i: 5000 + 7 * i + F.col("item_id"), " Kilometer").alias("text")), items
+
+
+def op5_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with numbers and units, found in documents that have other ones: slots decide here."""
+    return decontaminate.leaks(*_reparameterised(spark, sf_dir))
+
+
+OP5_SLOTS_SQL = r"""
+with ws as (select item_id, string_split(text, ' ') as w from benchmark where item_id is not null),
+new_items as (select item_id, array_to_string(list_transform(w, lambda x, i: case when (i - 1) % 6 = 3 then case when item_id % 2 = 1 and item_id % 5 = 0 then '4' else (99 + i)::varchar end || ' km' else x end), ' ') as text from ws),
+new_docs as (select item_id * 10 as doc_id, array_to_string(list_transform(w, lambda x, i: case when (i - 1) % 6 = 3 then (5000 + 7 * (i - 1) + item_id)::varchar || ' Kilometer' else x end), ' ') as text from ws),
+""" + OP5_SQL.strip().removeprefix("with ").replace("from benchmark where item_id", "from new_items where item_id").replace("from documents where doc_id", "from new_docs where doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of every document: a budget of all tokens, no source more than twice."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repeats=2.0)
@@ -244,5 +270,5 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm, op11_hard_negatives, op12_merkle, op13_simhash)}
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_line_dedup, op2_repeated_lines, op3_url_filter, op4_near_dup, op5_decontaminate, op5_decontaminate_any_case, op5_reparameterised, op6_topk, op7_chat, op8_mixing, op9_toxicity, op10_lm, op11_hard_negatives, op12_merkle, op13_simhash)}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op2_repeated_lines": OP2_REPEATS_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op5_decontaminate_any_case": OP5_SHARE_SQL, "op5_reparameterised": OP5_SLOTS_SQL, "op6_topk": OP6_SQL, "op7_chat": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL}

@@ -211,8 +211,8 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = scratch.cut(near_links(classes.select("fp"), distance, scratch, block, fan))
     label = scratch.cut(components(links, scratch))
     member = classes.join(broadcast_if(label, label.count()), classes.fp == label.node, "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("comp"))
-    linked = member.where("comp <> fp").select("comp").distinct()
-    lowest = scratch.cut(member.join(linked, "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("lowest")))
+    linked = scratch.cut(member.where("comp <> fp").select("comp").distinct())
+    lowest = scratch.cut(member.join(broadcast_if(linked, linked.count()), "comp", "left_semi").groupBy("comp").agg(F.min("least").alias("lowest")))
     member = member.join(broadcast_if(lowest, lowest.count()), "comp", "left").where("n > 1 or lowest is not null")
     member = scratch.cut(member.select("fp", F.coalesce("lowest", "least").alias("component_id")))  # other rows are alone
     scratch.free(sketch, member)

@@ -295,14 +295,17 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 2000
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _score, _starts and _ends: every row over its whole text, all columns kept.
+    """docs with _score, _starts and _ends as the last columns: every row over its whole text, all columns kept.
 
-    Spans are runs of tokens with a marginal of at least 0.5, in characters. Null and empty texts have no
+    A name that docs has already gets underscores at its end. Spans are runs of tokens with a marginal of at least 0.5, in characters. Null and empty texts have no
     spans and the score of a text without tokens; repeated rows get equal values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB of weights
-    added = {"_score": T.DoubleType(), "_starts": T.ArrayType(T.IntegerType()), "_ends": T.ArrayType(T.IntegerType())}
-    rest = [c for c in docs.columns if c not in added]
+    taken, added = {c.lower() for c in docs.columns}, {}
+    for name, kind in {"_score": T.DoubleType(), "_starts": T.ArrayType(T.IntegerType()), "_ends": T.ArrayType(T.IntegerType())}.items():
+        while name in taken:
+            name += "_"
+        added[name] = kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -321,11 +324,10 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                 at = pa.array(np.searchsorted(doc[first] if len(hot) else hot, np.arange(j - i + 1)).astype(np.int32))
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(m.score(x)), pa.ListArray.from_arrays(at, pa.array(a.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(b.astype(np.int32)))], [*rest, *added]
+                    [*own.columns, pa.array(m.score(x)), pa.ListArray.from_arrays(at, pa.array(a.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(b.astype(np.int32)))], [*batch.schema.names, *added]
                 )
 
-    schema = T.StructType([*docs.select(rest).schema.fields, *(T.StructField(n, t) for n, t in added.items())])
-    return docs.select(rest).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, out: int = 2, sample: int = 2000) -> DataFrame:
@@ -348,6 +350,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     gives an empty one; all columns are kept.
     """
     model = fit(docs, labels, Scratch(docs.sparkSession))
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no column has the name of an added one
-    kept = with_scores(plain, model, f"c{docs.columns.index('text')}").where(F.col("_score") < threshold)
-    return kept.select(plain.columns).toDF(*docs.columns)
+    scored = with_scores(docs, model)
+    return scored.where(F.col(scored.columns[-3]) < threshold).select([F.col(f"`{c}`") for c in docs.columns])
