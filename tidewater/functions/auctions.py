@@ -40,6 +40,19 @@ def procedure(p: Column, page: str = "") -> Column:
         regions.alias("regions"), ordered_distinct(F.transform(items, lambda i: i["classification"]["code"])).alias("codes"), F.size(items).alias("n_items"), items.alias("items"), seller.alias("seller"), result.alias("result"))
 
 
+def participants(p: Column) -> Column:
+    """struct<organiser, winner, n_bids, documents> of a procedure with awards, bids, documents and an organiser.
+
+    The winner is the supplier of the award that comes first by status, signed and pending ones too; organisations are
+    null where nothing of them is told, masked e-mails and phones are left out. Documents carry their origin.
+    """
+    told = lambda o: rc.organisation(name=F.nullif(F.trim(o["name"]), F.lit("")), id=F.nullif(o["id"], F.lit("")), email=rc.unless_masked(o["email"]), phone=rc.unless_masked(o["phone"]))
+    award = rc.by_status(p["awards"], rc.AWARD_ORDER)
+    of_awards = F.array_compact(F.flatten(F.array_compact(F.transform(p["awards"], lambda a: a["documents"]))))
+    documents = rc.with_origin(procedure=p["documents"], award=of_awards)
+    return F.struct(told(p["organiser"]).alias("organiser"), F.when(award.isNotNull(), told(award["supplier"])).alias("winner"), F.coalesce(F.size(p["bids"]), F.lit(0)).alias("n_bids"), documents.alias("documents"))
+
+
 def permit(row: Column, detail: Column, states: tuple[str, ...], personal: bool = False, rules: dict[str, list[str]] | None = None) -> Column:
     """One record of a permit: the detail page before the grid row, the address in parts, a company before a person.
 

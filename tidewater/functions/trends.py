@@ -30,21 +30,20 @@ def volume_label(n: Column) -> Column:
     return F.when(n >= 1_000_000, short(1e6, "M+")).when(n >= 1000, short(1e3, "K+")).otherwise(F.concat(n.cast("long").cast("string"), F.lit("+")))
 
 
-def trending_rows(df: DataFrame, keys: list[str], payload: str, names: DataFrame) -> DataFrame:
+def trending_rows(df: DataFrame, keys: list[str], payload: str, names: dict[int, str]) -> DataFrame:
     """(keys, rank, title, geo, volume, label, growth, started, ended, active, queries, categories) of a VARIANT of positional arrays.
 
     Places: 0 title, 2 geo, 3 and 4 start and end (seconds, in arrays), 6 volume, 8 growth, 9 queries, 10 category
-    ids. names (id, name) are joined; an unknown id reads "Category n". No end: active. Entries without a title go.
+    ids, told by ``names`` (a short fixed list); an unknown id reads "Category n". No end: active. Entries without a title go.
     """
     e = df.select(*keys, F.posexplode(F.try_variant_get(payload, "$", "array<variant>")).alias("_i", "_v"))
     at = lambda k, kind: F.try_variant_get("_v", f"$[{k}]", kind)
     rows = e.where(at(0, "string").isNotNull()).select(
         *keys, (F.col("_i") + 1).alias("rank"), at(0, "string").alias("title"), at(2, "string").alias("geo"), at(6, "double").alias("volume"), at(8, "double").alias("growth"),
         F.timestamp_seconds(F.try_variant_get("_v", "$[3][0]", "long")).alias("started"), F.timestamp_seconds(F.try_variant_get("_v", "$[4][0]", "long")).alias("ended"), F.coalesce(at(9, "array<string>"), F.array().cast("array<string>")).alias("queries"), at(10, "array<int>").alias("_ids"))
-    named = rows.select(*keys, "rank", F.posexplode("_ids").alias("_p", "id")).join(F.broadcast(names), "id", "left")  # a fixed list of categories
-    named = named.groupBy(*keys, "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", F.coalesce("name", F.concat(F.lit("Category "), F.col("id").cast("string"))).alias("n")))), lambda x: x["n"]).alias("categories"))
-    out = rows.join(named, [*keys, "rank"], "left").drop("_ids")
-    return out.withColumn("label", volume_label(F.col("volume"))).withColumn("active", F.col("ended").isNull()).withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,string>")
+    named = F.transform("_ids", lambda i: F.coalesce(F.try_element_at(known, i), F.concat(F.lit("Category "), i.cast("string"))))
+    return rows.select("*", volume_label(F.col("volume")).alias("label"), F.col("ended").isNull().alias("active"), F.coalesce(named, F.array().cast("array<string>")).alias("categories")).drop("_ids")
 
 
 def select_widgets(df: DataFrame, keys: list[str], order: str, widget: str, keyword: str, terms: Column) -> DataFrame:

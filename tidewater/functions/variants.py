@@ -41,6 +41,11 @@ def shown(v: Column) -> Column:
     return abridged(F.coalesce(F.try_variant_get(v, "$", "string"), F.nullif(F.to_json(v), F.lit("null"))))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _sorted(names: Sequence[str]) -> list[str]:
     return sorted(set(names), key=lambda n: n.encode("utf-16-be"))
 
@@ -67,7 +72,6 @@ def _object(keys: Column, text: Callable[[Column], Column]) -> Column:
 
 def _without(v: Column, gone: list[tuple[Path, Column]]) -> Column:
     """Canonical text of v without the fields at the paths whose condition holds."""
-    fields = members(v)
     here = [(p[0], c) for p, c in gone if len(p) == 1]
     deeper: dict[str, list[tuple[Path, Column]]] = {}
     for p, c in gone:
@@ -75,11 +79,11 @@ def _without(v: Column, gone: list[tuple[Path, Column]]) -> Column:
             deeper.setdefault(p[0], []).append((p[1:], c))
     stays = lambda k: reduce(lambda a, x: a & ~((k == x[0]) & x[1]), here, F.lit(True))
 
-    def text(k: Column) -> Column:
+    def text(fields: Column, k: Column) -> Column:
         value = F.element_at(fields, k)
         return reduce(lambda out, x: F.when(k == x[0], _without(value, x[1])).otherwise(out), deeper.items(), canonical(value))
 
-    return F.when(fields.isNull(), canonical(v)).otherwise(_object(F.filter(F.map_keys(fields), stays), text))
+    return F.coalesce(_bound(members(v), lambda fields: _object(F.filter(F.map_keys(fields), stays), lambda k: text(fields, k))), canonical(v))
 
 
 def projection(v: Column, compare: Sequence[str] = (), ignore: Sequence[str] = ()) -> Column:
@@ -121,18 +125,22 @@ def nested_changes(before: Column, after: Column, most: int = 20, depth: int = 4
     Objects on both sides are compared field by field (``a.b``) down to ``depth`` levels; arrays, deeper objects and an
     object against anything else are one change. Absent and null are equal. A change of the whole is ``(item)``.
     """
-    same = lambda p: canonical(p["b"]) == canonical(p["a"])
-    pairs = F.array(F.struct(F.lit("").alias("path"), before.alias("b"), after.alias("a")))
+    pair = lambda path, b, a: F.struct(path.alias("path"), b.alias("b"), a.alias("a"), canonical(b).alias("bt"), canonical(a).alias("at"))
+    differs = lambda p: p["bt"] != p["at"]
+    pairs = F.filter(F.array(pair(F.lit(""), before, after)), differs)
 
     def fields(p: Column) -> Column:
-        mine, other = members(p["b"]), members(p["a"])
-        keys = F.array_sort(F.array_union(F.map_keys(mine), F.map_keys(other)))
         name = lambda k: F.when(p["path"] == "", k).otherwise(F.concat(p["path"], F.lit("."), k))
-        each = F.transform(keys, lambda k: F.struct(name(k).alias("path"), F.try_element_at(mine, k).alias("b"), F.try_element_at(other, k).alias("a")))
-        return F.when(mine.isNotNull() & other.isNotNull(), each).otherwise(F.array(p))
+        each = lambda x: F.transform(F.array_sort(F.array_union(F.map_keys(x["m"]), F.map_keys(x["o"]))), lambda k: pair(name(k), F.try_element_at(x["m"], k), F.try_element_at(x["o"], k)))
+        both = F.struct(members(p["b"]).alias("m"), members(p["a"]).alias("o"))
+        return _bound(both, lambda x: F.when(x["m"].isNotNull() & x["o"].isNotNull(), each(x)).otherwise(F.array(p)))
 
     for _ in range(depth):
-        pairs = F.filter(F.flatten(F.transform(F.filter(pairs, lambda p: ~same(p)), fields)), lambda p: ~same(p))
+        pairs = F.filter(F.flatten(F.transform(pairs, fields)), differs)
+    return _bound(pairs, lambda found: _listed(found, most))
+
+
+def _listed(pairs: Column, most: int) -> Column:
     listed = F.transform(F.slice(pairs, 1, most), lambda p: F.struct(F.when(p["path"] == "", "(item)").otherwise(p["path"]).alias("field"), shown(p["b"]).alias("before"), shown(p["a"]).alias("after")))
     return F.struct(F.size(pairs).alias("total"), listed.alias("changes"))
 
@@ -142,15 +150,19 @@ NODE = "struct<at:array<int>,text:string>"
 
 def _below(p: Column) -> Column:
     """The nodes (at, text) one level below a node of JSON text; ``at`` grows in document order."""
-    v = F.try_parse_json(p["text"])
     node = lambda x, i: F.struct(F.concat(p["at"], F.array(i)).alias("at"), x.alias("text"))
     # members as they stand in the text, not by name; texts and numbers below are no nodes
-    is_tree = lambda x: members(x).isNotNull() | elements(x).isNotNull()
-    text_of = F.from_json(p["text"], "map<string,string>")
-    inner = F.filter(F.map_keys(text_of), lambda k: F.coalesce(is_tree(F.try_element_at(members(v), k)), F.lit(False)))
-    of_object = F.transform(inner, lambda k, i: node(F.element_at(text_of, k), i))
-    of_array = F.transform(F.filter(elements(v), lambda x: F.coalesce(is_tree(x), F.lit(False))), lambda x, i: node(F.to_json(x), i))
-    return F.coalesce(F.when(members(v).isNotNull(), of_object), of_array, F.array().cast(f"array<{NODE}>"))
+    is_tree = lambda x: F.coalesce(F.left(F.to_json(x), F.lit(1)).isin("{", "["), F.lit(False))
+    v = F.try_parse_json(p["text"])
+    parts = F.struct(members(v).alias("m"), elements(v).alias("e"), F.from_json(p["text"], "map<string,string>").alias("t"))
+
+    def nodes(x: Column) -> Column:
+        inner = F.filter(F.map_keys(x["t"]), lambda k: is_tree(F.try_element_at(x["m"], k)))
+        of_object = F.transform(inner, lambda k, i: node(F.element_at(x["t"], k), i))
+        of_array = F.transform(F.filter(x["e"], is_tree), lambda y, i: node(F.to_json(y), i))
+        return F.coalesce(F.when(x["m"].isNotNull(), of_object), of_array, F.array().cast(f"array<{NODE}>"))
+
+    return _bound(parts, nodes)
 
 
 def tree_nodes(tree: Column, hit: Callable[[Column], Column], depth: int = 60, into_hits: bool = False) -> Column:

@@ -79,18 +79,18 @@ def join_broken_lines(lines: DataFrame, keys: list[str], order: str = "n", text:
     return joined.withColumn("text", F.replace(F.regexp_replace("text", r"(\p{Ll})-\n(\p{Ll})", "$1$2"), F.lit("\n"), F.lit(" ")))
 
 
-def edge_lines(lines: DataFrame, document: str, page: str, order: str = "n", text: str = "line", edge: int = 2, longest: int = 100) -> DataFrame:
+def edge_lines(lines: DataFrame, document: str, page: str, order: str = "n", text: str = "line", edge: int = 2, longest: int = 100, large: Column | None = None) -> DataFrame:
     """(document, edge_text, n_pages, running, page_number): what stands at the top or bottom of pages.
 
     Digits become '#', so numbered headers fall together. A text is a running header or footer if it is
-    on at least max(3, half) of the document's pages and no longer than ``longest``; bare page numbers
-    always are. The two edges come from line numbers and one count a page, not from a sort of all lines.
+    on at least max(3, half) of the document's pages, no longer than ``longest`` and not ``large`` (over 1.15 times
+    the size of the body, say); bare page numbers always are. The two edges come from line numbers and one count a page, not from a sort of all lines.
     """
     sizes = lines.groupBy(document, page).agg(F.max(order).alias("_last"))
     pages = sizes.groupBy(document).agg(F.count("*").alias("_pages"))
     at_edge = lines.join(sizes, [document, page]).where((F.col(order) <= edge) | (F.col(order) > F.col("_last") - edge))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), r"\s+", " "))
-    seen = at_edge.select(document, page, plain.alias("edge_text"), is_page_number(F.col(text)).alias("_number"), (F.length(text) <= longest).alias("_short"))
+    seen = at_edge.select(document, page, plain.alias("edge_text"), is_page_number(F.col(text)).alias("_number"), ((F.length(text) <= longest) & ~(F.lit(False) if large is None else F.coalesce(large, F.lit(False)))).alias("_short"))
     seen = seen.groupBy(document, page, "edge_text").agg(F.bool_or("_number").alias("_number"), F.bool_or("_short").alias("_short"))
     found = seen.groupBy(document, "edge_text").agg(F.count("*").alias("n_pages"), F.bool_or("_number").alias("page_number"), F.bool_or("_short").alias("_short")).join(pages, document)
     running = F.col("_short") & (F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(F.col("_pages") / 2)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import markdown, tables
 from tidewater.operators import documents as dc
-from tidewater.operators import windows
+from tidewater.operators import layout, windows
 from tidewater.plans.records import _t
 from tidewater.plans.registry import registry
 
@@ -127,3 +127,21 @@ def chunk_document_sql(spark, d):
     tables.register(spark)
     dc.pathed_blocks(_blocks(spark, d), ["doc_id"]).createOrReplaceTempView("tidewater_blocks")
     return spark.sql("select * from chunk_document(table(tidewater_blocks), 'fixed', 400, 40)")
+
+
+@query(r"""with w as (select doc_id, n_chars, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') as ws from documents)
+select doc_id, 1 as table_no, 2::bigint as line_no, c[1]::int as column_no, true as is_header, c[2] as text from w, (select unnest([['1', 'Name'], ['2', 'Value of it'], ['3', 'Count']]) as c)
+union all select doc_id, 1, (2 + r)::bigint, 1, false, 'r' || r from w, (select unnest(range(1, 5)) as r)
+union all select doc_id, 1, (2 + r)::bigint, 2, false, case when coalesce(ws[r], '') = '' then '-' else ws[r] end from w, (select unnest(range(1, 5)) as r)
+union all select doc_id, 1, (2 + r)::bigint, 3, false, (n_chars + r)::varchar from w, (select unnest(range(1, 4)) as r)""")
+def layout_tables(spark, d):
+    """Pages with a title, a table whose heading reaches over a gutter and that lacks a cell, and prose set with wide gaps."""
+    word = lambda x0, x1, y, text, size=10.0: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), F.lit(float(y)).alias("y"), F.lit(size).alias("size"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+    ws = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
+    value = lambda r: F.coalesce(F.nullif(F.get(ws, F.lit(r - 1)), F.lit("")), F.lit("-"))
+    title = [word(0, 120, 10, F.concat(F.lit("T"), F.col("doc_id").cast("string")), 14.0), word(124, 180, 10, "paper", 14.0)]
+    head = [word(0, 30, 40, "Name"), word(100, 125, 40, "Value"), word(128, 138, 40, "of"), word(141, 147, 40, "it"), word(155, 205, 40, "Count")]
+    rows = [w for r in range(1, 5) for w in (word(0, 20, 40 + 14 * r, f"r{r}"), word(100, 140, 40 + 14 * r, value(r)), *([word(200, 230, 40 + 14 * r, (F.col("n_chars") + r).cast("string"))] if r < 4 else []))]
+    prose = [w for i in range(5) for w in (word(0, 60 + 40 * i, 150 + 14 * i, "some prose that runs on"), word(80 + 40 * i, 260, 150 + 14 * i, "and on"))]
+    pages_ = _t(spark, d, "documents").select("doc_id", F.explode(F.array(*title, *head, *rows, *prose)).alias("w"))
+    return layout.layout_tables(pages_.select("doc_id", "w.*"), ["doc_id"])

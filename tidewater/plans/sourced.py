@@ -217,8 +217,7 @@ def trending_rows(spark, d):
     row = F.concat(F.lit('["p'), F.col("l_partkey").cast("string"), F.lit('",null,"US",[1699990000],'), end, F.lit(",null,"), q.cast("string"), F.lit(',null,50,["a"],['), (F.col("l_linenumber") % 3).cast("string"), F.lit("]]"))
     g = _lined(spark, d).groupBy("l_orderkey").agg(_list("o", row.alias("x")))
     body = F.try_parse_json(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["x"]), ","), F.lit("]")))
-    names = spark.createDataFrame([(0, "Sports")], "id int, name string")  # a fixed list of categories
-    out = trends.trending_rows(g.select("l_orderkey", body.alias("body")), ["l_orderkey"], "body", names)
+    out = trends.trending_rows(g.select("l_orderkey", body.alias("body")), ["l_orderkey"], "body", {0: "Sports"})
     return out.select("l_orderkey", "rank", "title", "label", "active", F.array_join("categories", ",").alias("categories"))
 
 

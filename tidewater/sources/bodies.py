@@ -69,7 +69,7 @@ def file_type(content: Column, name: Column, content_type: Column) -> Column:
     """
     head = F.hex(F.substring(content, 1, 8))
     starts = lambda h: F.startswith(head, F.lit(h))
-    holds = lambda text: F.contains(F.hex(content), F.lit(text.encode().hex().upper()))
+    holds = lambda text: F.contains(content, F.lit(text.encode()))
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
     text = F.is_valid_utf8(content.cast("string")) & ~F.contains(head, F.lit("0000"))
     out = F.when(starts("25504446"), "pdf").when(starts("504B0304") & holds("word/document.xml"), "docx").when(starts("504B0304") & holds("ppt/presentation.xml"), "pptx").when(starts("504B0304") & holds("xl/workbook.xml"), "xlsx").when(starts("504B0304"), "zip").when(starts("D0CF11E0"), "doc").when(starts("89504E47"), "png").when(starts("FFD8FF"), "jpg")

@@ -67,6 +67,14 @@ def urls_in(item: Column, path: str) -> Column:
     return F.filter(F.transform(found, lambda v: F.when(F.startswith(F.to_json(v), F.lit('"')), F.trim(F.try_variant_get(v, "$", "string")))), lambda x: x != "")
 
 
+def readable_key(url: Column, most: int = 180) -> Column:
+    """Host and path of a url in letters, digits and a few marks, at most ``most`` characters, and ten of its sha1."""
+    host, path = F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
+    name = F.regexp_replace(F.concat(host, F.when(path == "/", "").otherwise(path)), "[^a-zA-Z0-9!_.'()-]+", "-")
+    name = F.left(F.regexp_replace(F.regexp_replace(name, "-+", "-"), "^[-.]+|[-.]+$", ""), F.lit(most))
+    return F.concat(F.when(name == "", "page").otherwise(name), F.lit("-"), F.left(F.sha1(url), F.lit(10)))
+
+
 def frontier(df: DataFrame, url: str, order: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): http(s) urls with a scheme, exact repeats once (the first in order), at most ``most``; and the rest.
 
