@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, lm, toxicity
+from tidewater.llm import decontaminate, lm, near_dup, topk, toxicity
 
 FILL = "the clerk told everyone that the long train to the coast would stop again"
 
@@ -51,3 +51,11 @@ def test_all_words_can_train(spark):
     whole = {r["doc_id"]: r for r in lm.lm_scores(docs, sample=4, most=64, part=1, shard=2000).collect()}
     assert all(few[i]["base_score"] == pytest.approx(whole[i]["base_score"]) and few[i]["n_tokens"] == whole[i]["n_tokens"] for i in few)
     assert sum(r["score"] for r in whole.values()) > sum(r["score"] for r in few.values())
+
+
+def test_ids_that_are_no_numbers_are_refused_at_once(spark):
+    docs = spark.createDataFrame([("a", "x", [1.0])], "doc_id string, text string, embedding array<double>")
+    items = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    for call in (lambda: near_dup.near_duplicates(docs), lambda: decontaminate.leaks(docs, items), lambda: topk.top_k(docs, docs, id_col="doc_id")):
+        with pytest.raises(ValueError, match="whole numbers"):
+            call()

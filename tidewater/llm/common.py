@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidewater.scratch import Scratch, shared_dir  # noqa: F401
 
@@ -30,6 +31,12 @@ def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column], name:
     return df.select(*[F.col(name)[c].alias(c) for c in columns], *out)
 
 
+def need_whole_numbers(df: DataFrame, column: str) -> None:
+    """Says at once that ids of another type are not for this operator, instead of failing in a task."""
+    if not isinstance(df.schema[column].dataType, IntegralType):
+        raise ValueError(f"{column} must be a column of whole numbers")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, broadcast_if
+from tidewater.llm.common import Scratch, broadcast_if, need_whole_numbers
 
 #: Spelled numbers in English, German, French and Spanish, but for those that are common words of another kind.
 NUMBER_WORDS = """two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty
@@ -87,11 +87,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     that the document fills (0 where words decide). An item shorter than ``window`` is one window. Templates of which
     over half are slots, and of items of fewer than ``least`` tokens, take no part; words do from ``shortest`` on, since
     fewer stand in any prose. Null or empty texts and an empty table on either side leak nothing; repeated rows of a
-    doc_id or item_id count as one text set (a window is found if any has it); null ids take no part. Other columns are
-    not read.
+    doc_id or item_id count as one text set (a window is found if any has it); null ids take no part, and ids must be whole
+    numbers. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    need_whole_numbers(docs, id_col)
+    need_whole_numbers(benchmark, "item_id")
+    scratch = Scratch(docs.sparkSession)
     items = with_tokens(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_text")), "_text")
     items = scratch.cut(items.where(F.size("words") >= shortest).distinct())
     short = [r["n"] for r in items.select(F.explode(F.array(F.size("toks"), F.size("words"))).alias("n")).where(F.col("n").between(1, window)).distinct().collect()]  # at most ``window``

@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, need_whole_numbers
 
 CELLS = 1 << 19  # numbers of a shard: 4 MB, and as much for its lists
 BLOCK = 2_048  # anchors searched for at once
@@ -29,8 +28,7 @@ FOUND = "q int, w int, vec_id long, score long"
 
 def prepared(df: DataFrame, id_col: str, vec_col: str, label_col: str, scale: int) -> DataFrame:
     """(id, label, v): floor(scale * x); rows with a null id or label or with null, empty or non-finite vectors go."""
-    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
-        raise ValueError(f"{id_col} must be a column of whole numbers")
+    need_whole_numbers(df, id_col)
     x = F.col(f"`{vec_col}`")
     ok = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     kept = df.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull() & x.isNotNull() & F.coalesce(ok, F.lit(False)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, broadcast_if
+from tidewater.llm.common import Scratch, broadcast_if, need_whole_numbers
 from tidewater.llm.components import components
 from tidewater.llm.hashing import U, mix, packed, shingles, slices, span_hashes, words
 
@@ -186,9 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the least doc_id reachable over links, kept marks that row. A text without words (null, empty, white
     space) has no shingles and is linked with nothing; with fewer words than a shingle the whole sequence
     is one. Repeated rows stay separate rows with equal results; where a doc_id has several texts, a link of
-    any of them links the id. Rows with a null doc_id keep their size, with a null component, kept false. An empty table gives
+    any of them links the id. Ids must be whole numbers. Rows with a null doc_id keep their size, with a null component, kept false. An empty table gives
     an empty result. Other columns are not read.
     """
+    need_whole_numbers(docs, id_col)
     scratch = Scratch(docs.sparkSession)
     sketch = scratch.cut(sketches(docs, id_col, text_col, shingle))
     key = ["h1", "h2", "n_shingles"]

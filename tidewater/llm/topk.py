@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, need_whole_numbers
 
 BLOCK = 2048  # queries in a block: 2,048 x 64 integers are 1 MB
 BINS = 512
@@ -105,9 +105,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
     Ties go to the smaller id; fewer than k candidates give fewer rows; a query never meets rows of its own
     id; vectors of another length than the query's do not take part in its search. A query id that occurs
     more than once is asked once, by its least vector; repeated candidate rows count each. Vectors that are
-    null, empty or hold null or non-finite parts take no part on either side. A score beyond the range of long is
+    null, empty or hold null or non-finite parts take no part on either side, nor do null ids; ids must be whole numbers. A score beyond the range of long is
     its last value, +-(2**63 - 1), and such scores tie. Other columns are not read.
     """
+    for df in (candidates, queries):
+        need_whole_numbers(df, id_col)
     spark = candidates.sparkSession
     scratch = Scratch(spark)
     c = scratch.cut(quantised(candidates, id_col, vec_col, scale))
@@ -126,6 +128,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
             break
         last = rows[-1]["id"]
         parts.append(scratch.put(_block(c, [(r["id"], r["v"]) for r in rows], k, bound))[1])
+    scratch.free()
     return spark.read.schema(out.schema).parquet(*parts) if parts else out
 
 
