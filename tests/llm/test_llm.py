@@ -282,7 +282,7 @@ def test_decontamination_slots(spark):
 
     rows = [swap(("12", "12.5"), ("Anna", "Anna Lee")), swap(("12", "1,250.75"), ("$5", "€ 7.20")), swap(("12", "twelve"), ("3 km", "nine miles")), swap(("Tom", "Mary Ann van")), swap(("market Anna", "market\nAnna"), ("20%", "35 %")), swap(("3 km", "3 Stunden".lower())), swap(("market", "harbour"), ("apples", "pears"), ("old", "new"), ("kept", "lost"))]
     got = leaked(docs_of(spark, [(i, f"Before it. {t} after it", "s") for i, t in enumerate(rows)]), bench)
-    assert [x[0] for x in got if x[2] == x[3]] == [0, 1, 4, 5] and {x[0] for x in got} >= {0, 1, 2, 4, 5} and 6 not in {x[0] for x in got}
+    assert [x[0] for x in got if x[2] == x[3]] == [0, 1, 2, 4, 5] and {x[0] for x in got} >= {0, 1, 2, 4, 5} and 6 not in {x[0] for x in got}
 
 
 def test_decontamination_tie_and_exact_hits(spark):
