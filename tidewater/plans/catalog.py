@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import documents, mapped, matching, records, snapshots, sourced, texts, variants
+from tidewater.plans import documents, mapped, matching, records, snapshots, sourced, stored, texts, variants
 
-MODULES = (snapshots, records, texts, matching, documents, sourced, variants, mapped)
+MODULES = (snapshots, records, texts, matching, documents, sourced, variants, mapped, stored)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE.items()}

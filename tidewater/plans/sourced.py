@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewater.functions import auctions, criteria, markdown, pages, products, trends
+from tidewater.functions import auctions, criteria, markdown, pages, products, terms, trends
 from tidewater.functions import records as rc
 from tidewater.functions import text as tx
 from tidewater.functions import values as v
@@ -467,3 +468,28 @@ def party_names(spark, d):
     ended = F.array(word(0, 40, 10, say("Vendor:")), word(200, 240, 10, say("Buyer")), word(0, 40, 24, say("Date:")), word(200, 290, 24, F.col("c_name")), word(0, 60, 38, say("Nobody")), *total)
     pages_ = _t(spark, d, "customer").select("c_custkey", F.explode(F.when(k == 0, behind).when(k == 1, right).when(k == 2, under).otherwise(ended)).alias("w"))
     return invoice.party_names(pages_.select("c_custkey", "w.*"), ["c_custkey"])
+
+
+@query(_LINES + """, t as (select l_orderkey as term, case when l_orderkey % 4 = 0 or l_orderkey % 3 = 0 then 'partial' else 'ok' end as status from x group by 1),
+ g as (select l_orderkey, avg(l_quantity) filter (l_linestatus = 'F') as a from x group by 1), r as (select *, case when l_returnflag = 'A' then 'top' else 'rising' end as l from x)
+ select term, status, 'term' as row_type, null as list, null as rank, null as name, floor(a * 100 + 0.5) / 100 as value from t join g on g.l_orderkey = term
+ union all select l_orderkey, status, 'timeline', null, null, null, l_quantity from x join t on term = l_orderkey
+ union all select l_orderkey, status, 'region', null, null, 'S' || l_suppkey, 2 * l_quantity from x join t on term = l_orderkey where l_orderkey % 4 <> 0
+ union all select l_orderkey, status, 'relatedQuery', l, row_number() over (partition by l_orderkey, l order by n)::int, 'q' || l_partkey, case when l_returnflag <> 'R' then l_quantity end from r join t on term = l_orderkey
+ union all select l_orderkey, status, 'relatedTopic', 'top', n::int, 't' || l_partkey, l_quantity from x join t on term = l_orderkey where l_orderkey % 3 <> 0""")
+def term_long_rows(spark, d):
+    """Orders as terms put together from four parts, two of which some lack, as rows of five types."""
+    li, k = _lined(spark, d), F.col("l_orderkey")
+    s = lambda c: F.col(c).cast("string")
+    part = lambda df, name, *fields: df.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias(name))
+    timeline = part(li, "timeline", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_quantity").alias("value"), (F.col("l_linestatus") != "F").alias("partial"), F.lit(None).cast("boolean").alias("has_data"))
+    regions = part(li.where(k % 4 != 0), "regions", s("l_suppkey").alias("code"), F.concat(F.lit("S"), s("l_suppkey")).alias("name"), (F.col("l_quantity") * 2).alias("value"), F.lit(True).alias("has_data"))
+    kind = F.when(F.col("l_returnflag") == "A", "top").otherwise("rising")
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "list").orderBy("o"))
+    related = lambda df, letter: [F.col("list"), F.col("rank"), F.concat(F.lit(letter), s("l_partkey")).alias("name"), F.when((F.col("l_returnflag") != "R") | F.lit(letter == "t"), F.col("l_quantity")).alias("value"), (F.col("l_returnflag") == "R").alias("breakout"), F.lit(None).cast("string").alias("link")]
+    queries = part(li.withColumn("list", kind).withColumn("rank", place), "queries", *related(li, "q"))
+    topics = part(li.where(k % 3 != 0).withColumn("list", F.lit("top")).withColumn("rank", place), "topics", *related(li, "t"))
+    items = terms.term_items(li.select("l_orderkey").distinct(), ["l_orderkey"], {"timeline": timeline, "regions": regions, "queries": queries, "topics": topics})
+    rows = terms.long_rows(items, ["l_orderkey", "status"])
+    name = F.when(F.col("row_type") != "term", F.col("name"))
+    return rows.select(k.alias("term"), "status", "row_type", "list", "rank", name.alias("name"), "value")

@@ -25,6 +25,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def session_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes with the session."""
+    path = f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 class Scratch:
     """Tables written to the shared folder, so that later stages neither recompute nor lose them.
 
