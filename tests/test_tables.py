@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import auctions, markdown, tables
+from tidewater.functions import auctions, markdown, tables, terms
 from tidewater.functions import records as rc
 from tidewater.functions import text as tx
 from tidewater.functions import variants as va
@@ -84,3 +84,15 @@ def test_orders_and_participants(spark):
     p = spark.createDataFrame([((("W", "1", "a***", None), None, None, [("x", "t", "u")]),)], f"p struct<organiser:{org},awards:array<struct<status:string,supplier:{org},documents:{doc}>>,bids:array<struct<amount:double>>,documents:{doc}>")
     r = p.select(auctions.participants(F.col("p")).alias("r")).first()["r"]
     assert r["winner"] is None and r["organiser"]["name"] == "W" and r["organiser"]["email"] is None and [(d["origin"], d["id"]) for d in r["documents"]] == [("procedure", "x")]
+
+
+def test_terms(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    points = spark.createDataFrame([("a", [("2024-01-01", 5.0, None, None), ("2024-01-02", 9.0, False, True), ("2024-01-03", 99.0, True, True), ("2024-01-04", 80.0, False, False), ("2024-01-05", 9.0, None, None)]), ("b", [])], f"term string, timeline {terms.TIMELINE}")
+    regions = spark.createDataFrame([("a", [("X", "x", 7.0, False), ("Y", "y", 3.0, None)])], f"term string, regions {terms.REGIONS}")
+    items = terms.term_items(keys, ["term"], {"timeline": points, "regions": regions})
+    got = {r["term"]: (r["status"], r["average"], r["peak_date"], r["top_region"]) for r in items.collect()}
+    assert got == {"a": ("ok", 7.67, "2024-01-02", "y"), "b": ("partial", None, None, None), "c": ("failed", None, None, None)}
+    rows = terms.long_rows(items, ["term"]).groupBy("term", "row_type").count().collect()
+    assert {(r["term"], r["row_type"]): r["count"] for r in rows} == {("a", "term"): 1, ("b", "term"): 1, ("c", "term"): 1, ("a", "timeline"): 5, ("a", "region"): 2}
+    assert {r["status"] for r in terms.term_items(keys, ["term"], {}).collect()} == {"ok"}
