@@ -59,3 +59,10 @@ def test_ids_that_are_no_numbers_are_refused_at_once(spark):
     for call in (lambda: near_dup.near_duplicates(docs), lambda: decontaminate.leaks(docs, items), lambda: topk.top_k(docs, docs, id_col="doc_id")):
         with pytest.raises(ValueError, match="whole numbers"):
             call()
+
+
+def test_long_runs_of_capitalised_words(spark):
+    item = "please tell us how the old mill of Anna Berg was sold to the town"
+    docs = spark.createDataFrame([(1, "so said " + "Word " * 50_000 + "and then " + item), (2, "so said " + "Word " * 50_000)], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]

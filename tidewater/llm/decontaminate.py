@@ -39,7 +39,7 @@ def with_tokens(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_a", clean).withColumn("_d", F.col("_a").rlike(r"\p{Nd}"))
     df = df.withColumn("_b", F.when(F.col("_d"), joined(F.col("_a"))).otherwise(F.col("_a")))
     df = df.withColumn("_b", F.when(F.col("_d") & F.col("_b").rlike("[$€£%]"), signs(F.col("_b"))).otherwise(F.col("_b")))
-    df = df.withColumn("_c", sub("_b", rf"([\p{{Ll}}\p{{Nd}},;:]{_GAP})(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]*{_GAP}+)*(\p{{Lu}})", f"$1{NAME}$2"))
+    df = df.withColumn("_c", sub("_b", rf"([\p{{Ll}}\p{{Nd}},;:]{_GAP})(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]*{_GAP}+(?=\p{{Lu}}))*+(\p{{Lu}})", f"$1{NAME}$2"))
     counted = lambda c: sub(sub(c, rf"(\p{{Nd}}){_GAP}?(\p{{L}})", f"$1 {UNIT}$2"), rf"(\p{{Nd}}[\p{{Nd}}{JOIN}]*)", f"{NUMBER}$1")
     df = df.withColumn("_e", F.when(F.col("_d"), counted(F.col("_c"))).otherwise(F.col("_c")))
     cut = lambda c, marks: F.array_remove(F.split(F.lower(c), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{marks}]+"), "")
