@@ -1,6 +1,7 @@
 """SQL table functions against the DataFrame forms, nested Markdown, urls, entities, addresses and parties."""
 
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from tidewater.functions import auctions, markdown, tables, terms
@@ -9,6 +10,7 @@ from tidewater.functions import text as tx
 from tidewater.functions import variants as va
 from tidewater.operators import documents as dc
 from tidewater.operators import listing
+from tidewater.plans import catalog
 from tidewater.sources import links
 
 STATES = ("FL", "KY", "CA")
@@ -96,3 +98,9 @@ def test_terms(spark):
     rows = terms.long_rows(items, ["term"]).groupBy("term", "row_type").count().collect()
     assert {(r["term"], r["row_type"]): r["count"] for r in rows} == {("a", "term"): 1, ("b", "term"): 1, ("c", "term"): 1, ("a", "timeline"): 5, ("a", "region"): 2}
     assert {r["status"] for r in terms.term_items(keys, ["term"], {}).collect()} == {"ok"}
+
+
+def test_url_frontier_of_many_pages(spark, tmp_path):
+    pages = spark.range(1, 130_001).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), (F.col("id") % 7).cast("string"), F.lit(".example/p/"), F.col("id").cast("string")).alias("url"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert compare(spark, str(tmp_path), "url_frontier", catalog.QUERIES["url_frontier"], catalog.ORACLE["url_frontier"]) == ""

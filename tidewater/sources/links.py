@@ -75,11 +75,12 @@ def readable_key(url: Column, most: int = 180) -> Column:
     return F.concat(F.when(name == "", "page").otherwise(name), F.lit("-"), F.left(F.sha1(url), F.lit(10)))
 
 
-def frontier(df: DataFrame, url: str, order: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid): http(s) urls with a scheme, exact repeats once (the first in order), at most ``most``; and the rest.
+def frontier(df: DataFrame, url: str, order: str, most: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid): http(s) urls with a scheme, exact repeats once (the first in order), at most ``most`` unless it is None; and the rest.
 
     Other schemes and bare words are invalid; a null or empty url is in neither.
     """
     rows = df.withColumn("_url", absolute(F.col(url) if isinstance(url, str) else url)).where(F.trim(url) != "")
-    valid = rows.where("_url is not null").groupBy(F.col("_url").alias("url")).agg(F.min(order).alias(order)).orderBy(order, "url").limit(most)
+    valid = rows.where("_url is not null").groupBy(F.col("_url").alias("url")).agg(F.min(order).alias(order))
+    valid = valid if most is None else valid.orderBy(order, "url").limit(most)
     return valid, rows.where("_url is null").select(df.columns)
