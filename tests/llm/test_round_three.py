@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, lm, near_dup, topk, toxicity
+from tidewater.llm import decontaminate, lm, near_dup, queries, topk, toxicity
 
 FILL = "the clerk told everyone that the long train to the coast would stop again"
 
@@ -66,3 +66,10 @@ def test_long_runs_of_capitalised_words(spark):
     docs = spark.createDataFrame([(1, "so said " + "Word " * 50_000 + "and then " + item), (2, "so said " + "Word " * 50_000)], "doc_id long, text string")
     got = decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
+
+
+def test_op10_trains_on_every_word(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(lm, "averaged", lambda own, raw, model, shards, part=lm.PART: parts.append(part) or model)
+    queries.op10_lm(spark, "/root/testdata/sf0.001")
+    assert parts == [1]
