@@ -104,3 +104,10 @@ def test_url_frontier_of_many_pages(spark, tmp_path):
     pages = spark.range(1, 130_001).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), (F.col("id") % 7).cast("string"), F.lit(".example/p/"), F.col("id").cast("string")).alias("url"))
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     assert compare(spark, str(tmp_path), "url_frontier", catalog.QUERIES["url_frontier"], catalog.ORACLE["url_frontier"]) == ""
+
+
+@pytest.mark.parametrize("name", ["nested_markdown"])
+def test_heavy_rows_of_a_small_file_are_dealt_over_all_cores(spark, name):
+    """One small file is one task; what is done to its rows is not."""
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

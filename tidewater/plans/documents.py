@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import markdown, tables
 from tidewater.operators import documents as dc
 from tidewater.operators import layout, windows
-from tidewater.plans.records import _t
+from tidewater.plans.records import _dealt, _t
 from tidewater.plans.registry import registry
 
 QUERIES, ORACLE, query = registry()
@@ -118,7 +118,7 @@ def nested_markdown(spark, d):
     col, size = F.col, F.col("p_size").cast("string")
     items = c("<ul><li>", col("p_brand"), "<ol start='3'><li>", col("p_type"), "<ul><li>size ", size, "<li><a href='mailto:a@b.c'>mail</a></ul><li><b>last</b></ol></li><li>code<pre><code>", col("p_type"), "  x\n\ny</code></pre></ul>")
     html = c("<html><head><title> ", col("p_name"), " </title></head><body><nav>menu</nav><h1>", col("p_name"), "</h1>", items, "<blockquote>said<blockquote>", col("p_brand"), "</blockquote></blockquote><table><tr><th colspan=2>h</th></tr><tr><td>a|b</td><td>", size, "</td></tr></table><div aria-hidden='true'>no</div></body></html>")
-    return _t(spark, d, "part").select("p_partkey", markdown.page_markdown(html).alias("m")).select("p_partkey", "m.title", "m.markdown")
+    return _dealt(_t(spark, d, "part"), "p_partkey").select("p_partkey", markdown.page_markdown(html).alias("m")).select("p_partkey", "m.title", "m.markdown")
 
 
 @query(None)

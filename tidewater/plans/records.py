@@ -17,6 +17,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys over all cores, for work that is heavy a row: a small file is few tasks, whatever its rows cost."""
+    return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _money(c: str):
     return F.round(c, 2).cast("decimal(18,2)")
 
