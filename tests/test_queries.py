@@ -40,6 +40,13 @@ def test_text_and_ranges(spark):
     assert windows.compact_ranges(df, ["k"], "n").first()["ranges"] == "1-3, 7"
 
 
+def test_ranges_keep_no_map_of_all_values(spark):
+    df = spark.createDataFrame([(k, n) for k, ns in (("a", (5, 5, 9, 10, 10, 11, -2)), ("b", (4,)), (None, (1, 2)), ("c", (None,))) for n in ns], "k string, n long")
+    got = windows.compact_ranges(df, ["k"], "n")
+    assert {r["k"]: r["ranges"] for r in got.collect()} == {"a": "-2, 5, 9-11", "b": "4", None: "1-2"}
+    assert " HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_listing_has_every_part(spark):
     got = catalog.QUERIES["whole_listing"](spark, SF)
     n = spark.read.parquet(f"{SF}/part.parquet").count()

@@ -81,12 +81,12 @@ def unique_names(df: DataFrame, name: str, order: Order, sep: str = "_") -> Data
 
 def compact_ranges(df: DataFrame, keys: list[str], n: str) -> DataFrame:
     """(keys, ranges): the distinct integers of each key as "1-3, 7"."""
-    w = Window.partitionBy(*keys).orderBy(n)
-    runs = df.select(*keys, n).where(F.col(n).isNotNull()).distinct().withColumn("_g", F.col(n) - F.row_number().over(w))
-    runs = runs.groupBy(*keys, "_g").agg(F.min(n).alias("_a"), F.max(n).alias("_b"))
-    text = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat_ws("-", F.col("_a").cast("string"), F.col("_b").cast("string")))
-    parts = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_a", text.alias("t")))).alias("p"))
-    return parts.select(*keys, F.array_join("p.t", ", ").alias("ranges"))
+    w, at = Window.partitionBy(*keys).orderBy(n), F.col(n)
+    ends = df.select(*keys, n).where(at.isNotNull()).withColumn("_a", F.coalesce(at - F.lag(n).over(w) > 1, F.lit(True))).withColumn("_b", F.coalesce(F.lead(n).over(w) - at > 1, F.lit(True))).where("_a or _b")
+    parts = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(n, (~F.col("_a")).alias("_end")))).alias("p"))  # the first and last of each run
+    again = lambda e, i: e["_end"] & (F.get("p", i - 1)[n] == e[n])  # a run of one integer that stands there twice
+    text = F.transform("p", lambda e, i: F.when(again(e, i), "").otherwise(F.concat(F.when(e["_end"], "-").otherwise(", "), e[n].cast("string"))))
+    return parts.select(*keys, F.substring(F.array_join(text, ""), F.lit(3), F.lit(2**31 - 1)).alias("ranges"))
 
 
 def line_context(lines: DataFrame, keys: list[str], order: str, text: str, above: int = 2) -> DataFrame:
