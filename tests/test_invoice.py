@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import criteria as c
 from tidewater.functions import markdown as md
+from tidewater.functions import values as v
 from tidewater.operators import invoice
 
 
@@ -23,6 +24,28 @@ def test_invoice(spark):
     assert [r[0] for r in lines.where("n = 0").orderBy("d").select(invoice.document_type(F.col("t"))).collect()] == ["invoice", "other"]
 
 
+def test_dates_and_numbers_are_read_where_they_stand(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 0, "Date: soon it will be"), (1, 1, "Date: 5 March 2026"), (1, 2, "Total: x"), (1, 3, "Total 1,234.50"), (2, 0, "net amount 3")], "d int, n int, t string")
+    f = {r["d"]: r["date"] for r in invoice.labelled_fields(lines, ["d"], "n", "t").collect()}
+    assert f == {1: dt.date(2026, 3, 5), 2: None}
+    assert [(r["d"], r["total"]) for r in invoice.totals(lines, ["d"], "n", "t").collect()] == [(1, 1234.5), (2, 3.0)]
+    asked, whole = [], invoice.v.parse_date
+    monkeypatch.setattr(invoice.v, "parse_date", lambda t: asked.append(t) or whole(t))
+    plan = invoice.labelled_fields(lines, ["d"], "n", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 2 and plan.count("CASE WHEN isnotnull(") >= 2  # lines without a value are not scanned for a date
+    assert " Generate" not in invoice.totals(lines, ["d"], "n", "t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_numbers_and_dates_as_by_scanning(spark):
+    texts = ["0", "007.5", "$1,234.50", "1,234", "12,34.5", "1234567.8", "$12", "1,234,567.89", "9.", "1.234", "", None, " 5.25 ", "123,4567.1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(v.parse_number(F.col("t")).alias("a"), v._scanned(F.trim("t"), F.lit(False)).alias("b"), v.parse_number(F.col("t"), True).alias("c"), v._scanned(F.trim("t"), F.lit(True)).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in both) and [r["a"] for r in both][:3] == [0.0, 7.5, 1234.5]
+    dates = ["5 March 2026", "05 marzo 2026", "31 feb 2026", "1 Mayonnaise 0000", "5 foo 2026", "29 Dez 2024", "12 Août 2025", "5 mar 26"]
+    near = spark.createDataFrame([(t,) for t in dates], "t string").select(v.parse_date(F.col("t")).cast("string").alias("a"), v.parse_date(F.concat("t", F.lit(" "))).cast("string").alias("b"))  # a space more is scanned
+    assert all(r["a"] == r["b"] for r in near.collect()) and [str(r["a"]) for r in near.collect()][:3] == ["2026-03-05", "2026-03-05", "None"]
+
+
 def test_criteria(spark):
     df = spark.createDataFrame([(1, "lease-english", 5.0, ["Kyïv"], "x"), (2, "lease", None, [], "Lviv"), (3, "leasehold", 7.0, None, None)], "i int, m string, p double, r array<string>, s string")
     ids = lambda x: {r["i"] for r in df.where(x).collect()}

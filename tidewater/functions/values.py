@@ -21,6 +21,8 @@ _HERE = "\x01"  # stands for the digits
 _CURRENCIES = [*(k.lower() for k in SYMBOLS), *(c.lower() for c in CODES)]
 #: What may be around the digits, signs and white space aside: brackets, a currency on either side, a mark before the first digit.
 _AROUND = [x for m in ("", ".", ",") for c in ["", *_CURRENCIES] for x in {f"{c}{m}{_HERE}", f"{m}{_HERE}{c}", f"({c}{m}{_HERE})", f"({m}{_HERE}{c})", f"{c}({m}{_HERE})", f"({m}{_HERE}){c}"}]
+#: Most numbers: digits alone, or before one or two decimals, there also in threes by commas; they read the same by either rule.
+_PLAIN = r"^[$]?(?:[0-9]{1,15}|(?:[0-9]{1,15}|[0-9]{1,3}(?:,[0-9]{3}){1,4})[.][0-9]{1,2})$"
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -68,7 +70,8 @@ def parse_number(text: Column, decimal_comma: Column | bool = False) -> Column:
     characters, are null. The text is scanned once and every part of it is evaluated once.
     """
     comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    return _scanned(F.trim(text), comma)
+    t = F.trim(text)
+    return F.when(t.rlike(_PLAIN), F.translate(t, "$,", "").try_cast("double")).otherwise(_scanned(t, comma))
 
 
 def is_percent(text: Column) -> Column:
@@ -111,6 +114,8 @@ def decimal_comma_votes(text: Column) -> tuple[Column, Column]:
 
 #: Signs of kinds in a date: numbers of 1, 2 and 4 digits, other numbers, months, endings of ordinals, words, white space.
 _ONE, _TWO, _YEAR, _LONG, _MONTH, _ORDINAL, _WORD, _GAP = "124#moW_"
+#: A date that is nothing but day, month by name and year needs no scan: it is clear.
+_NAMED = r"^([0-9]{1,2}) ((?:" + "|".join(" ".join(MONTHS.values()).split()) + r")\p{L}*) ([0-9]{4})$"
 
 
 def _kind(token: Column) -> Column:
@@ -135,7 +140,7 @@ def parse_date(text: Column, prefer: str = "auto", decimal_comma: Column | bool
     orders = [f"{_YEAR}{part}{day}{part}{day}", f"{day}{part}{day}{part}[{_TWO}{_YEAR}]", f"{day}{_ORDINAL}?[.]?{_GAP}{_MONTH}[.]?{gap}{_YEAR}", f"{_MONTH}[.]?{_GAP}{day}{_ORDINAL}?{gap}{_YEAR}"]
     letters = f"[{_MONTH}{_ORDINAL}{_WORD}]"
     pattern = f"(?<!{letters})(?:{'|'.join(orders)})(?!{letters})"
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)[0-9]+|\p{L}+|\s+|."), F.lit(0))
+    cut = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)[0-9]+|\p{L}+|\s+|."), F.lit(0))
 
     def hit(x: Column) -> Column:
         kinds = x["kinds"]
@@ -143,7 +148,10 @@ def parse_date(text: Column, prefer: str = "auto", decimal_comma: Column | bool
         return F.struct(shape.alias("shape"), F.slice(x["tokens"], F.greatest(F.regexp_instr(kinds, F.lit(pattern)), F.lit(1)), F.length(shape)).alias("tokens"))
 
     kinds = lambda t: F.struct(t.alias("tokens"), F.array_join(F.transform(t, _kind), "").alias("kinds"))
-    return _once(tokens, lambda t: _once(kinds(t), lambda x: _once(hit(x), lambda h: _date_of(h["shape"], h["tokens"], prefer, comma))))
+    scanned = lambda t: _once(cut(t), lambda x: _once(kinds(x), lambda k: _once(hit(k), lambda h: _date_of(h["shape"], h["tokens"], prefer, comma))))
+    part = lambda t, i: F.regexp_extract(t, _NAMED, i)
+    named = lambda t: _day(part(t, 3).try_cast("int"), _once(part(t, 2), _month_of), part(t, 1).try_cast("int"))
+    return _once(F.lower(text), lambda t: F.when(t.rlike(_NAMED), named(t)).otherwise(scanned(t)))
 
 
 def _month_of(name: Column) -> Column:
@@ -153,6 +161,10 @@ def _month_of(name: Column) -> Column:
     return month
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2))]), "yyyy-MM-dd")
+
+
 def _date_of(shape: Column, tokens: Column, prefer: str, comma: Column) -> Column:
     """The date of tokens of a known shape; null for the empty shape."""
     numbers = F.filter(tokens, lambda t: F.translate(t, "0123456789", "") == "")
@@ -164,10 +176,9 @@ def _date_of(shape: Column, tokens: Column, prefer: str, comma: Column) -> Colum
         year = F.when(F.endswith(shape, F.lit(_TWO)), y + 2000).otherwise(y)
         first = F.lit(prefer == "DMY") if prefer in ("DMY", "MDY") else comma | ~F.contains(shape, F.lit("/"))
         first = F.when(a > 12, True).when(b > 12, False).otherwise(first)
-        date = lambda yy, mm, dd: F.try_to_date(F.concat_ws("-", F.lpad(yy.cast("string"), 4, "0"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
         parts = F.when(month.isNotNull(), F.struct(b.alias("y"), month.alias("m"), a.alias("d"))).when(F.startswith(shape, F.lit(_YEAR)), F.struct(a.alias("y"), b.alias("m"), y.alias("d")))
         parts = parts.when(first, F.struct(year.alias("y"), b.alias("m"), a.alias("d"))).otherwise(F.struct(year.alias("y"), a.alias("m"), b.alias("d")))
-        return _once(parts, lambda p: date(p["y"], p["m"], p["d"]))
+        return _once(parts, lambda p: _day(p["y"], p["m"], p["d"]))
 
     month = F.when(F.contains(shape, F.lit(_MONTH)), _month_of(F.try_element_at(named, F.lit(1))))
     return F.when(shape != "", _once(F.struct(numbers.alias("n"), month.alias("m")), lambda x: made(x["n"], x["m"])))

@@ -62,7 +62,8 @@ def header_roles(headers: DataFrame, keys: list[str], position: str, text: str)
 def labelled_fields(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """(keys, one column a field): the value beside a label, from the first line that has it; dates as dates."""
     value = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
-    rows = lines.select(*keys, order, *[(v.parse_date(value(p)) if n.endswith("date") else value(p)).alias(n) for n, p in FIELDS.items()])
+    date = lambda t: F.when(t.isNotNull(), v.parse_date(t))  # few lines have one, and reading it is the dear part
+    rows = lines.select(*keys, order, *[(date(value(p)) if n.endswith("date") else value(p)).alias(n) for n, p in FIELDS.items()])
     return rows.groupBy(*keys).agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in FIELDS])
 
 
@@ -106,12 +107,13 @@ def totals(lines: DataFrame, keys: list[str], order: str, text: str, decimal_com
             out = out.when(x.rlike(rf"\b(?:{words})\b"), name)
         return out
 
-    # a line without a kind, then one without an amount, ends in its explode: numbers are read on few lines, once
-    some = lambda c: F.explode(F.array_compact(c))
+    # lines that name no total go first; of the others the numbers are read, once
     amount = v.parse_number(F.regexp_extract(text, r"((?:[A-Z]{3}\s*|[$€£]\s*)?[-(]?[$€£]?\d[\d.,' ]*\)?(?:\s*(?:[$€£]|[A-Z]{3}))?)\s*$", 1), decimal_comma)
-    rows = lines.select(*keys, order, text, some(F.transform(F.array(label), kind)).alias("_k")).select(*keys, order, "_k", some(F.array(amount)).alias("_v"))
-    last = lambda k: F.max_by("_v", F.when(F.col("_k") == k, F.col(order)))
-    out = rows.groupBy(*keys).agg(last("subtotal").alias("subtotal"), F.sum(F.when(F.col("_k") == "tax", F.col("_v"))).alias("tax"), F.coalesce(last("total"), last("plain_total")).alias("total"))
+    named = lines.select(*keys, order, text, label.alias("_l")).where(F.col("_l").rlike(rf"\b(?:{'|'.join(TOTALS.values())})\b"))
+    kinds = named.select(*keys, order, text, kind(F.col("_l")).alias("_k"))
+    rows = kinds.select(*keys, order, "_k", F.when(F.col("_k").isNotNull(), amount).alias("_v"))
+    last = lambda k: F.max_by("_v", F.when((F.col("_k") == k) & F.col("_v").isNotNull(), F.col(order)))
+    out = rows.groupBy(*keys).agg(last("subtotal").alias("subtotal"), F.sum(F.when(F.col("_k") == "tax", F.col("_v"))).alias("tax"), F.coalesce(last("total"), last("plain_total")).alias("total"), F.count("_v").alias("_n")).where("_n > 0").drop("_n")
     return out.withColumn("total", F.coalesce("total", F.round(F.col("subtotal") + F.coalesce("tax", F.lit(0)), 2)))
 
 
