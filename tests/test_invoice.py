@@ -28,11 +28,11 @@ def test_dates_and_numbers_are_read_where_they_stand(spark, monkeypatch):
     lines = spark.createDataFrame([(1, 0, "Date: soon it will be"), (1, 1, "Date: 5 March 2026"), (1, 2, "Total: x"), (1, 3, "Total 1,234.50"), (2, 0, "net amount 3")], "d int, n int, t string")
     f = {r["d"]: r["date"] for r in invoice.labelled_fields(lines, ["d"], "n", "t").collect()}
     assert f == {1: dt.date(2026, 3, 5), 2: None}
-    assert [(r["d"], r["total"]) for r in invoice.totals(lines, ["d"], "n", "t").collect()] == [(1, 1234.5), (2, 3.0)]
+    assert sorted((r["d"], r["total"]) for r in invoice.totals(lines, ["d"], "n", "t").collect()) == [(1, 1234.5), (2, 3.0)]
     asked, whole = [], invoice.v.parse_date
     monkeypatch.setattr(invoice.v, "parse_date", lambda t: asked.append(t) or whole(t))
     plan = invoice.labelled_fields(lines, ["d"], "n", "t")._jdf.queryExecution().optimizedPlan().toString()
-    assert len(asked) == 2 and plan.count("CASE WHEN isnotnull(") >= 2  # lines without a value are not scanned for a date
+    assert len(asked) == 2 and plan.count("isnotnull(") >= 2  # lines without a value are not scanned for a date
     assert " Generate" not in invoice.totals(lines, ["d"], "n", "t")._jdf.queryExecution().optimizedPlan().toString()
 
 
