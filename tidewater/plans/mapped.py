@@ -8,7 +8,7 @@ from tidewater.functions import auctions, criteria
 from tidewater.functions import records as rc
 from tidewater.operators import documents as dc
 from tidewater.operators import invoice
-from tidewater.plans.records import _t
+from tidewater.plans.records import _dealt, _t
 from tidewater.plans.registry import registry
 from tidewater.sources import links
 
@@ -86,7 +86,7 @@ def column_roles(spark, d):
     """Headers in four languages: one column a role, the right-most for line totals."""
     pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("p_partkey") % 4 + 1).cast("int"))
     heads = [pick("Item", "Bezeichnung", "Désignation", "Descripción"), pick("Qty", "Menge", "Quantité", "Cantidad"), pick("Unit price", "Einzelpreis", "Prix unitaire", "Precio"), pick("VAT", "MwSt", "TVA", "IVA"), pick("Amount", "Betrag", "Montant", "Importe"), F.when(F.col("p_size") % 2 == 0, "Total")]
-    cells = _t(spark, d, "part").select("p_partkey", F.posexplode(F.array(*heads)).alias("i", "head")).where("head is not null").select("p_partkey", (F.col("i") + 1).alias("position"), "head")
+    cells = _dealt(_t(spark, d, "part"), "p_partkey").select("p_partkey", F.posexplode(F.array(*heads)).alias("i", "head")).where("head is not null").select("p_partkey", (F.col("i") + 1).alias("position"), "head")
     return invoice.header_roles(cells, ["p_partkey"], "position", "head")
 
 
