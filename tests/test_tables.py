@@ -111,3 +111,20 @@ def test_heavy_rows_of_a_small_file_are_dealt_over_all_cores(spark, name):
     """One small file is one task; what is done to its rows is not."""
     rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_headers_and_orders_are_dealt_over_cores(spark):
+    from tidewater.plans import catalog
+
+    for name, key in (("column_roles", "p_partkey"), ("invoice_fields", "o_orderkey")):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert f"RepartitionByExpression [{key}" in plan  # one small file is one task, whatever its rows cost
+
+
+def test_arrays_of_lines_sort_by_flat_fields(spark):
+    from tidewater.plans import sourced
+
+    df = spark.createDataFrame([(2, 1, 1.0, "b"), (1, 9, 2.0, "z"), (1, 9, 1.0, "a"), (1, 2, 3.0, None)], "l_linenumber int, l_partkey int, l_extendedprice double, t string").withColumn("o", F.struct(*"l_linenumber l_partkey l_extendedprice".split()))
+    out = df.groupBy().agg(sourced._list("o", "t"))
+    assert [x["t"] for x in out.first()["rows"]] == [None, "a", "z", "b"]
+    assert "struct" not in str(out.schema["rows"].dataType.elementType.fields[0].dataType).lower()

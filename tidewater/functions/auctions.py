@@ -29,7 +29,8 @@ def line_items(items: Column, first: str = "uk", second: str = "en") -> Column:
 def procedure(p: Column, page: str = "") -> Column:
     """One flat record of a procedure: parts of the method, first bidding period, places of the items else the seller's, and the result."""
     items = line_items(p["items"])
-    regions, cities = ordered_distinct(F.transform(items, lambda i: i["region"])), ordered_distinct(F.transform(items, lambda i: i["city"]))
+    each = lambda name: ordered_distinct(F.transform(p["items"], lambda i: i[name]))  # of the items as they came: flat ones are made only for themselves
+    regions, cities = each("region"), each("city")
     seller = seller_of(p["seller"], p["related_seller"])
     parts = rc.method_parts(p["method"])
     period = F.coalesce(p["tender_period"], p["enquiry_period"])
@@ -37,7 +38,7 @@ def procedure(p: Column, page: str = "") -> Column:
     return F.struct(
         p["id"].alias("auction_id"), F.concat(F.lit(page), p["id"].cast("string")).alias("url"), rc.pick_lang(p["title"], "uk", "en").alias("title"), p["status"].alias("status"), F.nullif(parts["family"], F.lit("")).alias("procedure_type"), parts["kind"].alias("auction_type"),
         p["start_price"].alias("start_price"), period["start"].alias("bidding_start"), period["end"].alias("bidding_end"), F.coalesce(F.try_element_at(regions, F.lit(1)), seller["region"]).alias("region"), F.coalesce(F.try_element_at(cities, F.lit(1)), seller["city"]).alias("city"),
-        regions.alias("regions"), ordered_distinct(F.transform(items, lambda i: i["classification"]["code"])).alias("codes"), F.size(items).alias("n_items"), items.alias("items"), seller.alias("seller"), result.alias("result"))
+        regions.alias("regions"), each("code").alias("codes"), F.size(p["items"]).alias("n_items"), items.alias("items"), seller.alias("seller"), result.alias("result"))
 
 
 def participants(p: Column) -> Column:

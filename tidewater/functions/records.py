@@ -41,8 +41,7 @@ def with_origin(**documents: Column) -> Column:
 
 def by_status(rows: Column, order: tuple[str, ...]) -> Column:
     """The first struct of the array whose status comes first in the order; others are passed over."""
-    places = F.transform(F.lit(list(order)), lambda s: F.filter(rows, lambda r: r["status"] == s))
-    return F.try_element_at(F.flatten(places), F.lit(1))
+    return F.coalesce(*[F.get(F.filter(rows, lambda r: r["status"] == s), F.lit(0)) for s in order])  # noqa: B023 - used at once; later ones are looked for where no earlier one is
 
 
 def auction_result(status: Column, start: Column, awards: Column, contracts: Column, bids: Column) -> Column:
