@@ -128,3 +128,10 @@ def test_arrays_of_lines_sort_by_flat_fields(spark):
     out = df.groupBy().agg(sourced._list("o", "t"))
     assert [x["t"] for x in out.first()["rows"]] == [None, "a", "z", "b"]
     assert "struct" not in str(out.schema["rows"].dataType.elementType.fields[0].dataType).lower()
+
+
+def test_party_names_puts_words_into_lines_once(spark):
+    from tidewater.plans import catalog
+
+    plan = catalog.QUERIES["party_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # segments are written once and read by each of the three searches

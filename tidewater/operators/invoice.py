@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import values as v
 from tidewater.operators.documents import segments
+from tidewater.scratch import Scratch
 
 #: What columns, fields, totals and documents are called. The first that fits wins.
 ROLES = {
@@ -67,14 +68,15 @@ def labelled_fields(lines: DataFrame, keys: list[str], order: str, text: str) ->
     return rows.groupBy(*keys).agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in FIELDS])
 
 
-def party_names(words: DataFrame, keys: list[str], below: int = 2) -> DataFrame:
+def party_names(words: DataFrame, keys: list[str], below: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(keys, party, name): the supplier and the customer named on a page of words (keys, x0, x1, y, size, text).
 
     A label is a segment that says nothing else, or stands before a colon. Its value is the rest of the segment, else
     the next segment of the line unless that is a label, else the first segment under it within ``below`` lines and
     three sizes; a label there ends the search. The first label of a party that has a value counts.
+    The result reads a table of ``scratch``.
     """
-    seg = segments(words, keys)
+    seg = (scratch or Scratch(words.sparkSession)).cut(segments(words, keys))  # read for labels and for the values beside and under them
     part = F.split("text", ":", 2)
     head, rest = F.lower(F.trim(F.regexp_replace(part[0], r"[\s.#]+$", ""))), F.trim(F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")))
     known = {name: [w.strip() for w in names.split(",")] for name, names in PARTIES.items()}
