@@ -67,6 +67,19 @@ def test_item_diff(spark):
     assert got == {"1": "unchanged", "2": "removed", "3": "new"}
 
 
+def test_item_diff_parses_once(spark):
+    side = lambda: spark.range(3).select("id", F.parse_json(F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}"))).alias("item"))
+    got = diff.item_diff(side(), side(), "item", ["id"], ["id"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
+    assert sorted((r["key"], r["change_type"]) for r in got.select("key", "change_type").collect()) == [(k, "unchanged") for k in "012"]
+
+
+def test_nested_changes_by_kind(spark):
+    before, after = '{"a":1,"b":{"c":1.50,"d":null},"e":{},"f":[1]}', '{"a":"1","b":{"c":1.5,"x":null},"e":{"y":null},"f":["1"]}'
+    c = one(spark, c=va.nested_changes(F.parse_json(F.lit(before)), F.parse_json(F.lit(after))))["c"]
+    assert [(x["field"], x["before"], x["after"]) for x in c["changes"]] == [("a", "1", "1"), ("f", "[1]", '["1"]')] and c["total"] == 2
+
+
 def test_tree_search(spark):
     deep = '{"z":' * 58 + '{"hit":7}' + "}" * 58
     beyond = '{"z":' * 70 + '{"hit":7}' + "}" * 70

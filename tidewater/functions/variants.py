@@ -50,19 +50,19 @@ def _sorted(names: Sequence[str]) -> list[str]:
     return sorted(set(names), key=lambda n: n.encode("utf-16-be"))
 
 
+def field(v: Column, *names: str) -> Column:
+    """The value at a field of objects in objects; null if one is missing or no object. Only the way to it is read, no map is made."""
+    if any("'" in n and '"' in n for n in names):  # no path can spell it
+        return reduce(lambda x, n: F.try_element_at(members(x), F.lit(n)), names, v)
+    return F.try_variant_get(v, "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in names), "variant")
+
+
 def at_path(v: Column, path: str) -> tuple[Column, Column]:
     """(whether it is there, the value) at ``a.b.c``; a field whose very name is the whole path wins."""
-    fields = members(v)
-    there, value = F.coalesce(F.map_contains_key(fields, path), F.lit(False)), F.try_element_at(fields, F.lit(path))
-    parts = path.split(".")
-    if len(parts) == 1:
-        return there, value
-    inner = v
-    for p in parts[:-1]:
-        inner = F.try_element_at(members(inner), F.lit(p))
-    below = members(inner)
-    found, nested = F.coalesce(F.map_contains_key(below, parts[-1]), F.lit(False)), F.try_element_at(below, F.lit(parts[-1]))
-    return there | found, F.when(there, value).otherwise(nested)
+    value = field(v, path)
+    if "." in path:
+        value = F.coalesce(value, field(v, *path.split(".")))
+    return value.isNotNull(), value
 
 
 def _object(keys: Column, text: Callable[[Column], Column]) -> Column:
@@ -99,7 +99,7 @@ def projection(v: Column, compare: Sequence[str] = (), ignore: Sequence[str] = (
         return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
     if not ignore:
         return canonical(v)
-    literal = lambda f: F.coalesce(F.map_contains_key(members(v), f), F.lit(False))
+    literal = lambda f: field(v, f).isNotNull()
     gone = [((f,), F.lit(True)) for f in ignore] + [(tuple(f.split(".")), ~literal(f)) for f in ignore if "." in f]
     return _without(v, gone)
 
@@ -114,9 +114,9 @@ def item_key(v: Column, id_fields: Sequence[str], fallback: Column) -> Column:
     if not id_fields:
         return F.concat(F.lit("#"), fallback)
     values = [at_path(v, f)[1] for f in id_fields]
-    texts = [F.trim(F.coalesce(F.try_variant_get(x, "$", "string"), canonical(x))) for x in values]
-    empty = reduce(lambda a, b: a & b, [F.coalesce(F.try_variant_get(x, "$", "string"), canonical(x)).isin("", "null") for x in values])
-    return F.when(~empty, F.concat_ws(" | ", *texts))
+    texts = [F.coalesce(F.try_variant_get(x, "$", "string"), canonical(x)) for x in values]
+    empty = reduce(lambda a, b: a & b, [x.isin("", "null") for x in texts])
+    return F.when(~empty, F.concat_ws(" | ", *[F.trim(x) for x in texts]))
 
 
 def nested_changes(before: Column, after: Column, most: int = 20, depth: int = 4) -> Column:
@@ -125,9 +125,8 @@ def nested_changes(before: Column, after: Column, most: int = 20, depth: int = 4
     Objects on both sides are compared field by field (``a.b``) down to ``depth`` levels; arrays, deeper objects and an
     object against anything else are one change. Absent and null are equal. A change of the whole is ``(item)``.
     """
-    pair = lambda path, b, a: F.struct(path.alias("path"), b.alias("b"), a.alias("a"), canonical(b).alias("bt"), canonical(a).alias("at"))
-    differs = lambda p: p["bt"] != p["at"]
-    pairs = F.filter(F.array(pair(F.lit(""), before, after)), differs)
+    pair = lambda path, b, a: F.struct(path.alias("path"), b.alias("b"), a.alias("a"))
+    pairs = F.array(pair(F.lit(""), before, after))
 
     def fields(p: Column) -> Column:
         name = lambda k: F.when(p["path"] == "", k).otherwise(F.concat(p["path"], F.lit("."), k))
@@ -135,9 +134,16 @@ def nested_changes(before: Column, after: Column, most: int = 20, depth: int = 4
         both = F.struct(members(p["b"]).alias("m"), members(p["a"]).alias("o"))
         return _bound(both, lambda x: F.when(x["m"].isNotNull() & x["o"].isNotNull(), each(x)).otherwise(F.array(p)))
 
-    for _ in range(depth):
-        pairs = F.filter(F.flatten(F.transform(pairs, fields)), differs)
-    return _bound(pairs, lambda found: _listed(found, most))
+    for level in range(depth):  # items to compare mostly differ, so the first look is at their fields
+        pairs = F.flatten(F.transform(F.filter(pairs, lambda p: ~_alike(p["b"], p["a"])) if level else pairs, fields))
+    differs = lambda p: ~_alike(p["b"], p["a"]) & (canonical(p["b"]) != canonical(p["a"]))
+    return _bound(F.filter(pairs, differs), lambda found: _listed(found, most))
+
+
+def _alike(b: Column, a: Column) -> Column:
+    """Whether both are of one kind and text, and so of one canonical text; that of scalars is slow to print and not needed for it."""
+    same = lambda f: f(b).eqNullSafe(f(a))
+    return same(lambda v: F.try_variant_get(v, "$", "string")) & same(F.schema_of_variant)
 
 
 def _listed(pairs: Column, most: int) -> Column:

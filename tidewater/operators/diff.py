@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewater.functions.variants import item_fingerprint, item_key
+from tidewater.functions.variants import item_fingerprint, item_key, projection
 from tidewater.operators.keys import abridged, with_key_and_hash
 
 
@@ -86,10 +86,14 @@ def item_diff(previous: DataFrame, current: DataFrame, item: str, id_fields: Seq
     Items without a key take no part; of items with one key the first in ``order`` counts. One full outer equi-join.
     """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        h = item_fingerprint(F.col(item), compare, ignore)
-        keyed = df.withColumn("_hash", h).withColumn("_key", item_key(F.col(item), id_fields, F.col("_hash"))).where("_key is not null")
-        return first_per_key(keyed, ["_key"], order).select(F.col("_key").alias("key"), F.col("_hash").alias(f"_{name}"), F.col(item).alias(name))
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  a filter on it is not pushed below, where it would parse and print the items again
 
-    kind = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "removed").when(F.col("_before") != F.col("_after"), "changed").otherwise("unchanged")
-    return side(previous, "before").join(side(current, "after"), "key", "full_outer").select("key", kind.alias("change_type"), "before", "after")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        h = None if id_fields else item_fingerprint(F.col(item), compare, ignore)
+        keyed = df.select("*", once(item_key(F.col(item), id_fields, h), "_key")).where("_key is not null")
+        return first_per_key(keyed, ["_key"], order).select(F.col("_key").alias("key"), F.col("_key").alias(f"_{name}"), F.col(item).alias(name))
+
+    differ = projection(F.col("before"), compare, ignore) != projection(F.col("after"), compare, ignore)
+    kind = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "removed").when(differ, "changed").otherwise("unchanged")
+    joined = side(previous, "before").join(side(current, "after"), "key", "full_outer")
+    return joined.select("key", "before", "after", once(kind, "change_type")).select("key", "change_type", "before", "after")
