@@ -14,6 +14,7 @@ from tidewater.operators.documents import chunk_rows
 
 BLOCK = ("block_no", "md", "level", "is_table", "path")
 MODES = ("none", "heading", "fixed")
+_TEXT = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
 
 
 @udtf
@@ -56,8 +57,8 @@ class FlattenChanges:
     """
 
     def eval(self, before: str, after: str, most: int = 20) -> Iterator[tuple]:
-        text = lambda v: json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        shown = lambda v: v if v is None or isinstance(v, str) else text(v)
+        shown = lambda v: v if v is None or isinstance(v, str) else _TEXT(v)
+        same = lambda a, b: a == b if type(a) is type(b) and type(a) in (str, int) else _TEXT(a) == _TEXT(b)
 
         def read(value: str | None) -> object:
             try:
@@ -66,12 +67,10 @@ class FlattenChanges:
                 return None
 
         def walk(a: object, b: object, path: str, left: int) -> Iterator[tuple]:
-            if text(a) == text(b):
-                return
             if left and isinstance(a, dict) and isinstance(b, dict):
                 for k in sorted(a.keys() | b.keys(), key=lambda x: x.encode()):
                     yield from walk(a.get(k), b.get(k), f"{path}.{k}" if path else k, left - 1)
-            else:
+            elif not same(a, b):
                 yield path or "(item)", shown(a), shown(b)
 
         found = list(walk(read(before), read(after), "", 4))
