@@ -73,3 +73,9 @@ def test_tables_by_layout(spark):
     lines = spark.createDataFrame([("d", p, n, t, z) for p in range(4) for n, t, z in ((1, "Head 1", 9.0), (2, "Big title", 20.0), (3, f"own {p} text", 10.0), (4, f"{p + 1}", 9.0))], "doc string, page int, n int, line string, size double")
     edges = {r["edge_text"]: r["running"] for r in dc.edge_lines(lines, "doc", "page", large=F.col("size") > 11.5).collect()}
     assert edges["head #"] and not edges["big title"] and edges["#"]
+
+
+def test_layout_tables_numbers_lines_once(spark):
+    df = spark.createDataFrame([(1, x * 100.0, x * 100.0 + 40, 12.0 * y, 10.0, "w") for y in range(5) for x in range(2)], "page int, x0 double, x1 double, y double, size double, text string")
+    got = layout.layout_tables(df, ["page"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") <= 1 and got.count() == 10

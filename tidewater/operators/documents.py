@@ -328,8 +328,13 @@ def word_lines(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def segments(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_no, segment_no, x0, x1, y, size, text): the words of ``word_lines`` that stand together."""
+    return joined_words(word_lines(words, keys), keys)
+
+
+def joined_words(lined: DataFrame, keys: list[str]) -> DataFrame:
+    """``segments`` of words that went through ``word_lines``."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
-    return word_lines(words, keys).groupBy(*keys, "line_no", "segment_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"), text.alias("text"))
+    return lined.groupBy(*keys, "line_no", "segment_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"), text.alias("text"))
 
 
 def line_tables(words: DataFrame, keys: list[str], least_rows: int = 3) -> DataFrame:

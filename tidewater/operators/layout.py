@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators.documents import segments, word_lines
+from tidewater.operators.documents import joined_words, segments, word_lines
+from tidewater.scratch import Scratch
 
 
 def line_gaps(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,8 +22,7 @@ def _blocks(seg: DataFrame, keys: list[str], wide: float) -> DataFrame:
     lines = seg.groupBy(*keys, "line_no").agg(F.count("*").alias("_n"), F.min("y").alias("y"))
     order = Window.partitionBy(*keys).orderBy("line_no")
     lines = lines.withColumn("_step", F.col("y") - F.lag("y").over(order)).withColumn("_before", F.lag("_n").over(order))
-    gap = lines.where("_step > 0").groupBy(*keys).agg(F.median("_step").alias("_gap"))
-    lines = lines.join(gap, keys, "left")
+    lines = lines.withColumn("_gap", F.median(F.when(F.col("_step") > 0, F.col("_step"))).over(Window.partitionBy(*keys)))
     starts = (F.col("_n") >= 2) & (F.coalesce(F.col("_before") < 2, F.lit(True)) | (F.col("_step") > wide * F.col("_gap")))
     lines = lines.withColumn("table_no", F.sum(starts.cast("int")).over(order)).where("_n >= 2").drop("_before", "_step", "_gap")
     table = Window.partitionBy(*keys, "table_no")
@@ -50,19 +50,23 @@ def layout_tables(words: DataFrame, keys: list[str], least_rows: int = 3, fill:
     over a gutter. Prose is no table: at least the share ``fill`` of the cells must be filled, and cells hold ``longest``
     characters on average at most. Words come as in ``word_lines``; pages without tables give no rows.
     """
-    seg = segments(words, keys)
+    lined = Scratch(words.sparkSession).cut(word_lines(words, keys))  # read many times below; its Python runs once
+    seg = joined_words(lined, keys)
     lines = _blocks(seg, keys, wide).where(F.col("n_rows") > least_rows)
     table = [*keys, "table_no"]
     body = seg.join(lines.where("row_no > 1").select(*table, "line_no"), [*keys, "line_no"])
     columns = _columns(body, table)
-    heads = word_lines(words, keys).join(lines.where("row_no = 1").select(*table, "line_no"), [*keys, "line_no"]).select(*table, "line_no", "x0", "x1", "text")
+    heads = lined.join(lines.where("row_no = 1").select(*table, "line_no"), [*keys, "line_no"]).select(*table, "line_no", "x0", "x1", "text")
     pieces = heads.withColumn("is_header", F.lit(True)).unionByName(body.select(*table, "line_no", "x0", "x1", "text").withColumn("is_header", F.lit(False)))
     ranges = columns.groupBy(*table).agg(F.sort_array(F.collect_list(F.struct("column_no", F.coalesce("until", F.lit(float("inf"))).alias("until")))).alias("_cols"))
     place = F.filter("_cols", lambda c: F.col("_mid") < c["until"])[0]["column_no"]
     placed = pieces.join(ranges, table).withColumn("_mid", (F.col("x0") + F.col("x1")) / 2).withColumn("column_no", place).withColumn("_width", F.size("_cols"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
     cells = placed.groupBy(*table, "line_no", "column_no", "is_header", "_width").agg(text.alias("text"))
-    shape = cells.where("not is_header").groupBy(*table, "_width").agg(F.count("*").alias("_n"), F.countDistinct("line_no").alias("_rows"), F.avg(F.length("text")).alias("_long"))
-    good = shape.where((F.col("_width") >= 2) & (F.col("_n") >= fill * F.col("_rows") * F.col("_width")) & (F.col("_long") <= longest))
-    numbered = good.select(*table, F.row_number().over(Window.partitionBy(*keys).orderBy("table_no")).alias("_no"))
-    return cells.join(numbered, table).select(*keys, F.col("_no").alias("table_no"), "line_no", F.col("column_no").cast("int").alias("column_no"), "is_header", "text")
+    own = Window.partitionBy(*table)
+    body_only = lambda c: F.when(~F.col("is_header"), c)
+    first = F.row_number().over(Window.partitionBy(*table, "is_header", "line_no").orderBy("column_no")) == 1
+    cells = cells.withColumn("_first", first.cast("int")).withColumn("_n", F.count(body_only(F.lit(1))).over(own)).withColumn("_rows", F.sum(body_only(F.col("_first"))).over(own)).withColumn("_long", F.avg(body_only(F.length("text"))).over(own))
+    good = cells.where((F.col("_width") >= 2) & (F.col("_n") >= fill * F.col("_rows") * F.col("_width")) & (F.col("_long") <= longest))
+    numbered = good.withColumn("_no", F.dense_rank().over(Window.partitionBy(*keys).orderBy("table_no")))
+    return numbered.select(*keys, F.col("_no").alias("table_no"), "line_no", F.col("column_no").cast("int").alias("column_no"), "is_header", "text")
