@@ -31,9 +31,11 @@ def read_feed(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
 
 def read_trending_feed(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
     """(keys, position, title, traffic, news): items with their nested news as array<struct<title, url, source>>."""
-    tag = lambda x, name: F.trim(entities(F.regexp_replace(F.regexp_extract(x, rf"(?s)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}>", 1), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
-    rows = df.select(*keys, F.posexplode(F.regexp_extract_all(body, F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))).alias("position", "_x"))
-    news = F.transform(F.regexp_extract_all("_x", F.lit(r"(?s)<(?:\w+:)?news_item>.*?</(?:\w+:)?news_item>"), F.lit(0)), lambda n: F.struct(tag(n, "news_item_title").alias("title"), tag(n, "news_item_url").alias("url"), tag(n, "news_item_source").alias("source")))
+    upto = lambda end: rf"[^<]*+(?:<(?!{end})[^<]*+)*+"  # noqa: E731  as .*? up to the end, without a try at every character
+    close = lambda name: rf"/(?:\w+:)?{name}>"
+    tag = lambda x, name: F.trim(entities(F.regexp_replace(F.regexp_extract(x, rf"<(?:\w+:)?{name}\b[^>]*>({upto(close(name))})<{close(name)}", 1), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
+    rows = df.select(*keys, F.posexplode(F.regexp_extract_all(body, F.lit(rf"<item\b{upto('/item>')}</item>"), F.lit(0))).alias("position", "_x"))
+    news = F.transform(F.regexp_extract_all("_x", F.lit(rf"<(?:\w+:)?news_item>{upto(close('news_item'))}<{close('news_item')}"), F.lit(0)), lambda n: F.struct(tag(n, "news_item_title").alias("title"), tag(n, "news_item_url").alias("url"), tag(n, "news_item_source").alias("source")))
     return rows.select(*keys, (F.col("position") + 1).alias("position"), tag(F.col("_x"), "title").alias("title"), tag(F.col("_x"), "approx_traffic").alias("traffic"), news.alias("news"))
 
 
