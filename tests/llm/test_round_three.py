@@ -1,5 +1,7 @@
 """Decontamination beyond word lists, scores beside columns of the same name, and the language model with all words."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,39 @@ def test_op10_trains_on_every_word(spark, monkeypatch):
     monkeypatch.setattr(lm, "averaged", lambda own, raw, model, shards, part=lm.PART: parts.append(part) or model)
     queries.op10_lm(spark, "/root/testdata/sf0.001")
     assert parts == [1]
+
+
+def test_words_are_cut_once(spark, monkeypatch):
+    """Words that every task knows are not cut again; however few these are, ids, counts and scores are the same."""
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 11} grain İx" for k in range(6 + i % 3)) + f" once{i}", "s") for i in range(30)] + [(90, "unseen words", "s"), (91, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    raw = lm.tokenizer_bytes()
+    counts = lm.word_counts(docs.where("text is not null"), raw).where("not piece").select("h", "c", "cut").localCheckpoint()
+    data, off = lm.packed(pa.array([t for _, t, _ in rows]))
+    want = lm.Subwords(raw).texts(data, off)
+    whole = lm.known_words(counts, raw)
+    assert all((a == b).all() for a, b in zip(want, whole.texts(data, off))) and not len(whole.seen) and whole.often.sum() == counts.agg(F.sum("c")).first()[0]
+    scores = lambda: {r["doc_id"]: r for r in lm.lm_scores(docs, sample=4, most=64, part=1).collect()}
+    all_known = scores()
+    monkeypatch.setattr(lm, "KNOWN", 6)
+    few = lm.known_words(counts, raw)
+    assert 0 < len(few.known) <= 6 and all((a == b).all() for a, b in zip(want, few.texts(data, off))) and len(few.seen)
+    for i, r in scores().items():
+        assert (r["n_tokens"], r["n_known"]) == (all_known[i]["n_tokens"], all_known[i]["n_known"])
+        assert r["base_score"] == pytest.approx(all_known[i]["base_score"]) and r["score"] == pytest.approx(all_known[i]["score"], rel=1e-4)
+
+
+def test_lm_gradients():
+    """As differences of the loss, for every kind of weight."""
+    m = lm.Attention(np.arange(700), 900)
+    w = np.random.default_rng(1).integers(0, 700, (6, lm.WINDOW + 1))
+    w[0, 0], w[1, 9:], w[2, 5] = lm.HEAD + 1, -1, lm.HEAD
+    _, g = m.gradients(w)
+    for k in m.p:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        loss, was = [], m.p[k][at]
+        for by in (0.003, -0.003):  # a hidden value may cross 0 between them
+            m.p[k][at] = was + by
+            loss.append(m.gradients(w)[0])
+        m.p[k][at] = was
+        assert (loss[0] - loss[1]) / 0.006 == pytest.approx(g[k][at], rel=0.05, abs=1e-3), k
