@@ -111,3 +111,22 @@ def test_lm_gradients():
             loss.append(m.gradients(w)[0])
         m.p[k][at] = was
         assert (loss[0] - loss[1]) / 0.006 == pytest.approx(g[k][at], rel=0.05, abs=1e-3), k
+
+
+def test_lm_with_large_weights():
+    """Logits beyond the range of exp: shares, scores and gradients stay numbers, as of exact softmaxes."""
+    m = lm.Attention(np.arange(lm.HEAD), lm.HEAD + 9)
+    w = np.random.default_rng(2).integers(0, lm.HEAD, (5, lm.WINDOW + 1))
+    m.p["q"] *= 300
+    m.p["c"] *= 100
+    m.p["cb"] -= 200
+    h = m.p["e"][w[:, :-1]] + m.p["pos"]
+    z = (h @ m.p["q"]) @ (h @ m.p["k"]).transpose(0, 2, 1) * lm.DIM**-0.5 + np.triu(np.full((lm.WINDOW, lm.WINDOW), -1e9), 1)
+    a = np.exp(z - z.max(axis=2, keepdims=True))
+    assert np.abs(z[z > -1e8]).max() > 100
+    assert np.allclose(m.forward(w[:, :-1])["a"], a / a.sum(axis=2, keepdims=True), atol=1e-2)
+    loss, g = m.gradients(w)
+    m.tables()
+    o = m.hidden(w[:, :-1], 0)
+    assert np.allclose(o[:, :, : lm.DIM], m.forward(w[:, :-1])["o"], atol=2e-2)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values()) and np.isfinite(m.log_probability(o.reshape(-1, lm.DIM + 1), w[:, 1:].ravel())).all()

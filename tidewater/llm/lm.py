@@ -183,6 +183,11 @@ def spans(ids: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.where(pos < bounds[run][:, None], -2, np.where(pos < hi[run][:, None], ids[np.clip(pos, 0, max(0, len(ids) - 1))] if len(ids) else -1, -1))
 
 
+def wide(z: np.ndarray) -> bool:
+    """Whether exp may leave its range, so that rows need their maximum taken off."""
+    return bool(z.size) and bool(z.max() >= 60 or z.min() <= -60)
+
+
 class Attention:
     """Weights; ids are compact: 0..HEAD-1 by frequency, HEAD for all others, HEAD + 1 for the start, -1 after the end."""
 
@@ -211,7 +216,9 @@ class Attention:
     def attend(self, q: np.ndarray, k: np.ndarray, since: int = 0) -> np.ndarray:
         """Shares with which the positions from ``since`` on see those up to them: windows x (WINDOW - since) x WINDOW."""
         a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, 60, out=a)  # keeps exp in range without a pass for the maximum
+        if wide(a):
+            a += (self.before[since:] - 1) * np.float32(1e9)
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a *= self.before[since:]
         a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))).reshape(*a.shape[:2], 1)
@@ -248,11 +255,9 @@ class Attention:
 
     @staticmethod
     def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if wide(z):
+            z -= z.max(axis=1, keepdims=True)
         got = z[np.arange(len(at)), at]
-        if z.size and z.max() >= 60:
-            top = z.max(axis=1)
-            got -= top
-            z -= top[:, None]
         np.exp(z, out=z)
         return got - np.log(z @ np.ones(z.shape[1], np.float32))
 
@@ -300,7 +305,7 @@ class Attention:
     @staticmethod
     def _errors(z: np.ndarray, at: np.ndarray) -> float:
         """Sum of -log softmax(z) at ``at``; z becomes the softmax less 1 there."""
-        if z.size and z.max() >= 60:
+        if wide(z):
             z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z *= (1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
